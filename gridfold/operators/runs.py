@@ -9,11 +9,12 @@ from gridfold.functions.display import classify_run
 from gridfold.schema import INGEST_TASK, QUALITY_TASK
 
 
-def latest_attempts(run_log: DataFrame) -> DataFrame:
+def latest_attempts(run_log: DataFrame, tie_breaks: tuple[str, ...] = ()) -> DataFrame:
     """One row per (run_id, task_key): the highest attempt (missing = 0),
-    the later list item on ties."""
+    the later list item on ties (then ``tie_breaks``, descending)."""
     w = Window.partitionBy("run_id", "task_key").orderBy(
-        F.coalesce(F.col("attempt_number"), F.lit(0)).desc(), F.col("list_pos").desc()
+        F.coalesce(F.col("attempt_number"), F.lit(0)).desc(), F.col("list_pos").desc(),
+        *[F.col(c).desc() for c in tie_breaks]
     )
     return run_log.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1).drop("rn")
 

@@ -147,6 +147,16 @@ def keeps_label(layout: Layout = DEFAULT_LAYOUT) -> Column:
     return ~is_blank_label(F.col("cells")[layout.first_col])
 
 
+def band_rows(grid: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
+    """P1+P2: ``(source_file, row, label)`` of the rows kept for unpivoting."""
+    body = grid.where(F.col("row") > layout.header_row).select("source_file", "row", "cells")
+    return (
+        body.join(bands(grid, layout), "source_file", "left")
+        .where(in_band(layout) & keeps_label(layout))
+        .select("source_file", "row", F.col("cells")[layout.first_col].alias("label"))
+    )
+
+
 def batch_keys(files: DataFrame) -> DataFrame:
     """batch_key (= sheet name) and the date gate on six digits in it.
 

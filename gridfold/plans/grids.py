@@ -85,11 +85,15 @@ def sheet_name_for(file_key, by: str = "region"):
                                                             (file_key % 3000).cast("int")), "yyMMdd"))
 
 
-def period_header(year, qsort):
-    """Header text: ``Q{q} {y}`` / ``FY {y}``, estimates from 2000 on (even
-    quarters use an ideographic space before the suffix)."""
+def period_header(year, qsort, est_year=None, est_quarter=None):
+    """Header text: ``Q{q} {y}`` / ``FY {y}``; a quarter is an estimate from
+    (est_year, est_quarter) on, a full year from est_year on (default 2000 Q1).
+    Even quarters use an ideographic space before the suffix."""
+    est_year = F.lit(ESTIMATE_FROM_YEAR) if est_year is None else est_year
+    est_quarter = F.lit(1) if est_quarter is None else est_quarter
+    is_est = F.when(qsort == 5, year >= est_year).otherwise(year * 10 + qsort >= est_year * 10 + est_quarter)
     est_sep = F.when((qsort % 2) == 0, F.lit(IDEOGRAPHIC_SPACE)).otherwise(F.lit(" "))
-    suffix = F.when(year >= ESTIMATE_FROM_YEAR, F.concat(est_sep, F.lit(ESTIMATE_SUFFIX))).otherwise(F.lit(""))
+    suffix = F.when(is_est, F.concat(est_sep, F.lit(ESTIMATE_SUFFIX))).otherwise(F.lit(""))
     base = F.when(qsort == 5, F.concat(F.lit("FY "), year.cast("string"))).otherwise(
         F.concat(F.lit("Q"), qsort.cast("string"), F.lit(" "), year.cast("string")))
     return F.concat(base, suffix)
@@ -105,12 +109,16 @@ def period_values(facts: DataFrame) -> DataFrame:
                   F.col("v").cast("string").alias("value_text")))
 
 
-def period_columns(values: DataFrame) -> DataFrame:
-    """(source_file, year, qsort, col, header): one sheet column per period."""
-    per = values.select("source_file", "year", "qsort").distinct()
+def period_columns(values: DataFrame, est_start=None) -> DataFrame:
+    """(source_file, year, qsort, col, header): one sheet column per period.
+
+    ``est_start``: optional function file_key -> (est_year, est_quarter).
+    """
+    per = values.select("source_file", "file_key", "year", "qsort").distinct()
     w = Window.partitionBy("source_file").orderBy("year", "qsort")
+    ey, eq = est_start(F.col("file_key")) if est_start else (None, None)
     return per.withColumn("col", (F.dense_rank().over(w) + 2).cast("int")).withColumn(
-        "header", period_header(F.col("year"), F.col("qsort")))
+        "header", period_header(F.col("year"), F.col("qsort"), ey, eq)).drop("file_key")
 
 
 def label_rows(values: DataFrame) -> DataFrame:
@@ -128,7 +136,7 @@ def _cells(df: DataFrame, *specs) -> DataFrame:
 
 
 def derived_grid(spark: SparkSession, sf_dir: str, by: str = "region", junk: bool = True,
-                 stage_grid: bool = True) -> Grid:
+                 stage_grid: bool = True, est_start=None) -> Grid:
     """Grid rows and file list for one derived sheet per region / customer.
 
     With ``stage_grid`` the grid is written once as Parquet in the shared
@@ -138,7 +146,7 @@ def derived_grid(spark: SparkSession, sf_dir: str, by: str = "region", junk: boo
 
     facts = order_facts(spark, sf_dir, by)
     values = period_values(facts)
-    cols = period_columns(values)
+    cols = period_columns(values, est_start)
     labels = label_rows(values)
     body = values.join(cols, ["source_file", "year", "qsort"]).join(F.broadcast(labels), "metric")
 

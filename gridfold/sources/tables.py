@@ -47,6 +47,16 @@ def ensure_tables(spark: SparkSession, database: str = "default", facts: str = F
     return fq_facts, fq_landing
 
 
+def ensure_fact_table(spark: SparkSession, table: str, location: str | None = None) -> str:
+    """S6 for one fact table (optionally at an explicit location)."""
+    loc = f" LOCATION '{location}'" if location else ""
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {table} (\n{_ddl(FACT_SCHEMA)}\n) USING parquet "
+        f"PARTITIONED BY (batch_key){loc} COMMENT 'Period facts'"
+    )
+    return table
+
+
 def read_facts(spark: SparkSession, table: str) -> DataFrame:
     """The fact table through the catalog (string batch_key, never inferred)."""
     return spark.table(table).select(*FACT_COLUMNS)

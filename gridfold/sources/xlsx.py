@@ -241,3 +241,91 @@ def _cell_text(c, strings: list[str], dated: set[int]) -> str | None:
     if style in dated:
         return _date_text(raw)
     return _number_text(raw)
+
+
+# ---------------------------------------------------------------------------
+# Writing: a minimal single-sheet workbook, used to land test and bench files.
+# ---------------------------------------------------------------------------
+def col_letters(n: int) -> str:
+    out = ""
+    while n:
+        n, r = divmod(n - 1, 26)
+        out = chr(65 + r) + out
+    return out
+
+
+def _esc(s: str) -> str:
+    return (s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;"))
+
+
+def _as_number(text: str) -> bool:
+    """Text that the reader gives back unchanged when stored as a number."""
+    if not text or text.strip() != text:
+        return False
+    try:
+        f = float(text)
+    except ValueError:
+        return False
+    if f != f or f in (float("inf"), float("-inf")):
+        return False
+    i = int(f) if f.is_integer() else None
+    return text == (str(i) if i is not None else repr(f))
+
+
+def workbook_bytes(sheet_name: str, rows) -> bytes:
+    """XLSX bytes of one sheet; ``rows`` yields ``(row, {col: text})``."""
+    strings: list[str] = []
+    index: dict[str, int] = {}
+    body = []
+    for r, cells in sorted(rows, key=lambda x: x[0]):
+        cs = []
+        for c in sorted(cells):
+            text = cells[c]
+            if text is None:
+                continue
+            ref = f"{col_letters(c)}{r}"
+            if _as_number(text):
+                cs.append(f'<c r="{ref}"><v>{text}</v></c>')
+            else:
+                if text not in index:
+                    index[text] = len(strings)
+                    strings.append(text)
+                cs.append(f'<c r="{ref}" t="s"><v>{index[text]}</v></c>')
+        body.append(f'<row r="{r}">{"".join(cs)}</row>')
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel_ns = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    pkg = "http://schemas.openxmlformats.org/package/2006/relationships"
+    doc = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    parts = {
+        "[Content_Types].xml": (
+            '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+            '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
+            '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+            '<Default Extension="xml" ContentType="application/xml"/>'
+            '<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>'
+            '<Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>'
+            '<Override PartName="/xl/sharedStrings.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sharedStrings+xml"/>'
+            "</Types>"),
+        "_rels/.rels": (
+            f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Relationships xmlns="{pkg}">'
+            f'<Relationship Id="rId1" Type="{doc}/officeDocument" Target="xl/workbook.xml"/></Relationships>'),
+        "xl/workbook.xml": (
+            f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><workbook {ns} {rel_ns}><sheets>'
+            f'<sheet name="{_esc(sheet_name)}" sheetId="1" r:id="rId1"/></sheets></workbook>'),
+        "xl/_rels/workbook.xml.rels": (
+            f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Relationships xmlns="{pkg}">'
+            f'<Relationship Id="rId1" Type="{doc}/worksheet" Target="worksheets/sheet1.xml"/>'
+            f'<Relationship Id="rId2" Type="{doc}/sharedStrings" Target="sharedStrings.xml"/></Relationships>'),
+        "xl/worksheets/sheet1.xml": (
+            f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><worksheet {ns}><sheetData>'
+            + "".join(body) + "</sheetData></worksheet>"),
+        "xl/sharedStrings.xml": (
+            f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><sst {ns} count="{len(strings)}" '
+            f'uniqueCount="{len(strings)}">'
+            + "".join(f'<si><t xml:space="preserve">{_esc(s)}</t></si>' for s in strings) + "</sst>"),
+    }
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for name, xml in parts.items():
+            zf.writestr(name, xml.encode("utf-8"))
+    return buf.getvalue()
