@@ -10,7 +10,7 @@ travel in one record.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridfold.functions.text import (
@@ -66,25 +66,28 @@ def classify_headers(headers: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> Dat
 
     A reader that names columns by header text renames a repeated header, so
     only the first (lowest column) of identical period headers is a period.
+    The rule is applied inside one per-file aggregate (a file has at most
+    ``last_col - first_col + 1`` headers), so classifying costs one shuffle
+    on source_file, and the per-file plan built on top reuses it.
     """
-    dup = Window.partitionBy("source_file", "text").orderBy("col")
     cls = header_class("text", layout.metric_marker)
     p = parse_period("text", layout.estimate_suffix)
-    return (
-        headers.withColumn("header_class", cls)
-        .withColumn(
-            "header_class",
-            F.when((F.col("header_class") == "period") & (F.row_number().over(dup) > 1), F.lit("skipped"))
-            .otherwise(F.col("header_class")),
-        )
-        .withColumn("p", F.when(F.col("header_class") == "period", p))
-        .select(
-            "source_file", "col", "text", "header_class",
-            F.col("p.period_type").alias("period_type"),
-            F.col("p.year").alias("year"),
-            F.col("p.quarter").alias("quarter"),
-            F.col("p.is_estimate").alias("is_estimate"),
-        )
+    per_file = headers.groupBy("source_file").agg(
+        F.collect_list(F.struct("col", "text", cls.alias("c0"), p.alias("p"))).alias("hs")
+    )
+
+    def settle(x):
+        repeated = F.exists("hs", lambda y: (y["c0"] == "period") & (y["text"] == x["text"]) & (y["col"] < x["col"]))
+        return x.withField("c0", F.when((x["c0"] == "period") & repeated, F.lit("skipped")).otherwise(x["c0"]))
+
+    h = per_file.select("source_file", F.explode(F.transform("hs", settle)).alias("h"))
+    is_period = F.col("h.c0") == "period"
+    return h.select(
+        "source_file",
+        F.col("h.col").alias("col"),
+        F.col("h.text").alias("text"),
+        F.col("h.c0").alias("header_class"),
+        *[F.when(is_period, F.col(f"h.p.{f}")).alias(f) for f in ("period_type", "year", "quarter", "is_estimate")],
     )
 
 
@@ -232,7 +235,10 @@ def to_long(grid: DataFrame, plan: DataFrame, layout: Layout = DEFAULT_LAYOUT,
     ``plan`` must hold only the files to emit (valid ones) and may carry extra
     per-file columns (lineage, flags); they are passed through.
     """
-    plan_side = F.broadcast(plan) if broadcast_plan else plan
+    # small plan: broadcast, the body is never shuffled; large plan: hash
+    # join building on the plan side (no sort of the body; with a grid
+    # bucketed by source_file the body side is not shuffled either)
+    plan_side = F.broadcast(plan) if broadcast_plan else plan.hint("shuffle_hash")
     body = grid.where(F.col("row") > layout.header_row).select("source_file", "row", "cells")
     rows = body.join(plan_side, "source_file").where(in_band(layout) & keeps_label(layout))
     extra = [c for c in plan.columns if c not in (

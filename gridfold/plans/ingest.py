@@ -90,18 +90,23 @@ class IngestResult:
 
 
 def run_ingest(spark: SparkSession, landing_dir: str, table: str, log_table: str | None = None,
-               layout: Layout = DEFAULT_LAYOUT, raise_on_check: bool = True) -> IngestResult:
+               layout: Layout = DEFAULT_LAYOUT, raise_on_check: bool = True,
+               buckets: int | None = None) -> IngestResult:
     """Decode every workbook in ``landing_dir`` and replace their batches in
     ``table`` (created if absent); then check each file's rows.
 
     Equals applying the files one at a time in landing order: per batch key
     the last valid file wins, whole.
+
+    ``buckets`` stages the decoded grid bucketed by source_file; without it
+    the grid is staged plain and the per-file plan is broadcast when the
+    file count allows (else hash-joined).
     """
     from gridfold.sources.workbook import scan_workbooks
 
-    scan = scan_workbooks(spark, landing_dir, layout)
+    scan = scan_workbooks(spark, landing_dir, layout, buckets=buckets)
     log = spark.table(log_table) if log_table and spark.catalog.tableExists(log_table) else None
-    ing = build_ingest(scan.grid, scan.files, log, layout)
+    ing = build_ingest(scan.grid, scan.files, log, layout, broadcast_plan=False if buckets else None)
     return apply_ingest(spark, ing, table, raise_on_check=raise_on_check)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from gridfold.operators.shape import ERR_BAD_DATE, ERR_NO_ESTIMATE, ERR_NO_METRIC
 from gridfold.plans import queries as Q
+from gridfold.plans.grids import CUSTOMER_SHEETS
 from gridfold.schema import NAME_UNSAFE_REGEX, PERIOD_REGEX, WS
 from gridfold.sources.landing import ERR_NAME_TAKEN, ERR_NOT_WORKBOOK, ERR_NO_NAME
 
@@ -61,7 +62,7 @@ def _base(by: str = "region") -> str:
 def _sheet(by: str) -> str:
     if by == "region":
         return "'BLB_2601' || lpad(CAST(file_key + 1 AS VARCHAR), 2, '0')"
-    return "'BLB_' || strftime(DATE '2020-01-01' + CAST(file_key % 3000 AS INTEGER), '%y%m%d')"
+    return f"'BLB_' || strftime(DATE '2020-01-01' + CAST(file_key % {CUSTOMER_SHEETS} AS INTEGER), '%y%m%d')"
 
 
 def _facts(by: str = "region", lineage: bool = False) -> str:
@@ -75,6 +76,15 @@ latest AS (SELECT file_name, uploaded_by, uploaded_at FROM lg
            QUALIFY row_number() OVER (PARTITION BY file_name ORDER BY uploaded_at DESC, uploaded_by DESC) = 1)"""
         user, when = "latest.uploaded_by", "latest.uploaded_at"
     join = "LEFT JOIN latest ON latest.file_name = v.source_file" if lineage else ""
+    # the last valid file per batch key wins: valid = has a quarterly estimate;
+    # newest landing (log) else modification time (grows with the key), then name
+    order = "latest.uploaded_at DESC NULLS LAST, " if lineage else ""
+    lj = "LEFT JOIN latest ON latest.file_name = f.source_file" if lineage else ""
+    win = f""",
+files AS (SELECT DISTINCT source_file, file_key, {_sheet(by)} AS batch_key FROM base),
+winners AS (SELECT f.source_file FROM files f JOIN ver ON ver.source_file = f.source_file {lj}
+            QUALIFY row_number() OVER (PARTITION BY f.batch_key
+                                       ORDER BY {order}f.file_key DESC, f.source_file DESC) = 1)"""
     return f"""WITH {_base(by)},
 vals AS (
   SELECT source_file, file_key, metric, year, quarter AS qsort, SUM(price) AS v FROM base GROUP BY 1, 2, 3, 4, 5
@@ -83,6 +93,7 @@ vals AS (
 ver AS (
   SELECT source_file, 'V_Q' || CAST(m % 10 AS VARCHAR) || '_' || CAST(m // 10 AS VARCHAR) || '_ESTIMATE' AS data_version
   FROM (SELECT source_file, min(year * 10 + quarter) AS m FROM base WHERE year >= 2000 GROUP BY 1)){lin}
+{win}
 SELECT v.metric,
        CASE WHEN v.qsort = 5 THEN 'FY' ELSE 'Q' END AS period_type,
        v.year,
@@ -94,7 +105,8 @@ SELECT v.metric,
        {when} AS upload_datetime,
        ver.data_version,
        {_sheet(by).replace('file_key', 'v.file_key')} AS batch_key
-FROM vals v JOIN ver ON ver.source_file = v.source_file {join}"""
+FROM vals v JOIN ver ON ver.source_file = v.source_file {join}
+WHERE v.source_file IN (SELECT source_file FROM winners)"""
 
 
 NEWEST_FILE = f"""

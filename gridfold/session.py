@@ -67,3 +67,19 @@ def stage(spark: SparkSession, df: DataFrame, label: str, path: str | None = Non
     path = path or scratch_path(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_bucketed(spark: SparkSession, df: DataFrame, label: str, key: str, buckets: int,
+                   path: str | None = None) -> DataFrame:
+    """Like :func:`stage`, but written as a table bucketed by ``key``.
+
+    Writing buckets needs no shuffle (each task writes its rows to their
+    bucket files). Read back through the catalog, the scan is already
+    hash-partitioned by ``key``: aggregates and joins on ``key`` over it add
+    no exchange on this side. Used for the decoded grid when the per-file
+    plan is too large to broadcast.
+    """
+    path = path or scratch_path(spark, label)
+    name = f"gridfold_{label.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).mode("overwrite").saveAsTable(name)
+    return spark.table(name)

@@ -117,6 +117,7 @@ def scan_workbooks(
     layout: Layout = DEFAULT_LAYOUT,
     max_bytes: int = MAX_WORKBOOK_BYTES,
     stage_dir: str | None = None,
+    buckets: int | None = None,
 ) -> Scan:
     """Decode every workbook in ``landing_dir``.
 
@@ -124,8 +125,14 @@ def scan_workbooks(
     written once as Parquet under ``stage_dir`` (default: a fresh folder in the
     session's checkpoint directory) and read back; each file is decoded once
     and a lost executor costs a re-read, not a re-decode.
+
+    ``buckets``: stage as a table bucketed by source_file instead (for runs
+    with too many files to broadcast their per-file plan): the per-file
+    aggregates and the body join then run without shuffling the grid.
     """
-    from gridfold.session import stage
+    from gridfold.session import stage, stage_bucketed
 
     raw = decode(list_binary(spark, landing_dir), layout, max_bytes)
+    if buckets:
+        return split_scan(stage_bucketed(spark, raw, "grid", "source_file", buckets, stage_dir))
     return split_scan(stage(spark, raw, "grid", stage_dir))
