@@ -9,21 +9,25 @@ of all valid files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def winning_files(valid_files: DataFrame) -> DataFrame:
-    """The valid files that win their batch_key, with ``is_winner``.
+def winning_files(files: DataFrame, valid: Column | None = None) -> DataFrame:
+    """Adds ``is_winner``: the file that wins its batch_key.
 
     Order: landing time (log), else file modification time, newest first;
-    then the larger file name.
+    then the larger file name. With ``valid``, invalid files never win and
+    do not hide a valid one (one window over the whole file list).
     """
-    w = Window.partitionBy("batch_key").orderBy(
+    order = [
         F.coalesce(F.col("upload_datetime").cast("timestamp"), F.col("modified_at").cast("timestamp")).desc_nulls_last(),
         F.col("source_file").desc(),
-    )
-    return valid_files.withColumn("is_winner", F.row_number().over(w) == 1)
+    ]
+    if valid is not None:
+        order.insert(0, valid.desc())
+    first = F.row_number().over(Window.partitionBy("batch_key").orderBy(*order)) == 1
+    return files.withColumn("is_winner", first if valid is None else first & valid)
 
 
 def replaced_keys(valid_files: DataFrame) -> DataFrame:

@@ -120,10 +120,16 @@ def data_versions(classified: DataFrame) -> DataFrame:
     return header_plan(classified).where(F.col("data_version").isNotNull()).select("source_file", "data_version")
 
 
+def label_of(grid: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> Column:
+    """The row label (column-B cell): the staged ``label`` column when the
+    grid has one (a prunable Parquet column), else the map lookup."""
+    return F.col("label") if "label" in grid.columns else F.col("cells")[layout.first_col]
+
+
 def bands(grid: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
     """First start-marker row and first end-marker row below the header,
     per file (NULL when absent)."""
-    label = trim_u(F.col("cells")[layout.first_col])
+    label = trim_u(label_of(grid, layout))
     return (
         grid.where(F.col("row") > layout.header_row)
         .select("source_file", "row", label.alias("label"))
@@ -145,9 +151,9 @@ def in_band(layout: Layout = DEFAULT_LAYOUT) -> Column:
     return (F.col("row") > lo) & (F.col("row") < hi)
 
 
-def keeps_label(layout: Layout = DEFAULT_LAYOUT) -> Column:
+def keeps_label(layout: Layout = DEFAULT_LAYOUT, label: Column | None = None) -> Column:
     """The column-B label is present and not blank."""
-    return ~is_blank_label(F.col("cells")[layout.first_col])
+    return ~is_blank_label(F.col("cells")[layout.first_col] if label is None else label)
 
 
 def band_rows(grid: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
@@ -239,8 +245,9 @@ def to_long(grid: DataFrame, plan: DataFrame, layout: Layout = DEFAULT_LAYOUT,
     # join building on the plan side (no sort of the body; with a grid
     # bucketed by source_file the body side is not shuffled either)
     plan_side = F.broadcast(plan) if broadcast_plan else plan.hint("shuffle_hash")
-    body = grid.where(F.col("row") > layout.header_row).select("source_file", "row", "cells")
-    rows = body.join(plan_side, "source_file").where(in_band(layout) & keeps_label(layout))
+    body = grid.where(F.col("row") > layout.header_row).select(
+        "source_file", "row", "cells", label_of(grid, layout).alias("label"))
+    rows = body.join(plan_side, "source_file").where(in_band(layout) & keeps_label(layout, F.col("label")))
     extra = [c for c in plan.columns if c not in (
         "source_file", "periods", "metric_col", "band_start", "band_end", "error", "sheet_name")]
     long = rows.select(

@@ -23,6 +23,7 @@ from gridfold.operators.lineage import with_lineage
 from gridfold.operators.quality import file_checks, raise_on_file_checks
 from gridfold.operators.shape import file_plan, to_long
 from gridfold.schema import DEFAULT_LAYOUT, FACT_COLUMNS, Layout
+from gridfold.session import stage
 
 # A per-file plan row is well under 1 KiB (11 period structs at most in the
 # default window), so 200k files stay below ~200 MiB of broadcast.
@@ -56,17 +57,23 @@ def fits_broadcast(files: DataFrame, max_files: int = BROADCAST_MAX_FILES) -> bo
 
 def build_ingest(grid: DataFrame, files: DataFrame, log: DataFrame | None = None,
                  layout: Layout = DEFAULT_LAYOUT, broadcast_plan: bool | None = None,
-                 max_broadcast_files: int = BROADCAST_MAX_FILES) -> Ingest:
+                 max_broadcast_files: int = BROADCAST_MAX_FILES, materialize: bool = False) -> Ingest:
     """Lazy ingest plan over decoded (or derived) grid rows.
 
     ``files`` follows ``SCAN_SCHEMA``; ``log`` ``LANDING_SCHEMA``.
-    ``broadcast_plan=None`` decides by counting files.
+    ``broadcast_plan=None`` decides by counting files. ``materialize`` writes
+    the per-file plan (one row per file) once to the shared folder, so the
+    body pass, the checks and the report do not each recompute it from the
+    grid (the sink path runs several actions on it).
     """
     ts_type = "timestamp"
     if log is not None:
         ts_type = log.schema["uploaded_at"].dataType.simpleString()
     plan = with_lineage(file_plan(files, grid, layout), log, ts_type)
-    valid = winning_files(plan.where(F.col("error").isNull()))
+    plan = winning_files(plan, valid=F.col("error").isNull())
+    if materialize:
+        plan = stage(grid.sparkSession, plan, "file-plan")
+    valid = plan.where(F.col("error").isNull())
     if broadcast_plan is None:
         broadcast_plan = fits_broadcast(files, max_broadcast_files)
     body_plan = valid.select(
@@ -74,11 +81,8 @@ def build_ingest(grid: DataFrame, files: DataFrame, log: DataFrame | None = None
         "upload_user", "upload_datetime", "data_version", "batch_key", "is_winner",
     )
     facts = to_long(grid, body_plan, layout, broadcast_plan=broadcast_plan).select(*FACT_COLUMNS, "is_winner")
-    plan_out = plan.join(valid.select("source_file", "is_winner"), "source_file", "left").withColumn(
-        "is_winner", F.coalesce(F.col("is_winner"), F.lit(False))
-    )
     checks = file_checks(valid, facts)
-    return Ingest(plan=plan_out, facts=facts, checks=checks)
+    return Ingest(plan=plan, facts=facts, checks=checks)
 
 
 @dataclass
@@ -106,7 +110,8 @@ def run_ingest(spark: SparkSession, landing_dir: str, table: str, log_table: str
 
     scan = scan_workbooks(spark, landing_dir, layout, buckets=buckets)
     log = spark.table(log_table) if log_table and spark.catalog.tableExists(log_table) else None
-    ing = build_ingest(scan.grid, scan.files, log, layout, broadcast_plan=False if buckets else None)
+    ing = build_ingest(scan.grid, scan.files, log, layout, broadcast_plan=False if buckets else None,
+                       materialize=True)
     return apply_ingest(spark, ing, table, raise_on_check=raise_on_check)
 
 

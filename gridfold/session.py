@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -83,3 +84,19 @@ def stage_bucketed(spark: SparkSession, df: DataFrame, label: str, key: str, buc
     name = f"gridfold_{label.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
     df.write.format("parquet").bucketBy(buckets, key).option("path", path).mode("overwrite").saveAsTable(name)
     return spark.table(name)
+
+
+@contextmanager
+def sql_conf(spark: SparkSession, settings: dict[str, str]):
+    """Set SQL confs for the actions run inside the block, then restore."""
+    prev = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in prev.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)

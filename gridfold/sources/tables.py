@@ -76,8 +76,13 @@ def _quote(v: str) -> str:
     return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+# Input partitions above which the rows are clustered by batch_key before the
+# write (below it, files per batch are bounded by this number anyway).
+REBALANCE_MIN_PARTITIONS = 256
+
+
 def write_batches(spark: SparkSession, table: str, incoming: DataFrame, drop_keys: list[str] = (),
-                  rebalance: bool = True) -> int:
+                  rebalance: bool | None = None) -> int:
     """Replace batches by ``incoming``; other batches untouched.
 
     Partitions that receive rows are overwritten (dynamic partition
@@ -89,10 +94,12 @@ def write_batches(spark: SparkSession, table: str, incoming: DataFrame, drop_key
     With ``rebalance`` the rows are clustered by batch_key before the write
     (a REBALANCE shuffle: AQE coalesces small batches and splits a hot one),
     so each partition gets a few well-sized files instead of one small file
-    per batch per task.
+    per batch per task. ``None`` decides by the input's partition count.
     """
     obs = Observation("rows_written")
     rows = _conform(incoming).observe(obs, F.count(F.lit(1)).alias("n"))
+    if rebalance is None:
+        rebalance = incoming.rdd.getNumPartitions() > REBALANCE_MIN_PARTITIONS
     if rebalance:
         rows = rows.hint("rebalance", "batch_key")
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")

@@ -17,12 +17,18 @@ from pyspark.sql import types as T
 
 from gridfold.functions.names import base_name, is_workbook
 from gridfold.schema import DEFAULT_LAYOUT, GRID_SCHEMA, SCAN_SCHEMA, Layout
-from gridfold.sources.xlsx import WorkbookError, read_first_sheet
+from gridfold.sources.xlsx import read_first_sheet
 
 # Files above this size are reported, not decoded (a binaryFile row holds the
 # whole file; keep it well below the 2 GiB row limit and executor memory).
 MAX_WORKBOOK_BYTES = 256 * 1024 * 1024
 _CHUNK_ROWS = 20000
+# Planning cost of opening one file when packing workbooks into scan tasks.
+# The 4 MiB default packs ~32 small workbooks per task, and per-task overhead
+# then dominates; with 64 KiB a task gets about its share of total bytes
+# (spark.sql.files.maxPartitionBytes and the core count still bound it).
+WORKBOOK_OPEN_COST = str(64 * 1024)
+DECODE_CONF = {"spark.sql.files.openCostInBytes": WORKBOOK_OPEN_COST}
 
 BINARY_SCHEMA = T.StructType([
     T.StructField("path", T.StringType(), False),
@@ -49,38 +55,38 @@ def _decode_partition(layout: Layout, max_bytes: int):
 
     def run(batches):
         cols = [f.name for f in _RAW_SCHEMA.fields]
+        out: list[tuple] = []  # rows of several files, flushed in chunks
         for pdf in batches:
             for path, mtime, length, content in zip(
                 pdf["path"], pdf["modificationTime"], pdf["length"], pdf["content"]
             ):
                 name = path.rsplit("/", 1)[-1]
-                status = {"source_file": name, "sheet_name": None, "row": 0, "cells": None,
-                          "modified_at": mtime, "size_bytes": int(length), "scan_error": None}
-                out = []
+                sheet, error = None, None
                 if name.lower().endswith(".xls"):
-                    status["scan_error"] = "legacy .xls workbooks are not supported"
+                    error = "legacy .xls workbooks are not supported"
                 elif length > max_bytes or content is None:
-                    status["scan_error"] = f"file larger than {max_bytes} bytes"
+                    error = f"file larger than {max_bytes} bytes"
                 else:
+                    mark = len(out)
                     try:
                         sheet, rows = read_first_sheet(bytes(content), first, last)
-                        status["sheet_name"] = sheet
                         for r, cells in rows:
                             out.append((name, sheet, r, cells, None, None, None))
                             if len(out) >= _CHUNK_ROWS:
                                 yield pd.DataFrame(out, columns=cols)
-                                out = []
-                    except (WorkbookError, KeyError, ValueError, EOFError, OSError) as e:
-                        status["sheet_name"] = None
-                        status["scan_error"] = f"unreadable workbook: {e}"[:500]
-                        out = []
-                    except Exception as e:  # noqa: BLE001 - XML errors and the like
-                        status["scan_error"] = f"unreadable workbook: {type(e).__name__}: {e}"[:500]
-                        out = []
-                # rows of a file that fails midway may already be out; the
-                # ingest plan only takes rows of files without scan_error
-                out.append(tuple(status[c] for c in cols))
+                                out, mark = [], 0
+                    except Exception as e:  # noqa: BLE001 - corrupt zip / XML: a per-file error
+                        del out[mark:]
+                        sheet, error = None, f"unreadable workbook: {type(e).__name__}: {e}"[:500]
+                # status record last: rows of a file that failed after a flush may
+                # already be out, and the ingest plan only takes rows of files
+                # without scan_error
+                out.append((name, sheet, 0, None, mtime, int(length), error))
+            if len(out) >= _CHUNK_ROWS:
                 yield pd.DataFrame(out, columns=cols)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=cols)
 
     return run
 
@@ -105,8 +111,15 @@ def decode(binary: DataFrame, layout: Layout = DEFAULT_LAYOUT, max_bytes: int =
     return small.unionByName(large).mapInPandas(_decode_partition(layout, max_bytes), _RAW_SCHEMA)
 
 
+def with_label(raw: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
+    """Adds ``label`` (the column-B text) as its own column before staging,
+    so band detection reads one small column, not every row's cell map."""
+    return raw.withColumn("label", F.col("cells")[layout.first_col])
+
+
 def split_scan(raw: DataFrame) -> Scan:
-    grid = raw.where(F.col("row") > 0).select(*[f.name for f in GRID_SCHEMA.fields])
+    extra = ["label"] if "label" in raw.columns else []
+    grid = raw.where(F.col("row") > 0).select(*[f.name for f in GRID_SCHEMA.fields], *extra)
     files = raw.where(F.col("row") == 0).select(*[f.name for f in SCAN_SCHEMA.fields])
     return Scan(grid=grid, files=files)
 
@@ -130,9 +143,10 @@ def scan_workbooks(
     with too many files to broadcast their per-file plan): the per-file
     aggregates and the body join then run without shuffling the grid.
     """
-    from gridfold.session import stage, stage_bucketed
+    from gridfold.session import sql_conf, stage, stage_bucketed
 
-    raw = decode(list_binary(spark, landing_dir), layout, max_bytes)
-    if buckets:
-        return split_scan(stage_bucketed(spark, raw, "grid", "source_file", buckets, stage_dir))
-    return split_scan(stage(spark, raw, "grid", stage_dir))
+    raw = with_label(decode(list_binary(spark, landing_dir), layout, max_bytes), layout)
+    with sql_conf(spark, DECODE_CONF):
+        if buckets:
+            return split_scan(stage_bucketed(spark, raw, "grid", "source_file", buckets, stage_dir))
+        return split_scan(stage(spark, raw, "grid", stage_dir))

@@ -20,8 +20,8 @@ from pyspark.sql.streaming import StreamingQuery
 from gridfold.operators.shape import cells_long
 from gridfold.plans.ingest import apply_ingest, build_ingest
 from gridfold.schema import DEFAULT_LAYOUT, Layout
-from gridfold.session import checkpoint_dir, scratch_path, stage
-from gridfold.sources.workbook import BINARY_SCHEMA, decode, split_scan
+from gridfold.session import checkpoint_dir, scratch_path, sql_conf, stage
+from gridfold.sources.workbook import BINARY_SCHEMA, DECODE_CONF, decode, split_scan, with_label
 
 
 def ingest_stream(spark: SparkSession, landing_dir: str, table: str, checkpoint: str | None = None,
@@ -36,11 +36,13 @@ def ingest_stream(spark: SparkSession, landing_dir: str, table: str, checkpoint:
 
     def each(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        raw = decode(batch, layout)
+        raw = with_label(decode(batch, layout), layout)
         # staging path is fixed per micro-batch, so a repeated batch overwrites it
-        scan = split_scan(stage(s, raw, "stream", f"{checkpoint.rstrip('/')}/stage/{batch_id}"))
+        with sql_conf(s, DECODE_CONF):
+            scan = split_scan(stage(s, raw, "stream", f"{checkpoint.rstrip('/')}/stage/{batch_id}"))
         log = s.table(log_table) if log_table and s.catalog.tableExists(log_table) else None
-        res = apply_ingest(s, build_ingest(scan.grid, scan.files, log, layout), table, raise_on_check=False)
+        res = apply_ingest(s, build_ingest(scan.grid, scan.files, log, layout, materialize=True), table,
+                           raise_on_check=False)
         if checks_path:
             res.checks.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(checks_path)
 
