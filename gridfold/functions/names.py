@@ -9,10 +9,6 @@ from pyspark.sql import types as T
 from gridfold.functions.text import trim_u
 from gridfold.schema import NAME_TIME_FORMAT, NAME_UNSAFE_REGEX, UNKNOWN_USER
 
-# stem = everything before the last dot, provided the last path component has
-# a non-dot character before that dot (so '.xlsx' alone has no extension).
-_EXT_REGEX = r"(?s)^(.*[^./][^/]*)(\.[^./]*)$"
-
 
 def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -21,18 +17,30 @@ def _c(col: Column | str) -> Column:
 def sanitize_part(col: Column | str) -> Column:
     """Runs of characters outside letters/digits/``_.-`` become one ``_``;
     ``_`` is stripped at both ends; an empty result becomes ``file``."""
-    s = F.regexp_replace(_c(col), NAME_UNSAFE_REGEX, "_")
-    s = F.regexp_replace(s, r"^_+|_+$", "")
+    s = F.btrim(F.regexp_replace(_c(col), NAME_UNSAFE_REGEX, "_"), F.lit("_"))
     return F.when(s == "", F.lit("file")).otherwise(s)
 
 
 def split_ext(col: Column | str) -> Column:
-    """Struct(stem, ext) split at the last dot, like ``os.path.splitext``."""
+    """Struct(stem, ext) split at the last dot, like ``os.path.splitext``.
+
+    The extension starts at the last dot of the last path component, and
+    exists only if that component has a non-dot character before the dot
+    (so ``.xlsx`` alone has none). String functions, not a regex: names may
+    be whole documents, and this stays one cheap pass.
+    """
     c = _c(col)
-    has_ext = c.rlike(_EXT_REGEX)
+    r = F.reverse(c)
+    n = F.length(c)
+    dpos = F.instr(r, ".")  # 1-based position from the end, 0 = no dot
+    spos = F.instr(r, "/")
+    dot = n - dpos + 1  # 1-based index of the last dot
+    start = F.when(spos > 0, n - spos + 2).otherwise(F.lit(1))  # first char of the last component
+    before = c.substr(start, dot - start)
+    has_ext = (dpos > 0) & ((spos == 0) | (dpos < spos)) & (F.ltrim(before, F.lit(".")) != "")
     return F.struct(
-        F.when(has_ext, F.regexp_extract(c, _EXT_REGEX, 1)).otherwise(c).alias("stem"),
-        F.when(has_ext, F.regexp_extract(c, _EXT_REGEX, 2)).otherwise(F.lit("")).alias("ext"),
+        F.when(has_ext, c.substr(F.lit(1), dot - 1)).otherwise(c).alias("stem"),
+        F.when(has_ext, c.substr(dot, dpos)).otherwise(F.lit("")).alias("ext"),
     )
 
 

@@ -51,7 +51,10 @@ class Grid:
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    from gridfold.session import spread
+
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name == "orders" else df
 
 
 def order_facts(spark: SparkSession, sf_dir: str, by: str = "region") -> DataFrame:

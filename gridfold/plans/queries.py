@@ -30,6 +30,7 @@ from gridfold.operators.shape import (
 )
 from gridfold.plans.grids import WIDE_LAYOUT, Grid, derived_grid, period_header
 from gridfold.plans.ingest import Ingest, build_ingest
+from gridfold.session import spread
 from gridfold.sources.landing import guard_new_names, log_landings, newest_file, recent_landings
 
 # ---------------------------------------------------------------------------
@@ -55,8 +56,14 @@ OVERFLOW_TEXT = "9" * 32
 _GRIDS: dict[tuple, Grid] = {}
 
 
+# Row-heavy inputs: spread over the task slots when they arrive in fewer
+# partitions (a one-row-group file scans as one task); no-op on large inputs.
+HEAVY_TABLES = ("orders", "lineitem", "events", "documents")
+
+
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in HEAVY_TABLES else df
 
 
 def _grid(spark: SparkSession, sf: str, by: str = "region", variant: str = "") -> Grid:

@@ -100,3 +100,13 @@ def sql_conf(spark: SparkSession, settings: dict[str, str]):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin an input with fewer partitions than task slots before
+    CPU-heavy row work; a no-op once the input is large enough to have at
+    least one partition per slot."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df

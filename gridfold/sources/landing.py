@@ -80,10 +80,14 @@ def guard_new_names(incoming: DataFrame, log: DataFrame) -> DataFrame:
 
     Adds ``error``: no name, not a workbook, or a file name already in the log
     (a landed file is never overwritten). Names are matched by an equi-join on
-    ``file_name``; the log side is de-duplicated first.
+    ``file_name``; the log side is de-duplicated first (partial aggregation).
     """
-    taken = log.select("file_name").distinct().withColumn("_taken", F.lit(True))
-    j = incoming.join(taken, "file_name", "left")
+    # Join on a non-nullable key: a NULL name is never taken, and no inferred
+    # IS NOT NULL filter gets pushed down (that would evaluate a derived
+    # name expression once more, below any repartition, at the scan).
+    key = F.coalesce(F.col("file_name"), F.lit("\u0000"))
+    taken = log.select(key.alias("_k")).distinct().withColumn("_taken", F.lit(True))
+    j = incoming.withColumn("_k", key).join(taken, "_k", "left").drop("_k")
     err = (
         F.when(F.coalesce(F.col("original_name"), F.lit("")) == "", F.lit(ERR_NO_NAME))
         .when(~is_workbook(F.col("original_name")), F.lit(ERR_NOT_WORKBOOK))

@@ -127,3 +127,19 @@ def test_t5_trim_unicode(spark):
 def test_sanitize_idempotent(spark, s):
     once = one(spark, G.sanitize_part, s)
     assert one(spark, G.sanitize_part, once) == once
+
+
+@settings(max_examples=1, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("a./_é季\n")), max_size=9), min_size=200, max_size=200))
+def test_split_ext_matches_splitext_rule(spark, names):
+    """The string-function split equals the regex statement of the rule and Python's splitext."""
+    import os.path
+    rule = r"(?s)^(.*[^./][^/]*)(\.[^./]*)$"
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = df.select("n", G.split_ext("n").alias("s"),
+                    F.when(F.col("n").rlike(rule), F.regexp_extract("n", rule, 2)).otherwise(F.lit("")).alias("rx"))
+    for row in got.collect():
+        assert row.s.ext == row.rx, row.n
+        assert row.s.stem + row.s.ext == row.n
+        if "/" not in row.n:
+            assert (row.s.stem, row.s.ext) == os.path.splitext(row.n), row.n
