@@ -19,25 +19,36 @@ def latest_attempts(run_log: DataFrame, tie_breaks: tuple[str, ...] = ()) -> Dat
     return run_log.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1).drop("rn")
 
 
-def run_outcomes(runs: DataFrame, tasks: DataFrame,
+def attempt_order(tie_breaks: tuple[str, ...] = ()):
+    """Ordering of attempts (W2/T14): attempt number (missing = 0), then list
+    position, then ``tie_breaks``; the greatest is the latest."""
+    return F.struct(
+        F.coalesce(F.col("attempt_number"), F.lit(0)).alias("a"), F.col("list_pos").alias("p"),
+        *[F.col(c).alias(f"t{i}") for i, c in enumerate(tie_breaks)],
+    )
+
+
+def run_outcomes(runs: DataFrame, run_log: DataFrame, tie_breaks: tuple[str, ...] = (),
                  ingest_task: str = INGEST_TASK, quality_task: str = QUALITY_TASK) -> DataFrame:
     """F14/F15 per run.
 
     ``runs``: ``(run_id, life_cycle_state, result_state, state_message)``;
-    ``tasks``: latest attempts (see :func:`latest_attempts`). Output:
-    run_id, step1, step1_state, step2, step2_state, percent, message.
+    ``run_log``: task attempts (``RUN_TASK_SCHEMA``). The latest attempt of
+    the two tasks is found in one aggregate per run (``max_by`` on the
+    attempt order, partially aggregated before the shuffle, so a run with
+    very many attempts costs one row per map task). Output: run_id, step1,
+    step1_state, step2, step2_state, percent, message.
     """
-    def pick(task: str, field: str):
-        return F.max(F.when(F.col("task_key") == task, F.col(field))).alias(f"{task}_{field}")
+    order = attempt_order(tie_breaks)
 
-    per_run = tasks.groupBy("run_id").agg(
-        pick(ingest_task, "result_state"), pick(ingest_task, "error"),
-        pick(quality_task, "result_state"), pick(quality_task, "error"),
-    )
+    def latest(task: str):
+        return F.max_by(F.struct("result_state", "error"), F.when(F.col("task_key") == task, order)).alias(task)
+
+    per_run = run_log.groupBy("run_id").agg(latest(ingest_task), latest(quality_task))
     j = runs.join(per_run, "run_id", "left")
     o = classify_run(
         "life_cycle_state", "result_state", "state_message",
-        f"{ingest_task}_result_state", f"{ingest_task}_error",
-        f"{quality_task}_result_state", f"{quality_task}_error",
+        F.col(f"{ingest_task}.result_state"), F.col(f"{ingest_task}.error"),
+        F.col(f"{quality_task}.result_state"), F.col(f"{quality_task}.error"),
     )
     return j.select("run_id", o.alias("o")).select("run_id", "o.*")

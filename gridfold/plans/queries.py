@@ -384,8 +384,7 @@ def q_run_outcomes(spark: SparkSession, sf: str) -> DataFrame:
         F.when(k % 5 == 0, F.lit("")).when(k % 5 == 1, F.lit(None))
         .otherwise(F.concat(F.lit("run "), k.cast("string"), F.lit(" stopped"))).alias("state_message"),
     )
-    tasks = latest_attempts(run_log_from_lineitem(spark, sf), ("l_partkey", "l_suppkey"))
-    return run_outcomes(runs, tasks)
+    return run_outcomes(runs, run_log_from_lineitem(spark, sf), ("l_partkey", "l_suppkey"))
 
 
 # --- R1 ----------------------------------------------------------------------

@@ -104,3 +104,18 @@ def test_f14_f15_run_outcomes(spark, life, result, ingest, quality, q_err, expec
                                "l string, r string, m string, ir string, ie string, qr string, qe string")
     o = df.select(classify_run("l", "r", "m", "ir", "ie", "qr", "qe").alias("o")).first().o
     assert (o.step1, o.step2, o.percent, o.message) == expect
+
+
+def test_run_outcomes_uses_latest_attempt(spark):
+    from gridfold.operators.runs import run_outcomes
+    runs = spark.createDataFrame([(1, "TERMINATED", "FAILED", ""), (2, "RUNNING", None, None)],
+                                 "run_id long, life_cycle_state string, result_state string, state_message string")
+    log = spark.createDataFrame([(1, "ingest", 0, 0, "TERMINATED", "FAILED", "boom"),
+                                 (1, "ingest", 1, 1, "TERMINATED", "SUCCESS", None),
+                                 (1, "quality_check", None, 2, "TERMINATED", "FAILED", "AssertionError: bad key"),
+                                 (2, "ingest", 1, 0, "RUNNING", None, None)],
+                                "run_id long, task_key string, attempt_number int, list_pos int, "
+                                "life_cycle_state string, result_state string, error string")
+    got = {r.run_id: (r.step1, r.step2, r.percent, r.message) for r in run_outcomes(runs, log).collect()}
+    assert got == {1: ("Data ingested", "Data quality check failed", 100, "bad key"),
+                   2: ("Ingesting data...", "Data quality check", 65, None)}
