@@ -28,13 +28,21 @@ def latest_landing(log: DataFrame) -> DataFrame:
     )
 
 
-def with_lineage(per_file: DataFrame, log: DataFrame | None, ts_type: str = "timestamp") -> DataFrame:
+def with_lineage(per_file: DataFrame, log: DataFrame | None, ts_type: str = "timestamp",
+                 names: DataFrame | None = None) -> DataFrame:
     """Adds ``upload_user`` and ``upload_datetime`` to a per-file frame keyed by
-    ``source_file``; both NULL when the log has no record (or no log)."""
+    ``source_file``; both NULL when the log has no record (or no log).
+    ``names``: the run's file names (``source_file``), if cheaper to get
+    than from ``per_file``."""
     if log is None:
         return per_file.withColumns({
             "upload_user": F.lit(None).cast("string"),
             "upload_datetime": F.lit(None).cast(ts_type),
         })
-    latest = latest_landing(log).withColumnRenamed("file_name", "source_file")
+    # Only the log rows of this run's files matter: semi-join first, so a run
+    # of a few files does not rank every landing ever logged. The window that
+    # follows is keyed like the semi join, so it needs no second shuffle.
+    names = (names if names is not None else per_file).select(F.col("source_file").alias("file_name")).distinct()
+    relevant = log.join(names, "file_name", "left_semi")
+    latest = latest_landing(relevant).withColumnRenamed("file_name", "source_file")
     return per_file.join(latest, "source_file", "left")

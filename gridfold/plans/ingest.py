@@ -69,7 +69,7 @@ def build_ingest(grid: DataFrame, files: DataFrame, log: DataFrame | None = None
     ts_type = "timestamp"
     if log is not None:
         ts_type = log.schema["uploaded_at"].dataType.simpleString()
-    plan = with_lineage(file_plan(files, grid, layout), log, ts_type)
+    plan = with_lineage(file_plan(files, grid, layout), log, ts_type, names=files)
     plan = winning_files(plan, valid=F.col("error").isNull())
     if materialize:
         plan = stage(grid.sparkSession, plan, "file-plan")
