@@ -142,3 +142,29 @@ def apply_ingest(spark: SparkSession, ing: Ingest, table: str, raise_on_check: b
     if raise_on_check:
         raise_on_file_checks(checks, table)
     return result
+
+
+def resolve_file(spark: SparkSession, landing_dir: str, file_name: str | None = None) -> str:
+    """S2 + F4: the file a one-file run ingests: the named file (URL-decoded,
+    stripped; ``+`` kept), else the newest workbook in the landing area."""
+    from gridfold.functions.names import decode_name
+    from gridfold.sources.landing import landing_files, require_newest
+
+    if file_name and file_name.strip():
+        return spark.range(1).select(decode_name(F.lit(file_name)).alias("n")).first()["n"]
+    return require_newest(landing_files(spark, landing_dir), where=landing_dir)
+
+
+def ingest_one(spark: SparkSession, landing_dir: str, table: str, file_name: str | None = None,
+               log_table: str | None = None, layout: Layout = DEFAULT_LAYOUT,
+               raise_on_check: bool = True) -> IngestResult:
+    """One-file run, as a job triggered per upload: resolve the file, ingest
+    it, replace its batch, check its rows. Same plan as a many-file run."""
+    name = resolve_file(spark, landing_dir, file_name)
+    path = f"{landing_dir.rstrip('/')}/{_glob_escape(name)}"
+    return run_ingest(spark, path, table, log_table, layout, raise_on_check=raise_on_check)
+
+
+def _glob_escape(name: str) -> str:
+    """Hadoop paths are globs: escape the glob characters of a literal name."""
+    return "".join("\\" + c if c in "*?[]{}\\" else c for c in name)

@@ -108,3 +108,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert _rows(spark, s_t) == _rows(spark, b_t)
     n_checks = spark.read.parquet(str(tmp_path / "checks")).count()
     assert n_checks == 6  # every valid file is checked once, in its own micro-batch
+
+
+def test_one_file_run_named_or_newest(spark, tmp_path):
+    from gridfold.plans.ingest import ingest_one, resolve_file
+    db = "o" + uuid.uuid4().hex[:8]
+    facts, _ = _table(spark, db, "one")
+    land = tmp_path / "land"
+    land.mkdir()
+    a = write_book(land / "a b+c.xlsx", "BLB_260723", worked_rows())
+    b = write_book(land / "newer.xlsx", "BLB_260724", worked_rows())
+    os.utime(a, (1_700_000_000, 1_700_000_000))
+    os.utime(b, (1_700_000_100, 1_700_000_100))
+    assert resolve_file(spark, str(land)) == "newer.xlsx"
+    assert resolve_file(spark, str(land), "a%20b+c.xlsx ") == "a b+c.xlsx"
+    ingest_one(spark, str(land), facts, "a%20b+c.xlsx")
+    ingest_one(spark, str(land), facts)
+    got = {r.batch_key: r.source_file for r in read_facts(spark, facts).select("batch_key", "source_file").distinct().collect()}
+    assert got == {"BLB_260723": "a b+c.xlsx", "BLB_260724": "newer.xlsx"}
