@@ -151,6 +151,9 @@ def derived_grid(spark: SparkSession, sf_dir: str, by: str = "region", junk: boo
 
     facts = order_facts(spark, sf_dir, by)
     values = period_values(facts)
+    if stage_grid:
+        # every branch below reads the aggregated values: aggregate orders once
+        values = stage(spark, values, "derived-values")
     cols = period_columns(values, est_start)
     labels = label_rows(values)
     body = values.join(cols, ["source_file", "year", "qsort"]).join(F.broadcast(labels), "metric")
@@ -202,7 +205,7 @@ def derived_grid(spark: SparkSession, sf_dir: str, by: str = "region", junk: boo
         .unionByName(_cells(per_col, *col_cells))
     )
     sheet = shape.select("source_file", sheet_name_for(F.col("file_key"), by).alias("sheet_name"))
-    grid = grid_from_cells(cells.join(sheet, "source_file"))
+    grid = grid_from_cells(cells.join(F.broadcast(sheet) if by == "region" else sheet, "source_file"))
     files = shape.select(
         "source_file",
         sheet_name_for(F.col("file_key"), by).alias("sheet_name"),
@@ -210,7 +213,16 @@ def derived_grid(spark: SparkSession, sf_dir: str, by: str = "region", junk: boo
         F.lit(None).cast("long").alias("size_bytes"),
         F.lit(None).cast("string").alias("scan_error"),
     )
-    if stage_grid:
-        grid = stage(spark, grid, "derived-grid")
-        files = stage(spark, files, "derived-files")
-    return Grid(grid=grid, files=files)
+    if not stage_grid:
+        return Grid(grid=grid, files=files)
+    # one staged frame in the decoder's layout (status records as row 0), so
+    # the order aggregates behind grid and file list run once
+    from gridfold.sources.workbook import split_scan
+
+    raw = grid.select(*grid.columns, *[F.lit(None).cast(t).alias(c) for c, t in
+                                        (("modified_at", "timestamp"), ("size_bytes", "long"), ("scan_error", "string"))])
+    raw = raw.unionByName(files.select("source_file", "sheet_name", F.lit(0).alias("row"),
+                                       F.lit(None).cast("map<int,string>").alias("cells"),
+                                       "modified_at", "size_bytes", "scan_error"))
+    scan = split_scan(stage(spark, raw, "derived-grid"))
+    return Grid(grid=scan.grid, files=scan.files)
