@@ -272,16 +272,25 @@ def to_long(grid: DataFrame, plan: DataFrame, layout: Layout = DEFAULT_LAYOUT,
 
 
 def wide_unpivot(wide: DataFrame, label_col: str, period_cols: list[str], scale: int = SCALE) -> DataFrame:
-    """P10 wide form: a frame with one column per period header (all text)
-    -> (metric, period_raw, value_text) -> parsed long rows."""
-    cast = wide.select(label_col, *[F.col(c).cast("string").alias(c) for c in period_cols])
-    long = cast.unpivot([label_col], period_cols, "period_raw", "value_text")
-    p = parse_period("period_raw")
+    """P10 wide form: a frame with one column per period header -> one row
+    per (label, header) -> parsed long rows.
+
+    The unpivot is an explode of (header, value) pairs over positionally
+    renamed columns (header texts are arbitrary strings, kept as values, not
+    as identifiers). Like ``DataFrame.unpivot`` it keeps NULL values; they
+    are dropped with the non-numeric ones after scaling.
+    """
+    safe = wide.select(F.col(label_col).alias("_label"),
+                       *[F.col(f"`{c}`").cast("string").alias(f"_p{i}") for i, c in enumerate(period_cols)])
+    pairs = F.array(*[F.struct(F.lit(c).alias("period_raw"), F.col(f"_p{i}").alias("value_text"))
+                      for i, c in enumerate(period_cols)])
+    long = safe.select("_label", F.explode(pairs).alias("kv"))
+    p = parse_period(F.col("kv.period_raw"))
     return long.select(
-        F.col(label_col).alias("metric"),
+        F.col("_label").alias("metric"),
         p["period_type"].alias("period_type"),
         p["year"].alias("year"),
         p["quarter"].alias("quarter"),
         p["is_estimate"].alias("is_estimate"),
-        scale_value("value_text", scale).alias("value"),
+        scale_value(F.col("kv.value_text"), scale).alias("value"),
     ).where(F.col("value").isNotNull())

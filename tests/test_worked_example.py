@@ -86,3 +86,16 @@ def test_numbers_dates_booleans_from_xml(landing):
     _, it = read_first_sheet(buf.getvalue(), 2, 12)
     got = dict(it)[3]
     assert got == {2: "100", 3: "1e-08", 4: "True", 6: "in", 7: "f", 8: "2025-12-09 00:00:00"}
+
+
+def test_body_pass_never_shuffles_the_grid(spark, landing):
+    for i in range(3):
+        write_book(landing / f"f{i}.xlsx", f"BLB_26072{i}", worked_rows())
+    scan = scan_workbooks(spark, str(landing))
+    ing = build_ingest(scan.grid, scan.files)
+    ing.facts.collect()
+    plan = ing.facts._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    body = plan.split("BroadcastExchange")[0]  # the tree above the broadcast side: the grid path
+    assert "BroadcastHashJoin" in body and "Generate explode(periods" in body and "FileScan parquet" in body
+    assert "Exchange" not in body.replace("BroadcastHashJoin", "")
+    assert "PushedFilters: [IsNotNull(row), GreaterThan(row,0), GreaterThan(row,4)" in body
