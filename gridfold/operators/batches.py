@@ -9,7 +9,7 @@ of all valid files.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,16 +18,18 @@ def winning_files(files: DataFrame, valid: Column | None = None) -> DataFrame:
 
     Order: landing time (log), else file modification time, newest first;
     then the larger file name. With ``valid``, invalid files never win and
-    do not hide a valid one (one window over the whole file list).
+    do not hide a valid one. The winner per key is a ``max_by`` aggregate
+    (partially aggregated before the shuffle, so a batch key shared by a
+    third of all files is not ranked in one task), joined back on batch_key.
     """
-    order = [
-        F.coalesce(F.col("upload_datetime").cast("timestamp"), F.col("modified_at").cast("timestamp")).desc_nulls_last(),
-        F.col("source_file").desc(),
-    ]
+    when = F.coalesce(F.col("upload_datetime").cast("timestamp"), F.col("modified_at").cast("timestamp"))
+    order = F.struct(when.alias("t"), F.col("source_file").alias("f"))  # NULL time sorts lowest
+    cand = files if valid is None else files.where(valid)
+    winners = cand.groupBy("batch_key").agg(F.max_by("source_file", order).alias("_winner"))
+    flag = F.coalesce(F.col("source_file") == F.col("_winner"), F.lit(False))
     if valid is not None:
-        order.insert(0, valid.desc())
-    first = F.row_number().over(Window.partitionBy("batch_key").orderBy(*order)) == 1
-    return files.withColumn("is_winner", first if valid is None else first & valid)
+        flag = flag & F.coalesce(valid, F.lit(False))
+    return files.join(winners, "batch_key", "left").withColumn("is_winner", flag).drop("_winner")
 
 
 def replaced_keys(valid_files: DataFrame) -> DataFrame:
