@@ -120,9 +120,8 @@ def apply_ingest(spark: SparkSession, ing: Ingest, table: str, raise_on_check: b
     from gridfold.sources.tables import write_batches
 
     if not spark.catalog.tableExists(table):
-        db, _, name = table.replace("`", "").rpartition(".")
-        from gridfold.sources.tables import ensure_tables
-        ensure_tables(spark, db or "default", facts=name)
+        from gridfold.sources.tables import ensure_fact_table
+        ensure_fact_table(spark, table)
     facts = ing.facts.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         checks = file_checks(ing.valid, facts).persist(StorageLevel.MEMORY_AND_DISK)

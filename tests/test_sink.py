@@ -126,3 +126,17 @@ def test_one_file_run_named_or_newest(spark, tmp_path):
     ingest_one(spark, str(land), facts)
     got = {r.batch_key: r.source_file for r in read_facts(spark, facts).select("batch_key", "source_file").distinct().collect()}
     assert got == {"BLB_260723": "a b+c.xlsx", "BLB_260724": "newer.xlsx"}
+
+
+def test_first_run_creates_the_table(spark, tmp_path):
+    from gridfold.plans.ingest import run_ingest
+    db = "c" + uuid.uuid4().hex[:8]
+    spark.sql(f"CREATE DATABASE {db}")
+    land = tmp_path / "land"
+    land.mkdir()
+    write_book(land / "a.xlsx", "BLB_260723", worked_rows())
+    res = run_ingest(spark, str(land), f"{db}.facts")
+    assert res.rows_written == 11
+    assert spark.catalog.tableExists(f"{db}.facts") and not spark.catalog.tableExists(f"{db}.landing_log")
+    parts = [r[0] for r in spark.sql(f"SHOW PARTITIONS {db}.facts").collect()]
+    assert parts == ["batch_key=BLB_260723"]
