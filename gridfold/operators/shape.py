@@ -19,12 +19,12 @@ from gridfold.functions.text import (
     metric_label,
     parse_period,
     quarter_estimate,
+    scale_value,
     sheet_date_digits,
     short_date,
     trim_u,
 )
 from gridfold.schema import DEFAULT_LAYOUT, SCALE, VERSION_FORMAT, Layout
-from gridfold.functions.text import scale_value
 
 _NO_END = 2**31 - 1
 
@@ -172,13 +172,7 @@ def batch_keys(files: DataFrame) -> DataFrame:
     ``date_ok`` is false only when six digits are present and are not a real
     yyMMdd date; a name without digits passes here (the quality check flags it).
     """
-    digits = sheet_date_digits("sheet_name")
-    return files.select(
-        "source_file",
-        F.col("sheet_name").alias("batch_key"),
-        short_date(digits).alias("batch_date"),
-        (digits.isNull() | short_date(digits).isNotNull()).alias("date_ok"),
-    )
+    return with_date_gate(files).select("source_file", "batch_key", "batch_date", "date_ok")
 
 
 def with_date_gate(files: DataFrame) -> DataFrame:
