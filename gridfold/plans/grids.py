@@ -156,7 +156,7 @@ def derived_grid(spark: SparkSession, sf_dir: str, by: str = "region", junk: boo
         values = stage(spark, values, "derived-values")
     cols = period_columns(values, est_start)
     labels = label_rows(values)
-    body = values.join(cols, ["source_file", "year", "qsort"]).join(F.broadcast(labels), "metric")
+    body = values.join(cols, ["source_file", "year", "qsort"]).join(labels, "metric")
 
     # per file: key, last period column, first period header, last label row
     shape = cols.groupBy("source_file").agg(
@@ -205,7 +205,7 @@ def derived_grid(spark: SparkSession, sf_dir: str, by: str = "region", junk: boo
         .unionByName(_cells(per_col, *col_cells))
     )
     sheet = shape.select("source_file", sheet_name_for(F.col("file_key"), by).alias("sheet_name"))
-    grid = grid_from_cells(cells.join(F.broadcast(sheet) if by == "region" else sheet, "source_file"))
+    grid = grid_from_cells(cells.join(sheet, "source_file"))
     files = shape.select(
         "source_file",
         sheet_name_for(F.col("file_key"), by).alias("sheet_name"),

@@ -25,9 +25,13 @@ from gridfold.operators.shape import file_plan, to_long
 from gridfold.schema import DEFAULT_LAYOUT, FACT_COLUMNS, Layout
 from gridfold.session import stage
 
-# A per-file plan row is well under 1 KiB (11 period structs at most in the
-# default window), so 200k files stay below ~200 MiB of broadcast.
-BROADCAST_MAX_FILES = 200_000
+# Broadcast budget for the per-file plan, and a conservative size model of
+# it: a fixed part per file plus one period struct per header cell at most
+# (period columns are a subset of the header cells in the column window).
+BROADCAST_BUDGET_BYTES = 256 * 1024 * 1024
+PLAN_BYTES_PER_FILE = 512
+PLAN_BYTES_PER_HEADER = 64
+BROADCAST_MAX_FILES = BROADCAST_BUDGET_BYTES // (PLAN_BYTES_PER_FILE + 11 * PLAN_BYTES_PER_HEADER)
 
 
 @dataclass
@@ -50,18 +54,32 @@ class Ingest:
         return self.plan.where(F.col("error").isNotNull()).select("source_file", "batch_key", "error")
 
 
-def fits_broadcast(files: DataFrame, max_files: int = BROADCAST_MAX_FILES) -> bool:
-    """Size check for the per-file plan: count the (one row per file) list."""
-    return files.limit(max_files + 1).count() <= max_files
+def plan_size_bound(files: DataFrame, grid: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> int:
+    """Upper bound, in bytes, of the per-file plan: counts the status rows and
+    the header cells (both cheap: one row per file, and header-row cells with
+    ``row = header_row`` pushed into the scan)."""
+    from gridfold.operators.shape import header_cells
+
+    return (files.count() * PLAN_BYTES_PER_FILE
+            + header_cells(grid, layout).count() * PLAN_BYTES_PER_HEADER)
+
+
+def fits_broadcast(files: DataFrame, grid: DataFrame | None = None, layout: Layout = DEFAULT_LAYOUT,
+                   budget: int = BROADCAST_BUDGET_BYTES) -> bool:
+    """Size check for broadcasting the per-file plan."""
+    if grid is None:  # files only: assume the default column window per file
+        return files.limit(BROADCAST_MAX_FILES + 1).count() <= BROADCAST_MAX_FILES
+    return plan_size_bound(files, grid, layout) <= budget
 
 
 def build_ingest(grid: DataFrame, files: DataFrame, log: DataFrame | None = None,
                  layout: Layout = DEFAULT_LAYOUT, broadcast_plan: bool | None = None,
-                 max_broadcast_files: int = BROADCAST_MAX_FILES, materialize: bool = False) -> Ingest:
+                 broadcast_budget: int = BROADCAST_BUDGET_BYTES, materialize: bool = False) -> Ingest:
     """Lazy ingest plan over decoded (or derived) grid rows.
 
     ``files`` follows ``SCAN_SCHEMA``; ``log`` ``LANDING_SCHEMA``.
-    ``broadcast_plan=None`` decides by counting files. ``materialize`` writes
+    ``broadcast_plan=None`` decides by a size bound of the plan (files and
+    header cells counted, see :func:`plan_size_bound`). ``materialize`` writes
     the per-file plan (one row per file) once to the shared folder, so the
     body pass, the checks and the report do not each recompute it from the
     grid (the sink path runs several actions on it).
@@ -75,7 +93,7 @@ def build_ingest(grid: DataFrame, files: DataFrame, log: DataFrame | None = None
         plan = stage(grid.sparkSession, plan, "file-plan")
     valid = plan.where(F.col("error").isNull())
     if broadcast_plan is None:
-        broadcast_plan = fits_broadcast(files, max_broadcast_files)
+        broadcast_plan = fits_broadcast(files, grid, layout, broadcast_budget)
     body_plan = valid.select(
         "source_file", "periods", "metric_col", "band_start", "band_end",
         "upload_user", "upload_datetime", "data_version", "batch_key", "is_winner",

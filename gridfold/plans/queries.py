@@ -296,13 +296,13 @@ def q_replace_batches(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("f_"), F.col("batch_key"), F.lit("_"), F.col("f.tag"), F.lit(".xlsx")).alias("source_file"),
         "batch_key", F.col("f.ts").alias("upload_datetime"), F.col("f.ts").alias("modified_at"),
         F.col("f.pick").alias("pick"), F.col("f.error").alias("error"))
-    rows = existing.drop("source_file").join(F.broadcast(files.select("source_file", "batch_key", "pick")), "batch_key")
+    rows = existing.drop("source_file").join(files.select("source_file", "batch_key", "pick"), "batch_key")
     k = F.col("o_orderkey")
     rows = rows.where(((F.col("pick") == "even") & (k % 2 == 0)) | ((F.col("pick") == "third") & (k % 3 == 0))
                       | ((F.col("pick") == "fifth") & (k % 5 == 0)))
     valid = winning_files(files.where(F.col("error").isNull()))
     winners = valid.where(F.col("is_winner")).select("source_file")
-    incoming = rows.join(F.broadcast(winners), "source_file", "left_semi").select(*existing.columns)
+    incoming = rows.join(winners, "source_file", "left_semi").select(*existing.columns)
     return replace_batches(existing, incoming, replaced_keys(valid))
 
 
