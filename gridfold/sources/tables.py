@@ -79,6 +79,7 @@ def _quote(v: str) -> str:
 # Input partitions above which the rows are clustered by batch_key before the
 # write (below it, files per batch are bounded by this number anyway).
 REBALANCE_MIN_PARTITIONS = 256
+DROP_CHUNK = 500  # partitions per ALTER TABLE ... DROP statement
 
 
 def write_batches(spark: SparkSession, table: str, incoming: DataFrame, drop_keys: list[str] = (),
@@ -108,6 +109,8 @@ def write_batches(spark: SparkSession, table: str, incoming: DataFrame, drop_key
         rows.write.insertInto(table, overwrite=True)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
-    for k in drop_keys:
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (batch_key = {_quote(k)})")
+    keys = list(drop_keys)
+    for i in range(0, len(keys), DROP_CHUNK):  # metadata only, many partitions per statement
+        specs = ", ".join(f"PARTITION (batch_key = {_quote(k)})" for k in keys[i:i + DROP_CHUNK])
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {specs}")
     return int(obs.get.get("n", 0) or 0)

@@ -140,3 +140,20 @@ def test_first_run_creates_the_table(spark, tmp_path):
     assert spark.catalog.tableExists(f"{db}.facts") and not spark.catalog.tableExists(f"{db}.landing_log")
     parts = [r[0] for r in spark.sql(f"SHOW PARTITIONS {db}.facts").collect()]
     assert parts == ["batch_key=BLB_260723"]
+
+
+def test_drop_many_emptied_partitions(spark):
+    from gridfold.sources.tables import ensure_fact_table, write_batches
+    t = f"default.d_{uuid.uuid4().hex[:8]}"
+    ensure_fact_table(spark, t)
+    rows = spark.range(1200).select(
+        F.lit("m").alias("metric"), F.lit("Q").alias("period_type"), F.lit(2026).alias("year"), F.lit(1).alias("quarter"),
+        F.lit(False).alias("is_estimate"), F.lit(1).cast("decimal(38,7)").alias("value"), F.lit("f").alias("source_file"),
+        F.lit(None).cast("string").alias("upload_user"), F.lit(None).cast("timestamp").alias("upload_datetime"),
+        F.lit("V").alias("data_version"), F.concat(F.lit("k"), F.col("id").cast("string")).alias("batch_key"))
+    assert write_batches(spark, t, rows) == 1200
+    gone = [f"k{i}" for i in range(0, 1200, 2)]
+    keep = rows.where(F.col("id") % 2 == 1)
+    assert write_batches(spark, t, keep.limit(0), gone) == 0
+    assert spark.table(t).count() == 600
+    assert len(spark.sql(f"SHOW PARTITIONS {t}").collect()) == 600
