@@ -70,10 +70,12 @@ def _facts(by: str = "region", lineage: bool = False) -> str:
     user, when = "CAST(NULL AS VARCHAR)", "CAST(NULL AS TIMESTAMP)"
     if lineage:
         lin = """,
-lg AS (SELECT r_name || '.xlsx' AS file_name, 'user' || CAST(user_id AS VARCHAR) AS uploaded_by, ts AS uploaded_at
-       FROM events JOIN region ON user_id % 7 = r_regionkey WHERE user_id % 7 < 4),
+lg AS (SELECT coalesce(r_name, {unassigned}) || CASE WHEN r_name = {unlogged} THEN '.xls' ELSE '.xlsx' END AS file_name,
+              'user' || CAST(user_id AS VARCHAR) AS uploaded_by, ts AS uploaded_at
+       FROM events LEFT JOIN region ON user_id % 7 = r_regionkey),
 latest AS (SELECT file_name, uploaded_by, uploaded_at FROM lg
-           QUALIFY row_number() OVER (PARTITION BY file_name ORDER BY uploaded_at DESC, uploaded_by DESC) = 1)"""
+           QUALIFY row_number() OVER (PARTITION BY file_name ORDER BY uploaded_at DESC, uploaded_by DESC) = 1)""".format(
+            unassigned=_s(Q.UNASSIGNED_FILE), unlogged=_s(Q.UNLOGGED_REGION))
         user, when = "latest.uploaded_by", "latest.uploaded_at"
     join = "LEFT JOIN latest ON latest.file_name = v.source_file" if lineage else ""
     # the last valid file per batch key wins: valid = has a quarterly estimate;
@@ -145,7 +147,9 @@ WITH d AS (
          source, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id) AS ts
   FROM documents),
 n AS (SELECT doc_id, original_name, {_unique('original_name', 'source', 'ts')} AS file_name FROM d),
-taken AS (SELECT DISTINCT file_name FROM n WHERE doc_id % 2 = 0)
+later AS (SELECT original_name, source,
+                 CASE WHEN doc_id % 2 = 0 THEN ts ELSE ts + INTERVAL 1 DAY END AS ts FROM d),
+taken AS (SELECT DISTINCT {_unique('original_name', 'source', 'ts')} AS file_name FROM later)
 SELECT n.doc_id, n.file_name,
        CASE WHEN coalesce(n.original_name, '') = '' THEN {_s(ERR_NO_NAME)}
             WHEN NOT (lower(n.original_name) LIKE '%.xlsx' OR lower(n.original_name) LIKE '%.xls')
@@ -300,8 +304,9 @@ REPLACE_BATCHES = f"""
 WITH {_EXISTING}
 SELECT batch_key, o_orderkey, source_file, value FROM ex WHERE batch_key NOT IN {_in(_REPLACED)}
 UNION ALL
-SELECT batch_key, o_orderkey, 'f_' || batch_key || '_b.xlsx' AS source_file, value
-FROM ex WHERE batch_key IN {_in(Q.TWO_FILE_YEARS)} AND o_orderkey % 3 = 0"""
+SELECT batch_key, o_orderkey, 'f_' || batch_key || '_b.xlsx' AS source_file,
+       CAST(value + 1 AS DECIMAL(18,2)) AS value
+FROM ex WHERE batch_key IN {_in(Q.TWO_FILE_YEARS)}"""
 
 REMOVE_BATCH = f"""
 WITH {_EXISTING}

@@ -46,6 +46,7 @@ BAD_DATE_FILES, BAD_DATE_SHEET = ("ASIA.xlsx", "EUROPE.xlsx"), "BLB_260231"
 UNREADABLE_FILE, UNREADABLE_ERROR = "EUROPE.xlsx", "unreadable workbook: test"
 TWO_FILE_YEARS, EMPTY_FILE_YEAR, BAD_FILE_YEAR = ("Y1996", "Y1998"), "Y2000", "Y1997"
 REMOVED_BATCH = "Y1997"
+UNLOGGED_REGION, UNASSIGNED_FILE = "MIDDLE EAST", "unassigned"
 EMPTY_SCOPE = "no_such_file.xlsx"
 RUN_STATES = ("PENDING", "QUEUED", "BLOCKED", "RUNNING", "TERMINATING", "TERMINATED",
               "INTERNAL_ERROR", "SKIPPED", "WAITING")
@@ -117,9 +118,12 @@ def q_unique_names(spark: SparkSession, sf: str) -> DataFrame:
     ext = F.when(F.col("doc_id") % 3 == 0, F.lit(".Xlsx")).when(F.col("doc_id") % 3 == 1, F.lit(".xls")).otherwise(
         F.lit(".docx"))
     ts = F.timestamp_add("SECOND", F.col("doc_id"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
-    incoming = d.select("doc_id", F.concat("text", ext).alias("original_name"), "source", ts.alias("ts")).select(
+    d = d.withColumn("ts", ts)
+    incoming = d.select("doc_id", F.concat("text", ext).alias("original_name"), "source", "ts").select(
         "doc_id", "original_name", unique_name(F.col("original_name"), F.col("source"), F.col("ts")).alias("file_name"))
-    landed = incoming.where(F.col("doc_id") % 2 == 0).select("file_name")
+    later = F.when(F.col("doc_id") % 2 == 0, F.col("ts")).otherwise(F.timestamp_add("DAY", F.lit(1), F.col("ts")))
+    landed = d.select(F.concat("text", ext).alias("original_name"), "source", later.alias("ts"), "doc_id").select(
+        unique_name(F.col("original_name"), F.col("source"), F.col("ts")).alias("file_name"))
     return guard_new_names(incoming, landed).select("doc_id", "file_name", "error")
 
 
@@ -250,10 +254,14 @@ def q_scaled_values(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- J1/W1/P14/F17 -----------------------------------------------------------
 def landing_log_for_regions(spark: SparkSession, sf: str) -> DataFrame:
-    ev = _t(spark, sf, "events").where(F.col("user_id") % 7 < 4)
+    """Every event is a landing: of a region's file when user_id mod 7 is a
+    region key, else of an unassigned file. One region's landings carry
+    another extension, so its workbook has no log record."""
+    ev = _t(spark, sf, "events")
     r = _t(spark, sf, "region")
-    return ev.join(r, (F.col("user_id") % 7) == r.r_regionkey).select(
-        F.concat("r_name", F.lit(".xlsx")).alias("file_name"),
+    ext = F.when(F.col("r_name") == UNLOGGED_REGION, F.lit(".xls")).otherwise(F.lit(".xlsx"))
+    return ev.join(r, (F.col("user_id") % 7) == r.r_regionkey, "left").select(
+        F.concat(F.coalesce(F.col("r_name"), F.lit(UNASSIGNED_FILE)), ext).alias("file_name"),
         F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("uploaded_by"),
         F.lit(None).cast("long").alias("size_bytes"),
         F.lit("landed").alias("status"),
@@ -296,10 +304,13 @@ def q_replace_batches(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("f_"), F.col("batch_key"), F.lit("_"), F.col("f.tag"), F.lit(".xlsx")).alias("source_file"),
         "batch_key", F.col("f.ts").alias("upload_datetime"), F.col("f.ts").alias("modified_at"),
         F.col("f.pick").alias("pick"), F.col("f.error").alias("error"))
-    rows = existing.drop("source_file").join(files.select("source_file", "batch_key", "pick"), "batch_key")
-    k = F.col("o_orderkey")
-    rows = rows.where(((F.col("pick") == "even") & (k % 2 == 0)) | ((F.col("pick") == "third") & (k % 3 == 0))
-                      | ((F.col("pick") == "fifth") & (k % 5 == 0)))
+    # each file holds every order of its year, valued differently; the empty
+    # file holds none
+    bump = {"even": 0, "third": 1, "fifth": 2}
+    rows = existing.drop("source_file").join(
+        files.where(F.col("pick") != "none").select("source_file", "batch_key", "pick"), "batch_key")
+    offset = F.when(F.col("pick") == "even", bump["even"]).when(F.col("pick") == "third", bump["third"]).otherwise(bump["fifth"])
+    rows = rows.withColumn("value", (F.col("value") + offset).cast("decimal(18,2)"))
     valid = winning_files(files.where(F.col("error").isNull()))
     winners = valid.where(F.col("is_winner")).select("source_file")
     incoming = rows.join(winners, "source_file", "left_semi").select(*existing.columns)
