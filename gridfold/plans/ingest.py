@@ -88,9 +88,10 @@ def build_ingest(grid: DataFrame, files: DataFrame, log: DataFrame | None = None
     if log is not None:
         ts_type = log.schema["uploaded_at"].dataType.simpleString()
     plan = with_lineage(file_plan(files, grid, layout), log, ts_type, names=files)
-    plan = winning_files(plan, valid=F.col("error").isNull())
     if materialize:
+        # the winner rule reads the plan twice (aggregate + join back)
         plan = stage(grid.sparkSession, plan, "file-plan")
+    plan = winning_files(plan, valid=F.col("error").isNull())
     valid = plan.where(F.col("error").isNull())
     if broadcast_plan is None:
         broadcast_plan = fits_broadcast(files, grid, layout, broadcast_budget)
