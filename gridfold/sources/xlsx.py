@@ -30,7 +30,8 @@ _PKG_REL = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 # (ECMA-376 Part 1, 18.8.30).
 # ---------------------------------------------------------------------------
 DATE_FORMAT_IDS = frozenset([14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47])
-EXCEL_EPOCH = _dt.datetime(1899, 12, 30)
+EXCEL_EPOCH = _dt.datetime(1899, 12, 30)  # 1900 date system (serials below 60 count a false 1900-02-29)
+EPOCH_1904 = _dt.datetime(1904, 1, 1)  # 1904 date system (workbookPr date1904)
 # ---------------------------------------------------------------------------
 
 _CELL_REF = re.compile(r"^([A-Z]+)([0-9]+)$")
@@ -69,12 +70,20 @@ def _number_text(raw: str) -> str | None:
         return None
 
 
-def _date_text(serial: str) -> str | None:
+def _date_text(serial: str, date1904: bool = False) -> str | None:
+    """Text of a date-formatted number: a time of day for serials in [0, 1],
+    else a date-time in the workbook's date system."""
     try:
-        d = EXCEL_EPOCH + _dt.timedelta(days=float(serial))
+        v = float(serial)
+        day, frac = divmod(v, 1)
+        diff = _dt.timedelta(milliseconds=round(frac * 86400 * 1000))
+        if 0 <= v <= 1 and not date1904:
+            return (_dt.datetime.min + diff).time().isoformat()
+        if 1 < v < 60 and not date1904:
+            day += 1  # the 1900 system counts a day that did not exist
+        d = (EPOCH_1904 if date1904 else EXCEL_EPOCH) + _dt.timedelta(days=day) + diff
     except (ValueError, OverflowError):
         return None
-    d = d.replace(microsecond=round(d.microsecond / 1000) * 1000 if d.microsecond else 0)
     return d.isoformat(sep=" ")
 
 
@@ -104,7 +113,7 @@ def _part_path(base: str, target: str) -> str:
     return posixpath.normpath(posixpath.join(posixpath.dirname(base), target))
 
 
-def _first_worksheet(zf: zipfile.ZipFile) -> tuple[str, str]:
+def _first_worksheet(zf: zipfile.ZipFile) -> tuple[str, str, bool]:
     names = set(zf.namelist())
     wb_path = "xl/workbook.xml"
     if "_rels/.rels" in names:
@@ -121,12 +130,15 @@ def _first_worksheet(zf: zipfile.ZipFile) -> tuple[str, str]:
             for _, el in iterparse(f):
                 if el.tag == _PKG_REL + "Relationship":
                     targets[el.get("Id")] = (el.get("Type", ""), _part_path(wb_path, el.get("Target", "")))
+    date1904 = False
     with zf.open(wb_path) as f:
         for _, el in iterparse(f):
-            if el.tag == _MAIN + "sheet":
+            if el.tag == _MAIN + "workbookPr":
+                date1904 = el.get("date1904", "").lower() in ("1", "true")
+            elif el.tag == _MAIN + "sheet":
                 rel = targets.get(el.get(_REL + "id"))
                 if rel and rel[0].endswith("/worksheet") and rel[1] in names:
-                    return el.get("name", ""), rel[1]
+                    return el.get("name", ""), rel[1], date1904
     raise WorkbookError("no worksheet")
 
 
@@ -175,7 +187,7 @@ def read_first_sheet(
         zf = zipfile.ZipFile(io.BytesIO(content))
     except zipfile.BadZipFile as e:
         raise WorkbookError(f"not an xlsx workbook: {e}") from None
-    sheet_name, sheet_path = _first_worksheet(zf)
+    sheet_name, sheet_path, date1904 = _first_worksheet(zf)
     strings = _shared_strings(zf)
     dated = _date_styles(zf)
     hi = last_col if last_col is not None else 1 << 30
@@ -203,7 +215,7 @@ def read_first_sheet(
                     next_col = col + 1
                     if col < first_col or col > hi:
                         continue
-                    text = _cell_text(c, strings, dated)
+                    text = _cell_text(c, strings, dated, date1904)
                     if text is not None:
                         cells[col] = text
                 el.clear()
@@ -215,7 +227,7 @@ def read_first_sheet(
     return sheet_name, rows()
 
 
-def _cell_text(c, strings: list[str], dated: set[int]) -> str | None:
+def _cell_text(c, strings: list[str], dated: set[int], date1904: bool = False) -> str | None:
     t = c.get("t", "n")
     v = c.find(_MAIN + "v")
     raw = v.text if v is not None else None
@@ -239,7 +251,7 @@ def _cell_text(c, strings: list[str], dated: set[int]) -> str | None:
         return _iso_text(raw)
     style = int(c.get("s", "0") or 0)
     if style in dated:
-        return _date_text(raw)
+        return _date_text(raw, date1904)
     return _number_text(raw)
 
 

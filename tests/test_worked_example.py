@@ -99,3 +99,13 @@ def test_body_pass_never_shuffles_the_grid(spark, landing):
     assert "BroadcastHashJoin" in body and "Generate explode(periods" in body and "FileScan parquet" in body
     assert "Exchange" not in body.replace("BroadcastHashJoin", "")
     assert "PushedFilters: [IsNotNull(row), GreaterThan(row,0), GreaterThan(row,4)" in body
+
+
+def test_date_cells_follow_the_date_system():
+    from gridfold.sources.xlsx import _date_text
+    assert _date_text("46000") == "2025-12-09 00:00:00"
+    assert _date_text("59") == "1900-02-28 00:00:00"   # serials below 60 count the false leap day
+    assert _date_text("61") == "1900-03-01 00:00:00"
+    assert _date_text("0.5") == "12:00:00"
+    assert _date_text("46000.25") == "2025-12-09 06:00:00"
+    assert _date_text("44538", date1904=True) == "2025-12-09 00:00:00"
