@@ -78,7 +78,7 @@ def _grid(spark: SparkSession, sf: str, by: str = "region", variant: str = "") -
 
 def _ingest(spark: SparkSession, sf: str, by: str = "region", log: DataFrame | None = None) -> Ingest:
     g = _grid(spark, sf, by)
-    return build_ingest(g.grid, g.files, log, WIDE_LAYOUT)
+    return build_ingest(g.grid, g.files, log, WIDE_LAYOUT, materialize=True)
 
 
 # --- S1/S2/P16 ---------------------------------------------------------------
