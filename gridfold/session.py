@@ -112,3 +112,36 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < slots:
         return df.repartition(slots)
     return df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``gridfold`` importable by the Python workers of this context
+    (``SparkContext.addPyFile`` of a zip written to the shared folder), for
+    sessions whose workers do not have the package on their path. Once per
+    application."""
+    import io
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for dirpath, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(dirpath, n)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(root)))
+    target = f"{scratch_path(spark, 'pyfiles')}/gridfold.zip"
+    from gridfold.streaming.ingest import _fs_and_root
+
+    fs, path = _fs_and_root(target)
+    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(path) as f:
+        f.write(buf.getvalue())
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)

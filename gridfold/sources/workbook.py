@@ -102,6 +102,9 @@ def list_binary(spark: SparkSession, landing_dir: str, recursive: bool = False)
 def decode(binary: DataFrame, layout: Layout = DEFAULT_LAYOUT, max_bytes: int = MAX_WORKBOOK_BYTES) -> DataFrame:
     """Decode a binaryFile DataFrame; returns grid rows and status records
     in one frame (``row = 0`` marks a status record)."""
+    from gridfold.session import ship_package
+
+    ship_package(binary.sparkSession)
     wanted = binary.where(is_workbook(base_name("path")))
     small = wanted.where(F.col("length") <= max_bytes)
     # oversized files: listed without their content, reported as errors

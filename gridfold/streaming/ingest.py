@@ -77,6 +77,9 @@ def write_workbooks(grid: DataFrame, out_dir: str) -> int:
             f.write(data)
         return pd.DataFrame({"source_file": [name], "size_bytes": [len(data)]})
 
+    from gridfold.session import ship_package
+
+    ship_package(grid.sparkSession)
     return cells_long(grid).groupBy("source_file").applyInPandas(write, "source_file string, size_bytes long").count()
 
 
