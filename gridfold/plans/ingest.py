@@ -112,25 +112,45 @@ class IngestResult:
     checks: DataFrame  # per valid file check report
 
 
+def choose_buckets(spark: SparkSession, binary: DataFrame, budget: int = BROADCAST_BUDGET_BYTES) -> int | None:
+    """Bucket count for staging, or None to stage plainly and broadcast.
+
+    Counts the workbooks of a binaryFile listing (metadata only, the listing
+    the decoder reads). When even the fixed part of the per-file plan (no
+    header cells counted) exceeds the broadcast budget, the plan can never be
+    broadcast, so the grid is staged bucketed by source_file. Otherwise it is
+    staged plainly and the exact bound (files and header cells, after
+    decoding) picks broadcast or a hash join.
+    """
+    from gridfold.functions.names import base_name, is_workbook
+
+    n = binary.select("path").where(is_workbook(base_name("path"))).count()
+    if n * PLAN_BYTES_PER_FILE <= budget:
+        return None
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def run_ingest(spark: SparkSession, landing_dir: str, table: str, log_table: str | None = None,
                layout: Layout = DEFAULT_LAYOUT, raise_on_check: bool = True,
-               buckets: int | None = None) -> IngestResult:
+               buckets: int | str | None = "auto", broadcast_budget: int = BROADCAST_BUDGET_BYTES) -> IngestResult:
     """Decode every workbook in ``landing_dir`` and replace their batches in
     ``table`` (created if absent); then check each file's rows.
 
     Equals applying the files one at a time in landing order: per batch key
     the last valid file wins, whole.
 
-    ``buckets`` stages the decoded grid bucketed by source_file; without it
-    the grid is staged plain and the per-file plan is broadcast when the
-    file count allows (else hash-joined).
+    ``buckets`` stages the decoded grid bucketed by source_file; ``None``
+    stages it plainly and broadcasts the per-file plan when its size bound
+    allows (else hash-joins); ``"auto"`` picks by :func:`choose_buckets`.
     """
     from gridfold.sources.workbook import scan_workbooks
 
-    scan = scan_workbooks(spark, landing_dir, layout, buckets=buckets)
+    scan = scan_workbooks(spark, landing_dir, layout, buckets=buckets,
+                          choose=lambda binary: choose_buckets(spark, binary, broadcast_budget))
+    buckets = scan.buckets
     log = spark.table(log_table) if log_table and spark.catalog.tableExists(log_table) else None
     ing = build_ingest(scan.grid, scan.files, log, layout, broadcast_plan=False if buckets else None,
-                       materialize=True)
+                       broadcast_budget=broadcast_budget, materialize=True)
     return apply_ingest(spark, ing, table, raise_on_check=raise_on_check)
 
 

@@ -48,6 +48,7 @@ _RAW_SCHEMA = T.StructType(
 class Scan:
     grid: DataFrame  # GRID_SCHEMA
     files: DataFrame  # SCAN_SCHEMA
+    buckets: int | None = None  # bucket count of the staged grid, if bucketed
 
 
 def _decode_partition(layout: Layout, max_bytes: int):
@@ -133,7 +134,8 @@ def scan_workbooks(
     layout: Layout = DEFAULT_LAYOUT,
     max_bytes: int = MAX_WORKBOOK_BYTES,
     stage_dir: str | None = None,
-    buckets: int | None = None,
+    buckets: int | str | None = None,
+    choose=None,
 ) -> Scan:
     """Decode every workbook in ``landing_dir``.
 
@@ -145,11 +147,18 @@ def scan_workbooks(
     ``buckets``: stage as a table bucketed by source_file instead (for runs
     with too many files to broadcast their per-file plan): the per-file
     aggregates and the body join then run without shuffling the grid.
+    ``"auto"`` asks ``choose(binary_listing)`` for the count (None = plain).
     """
     from gridfold.session import sql_conf, stage, stage_bucketed
 
-    raw = with_label(decode(list_binary(spark, landing_dir), layout, max_bytes), layout)
+    binary = list_binary(spark, landing_dir)  # one listing, reused by the count
+    if buckets == "auto":
+        buckets = choose(binary) if choose else None
+    raw = with_label(decode(binary, layout, max_bytes), layout)
     with sql_conf(spark, DECODE_CONF):
         if buckets:
-            return split_scan(stage_bucketed(spark, raw, "grid", "source_file", buckets, stage_dir))
-        return split_scan(stage(spark, raw, "grid", stage_dir))
+            scan = split_scan(stage_bucketed(spark, raw, "grid", "source_file", buckets, stage_dir))
+        else:
+            scan = split_scan(stage(spark, raw, "grid", stage_dir))
+    scan.buckets = buckets or None
+    return scan

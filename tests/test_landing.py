@@ -79,7 +79,13 @@ def test_bucketed_staging_same_table_without_grid_shuffle(spark, tmp_path):
     for i in range(6):
         write_book(land / f"f{i}.xlsx", f"BLB_2607{10 + i % 4}", worked_rows())
     run_ingest(spark, str(land), plain, raise_on_check=False)
-    run_ingest(spark, str(land), buck, raise_on_check=False, buckets=4)
+    from gridfold.plans.ingest import choose_buckets
+    from gridfold.sources.workbook import list_binary
+    assert choose_buckets(spark, list_binary(spark, str(land))) is None  # six files: broadcast
+    assert choose_buckets(spark, list_binary(spark, str(land)), budget=1000) == int(
+        spark.conf.get("spark.sql.shuffle.partitions"))
+    res = run_ingest(spark, str(land), buck, raise_on_check=False, broadcast_budget=1000)  # auto: bucketed
+    assert res.rows_written == 4 * 11  # six files, four batch keys: four winners
     rows = lambda t: sorted(tuple(r) for r in read_facts(spark, t).collect())
     assert rows(plain) == rows(buck)
     from gridfold.plans.ingest import build_ingest
