@@ -6,8 +6,10 @@
 
 All stages are DataFrame operations; the only Python on executors is the
 workbook decoder. The per-file plan has one row per file: it is broadcast to
-the body pass when the file count says it is small, otherwise the body is
-hash-joined on source_file (AQE splits a skewed file's partition).
+the body pass when its size bound (files and header cells) fits the budget,
+otherwise the body is hash-joined on source_file (AQE splits a skewed
+file's partition), or, for very many files, the grid is staged bucketed by
+source_file so that neither side of that join moves the grid.
 """
 
 from __future__ import annotations
