@@ -1,5 +1,4 @@
 from fixtures import EXPECTED_11, worked_rows, write_book
-from pyspark.sql import functions as F
 
 from gridfold.plans.ingest import build_ingest
 from gridfold.sources.workbook import scan_workbooks
