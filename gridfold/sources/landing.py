@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridfold.functions.display import display_status, human_size, iso_time
-from gridfold.functions.names import base_name, is_workbook, unique_name, uploader
+from gridfold.functions.names import base_name, is_workbook, unique_name, uploader, utc_wall
 from gridfold.schema import LANDED
 
 # ---------------------------------------------------------------------------
@@ -99,10 +99,11 @@ def guard_new_names(incoming: DataFrame, log: DataFrame) -> DataFrame:
 def recent_landings(log: DataFrame, n: int = HISTORY_LIMIT, utc_ts: Column | None = None) -> DataFrame:
     """S9/L1 + F11/F12/F16: newest ``n`` landings for display.
 
-    ``utc_ts``: the landing time as UTC wall clock (default: ``uploaded_at``).
+    ``utc_ts``: the landing time as UTC wall clock (default: ``uploaded_at``,
+    converted from the session time zone when it is a TIMESTAMP).
     Planned as TakeOrderedAndProject: a per-partition top-n, then one merge.
     """
-    ts = utc_ts if utc_ts is not None else F.col("uploaded_at")
+    ts = utc_ts if utc_ts is not None else utc_wall(log, "uploaded_at")
     return (
         log.orderBy(F.col("uploaded_at").desc(), F.col("file_name").desc())
         .limit(n)

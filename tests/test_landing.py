@@ -99,3 +99,16 @@ def test_bucketed_staging_same_table_without_grid_shuffle(spark, tmp_path):
     # one-row-per-file plan side is)
     assert plan.count("Exchange hashpartitioning(source_file") <= 1
     assert "Exchange" not in plan.split("ShuffledHashJoin")[1].split("FileScan")[0]
+
+
+def test_history_time_is_utc_in_any_session_zone(spark):
+    log = spark.createDataFrame([("f.xlsx", "u", 1, "landed", "2026-07-23 01:02:03")],
+                                "file_name string, uploaded_by string, size_bytes long, status string, uploaded_at string")
+    prev = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        log = log.withColumn("uploaded_at", F.to_utc_timestamp(F.col("uploaded_at"), "UTC"))
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Taipei")
+        assert recent_landings(log).first().uploaded_at == "2026-07-23T01:02:03Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", prev)
