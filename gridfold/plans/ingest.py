@@ -96,7 +96,15 @@ def build_ingest(grid: DataFrame, files: DataFrame, log: DataFrame | None = None
     plan = winning_files(plan, valid=F.col("error").isNull())
     valid = plan.where(F.col("error").isNull())
     if broadcast_plan is None:
-        broadcast_plan = fits_broadcast(files, grid, layout, broadcast_budget)
+        if materialize:
+            # the staged plan can be measured directly: one tiny aggregate
+            bound = plan.agg(
+                (F.count(F.lit(1)) * PLAN_BYTES_PER_FILE
+                 + F.coalesce(F.sum(F.size("periods")), F.lit(0)) * PLAN_BYTES_PER_HEADER).alias("b")
+            ).first()["b"]
+            broadcast_plan = bound <= broadcast_budget
+        else:
+            broadcast_plan = fits_broadcast(files, grid, layout, broadcast_budget)
     body_plan = valid.select(
         "source_file", "periods", "metric_col", "band_start", "band_end",
         "upload_user", "upload_datetime", "data_version", "batch_key", "is_winner",
