@@ -41,12 +41,17 @@ def get_spark(master: str | None = None, app: str = "gridfold", shuffle_partitio
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only when the session names none (local tests) is a default set.
+    Only a local session that names none (tests) gets a default; on a
+    cluster a machine-local folder would be unreadable by other executors,
+    so a missing setting is an error there.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = os.environ.get("GRIDFOLD_CHECKPOINT_DIR", _LOCAL_DEFAULT_CKPT)
+        d = os.environ.get("GRIDFOLD_CHECKPOINT_DIR")
+        if not d and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        d = d or _LOCAL_DEFAULT_CKPT
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir()
     elif not sc.getCheckpointDir():
@@ -118,30 +123,24 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``gridfold`` importable by the Python workers of this context
-    (``SparkContext.addPyFile`` of a zip written to the shared folder), for
-    sessions whose workers do not have the package on their path. Once per
-    application."""
-    import io
+    """Make ``gridfold`` importable by the Python workers of this context, for
+    sessions whose workers do not have the package on their path. The zip is
+    a driver-local file that ``addPyFile`` serves to the executors through
+    the driver's own file server, so it needs no file system beyond Spark's.
+    Once per application."""
+    import tempfile
     import zipfile
 
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+    target = os.path.join(tempfile.mkdtemp(prefix="gridfold-ship-"), "gridfold.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as zf:
         for dirpath, _, names in os.walk(root):
             for n in names:
                 if n.endswith(".py"):
                     full = os.path.join(dirpath, n)
                     zf.write(full, os.path.relpath(full, os.path.dirname(root)))
-    target = f"{scratch_path(spark, 'pyfiles')}/gridfold.zip"
-    from gridfold.streaming.ingest import _fs_and_root
-
-    fs, path = _fs_and_root(target)
-    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with fs.open_output_stream(path) as f:
-        f.write(buf.getvalue())
     sc.addPyFile(target)
     _SHIPPED.add(sc.applicationId)
