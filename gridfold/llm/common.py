@@ -61,3 +61,42 @@ class Memo(dict):
 def text_or_empty(df: DataFrame, *keys: str):
     """``keys`` and the whole text, a null text as the empty one."""
     return df.select(*keys, F.coalesce("text", F.lit("")).alias("text"))
+
+
+def rewrite_text(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[str]]]) -> DataFrame:
+    """``docs`` with every column as it is, but for the text that ``make()``'s
+    function returns and ``n_chars`` (where there is one) after it. A text it
+    leaves alone stays as it was, null included."""
+    ship_package(docs.sparkSession)
+    names = docs.columns
+    at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            old = batch.column(at).to_pylist()
+            new = [n if o is not None else None for o, n in zip(old, work([t or "" for t in old]))]
+            columns = list(batch.columns)
+            columns[at] = pa.array(new, columns[at].type)
+            if chars is not None:
+                was = columns[chars].to_pylist()
+                columns[chars] = pa.array([w if o == n else len(n) for o, n, w in zip(old, new, was)], columns[chars].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def filter_text(docs: DataFrame, make: Callable[[], Callable]) -> DataFrame:
+    """Rows of ``docs``, with every column, for whose text (null: empty) the
+    function from ``make()`` returns true."""
+    ship_package(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            if batch.num_rows:
+                keep = work([t or "" for t in batch.column(at).to_pylist()])
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -15,8 +15,7 @@ from operator import eq
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from gridfold.llm.common import map_columns, text_or_empty
-from gridfold.session import stage
+from gridfold.llm.common import filter_text, map_columns, text_or_empty
 
 FEATURES = (
     "log_words", "word_length", "distinct_words", "repeated_words", "top_word", "wordless",
@@ -157,41 +156,59 @@ def fit_gam(x: np.ndarray, y: np.ndarray, rounds: int = 200, pair_rounds: int =
     return model
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted per row of ``docs``.
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Gam:
+    """The model for labels (doc_id, quality) whose crc32(doc_id) mod 5 is not 0:
+    of these at most ``train_rows``, those with the smallest hashes of their
+    doc_id. Null labels and labels without a document train nothing."""
+    marks = labels.select("doc_id", F.col("quality").cast("double").alias("quality")).where("doc_id IS NOT NULL AND quality IS NOT NULL")
+    marks = marks.where(~held_out("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(train_rows)
+    known = text_or_empty(docs, "doc_id").join(F.broadcast(marks), "doc_id").select("doc_id", "quality", "text")
+
+    def make():
+        return lambda ids, quality, texts: {"doc_id": ids, "quality": quality, **_columns(texts)}
+
+    names = ", ".join(f"{n} double" for n in FEATURES)
+    sample = map_columns(known, f"doc_id long, quality double, {names}", make).toPandas()
+    sample = sample.sort_values([*sample.columns])  # the same model whatever the order of tasks
+    return fit_gam(sample[list(FEATURES)].to_numpy(dtype=float), sample["quality"].to_numpy(dtype=float))
+
+
+def held_out(doc_id: str):
+    """Whether crc32 of the id as text is divisible by 5; a null id counts so."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0)) % 5 == 0
+
 
-    Labels (doc_id, quality) train the model unless crc32(doc_id) mod 5 is 0
-    (``held_out``). Of the others at most ``train_rows`` rows, those with the
-    smallest hashes of their doc_id, are read to the driver; nothing but the
-    text makes a feature.
+def _columns(texts: list[str]) -> dict[str, list[float]]:
+    return dict(zip(FEATURES, map(list, zip(*map(features, texts)))))
+
+
+def _scores(model: Gam, texts: list[str]) -> np.ndarray:
+    return model.score(np.array([features(t) for t in texts], dtype=float))
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, held_out, score, predicted per row of ``docs``; nothing but the text
+    makes a feature.
 
     Null and empty texts are scored as texts without words; a null doc_id is
-    held out; null labels train nothing; repeated rows are scored each and train
-    each; without any label all scores are 0.5. An empty table gives an empty
-    result; other columns are ignored.
+    held out; repeated rows are scored each and train each; without any label
+    all scores are 0.5. An empty table gives an empty result; other columns are
+    ignored.
     """
-    names = ", ".join(f"{n} double" for n in FEATURES)
+    model = train(docs, labels, train_rows)
 
     def make():
-        def work(doc_ids, texts):
-            cols = zip(*map(features, texts))
-            return {"doc_id": doc_ids, **dict(zip(FEATURES, map(list, cols)))}
+        def work(ids, out, texts):
+            p = _scores(model, texts)
+            return {"doc_id": ids, "held_out": out, "score": p.tolist(), "predicted": (p >= threshold).astype(int).tolist()}
 
         return work
 
-    seen = stage(docs.sparkSession, map_columns(text_or_empty(docs, "doc_id"), f"doc_id long, {names}", make), "quality-features")
-    remainder = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % 5
-    seen = seen.withColumn("held_out", remainder == 0)
-    marks = labels.select("doc_id", F.col("quality").cast("double").alias("quality")).where("quality IS NOT NULL")
-    known = seen.where("NOT held_out").join(marks, "doc_id").select("quality", *FEATURES, F.xxhash64("doc_id").alias("key"))
-    sample = known.orderBy("key", "quality", *FEATURES).limit(train_rows).toPandas()
-    model = fit_gam(sample[list(FEATURES)].to_numpy(dtype=float), sample["quality"].to_numpy(dtype=float))
+    rows = text_or_empty(docs, "doc_id").withColumn("held_out", held_out("doc_id")).select("doc_id", "held_out", "text")
+    return map_columns(rows, "doc_id long, held_out boolean, score double, predicted int", make)
 
-    def score():
-        def work(doc_ids, held_out, *cols):
-            p = model.score(np.array(cols, dtype=float).T)
-            return {"doc_id": doc_ids, "held_out": held_out, "score": p.tolist(), "predicted": (p >= threshold).astype(int).tolist()}
-
-        return work
 
-    return map_columns(seen.select("doc_id", "held_out", *FEATURES), "doc_id long, held_out boolean, score double, predicted int", score)
+def keep_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that the classifier accepts."""
+    model = train(docs, labels, train_rows)
+    return filter_text(docs, lambda: lambda texts: _scores(model, texts) >= threshold)

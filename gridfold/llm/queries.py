@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridfold.llm.common import table
 
 
+def op1_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridfold.llm.embed_dedup import dedup_vectors
+
+    return dedup_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridfold.llm.fingerprints import fingerprint_documents
 
@@ -31,6 +37,19 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridfold.llm.secret_scan import scan_documents
+
+    return scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridfold.llm.line_dedup import dedup_lines
+
+    lines = dedup_lines(table(spark, sf_dir, "documents"))
+    return lines.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridfold.llm.packing import pack_documents
 
@@ -50,7 +69,7 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_fingerprints, op3_byte_bpe, op4_simhash_dedup, op5_token_counts, op8_best_fit_packing, op9_quality,
-    op10_rendezvous_shards,
+    op1_embedding_graph, op2_fingerprints, op3_byte_bpe, op4_simhash_dedup, op5_token_counts, op6_secret_scan,
+    op7_line_dedup, op8_best_fit_packing, op9_quality, op10_rendezvous_shards,
 )}
 ORACLES: dict[str, str] = {}

@@ -173,3 +173,23 @@ def dedup_documents(docs: DataFrame, words: int = 3, max_distance: int = 3) -> D
     return rows.join(by_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, words: int = 3, max_distance: int = 3) -> DataFrame:
+    """The rows of ``docs``, with every column, without those whose doc_id is not its
+    component's: one document of each component stays.
+
+    Rows that share a doc_id are one document: it stays if any of them is kept,
+    as one row. Rows without a doc_id stay where nothing with one links to
+    them, as one row for each text.
+    """
+    decided = stage(docs.sparkSession, dedup_documents(docs, words, max_distance).select("doc_id", "kept"), "simhash-decided")
+    ids = decided.groupBy("doc_id").agg(F.max("kept").alias("stays"), F.count("*").alias("rows")).where("NOT stays OR rows > 1")
+    ids = ids.select(F.col("doc_id").alias("other"), "stays")
+    same = docs["doc_id"].eqNullSafe(ids["other"])
+    once = docs.join(ids.where("stays"), same, "left_semi")
+    return (
+        docs.join(ids, same, "left_anti")
+        .unionByName(once.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+        .unionByName(once.where("doc_id IS NULL").dropDuplicates(["text"]))
+    )
