@@ -19,6 +19,8 @@ from gridfold.session import stage
 
 #: Counters of the rarity sketch: a fixed 64 KiB, one class (a byte) each.
 BUCKETS = 1 << 16
+#: Bits of the bitmaps that spare rows a shuffle.
+BITS = 1 << 20
 
 
 def words(line: Column) -> Column:
@@ -85,15 +87,36 @@ def line_sets(docs: DataFrame, threshold: float, classes: bytes) -> DataFrame:
                         F.transform(F.slice("w", 1, length), lambda w: w.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"))
 
 
+def _bitmap(keys: DataFrame) -> Column:
+    """A fixed 128 KiB literal with the bit of each hash in column ``key`` set."""
+    bit = F.pmod("key", F.lit(BITS))
+    mask = F.call_function("shiftleft", F.lit(1), F.pmod(bit, F.lit(8)).cast("int"))
+    out = bytearray(BITS // 8)
+    for at, byte in keys.groupBy(F.floor(bit / 8).alias("at")).agg(F.bit_or(mask)).toLocalIterator():  # at most BITS / 8 rows
+        out[at] = byte
+    return F.lit(out)
+
+
+def _in_bitmap(bits: Column, key: Column) -> Column:
+    """Whether the bit of ``key`` is set: always so for the keys it was made of."""
+    bit = F.pmod(key, F.lit(BITS))
+    byte = F.conv(F.hex(F.substring(bits, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.call_function("shiftright", byte, F.pmod(bit, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, t: float) -> DataFrame:
-    """Pairs (x, y) of set numbers whose lines have the similarity."""
+    """(x, y): the pairs of set numbers whose lines have the similarity. Only the
+    lines of these pairs, and those a bitmap can't tell from them, are moved."""
+    spark = docs.sparkSession
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("sid")).distinct()
-    places = sets.join(wanted, "sid").groupBy("doc").agg(F.collect_list(F.struct("sid", "line")).alias("at"))
-    found = docs.select("doc", "text").join(places, "doc").dropDuplicates(["doc"])
-    lines = found.select(F.split("text", "\n").alias("lines"), F.explode("at").alias("p"))
-    text = lines.select("p.sid", words(F.get("lines", F.col("p.line"))).alias("w"))
-    both = pairs.join(text.select(F.col("sid").alias("x"), F.col("w").alias("xw")), "x")
-    both = both.join(text.select(F.col("sid").alias("y"), F.col("w").alias("yw")), "y")
+    places = stage(spark, sets.join(wanted, "sid").select("sid", "doc", "line"), "line-places")
+    key = F.xxhash64("doc", "line")
+    bits = _bitmap(places.select(key.alias("key")))
+    lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "words")).where(_in_bitmap(bits, key))
+    text = lines.join(places, ["doc", "line"]).select("sid", words(F.col("words")).alias("w"))
+    sides = pairs.select("x", "y", F.explode(F.array("x", "y")).alias("sid")).join(text, "sid")
+    both = sides.groupBy("x", "y").agg(F.any_value(F.when(F.col("sid") == F.col("x"), F.col("w")), True).alias("xw"),
+                                       F.any_value(F.when(F.col("sid") == F.col("y"), F.col("w")), True).alias("yw"))
     common = F.size(F.array_intersect("xw", "yw"))
     return both.where(common >= (F.size("xw") + F.size("yw") - common) * t - 1e-9).select("x", "y")
 
@@ -104,9 +127,10 @@ def later_matches(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     Lines with one set are one class, numbered in the order of their first line.
     A set is settled once it matches any earlier set, so it is first held
-    against the earliest set that shares each of its prefix words, and only
-    sets that match none of these are joined with all earlier ones. That way
-    a group of many variants of a line does not yield all of its pairs.
+    against three of the sets that share each of its prefix words: the earliest
+    and the two just before it. Only sets that match none of these are joined
+    with all earlier ones. That way a group of many variants of a line does
+    not yield all of its pairs.
     """
     spark = docs.sparkSession
     lines = stage(spark, line_sets(docs, threshold, rarity_classes(docs)), "line-sets")
@@ -115,20 +139,24 @@ def later_matches(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     sets = sets.sort("first").select(F.monotonically_increasing_id().alias("sid"), "set", "first.doc", "first.line", "n", "parity", "prefix")
     sets = stage(spark, sets, "line-classes")
 
-    each = sets.select("sid", "n", "parity", F.posexplode("prefix").alias("pos", "word"))
-    row = F.struct("sid", "n", (F.col("pos") + 1).alias("pos"), "parity").alias("y")
-    by_word = W.partitionBy("word")
-    rows = each.select("word", row).select("word", "y", F.min("y").over(by_word).alias("x"), F.count("*").over(by_word).alias("k"))
-    rows = stage(spark, rows.where("k > 1").select("word", "x", "y"), "line-prefixes")
+    def by_word(classes: DataFrame) -> DataFrame:
+        each = classes.select(F.struct(*(c for c in classes.columns if c in ("sid", "n", "parity", "open"))).alias("s"), F.posexplode("prefix").alias("pos", "word"))
+        return each.select("word", (F.col("pos") + 1).alias("pos"), "s.*")
+
+    def pairs_of(rows: DataFrame, label: str) -> DataFrame:
+        may = _may_match("x", "y", threshold) & (F.col("x.sid") < F.col("y.sid"))
+        return stage(spark, rows.where(may).select(F.col("x.sid").alias("x"), F.col("y.sid").alias("y")).distinct(), label)
 
-    first = rows.where("x.sid < y.sid").where(_may_match("x", "y", threshold)).select(F.col("x.sid").alias("x"), F.col("y.sid").alias("y")).distinct()
+    row, turn = F.struct("sid", "n", "pos", "parity"), W.partitionBy("word").orderBy("sid")
+    near = F.array(F.first(row).over(turn), F.lag(row, 1).over(turn), F.lag(row, 2).over(turn))
+    near = by_word(sets).select(row.alias("y"), near.alias("x")).where("x[1] IS NOT NULL").select("y", F.explode("x").alias("x"))
+    first = pairs_of(near, "line-pairs")
     settled = stage(spark, _verified(first, sets, docs, threshold).select(F.col("y").alias("sid")).distinct(), "line-settled")
 
-    left = rows.select("word", "y").join(settled, F.col("y.sid") == F.col("sid"), "left_anti")
-    every = rows.select("word", F.col("y").alias("x"))
-    rest = left.join(every, "word").where(F.col("x.sid") < F.col("y.sid")).where(_may_match("x", "y", threshold))
-    rest = rest.select(F.col("x.sid").alias("x"), F.col("y.sid").alias("y")).distinct()
-    settled = settled.union(_verified(stage(spark, rest, "line-rest"), sets, docs, threshold).select("y")).distinct()
+    marked = by_word(sets.join(settled.withColumn("done", F.lit(True)), "sid", "left").withColumn("open", F.col("done").isNull()))
+    rest = marked.alias("x").join(marked.alias("y"), F.col("x.word") == F.col("y.word")).where("y.open")
+    rest = pairs_of(rest, "line-rest").join(first, ["x", "y"], "left_anti")
+    settled = settled.union(_verified(rest, sets, docs, threshold).select("y")).distinct()
 
     kept = sets.join(settled, "sid", "left_anti").select("set", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"))
     match = lines.select("doc", "line", "set").join(kept, "set", "left")
@@ -136,14 +164,16 @@ def later_matches(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 def remove_lines(docs: DataFrame, matches: DataFrame, *columns: str) -> DataFrame:
-    """``docs`` (with ``doc``) and n_lines, n_removed; text without its matches."""
-    gone = matches.groupBy("doc").agg(F.collect_set("line").alias("gone"))
-    lines = F.split("text", "\n")
+    """``docs`` (with ``doc``) and n_lines, n_removed; text without its matches.
+    Documents that a bitmap shows to have none are not moved."""
+    gone = stage(docs.sparkSession, matches.groupBy("doc").agg(F.collect_set("line").alias("gone")), "line-gone")
+    some = _in_bitmap(_bitmap(gone.select(F.col("doc").alias("key"))), F.col("doc"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
-    out = docs.join(gone, "doc", "left").withColumn("lines", lines)
-    return out.select(*columns, text.alias("text"), F.size("lines").cast("long").alias("n_lines"),
-                      F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    cut = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
+    hit = docs.where(some).join(gone, "doc", "left").withColumn("lines", F.split("text", "\n"))
+    hit = hit.select(*columns, cut.alias("text"), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    whole = docs.where(~some).select(*columns, "text", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    return hit.unionByName(whole)
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
