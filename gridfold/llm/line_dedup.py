@@ -154,7 +154,8 @@ def later_matches(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     settled = stage(spark, _verified(first, sets, docs, threshold).select(F.col("y").alias("sid")).distinct(), "line-settled")
 
     marked = by_word(sets.join(settled.withColumn("done", F.lit(True)), "sid", "left").withColumn("open", F.col("done").isNull()))
-    rest = marked.alias("x").join(marked.alias("y"), F.col("x.word") == F.col("y.word")).where("y.open")
+    # the condition on y.open is not one of a side alone, so both sides read one exchange
+    rest = marked.alias("x").join(marked.alias("y"), F.col("x.word") == F.col("y.word")).where("(x.sid < y.sid) = y.open")
     rest = pairs_of(rest, "line-rest").join(first, ["x", "y"], "left_anti")
     settled = settled.union(_verified(rest, sets, docs, threshold).select("y")).distinct()
 
