@@ -11,10 +11,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from gridfold.llm.bpe import WORDS
 from gridfold.llm.common import Memo, map_columns, text_or_empty, tokenizer_path
 from gridfold.session import stage
 
+#: Distinct words whose ids a worker keeps.
+WORDS = 800_000
 #: Pieces packed together by one task. Waste is at most about one sequence a group.
 GROUP = 16_384
 
