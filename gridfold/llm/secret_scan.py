@@ -121,7 +121,7 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 8, le
             gain[(v[1:] <= v[:-1]) | (left < least) | (n - left < least)] = 0
             if len(gain) and gain.max() > found[0] + 1e-12:
                 i = int(gain.argmax())
-                found = (float(gain[i]), int(k), float((v[i] + v[i + 1]) / 2))
+                found = (float(gain[i]), int(k), float(v[i]))
         return found
 
     def grow(rows: np.ndarray, level: int, out: list) -> None:
