@@ -113,10 +113,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, t: float) -> D
     key = F.xxhash64("doc", "line")
     bits = _bitmap(places.select(key.alias("key")))
     lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "words")).where(_in_bitmap(bits, key))
-    text = lines.join(places, ["doc", "line"]).select("sid", words(F.col("words")).alias("w"))
-    sides = pairs.select("x", "y", F.explode(F.array("x", "y")).alias("sid")).join(text, "sid")
-    both = sides.groupBy("x", "y").agg(F.any_value(F.when(F.col("sid") == F.col("x"), F.col("w")), True).alias("xw"),
-                                       F.any_value(F.when(F.col("sid") == F.col("y"), F.col("w")), True).alias("yw"))
+    text = stage(spark, lines.join(places, ["doc", "line"]).select("sid", F.col("words").alias("text")), "line-texts")
+    # texts travel as they are: as arrays of words they would be several times as large
+    both = pairs.join(text.toDF("x", "xt"), "x").join(text.toDF("y", "yt"), "y").select("x", "y", words(F.col("xt")).alias("xw"), words(F.col("yt")).alias("yw"))
     common = F.size(F.array_intersect("xw", "yw"))
     return both.where(common >= (F.size("xw") + F.size("yw") - common) * t - 1e-9).select("x", "y")
 
