@@ -32,7 +32,9 @@ def ingest_stream(spark: SparkSession, landing_dir: str, table: str, checkpoint:
     last-valid-file rule inside a batch and give the same table."""
     checkpoint = checkpoint or scratch_path(spark, "ingest-stream")
     src = (spark.readStream.format("binaryFile").schema(BINARY_SCHEMA)
-           .option("maxFilesPerTrigger", max_files).load(landing_dir))
+           .option("maxFilesPerTrigger", max_files)
+           .option("maxFileAge", "36500d")  # a file that arrives with an old time still counts
+           .load(landing_dir))
 
     def each(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
