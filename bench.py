@@ -65,7 +65,7 @@ def main() -> None:
     table = f"default.bench_{uuid.uuid4().hex[:10]}"
     ensure_fact_table(spark, table, location=scratch_path(spark, "bench-table"))
     t = time.time()
-    res = run_ingest(spark, landing, table, layout=WIDE_LAYOUT, raise_on_check=False)
+    res = run_ingest(spark, landing, table, layout=WIDE_LAYOUT, raise_on_check=False, raise_on_error=False)
     timings["ingest_xlsx_all_files"] = time.time() - t
     rows = res.rows_written
 
@@ -76,7 +76,7 @@ def main() -> None:
     ensure_fact_table(spark, one_table, location=scratch_path(spark, "bench-one"))
     t = time.time()
     for p in files:
-        run_ingest(spark, p, one_table, layout=WIDE_LAYOUT, raise_on_check=False)
+        run_ingest(spark, p, one_table, layout=WIDE_LAYOUT, raise_on_check=False, raise_on_error=False)
     per_file = (time.time() - t) / max(1, len(files))
     timings["one_file_per_run_avg"] = per_file
 

@@ -13,12 +13,12 @@ from gridfold.schema import (
     ESTIMATE_SUFFIX,
     METRIC_MARKER,
     NA_VALUES,
-    PERIOD_REGEX,
-    QUARTER_ESTIMATE_REGEX,
     SCALE,
     SHEET_DATE_REGEX,
     VALUE_TYPE,
     WS,
+    period_regex,
+    quarter_estimate_regex,
 )
 
 
@@ -54,13 +54,13 @@ def metric_label(col: Column | str) -> Column:
     return F.when(is_missing(c), F.lit("nan")).otherwise(c)
 
 
-def header_class(col: Column | str, metric_marker: str = METRIC_MARKER) -> Column:
+def header_class(col: Column | str, metric_marker: str = METRIC_MARKER, estimate_suffix: str = ESTIMATE_SUFFIX) -> Column:
     """``metric`` if the header contains the marker, else ``period`` if the
     stripped header is a period header, else ``skipped``. Tested in order."""
     c = _c(col)
     return (
         F.when(c.contains(metric_marker), F.lit("metric"))
-        .when(trim_u(c).rlike(PERIOD_REGEX), F.lit("period"))
+        .when(trim_u(c).rlike(period_regex(estimate_suffix)), F.lit("period"))
         .otherwise(F.lit("skipped"))
     )
 
@@ -72,10 +72,11 @@ def parse_period(col: Column | str, estimate_suffix: str = ESTIMATE_SUFFIX) -> C
     quarter into a full year. Non-period text gives NULL fields.
     """
     h = trim_u(col)
-    ok = h.rlike(PERIOD_REGEX)
-    kind = F.regexp_extract(h, PERIOD_REGEX, 1)
+    pattern = period_regex(estimate_suffix)
+    ok = h.rlike(pattern)
+    kind = F.regexp_extract(h, pattern, 1)
     ptype = F.when(ok, F.when(kind == "FY", F.lit("FY")).otherwise(F.lit("Q")))
-    year = F.when(ok, F.regexp_extract(h, PERIOD_REGEX, 2).cast("int"))
+    year = F.when(ok, F.regexp_extract(h, pattern, 2).cast("int"))
     quarter = F.when(ok & (kind != "FY"), F.substring(kind, 2, 1).cast("int"))
     est = F.when(ok, _c(col).contains(estimate_suffix))
     return F.struct(
@@ -86,14 +87,15 @@ def parse_period(col: Column | str, estimate_suffix: str = ESTIMATE_SUFFIX) -> C
     )
 
 
-def quarter_estimate(col: Column | str) -> Column:
+def quarter_estimate(col: Column | str, estimate_suffix: str = ESTIMATE_SUFFIX) -> Column:
     """Struct(year, quarter) of a quarterly estimate header, else NULL."""
     h = trim_u(col)
+    pattern = quarter_estimate_regex(estimate_suffix)
     return F.when(
-        h.rlike(QUARTER_ESTIMATE_REGEX),
+        h.rlike(pattern),
         F.struct(
-            F.regexp_extract(h, QUARTER_ESTIMATE_REGEX, 2).cast("int").alias("year"),
-            F.regexp_extract(h, QUARTER_ESTIMATE_REGEX, 1).cast("int").alias("quarter"),
+            F.regexp_extract(h, pattern, 2).cast("int").alias("year"),
+            F.regexp_extract(h, pattern, 1).cast("int").alias("quarter"),
         ),
     )
 

@@ -36,13 +36,14 @@ def run_outcomes(runs: DataFrame, run_log: DataFrame, tie_breaks: tuple[str, ...
     ``run_log``: task attempts (``RUN_TASK_SCHEMA``). The latest attempt of
     the two tasks is found in one aggregate per run (``max_by`` on the
     attempt order, partially aggregated before the shuffle, so a run with
-    very many attempts costs one row per map task). Output: run_id, step1,
+    very many attempts costs one row per map task). An error text counts only
+    where the attempt's result is ``FAILED``. Output: run_id, step1,
     step1_state, step2, step2_state, percent, message.
     """
     order = attempt_order(tie_breaks)
 
     def latest(task: str):
-        return F.max_by(F.struct("result_state", "error"), F.when(F.col("task_key") == task, order)).alias(task)
+        return F.max_by(F.struct("result_state", F.when(F.col("result_state") == "FAILED", F.col("error")).alias("error")), F.when(F.col("task_key") == task, order)).alias(task)
 
     per_run = run_log.groupBy("run_id").agg(latest(ingest_task), latest(quality_task))
     j = runs.join(per_run, "run_id", "left")

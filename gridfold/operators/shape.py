@@ -70,7 +70,7 @@ def classify_headers(headers: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> Dat
     ``last_col - first_col + 1`` headers), so classifying costs one shuffle
     on source_file, and the per-file plan built on top reuses it.
     """
-    cls = header_class("text", layout.metric_marker)
+    cls = header_class("text", layout.metric_marker, layout.estimate_suffix)
     p = parse_period("text", layout.estimate_suffix)
     per_file = headers.groupBy("source_file").agg(
         F.collect_list(F.struct("col", "text", cls.alias("c0"), p.alias("p"))).alias("hs")
@@ -97,11 +97,11 @@ def version_text(ver: Column) -> Column:
     return F.when(ver.isNotNull(), F.format_string(fmt, ver["quarter"], ver["year"]))
 
 
-def header_plan(classified: DataFrame) -> DataFrame:
+def header_plan(classified: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
     """Per file: metric column (last one wins), period columns, data_version
     (P8: earliest quarterly estimate by (year, quarter))."""
     is_period = F.col("header_class") == "period"
-    est = F.when(is_period, quarter_estimate("text"))
+    est = F.when(is_period, quarter_estimate("text", layout.estimate_suffix))
     return classified.groupBy("source_file").agg(
         F.max(F.when(F.col("header_class") == "metric", F.col("col"))).alias("metric_col"),
         F.sort_array(
@@ -115,9 +115,9 @@ def header_plan(classified: DataFrame) -> DataFrame:
     )
 
 
-def data_versions(classified: DataFrame) -> DataFrame:
+def data_versions(classified: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
     """``(source_file, data_version)`` for files with a quarterly estimate."""
-    return header_plan(classified).where(F.col("data_version").isNotNull()).select("source_file", "data_version")
+    return header_plan(classified, layout).where(F.col("data_version").isNotNull()).select("source_file", "data_version")
 
 
 def label_of(grid: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> Column:
@@ -214,7 +214,7 @@ def file_plan(files: DataFrame, grid: DataFrame, layout: Layout = DEFAULT_LAYOUT
     The two per-file aggregates come out hash-partitioned by source_file, so
     only the (one row per file) status side shuffles to meet them.
     """
-    hplan = header_plan(classify_headers(header_cells(grid, layout), layout))
+    hplan = header_plan(classify_headers(header_cells(grid, layout), layout), layout)
     return (
         with_date_gate(files.select("source_file", "sheet_name", "modified_at", "scan_error"))
         .join(hplan, "source_file", "left")

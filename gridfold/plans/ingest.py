@@ -142,7 +142,8 @@ def choose_buckets(spark: SparkSession, binary: DataFrame, budget: int = BROADCA
 
 def run_ingest(spark: SparkSession, landing_dir: str, table: str, log_table: str | None = None,
                layout: Layout = DEFAULT_LAYOUT, raise_on_check: bool = True,
-               buckets: int | str | None = "auto", broadcast_budget: int = BROADCAST_BUDGET_BYTES) -> IngestResult:
+               buckets: int | str | None = "auto", broadcast_budget: int = BROADCAST_BUDGET_BYTES,
+               raise_on_error: bool = True) -> IngestResult:
     """Decode every workbook in ``landing_dir`` and replace their batches in
     ``table`` (created if absent); then check each file's rows.
 
@@ -152,6 +153,10 @@ def run_ingest(spark: SparkSession, landing_dir: str, table: str, log_table: str
     ``buckets`` stages the decoded grid bucketed by source_file; ``None``
     stages it plainly and broadcasts the per-file plan when its size bound
     allows (else hash-joins); ``"auto"`` picks by :func:`choose_buckets`.
+
+    After the write, a folder without a workbook or a file with an error
+    raises :class:`IngestError` (``raise_on_error=False``: errors are rows of
+    ``files`` only).
     """
     from gridfold.sources.workbook import scan_workbooks
 
@@ -161,7 +166,33 @@ def run_ingest(spark: SparkSession, landing_dir: str, table: str, log_table: str
     log = spark.table(log_table) if log_table and spark.catalog.tableExists(log_table) else None
     ing = build_ingest(scan.grid, scan.files, log, layout, broadcast_plan=False if buckets else None,
                        broadcast_budget=broadcast_budget, materialize=True)
-    return apply_ingest(spark, ing, table, raise_on_check=raise_on_check)
+    result = apply_ingest(spark, ing, table, raise_on_check=False)
+    if raise_on_error:
+        raise_on_file_errors(result, landing_dir)
+    if raise_on_check:
+        raise_on_file_checks(result.checks, table)
+    return result
+
+
+class IngestError(ValueError):
+    """Workbooks of a run that could not be ingested. ``result`` holds the
+    run's outcome, its ``files`` every failing file; the valid files landed."""
+
+    def __init__(self, message: str, result: IngestResult | None = None):
+        super().__init__(message)
+        self.result = result
+
+
+def raise_on_file_errors(result: IngestResult, where: str, shown: int = 20) -> None:
+    """Raise when the run found no workbook, or one with an error. The
+    message names ``shown`` files and the number of all."""
+    n, failed = result.files.agg(F.count("*"), F.count("error")).first()
+    if not n:
+        raise IngestError(f"{where} holds no workbook to ingest", result)
+    if failed:
+        some = result.files.where("error IS NOT NULL").orderBy("source_file").limit(shown).collect()
+        text = "; ".join(f"{r['source_file']}: {r['error']}" for r in some)
+        raise IngestError(f"{failed} of {n} workbooks failed: {text}" + "; ..." * (failed > shown), result)
 
 
 def apply_ingest(spark: SparkSession, ing: Ingest, table: str, raise_on_check: bool = True) -> IngestResult:
@@ -205,12 +236,12 @@ def resolve_file(spark: SparkSession, landing_dir: str, file_name: str | None =
 
 def ingest_one(spark: SparkSession, landing_dir: str, table: str, file_name: str | None = None,
                log_table: str | None = None, layout: Layout = DEFAULT_LAYOUT,
-               raise_on_check: bool = True) -> IngestResult:
+               raise_on_check: bool = True, raise_on_error: bool = True) -> IngestResult:
     """One-file run, as a job triggered per upload: resolve the file, ingest
     it, replace its batch, check its rows. Same plan as a many-file run."""
     name = resolve_file(spark, landing_dir, file_name)
     path = f"{landing_dir.rstrip('/')}/{_glob_escape(name)}"
-    return run_ingest(spark, path, table, log_table, layout, raise_on_check=raise_on_check)
+    return run_ingest(spark, path, table, log_table, layout, raise_on_check=raise_on_check, raise_on_error=raise_on_error)
 
 
 def _glob_escape(name: str) -> str:

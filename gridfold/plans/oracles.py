@@ -144,18 +144,23 @@ UNIQUE_NAMES = f"""
 WITH d AS (
   SELECT doc_id,
          text || CASE doc_id % 3 WHEN 0 THEN '.Xlsx' WHEN 1 THEN '.xls' ELSE '.docx' END AS original_name,
-         source, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id) AS ts
+         source, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CASE WHEN doc_id % 5 = 0 THEN 0 ELSE doc_id END) AS ts
   FROM documents),
 n AS (SELECT doc_id, original_name, {_unique('original_name', 'source', 'ts')} AS file_name FROM d),
 later AS (SELECT original_name, source,
                  CASE WHEN doc_id % 2 = 0 THEN ts ELSE ts + INTERVAL 1 DAY END AS ts FROM d),
-taken AS (SELECT DISTINCT {_unique('original_name', 'source', 'ts')} AS file_name FROM later)
+taken AS (SELECT DISTINCT {_unique('original_name', 'source', 'ts')} AS file_name FROM later),
+e AS (
 SELECT n.doc_id, n.file_name,
        CASE WHEN coalesce(n.original_name, '') = '' THEN {_s(ERR_NO_NAME)}
             WHEN NOT (lower(n.original_name) LIKE '%.xlsx' OR lower(n.original_name) LIKE '%.xls')
               THEN {_s(ERR_NOT_WORKBOOK)}
             WHEN t.file_name IS NOT NULL THEN {_s(ERR_NAME_TAKEN)} END AS error
-FROM n LEFT JOIN taken t ON t.file_name = n.file_name"""
+FROM n LEFT JOIN taken t ON t.file_name = n.file_name)
+SELECT doc_id, file_name,
+       CASE WHEN error IS NULL AND row_number() OVER (PARTITION BY file_name, error IS NULL ORDER BY doc_id) > 1
+            THEN {_s(ERR_NAME_TAKEN)} ELSE error END AS error
+FROM e"""
 
 
 def _tenths(col: str, div: int) -> str:

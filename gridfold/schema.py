@@ -6,6 +6,7 @@ patterns) is a default here and a parameter of the functions that use it.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import types as T
@@ -42,10 +43,19 @@ NA_VALUES = (
 # Whitespace as Python's str.strip()/\s see it, written for Java regex:
 # ASCII \s, every Unicode separator (incl. U+3000), and the C0/C1 separators.
 WS = r"[\s\p{Z}\x{1C}-\x{1F}\x{85}]"
-# A period header after trimming: Q1..Q4 or FY, a 4-digit year, optional suffix.
-PERIOD_REGEX = r"^(Q[1-4]|FY)[\s\p{Z}]+([0-9]{4})([\s\p{Z}]+" + ESTIMATE_SUFFIX + r")?$"
-# A quarterly estimate header (the ones that define data_version).
-QUARTER_ESTIMATE_REGEX = r"^Q([1-4])[\s\p{Z}]+([0-9]{4})[\s\p{Z}]+" + ESTIMATE_SUFFIX + r"$"
+
+
+def period_regex(suffix: str) -> str:
+    """A period header after trimming: Q1..Q4 or FY, a 4-digit year, optional suffix."""
+    return r"^(Q[1-4]|FY)[\s\p{Z}]+([0-9]{4})([\s\p{Z}]+" + re.escape(suffix) + r")?$"
+
+
+def quarter_estimate_regex(suffix: str) -> str:
+    """A quarterly estimate header (the ones that define data_version)."""
+    return r"^Q([1-4])[\s\p{Z}]+([0-9]{4})[\s\p{Z}]+" + re.escape(suffix) + r"$"
+
+
+PERIOD_REGEX = period_regex(ESTIMATE_SUFFIX)
 # Characters allowed in a landed file-name part; every other run becomes '_'.
 NAME_UNSAFE_REGEX = r"[^\p{L}\p{N}_.\-]+"
 
@@ -75,26 +85,26 @@ VALUE_TYPE = T.DecimalType(38, 7)
 
 # Long fact table, in table order; batch_key is the partition column.
 FACT_SCHEMA = T.StructType([
-    _f("metric", T.StringType(), "Metric name (e.g. revenue, gross margin)"),
-    _f("period_type", T.StringType(), "Period type: Q = quarter, FY = full-year total"),
-    _f("year", T.IntegerType(), "Year"),
-    _f("quarter", T.IntegerType(), "Quarter (1-4), NULL for FY"),
-    _f("is_estimate", T.BooleanType(), "Whether the value is an estimate"),
-    _f("value", VALUE_TYPE, "Value in units (sheet values are in millions, scaled by 1,000,000)"),
-    _f("source_file", T.StringType(), "Source file name"),
-    _f("upload_user", T.StringType(), "Uploader"),
-    _f("upload_datetime", T.TimestampType(), "Upload time"),
-    _f("data_version", T.StringType(), "Data version key (format: V_Q{quarter}_{year}_ESTIMATE)"),
-    _f("batch_key", T.StringType(), "Batch key (sheet name, e.g. BLB_260723)"),
+    _f("metric", T.StringType(), "Row label of the metric, as the sheet spells it"),
+    _f("period_type", T.StringType(), "Q for a quarter, FY for a whole fiscal year"),
+    _f("year", T.IntegerType(), "Four-digit year of the period"),
+    _f("quarter", T.IntegerType(), "1 to 4; empty for a whole year"),
+    _f("is_estimate", T.BooleanType(), "True where the period header carries the estimate suffix"),
+    _f("value", VALUE_TYPE, "Amount in single units, after scaling the sheet figure"),
+    _f("source_file", T.StringType(), "Landed workbook this row was read from"),
+    _f("upload_user", T.StringType(), "Who landed that workbook, from the landing log"),
+    _f("upload_datetime", T.TimestampType(), "When that workbook landed, from the landing log"),
+    _f("data_version", T.StringType(), "Earliest estimated quarter of the workbook, as V_Q<quarter>_<year>_ESTIMATE"),
+    _f("batch_key", T.StringType(), "Partition key: name of the sheet, which a later file replaces whole"),
 ])
 FACT_COLUMNS = [f.name for f in FACT_SCHEMA.fields]
 
 LANDING_SCHEMA = T.StructType([
-    _f("file_name", T.StringType(), "Uploaded file name (unique name stored in the landing area)"),
-    _f("uploaded_by", T.StringType(), "Identity of the uploader"),
-    _f("size_bytes", T.LongType(), "File size in bytes"),
-    _f("status", T.StringType(), "Status (landed / ingested)"),
-    _f("uploaded_at", T.TimestampType(), "Upload time"),
+    _f("file_name", T.StringType(), "Collision-free name under which the file landed"),
+    _f("uploaded_by", T.StringType(), "First known identity of the sender"),
+    _f("size_bytes", T.LongType(), "Length of the file in bytes"),
+    _f("status", T.StringType(), "landed until the file is read, then ingested"),
+    _f("uploaded_at", T.TimestampType(), "When the file landed"),
 ])
 LANDING_COLUMNS = [f.name for f in LANDING_SCHEMA.fields]
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridfold.functions.display import display_status, human_size, iso_time
@@ -48,7 +49,7 @@ def require_newest(files: DataFrame, where: str = "the landing area", **kw) -> s
     """S2 as the job does it: the newest workbook's name, or an error."""
     row = newest_file(files, **kw).first()
     if row is None:
-        raise ValueError(f"No Excel files found in {where}")
+        raise ValueError(f"{where} holds no workbook to ingest")
     return row[kw.get("name_col", "file_name")]
 
 
@@ -75,25 +76,32 @@ def log_landings(uploads: DataFrame, name: Column | str, size: Column | str, use
     )
 
 
-def guard_new_names(incoming: DataFrame, log: DataFrame) -> DataFrame:
+def guard_new_names(incoming: DataFrame, log: DataFrame, *order: str) -> DataFrame:
     """S8 + D17: flag uploads that must not land.
 
     Adds ``error``: no name, not a workbook, or a file name already in the log
-    (a landed file is never overwritten). Names are matched by an equi-join on
-    ``file_name``; the log side is de-duplicated first (partial aggregation).
+    or of an upload before it in this call (a landed file is never
+    overwritten). Uploads of one call count in the order of the columns
+    ``order``, by default of all but the two names; of equal rows one lands.
+    Names are matched by SHA-256; the log side is de-duplicated first (partial
+    aggregation), and the order within a name reuses the join's partitioning.
     """
-    # Join on a non-nullable key: a NULL name is never taken, and no inferred
+    # A non-nullable key: a NULL name is never taken, and no inferred
     # IS NOT NULL filter gets pushed down (that would evaluate a derived
     # name expression once more, below any repartition, at the scan).
-    key = F.coalesce(F.col("file_name"), F.lit("\u0000"))
+    key = F.coalesce(F.sha2("file_name", 256), F.lit(""))
     taken = log.select(key.alias("_k")).distinct().withColumn("_taken", F.lit(True))
-    j = incoming.withColumn("_k", key).join(taken, "_k", "left").drop("_k")
+    j = incoming.withColumn("_k", key).join(taken, "_k", "left")
     err = (
         F.when(F.coalesce(F.col("original_name"), F.lit("")) == "", F.lit(ERR_NO_NAME))
         .when(~is_workbook(F.col("original_name")), F.lit(ERR_NOT_WORKBOOK))
         .when(F.col("_taken"), F.lit(ERR_NAME_TAKEN))
     )
-    return j.withColumn("error", err).drop("_taken")
+    order = order or tuple(c for c in incoming.columns if c not in ("file_name", "original_name"))
+    turn = W.partitionBy("_k", F.col("error").isNull()).orderBy(*order)
+    late = F.col("error").isNull() & F.col("file_name").isNotNull() & (F.col("_turn") > 1)
+    j = j.withColumn("error", err).withColumn("_turn", F.row_number().over(turn))
+    return j.withColumn("error", F.when(late, F.lit(ERR_NAME_TAKEN)).otherwise(F.col("error"))).drop("_k", "_taken", "_turn")
 
 
 def recent_landings(log: DataFrame, n: int = HISTORY_LIMIT, utc_ts: Column | None = None) -> DataFrame:

@@ -143,3 +143,43 @@ def test_split_ext_matches_splitext_rule(spark, names):
         assert row.s.stem + row.s.ext == row.n
         if "/" not in row.n:
             assert (row.s.stem, row.s.ext) == os.path.splitext(row.n), row.n
+
+
+def test_estimate_suffix_is_a_parameter(spark):
+    suffix = "E.ST"  # a dot in it is a dot
+    for text, cls in [("Q1 2026 E.ST", "period"), ("Q1 2026 EXST", "skipped"), ("FY 2026", "period"), ("Q1 2026 預估", "skipped")]:
+        assert one(spark, lambda c: G.header_class(c, estimate_suffix=suffix), text) == cls
+    r = one(spark, lambda c: G.parse_period(c, suffix), "Q3 2026 E.ST")
+    assert (r.period_type, r.year, r.quarter, r.is_estimate) == ("Q", 2026, 3, True)
+    r = one(spark, lambda c: G.quarter_estimate(c, suffix), "Q3 2026 E.ST")
+    assert (r.year, r.quarter) == (2026, 3)
+    assert one(spark, lambda c: G.quarter_estimate(c, suffix), "Q3 2026 預估") is None
+
+
+def test_changed_suffix_reaches_the_file_plan(spark):
+    from gridfold.operators.shape import classify_headers, data_versions
+    from gridfold.schema import Layout
+    layout = Layout(estimate_suffix="EST")
+    headers = spark.createDataFrame([("a", 2, "Q2 2026 EST"), ("a", 3, "Q4 2025")], "source_file string, col int, text string")
+    got = data_versions(classify_headers(headers, layout), layout).collect()
+    assert [tuple(r) for r in got] == [("a", "V_Q2_2026_ESTIMATE")]
+
+
+def test_s8_equal_names_in_one_call(spark):
+    from gridfold.sources.landing import ERR_NAME_TAKEN, ERR_NO_NAME, guard_new_names
+    rows = [("n.xlsx", "a.xlsx", 1), ("n.xlsx", "a.xlsx", 2), ("n.xlsx", "a.xlsx", 1), ("old.xlsx", "b.xlsx", 1), (None, None, 1), (None, None, 2)]
+    new = spark.createDataFrame(rows, "file_name string, original_name string, size int")
+    log = spark.createDataFrame([("old.xlsx",), ("old.xlsx",), (None,)], "file_name string")
+    got = sorted((r.file_name or "", r["size"], r.error or "") for r in guard_new_names(new, log).collect())
+    assert got == [("", 1, ERR_NO_NAME), ("", 2, ERR_NO_NAME), ("n.xlsx", 1, ""), ("n.xlsx", 1, ERR_NAME_TAKEN),
+                   ("n.xlsx", 2, ERR_NAME_TAKEN), ("old.xlsx", 1, ERR_NAME_TAKEN)]
+
+
+def test_f15_error_counts_only_for_a_failed_task(spark):
+    from gridfold.operators.runs import run_outcomes
+    runs = spark.createDataFrame([(1, "TERMINATED", "FAILED", None), (2, "TERMINATED", "FAILED", None)],
+                                 "run_id long, life_cycle_state string, result_state string, state_message string")
+    log = spark.createDataFrame([(1, "ingest", 0, 0, None, "TIMEDOUT", "boom"), (2, "ingest", 0, 0, None, "FAILED", "boom")],
+                                "run_id long, task_key string, attempt_number int, list_pos int, life_cycle_state string, result_state string, error string")
+    got = {r.run_id: r.message for r in run_outcomes(runs, log).collect()}
+    assert "boom" not in got[1] and got[2].endswith("boom")

@@ -4,6 +4,7 @@ import os
 import shutil
 import uuid
 
+import pytest
 from fixtures import worked_rows, write_book
 from pyspark.sql import functions as F
 
@@ -66,18 +67,18 @@ def test_n_files_equal_sequential_runs(spark, tmp_path):
         d = tmp_path / f"one{i}"
         d.mkdir()
         shutil.copy2(p, d / p.name)
-        run_ingest(spark, str(d), seq_t, seq_log, raise_on_check=False)
+        run_ingest(spark, str(d), seq_t, seq_log, raise_on_check=False, raise_on_error=False)
     # the first two files first (an earlier run), then all the rest at once
     early = tmp_path / "early"
     early.mkdir()
     for p in paths[:2]:
         shutil.copy2(p, early / p.name)
-    run_ingest(spark, str(early), all_t, all_log, raise_on_check=False)
+    run_ingest(spark, str(early), all_t, all_log, raise_on_check=False, raise_on_error=False)
     rest = tmp_path / "rest"
     rest.mkdir()
     for p in paths[2:]:
         shutil.copy2(p, rest / p.name)
-    res = run_ingest(spark, str(rest), all_t, all_log, raise_on_check=False)
+    res = run_ingest(spark, str(rest), all_t, all_log, raise_on_check=False, raise_on_error=False)
     assert _rows(spark, seq_t) == _rows(spark, all_t)
     got = {r.batch_key: r.source_file for r in read_facts(spark, all_t).select("batch_key", "source_file").distinct().collect()}
     assert got == {"BLB_260101": "a2.xlsx", "BLB_260104": "other.xlsx"}  # 260103 emptied by a valid empty file
@@ -89,7 +90,7 @@ def test_n_files_equal_sequential_runs(spark, tmp_path):
     errs = {r.source_file: r.error for r in res.files.collect()}
     assert errs["bad.xlsx"] and errs["a2.xlsx"] is None
     # re-running the same files changes nothing (idempotent replace)
-    run_ingest(spark, str(rest), all_t, all_log, raise_on_check=False)
+    run_ingest(spark, str(rest), all_t, all_log, raise_on_check=False, raise_on_error=False)
     assert _rows(spark, seq_t) == _rows(spark, all_t)
 
 
@@ -100,7 +101,7 @@ def test_stream_equals_batch(spark, tmp_path):
     b_t, b_log = _table(spark, db, "batch")
     s_t, _ = _table(spark, db, "stream")
     _land(spark, land, b_log)
-    run_ingest(spark, str(land), b_t, b_log, raise_on_check=False)
+    run_ingest(spark, str(land), b_t, b_log, raise_on_check=False, raise_on_error=False)
     q = ingest_stream(spark, str(land), s_t, str(tmp_path / "ckpt"), max_files=1, log_table=b_log,
                       checks_path=str(tmp_path / "checks"))
     q.awaitTermination()
@@ -157,3 +158,22 @@ def test_drop_many_emptied_partitions(spark):
     assert write_batches(spark, t, keep.limit(0), gone) == 0
     assert spark.table(t).count() == 600
     assert len(spark.sql(f"SHOW PARTITIONS {t}").collect()) == 600
+
+
+def test_failed_files_fail_the_run(spark, tmp_path):
+    from gridfold.plans.ingest import IngestError, ingest_one, run_ingest
+    db = "f" + uuid.uuid4().hex[:8]
+    facts, _ = _table(spark, db, "one")
+    land = tmp_path / "land"
+    land.mkdir()
+    with pytest.raises(IngestError, match="no workbook"):
+        run_ingest(spark, str(land), facts)
+    write_book(land / "a.xlsx", "BLB_260723", worked_rows())
+    (land / "bad.xlsx").write_bytes(b"no zip")
+    (land / "note.csv").write_bytes(b"x")
+    with pytest.raises(IngestError, match="1 of 2 workbooks failed: bad.xlsx") as e:
+        run_ingest(spark, str(land), facts)
+    assert e.value.result.rows_written == read_facts(spark, facts).count() > 0  # the valid file landed
+    for name in ("bad.xlsx", "note.csv"):
+        with pytest.raises(IngestError):
+            ingest_one(spark, str(land), facts, name)
