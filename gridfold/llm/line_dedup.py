@@ -11,14 +11,16 @@ passes is verified on the words themselves.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridfold.session import stage
 
-#: Counters of the rarity sketch: a fixed 64 KiB, one class (a byte) each.
-BUCKETS = 1 << 16
+#: Counters of the rarity sketch: a fixed 4 MiB, one class (a byte) each. Words
+#: that share a counter with more frequent ones are taken for as frequent, so
+#: too few counters put common words into the prefixes.
+BUCKETS = 1 << 22
+#: Counters that travel to the driver in one row (at most 128: a place is an ASCII character).
+RUN = 64
 #: Bits of the bitmaps that spare rows a shuffle.
 BITS = 1 << 20
 
@@ -29,30 +31,36 @@ def words(line: Column) -> Column:
 
 
 def _bucket(hashed: Column) -> Column:
-    return F.pmod(F.shiftrightunsigned(hashed, 40), F.lit(BUCKETS)).cast("int")
+    return F.shiftrightunsigned(hashed, 65 - BUCKETS.bit_length()).cast("int")
 
 
-def rarity_classes(texts: DataFrame) -> bytes:
-    """For each bucket of word hashes, a class 1..127 that rises with the number
-    of occurrences in all texts (four classes to a factor of two)."""
+def rarity_classes(texts: DataFrame) -> DataFrame:
+    """One row, ``classes``: for each bucket of word hashes, a byte 1..127 that
+    rises with the number of occurrences in all texts (four classes to a factor
+    of two). A frame, so that plans refer to it instead of spelling it out."""
     each = texts.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("w"))
     counts = each.groupBy(_bucket(F.xxhash64("w")).alias("b")).count()
+    step = F.char(F.least(F.lit(127), 1 + F.floor(4 * F.log2("count"))))
+    runs = counts.groupBy(F.floor(F.col("b") / RUN).alias("run")).agg(F.collect_list(F.struct(F.char(F.col("b") % RUN).alias("at"), step.alias("step"))).alias("seen"))
     out = bytearray([1]) * BUCKETS
-    for b, n in counts.toLocalIterator():  # at most BUCKETS rows
-        out[b] = min(127, 1 + int(4 * math.log2(n)))
-    return bytes(out)
+    for run, at, steps in runs.select("run", F.array_join("seen.at", ""), F.array_join("seen.step", "")).collect():  # at most BUCKETS / RUN rows
+        for k, c in zip(at.encode(), steps.encode()):
+            out[run * RUN + k] = c
+    return texts.sparkSession.createDataFrame([(out,)], "classes binary")
 
 
-def _ordered(line: Column, classes: bytes) -> Column:
-    """Word hashes of a line, rarest first: class, then hash, in one long."""
-    rank = F.lit(bytearray(classes))
+def _ordered(line: Column, rank: Column) -> Column:
+    """Hashes of a line's distinct words, rarest first: class, then hash, in one long."""
 
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
+    def key(h: Column, rank: Column) -> Column:
         c = F.ascii(F.substring(rank, _bucket(h) + 1, F.lit(1)).cast("string")).cast("long")
         return F.shiftleft(c, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    return F.sort_array(F.transform(words(line), key))
+    hashes = F.transform(F.split(F.lower(line), r"\s+"), lambda w: F.xxhash64(w))
+    hashes = F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit(""))))
+    # named once, as the element of an array, so that the bytes are not put into every row
+    ranked = F.transform(F.array(rank), lambda rank: F.transform(hashes, lambda h: key(h, rank)))
+    return F.sort_array(F.get(ranked, F.lit(0)))
 
 
 def _overlap(n: Column, m: Column, t: float) -> Column:
@@ -75,13 +83,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text).withColumn("doc", F.xxhash64("doc_id", "text"))
 
 
-def line_sets(docs: DataFrame, threshold: float, classes: bytes) -> DataFrame:
+def line_sets(docs: DataFrame, threshold: float, classes: DataFrame) -> DataFrame:
     """doc_id, doc, line, set, n, parity and prefix for each line with a word."""
     lines = docs.select("doc_id", "doc", F.posexplode(F.split("text", "\n")).alias("line", "words")).where(r"words RLIKE '\\S'")
-    lines = lines.select("doc_id", "doc", "line", _ordered(F.col("words"), classes).alias("w"))
+    lines = lines.select("*", classes.scalar().alias("rank")).select("doc_id", "doc", "line", _ordered(F.col("words"), F.col("rank")).alias("w"))
     n = F.size("w")
-    bits = F.transform("w", lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int")))
-    parity = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))
+    parity = F.aggregate("w", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(bit(w)))
     length = (n - F.ceil(n * threshold - 1e-9) + 1).cast("int")
     return lines.select("doc_id", "doc", "line", F.xxhash64("w").alias("set"), n.alias("n"), parity.alias("parity"),
                         F.transform(F.slice("w", 1, length), lambda w: w.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"))
@@ -114,10 +122,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, t: float) -> D
     bits = _bitmap(places.select(key.alias("key")))
     lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "words")).where(_in_bitmap(bits, key))
     text = stage(spark, lines.join(places, ["doc", "line"]).select("sid", F.col("words").alias("text")), "line-texts")
-    # texts travel as they are: as arrays of words they would be several times as large
-    both = pairs.join(text.toDF("x", "xt"), "x").join(text.toDF("y", "yt"), "y").select("x", "y", words(F.col("xt")).alias("xw"), words(F.col("yt")).alias("yw"))
-    common = F.size(F.array_intersect("xw", "yw"))
-    return both.where(common >= (F.size("xw") + F.size("yw") - common) * t - 1e-9).select("x", "y")
+    # texts travel as they are: as arrays of words they would be several times as large.
+    # The lambda binds the words, which a plain condition would split anew at each mention.
+    both = pairs.join(text.toDF("x", "xt"), "x").join(text.toDF("y", "yt"), "y")
+    sides = F.array(F.struct(words(F.col("xt")).alias("x"), words(F.col("yt")).alias("y")))
+    alike = F.exists(sides, lambda s: F.size(F.array_intersect(s.x, s.y)) >= _overlap(F.size(s.x), F.size(s.y), t))
+    return both.where(alike).select("x", "y")
 
 
 def later_matches(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
