@@ -241,43 +241,61 @@ def _places(ids: np.ndarray, out: pd.Series) -> np.ndarray:
     return graph
 
 
-def _search(index: DataFrame, query: DataFrame, lists: DataFrame, least: float, probes: int) -> DataFrame:
-    """Rows (a, b, n, copies): n is null for a link of a spanning tree of what one
-    task found, else the number of rows found for a, and of their copies. A pair
-    is counted in the first shard that its query searches of those its row is in."""
+def _search(index: DataFrame, query: DataFrame, lists: DataFrame, least: float) -> DataFrame:
+    """Rows (a, root, found) of each task: a link of a spanning tree of what it
+    found, or (root null) all rows verified for a."""
     deals = query.groupBy("shard", "block").agg(F.ceil(F.count("*") / QUERIES).cast("long").alias("deals"))
     query = query.join(deals, ["shard", "block"]).withColumn("deal", F.pmod(F.xxhash64("vec_id", F.lit(1)), "deals"))
-    index = index.join(lists, "vec_id").select("shard", "block", "vec_id", "copies", "v", "near", "out")
+    index = index.join(lists, "vec_id").select("shard", "block", "vec_id", "v", "out")
     index = index.join(deals, ["shard", "block"]).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).drop("deals")
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "n": [], "copies": []})
+            return pd.DataFrame({"a": [], "root": [], "found": []})
         ids, x, qids, q = left["vec_id"].to_numpy(), _matrix(left["v"]), right["vec_id"].to_numpy(), _matrix(right["v"])
         graph = _places(ids, left["out"])
         light = x.astype(np.float32)
         medoid = int((light @ light.mean(axis=0)).argmax())
-        homes, probed = np.stack(left["near"].to_numpy())[:, :OVERLAP], np.stack(right["near"].to_numpy())[:, :probes]
-        weight, count, more = left["copies"].to_numpy(), np.zeros(len(qids), dtype=np.int64), np.zeros(len(qids), dtype=np.int64)
         node = np.unique(np.concatenate([ids, qids]))
         root, of_row, of_query = np.arange(len(node)), np.searchsorted(node, ids), np.searchsorted(node, qids)
+        found = [(np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int32))]
         for a, b in in_range(light, graph, medoid, q.astype(np.float32), least - 1e-4):
             sure = (qids[a] != ids[b]) & (np.einsum("ij,ij->i", q[a], x[b]) >= least)
             a, b = a[sure], b[sure]
-            met = (probed[a][:, :, None] == homes[b][:, None, :]).any(axis=2)
-            mine = np.take_along_axis(probed[a], met.argmax(axis=1)[:, None], axis=1)[:, 0] == key[0]
-            count += np.bincount(a[mine], minlength=len(qids))
-            np.add.at(more, a[mine], weight[b[mine]])
+            found.append((a.astype(np.int32), b.astype(np.int32)))
             root = local_roots(len(node), of_query[a], of_row[b], root)
-        off, some = np.flatnonzero(root != np.arange(len(node))), np.flatnonzero(count)
-        none = pd.array([None] * len(off), dtype="Int64")
-        links = pd.DataFrame({"a": node[off], "b": node[root[off]], "n": none, "copies": none})
-        found = {"a": qids[some], "b": qids[some], "n": pd.array(count[some], dtype="Int64"), "copies": pd.array(more[some], dtype="Int64")}
-        return pd.concat([links, pd.DataFrame(found)])
+        a, b = (np.concatenate(f) for f in zip(*found))
+        some, rows = _lists(a, ids[b])
+        off = np.flatnonzero(root != np.arange(len(node)))
+        links = pd.DataFrame({"a": node[off], "root": pd.array(node[root[off]], dtype="Int64"), "found": None})
+        return pd.concat([links, pd.DataFrame({"a": qids[some], "root": pd.array([None] * len(some), dtype="Int64"), "found": rows})])
 
     keys = ["shard", "block", "deal"]
-    query = query.select(*keys, "vec_id", "v", "near")
-    return index.groupBy(*keys).cogroup(query.groupBy(*keys)).applyInPandas(run, "a long, b long, n long, copies long")
+    query = query.select(*keys, "vec_id", "v")
+    return index.groupBy(*keys).cogroup(query.groupBy(*keys)).applyInPandas(run, "a long, root long, found array<long>")
+
+
+def _lists(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct keys, and the values of each."""
+    order = np.argsort(key, kind="stable")
+    some, first = np.unique(key[order], return_index=True)
+    return some, np.split(value[order], first[1:]) if len(some) else []
+
+
+def pairs_of(hits: DataFrame) -> DataFrame:
+    """(a, b), a < b: every pair verified for either of its ends, once."""
+    each = hits.where("root IS NULL").select("a", F.explode("found").alias("b"))
+    return each.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def count_links(pairs: DataFrame, one: DataFrame) -> DataFrame:
+    """(a, n, copies): the rows linked to a, and how many copies these stand for.
+    A pair counts for both of its ends."""
+    both = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.*")
+    many = one.where("copies > 1").select(F.col("vec_id").alias("b"), (F.col("copies") - 1).alias("more"))
+    more = both.join(many, "b").groupBy("a").agg(F.sum("more").alias("more"))
+    counts = both.groupBy("a").agg(F.count("*").alias("n")).join(more, "a", "left")
+    return counts.select("a", "n", (F.col("n") + F.coalesce("more", F.lit(0))).alias("copies"))
 
 
 def audit(units: DataFrame, counts: DataFrame, least: float, rows: int = AUDIT) -> float:
@@ -350,13 +368,14 @@ def _dedup(spark, units: DataFrame, least: float, probes: int, recall: float, sh
     probes = min(probes, len(centres))
     while True:
         query = stage(spark, _shards(one, centres, probes, blocks)[1], "vector-queries")
-        hits = stage(spark, _search(index, query, lists, least, probes), "vector-hits")
-        counts = hits.where("n IS NOT NULL").groupBy("a").agg(F.sum("n").alias("n"), F.sum("copies").alias("copies"))
+        hits = stage(spark, _search(index, query, lists, least), "vector-hits")
+        pairs = stage(spark, pairs_of(hits), "vector-pairs")
+        counts = stage(spark, count_links(pairs, one), "vector-counts")
         share = audit(one, counts, least)
         if share >= recall or probes == len(centres):
             break
         probes = min(2 * probes, len(centres))
-    roots = components(hits.where("n IS NULL"), "a", "b")
+    roots = components(hits.where("root IS NOT NULL"), "a", "root")
     whole = (
         classes.join(counts.withColumnRenamed("copies", "others"), F.col("first") == F.col("a"), "left")
         .join(roots, F.col("first") == F.col("node"), "left")
