@@ -5,7 +5,8 @@ overlap. Each shard builds a navigable graph (robust pruning keeps a neighbour
 only if no kept one is much nearer to it). The adjacency lists of a vector from
 all its shards are united; every vector then searches the shards of its
 nearest centres, greedily from their medoids, and expands from what is in range
-until nothing new is. Hits are verified in double precision, and recall is
+until nothing new is. Where an edge leads out of the shards searched, the search
+goes on in the shard it leads to, from the rows in range that are in both. Hits are verified in double precision, and recall is
 audited against a scan of all rows; where it falls short, more shards are
 searched.
 """
@@ -160,14 +161,21 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, width: int = LIST, seed: in
     return graph, medoid
 
 
-def in_range(x: np.ndarray, graph: np.ndarray, medoid: int, q: np.ndarray, least: float, width: int = LIST) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def in_range(x: np.ndarray, graph: np.ndarray, medoid: int, q: np.ndarray, least: float, width: int = LIST, known: tuple | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(query, row) places of cosine >= least: what a greedy search finds, and from
-    there, as long as something new is in range, the neighbours of all of it."""
+    there and from the places ``known`` to be in range (queries in order), as long
+    as something new is in range, the neighbours of all of it."""
     n = len(x)
     chunk = max(1, min(512, (1 << 23) // n))
     for k in range(0, len(q), chunk):
         part = q[k:k + chunk]
         _, seen, todo = search(x, graph, medoid, part, min(width, n), least)
+        if known:
+            some = slice(*np.searchsorted(known[0], (k, k + len(part))))
+            r, row = known[0][some] - k, known[1][some]
+            new = ~seen[r, row]
+            seen[r[new], row[new]] = True
+            todo.append((r[new], row[new]))
         while todo:
             r, row = todo.pop()
             yield r + k, row
@@ -228,7 +236,8 @@ def _build(index: DataFrame) -> DataFrame:
 
 
 def _places(ids: np.ndarray, out: pd.Series) -> np.ndarray:
-    """Adjacency of a shard from lists of ids: those of other shards fall out."""
+    """Adjacency of a shard from lists of ids: those of other shards fall out here,
+    and are met where the search goes on in those shards."""
     size = out.str.len().to_numpy()
     order, flat = np.argsort(ids), np.concatenate(out.to_numpy()).astype(np.int64)
     at = np.searchsorted(ids, flat, sorter=order).clip(max=len(ids) - 1)
@@ -241,17 +250,19 @@ def _places(ids: np.ndarray, out: pd.Series) -> np.ndarray:
     return graph
 
 
-def _search(index: DataFrame, query: DataFrame, lists: DataFrame, least: float) -> DataFrame:
-    """Rows (a, root, found) of each task: a link of a spanning tree of what it
-    found, or (root null) all rows verified for a."""
+def _search(index: DataFrame, query: DataFrame, lists: DataFrame, least: float, probes: int) -> DataFrame:
+    """Rows (a, root, shard, found) of each task: a link of a spanning tree of what
+    it found; or (root and shard null) all rows verified for a; or (root null)
+    those of them that are in another shard too, which is not among the
+    ``probes`` nearest ones of a. ``known`` of a query are rows in range of it."""
     deals = query.groupBy("shard", "block").agg(F.ceil(F.count("*") / QUERIES).cast("long").alias("deals"))
     query = query.join(deals, ["shard", "block"]).withColumn("deal", F.pmod(F.xxhash64("vec_id", F.lit(1)), "deals"))
-    index = index.join(lists, "vec_id").select("shard", "block", "vec_id", "v", "out")
+    index = index.join(lists, "vec_id").select("shard", "block", "vec_id", "v", "near", "out")
     index = index.join(deals, ["shard", "block"]).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).drop("deals")
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "root": [], "found": []})
+            return pd.DataFrame({"a": [], "root": [], "shard": [], "found": []})
         ids, x, qids, q = left["vec_id"].to_numpy(), _matrix(left["v"]), right["vec_id"].to_numpy(), _matrix(right["v"])
         graph = _places(ids, left["out"])
         light = x.astype(np.float32)
@@ -259,20 +270,60 @@ def _search(index: DataFrame, query: DataFrame, lists: DataFrame, least: float)
         node = np.unique(np.concatenate([ids, qids]))
         root, of_row, of_query = np.arange(len(node)), np.searchsorted(node, ids), np.searchsorted(node, qids)
         found = [(np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int32))]
-        for a, b in in_range(light, graph, medoid, q.astype(np.float32), least - 1e-4):
+        of_known = np.repeat(np.arange(len(qids)), right["known"].str.len().to_numpy())
+        known = np.concatenate(right["known"].to_numpy()).astype(np.int64)
+        order = np.argsort(ids)
+        at = order[np.searchsorted(ids, known, sorter=order).clip(max=len(ids) - 1)]
+        here = ids[at] == known  # the others are in other blocks
+        for a, b in in_range(light, graph, medoid, q.astype(np.float32), least - 1e-4, known=(of_known[here], at[here])):
             sure = (qids[a] != ids[b]) & (np.einsum("ij,ij->i", q[a], x[b]) >= least)
             a, b = a[sure], b[sure]
             found.append((a.astype(np.int32), b.astype(np.int32)))
             root = local_roots(len(node), of_query[a], of_row[b], root)
         a, b = (np.concatenate(f) for f in zip(*found))
-        some, rows = _lists(a, ids[b])
         off = np.flatnonzero(root != np.arange(len(node)))
-        links = pd.DataFrame({"a": node[off], "root": pd.array(node[root[off]], dtype="Int64"), "found": None})
-        return pd.concat([links, pd.DataFrame({"a": qids[some], "root": pd.array([None] * len(some), dtype="Int64"), "found": rows})])
+        out = [_hits(node[off], node[root[off]], None, None)]
+        some, rows = _lists(a, ids[b])
+        out.append(_hits(qids[some], None, None, rows))
+        homes, probed = np.stack(left["near"].to_numpy())[:, :OVERLAP], np.stack(right["near"].to_numpy())[:, :probes]
+        for home in homes.T:
+            new = (probed[a] != home[b][:, None]).all(axis=1) & (home[b] != key[0])
+            some, rows = _lists(a[new] * (homes.max() + 1) + home[b[new]], ids[b[new]])
+            some, shard = np.divmod(some, homes.max() + 1)
+            out.append(_hits(qids[some], None, shard, rows))
+        return pd.concat(out)
 
     keys = ["shard", "block", "deal"]
-    query = query.select(*keys, "vec_id", "v")
-    return index.groupBy(*keys).cogroup(query.groupBy(*keys)).applyInPandas(run, "a long, root long, found array<long>")
+    query = query.select(*keys, "vec_id", "v", "near", "known")
+    return index.groupBy(*keys).cogroup(query.groupBy(*keys)).applyInPandas(run, HITS)
+
+
+HITS = "a long, root long, shard long, found array<long>"
+
+
+def _hits(a: np.ndarray, root: np.ndarray | None, shard: np.ndarray | None, found: list | None) -> pd.DataFrame:
+    whole = lambda x: pd.array([None] * len(a) if x is None else x, dtype="Int64")
+    return pd.DataFrame({"a": a, "root": whole(root), "shard": whole(shard), "found": pd.Series([None] * len(a) if found is None else found, dtype=object)})
+
+
+def _search_on(index: DataFrame, query: DataFrame, lists: DataFrame, blocks: list[int], least: float, probes: int) -> DataFrame:
+    """Hits of all rounds: a round searches, for each query, the shards that rows in
+    range of it are in and that it has not searched yet, until there is none."""
+    spark = index.sparkSession
+    rows = query.where("rank = 0 AND block = 0").select("vec_id", "v", "near")
+    asked = query.select("vec_id", "shard").distinct()
+    query = query.withColumn("known", F.array().cast("array<long>"))
+    hits = None
+    while True:
+        new = stage(spark, _search(index, query, lists, least, probes), "vector-hits")
+        hits = new.where("shard IS NULL") if hits is None else hits.union(new.where("shard IS NULL"))
+        on = new.where("shard IS NOT NULL").groupBy(F.col("a").alias("vec_id"), "shard").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("known"))
+        on = stage(spark, on.join(asked, ["vec_id", "shard"], "left_anti"), "vector-on")
+        if on.isEmpty():
+            return hits
+        asked = asked.union(on.select("vec_id", "shard"))
+        query = on.join(rows, "vec_id").withColumn("blocks", F.element_at(F.array(*map(F.lit, blocks)), F.col("shard").cast("int") + 1))
+        query = query.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
 
 
 def _lists(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -284,7 +335,7 @@ def _lists(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, list[np.ndar
 
 def pairs_of(hits: DataFrame) -> DataFrame:
     """(a, b), a < b: every pair verified for either of its ends, once."""
-    each = hits.where("root IS NULL").select("a", F.explode("found").alias("b"))
+    each = hits.where("root IS NULL AND shard IS NULL").select("a", F.explode("found").alias("b"))
     return each.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -368,7 +419,7 @@ def _dedup(spark, units: DataFrame, least: float, probes: int, recall: float, sh
     probes = min(probes, len(centres))
     while True:
         query = stage(spark, _shards(one, centres, probes, blocks)[1], "vector-queries")
-        hits = stage(spark, _search(index, query, lists, least), "vector-hits")
+        hits = _search_on(index, query, lists, blocks, least, probes)
         pairs = stage(spark, pairs_of(hits), "vector-pairs")
         counts = stage(spark, count_links(pairs, one), "vector-counts")
         share = audit(one, counts, least)

@@ -25,3 +25,11 @@ def test_a_verified_pair_counts_for_both_ends(spark):
     for r in got.values():
         assert r.n_links <= linked[r.vec_id].sum() - 1
         assert (r.n_links > 0) == (len(others[r.component_id]) > 1)
+
+
+def test_the_search_goes_on_where_edges_leave_the_probed_shards(spark):
+    x = blob(3000, seed=8)
+    true = (x @ x.T >= 0.9).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in E.dedup_vectors(frame(spark, x), recall=0.0, shard=40).collect()}
+    share = [got[i] / n for i, n in enumerate(true) if n]
+    assert max(s for s in share) <= 1 and np.mean(share) > 0.9
