@@ -6,9 +6,9 @@ only if no kept one is much nearer to it). The adjacency lists of a vector from
 all its shards are united; every vector then searches the shards of its
 nearest centres, greedily from their medoids, and expands from what is in range
 until nothing new is. Where an edge leads out of the shards searched, the search
-goes on in the shard it leads to, from the rows in range that are in both. Hits are verified in double precision, and recall is
+goes on in the shard it leads to, from the rows in range that are in both. Hits are verified in double precision, and recall by row is
 audited against a scan of all rows; where it falls short, more shards are
-searched.
+searched, and after all of them the rows that may be short are scanned exactly.
 """
 
 from __future__ import annotations
@@ -25,8 +25,11 @@ from gridfold.llm.components import components, local_roots
 from gridfold.session import ship_package, stage
 
 #: Rows that centres are fitted on, vectors of one shard (a larger one is dealt into
-#: blocks), queries of one task, and rows whose neighbours the audit finds by a scan.
-FIT_ROWS, SHARD, QUERIES, AUDIT = 20_000, 2_000, 2_000, 100
+#: blocks), queries of one task, and rows whose neighbours the audit finds by a scan
+#: (of those with links found, and of those without).
+FIT_ROWS, SHARD, QUERIES, AUDIT = 20_000, 2_000, 2_000, 1_000
+#: Audited rows that a group size needs to be judged by itself.
+JUDGED = 30
 #: Pairs of a query and a row looked at at once.
 PAIRS = 1 << 20
 #: Shards a vector is put in; out-degree; search list; pruning slack; nearest
@@ -349,22 +352,80 @@ def count_links(pairs: DataFrame, one: DataFrame) -> DataFrame:
     return counts.select("a", "n", (F.col("n") + F.coalesce("more", F.lit(0))).alias("copies"))
 
 
-def audit(units: DataFrame, counts: DataFrame, least: float, rows: int = AUDIT) -> float:
-    """Recall: of what a scan of all rows finds for the ``rows`` vectors with the
-    smallest id hashes among those the index found links for, and as many
-    among all, the share that was counted."""
-    some = counts.orderBy(F.xxhash64("a"), "a").limit(rows).join(units, F.col("a") == F.col("vec_id")).select("vec_id", "v").union(
-        units.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).select("vec_id", "v")).dropDuplicates(["vec_id"]).toPandas()
+def audit(units: DataFrame, counts: DataFrame, least: float, rows: int = AUDIT) -> list[tuple[int, int, float]]:
+    """(true, found, weight) of audited rows that have true links, by a scan of all
+    rows: the ``rows`` vectors with the smallest id hashes of those the index found
+    links for, and as many of those it found none for. A row weighs as many
+    rows as it was chosen from for each one chosen."""
+    found = units.join(counts.select(F.col("a").alias("vec_id"), "n"), "vec_id", "left").select("vec_id", "v", F.coalesce("n", F.lit(0)).alias("n"))
+    parts = [found.where("n > 0"), found.where("n = 0")]
+    picked = [p.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).toPandas() for p in parts]
+    weights = [p.count() / max(1, len(x)) for p, x in zip(parts, picked)]
+    some = pd.concat(picked)
     if not len(some):
-        return 1.0
+        return []
     q, ids = _matrix(some["v"]), some["vec_id"].tolist()
 
     def make():
-        return lambda _, vs: {"a": ids, "n": (np.array(vs) @ q.T >= least).sum(axis=0).tolist()}
+        def work(_, vs):
+            n = np.zeros(len(ids), dtype=np.int64)
+            for k in range(0, len(vs), 1000):
+                n += (np.array(vs[k:k + 1000]) @ q.T >= least).sum(axis=0)
+            return {"a": ids, "n": n.tolist()}
 
-    scan = map_columns(units.select("vec_id", "v"), "a long, n long", make).groupBy("a").agg((F.sum("n") - 1).alias("true"))
-    both = scan.join(counts.select("a", "n"), "a", "left").agg(F.sum("true").alias("t"), F.sum(F.least(F.coalesce("n", F.lit(0)), "true")).alias("f")).first()
-    return both["f"] / both["t"] if both["t"] else 1.0
+        return work
+
+    scanned = map_columns(units.select("vec_id", "v"), "a long, n long", make).groupBy("a").agg((F.sum("n") - 1).alias("true"))
+    true = {r["a"]: r["true"] for r in scanned.collect()}  # at most 2 * rows
+    return [(true[i], min(n, true[i]), w) for p, w in zip(picked, weights) for i, n in zip(p["vec_id"], p["n"]) if true[i]]
+
+
+def judge(audited: list[tuple[int, int, float]], recall: float) -> tuple[float, int | None]:
+    """The lowest mean of found / true over the audited rows of a group size (1, 2-3,
+    4-7, ... links), and the largest number of links of a size that falls short of
+    ``recall`` (none: null). A size with few rows is judged with its neighbour."""
+    if not audited:
+        return 1.0, None
+    true, found, weight = np.array(audited).T
+    share, size, groups = found / true, np.frexp(true)[1], []
+    for s in np.unique(size):
+        at = np.flatnonzero(size == s)
+        if groups and len(groups[-1]) < JUDGED:
+            groups[-1] = np.concatenate([groups[-1], at])
+        else:
+            groups.append(at)
+    if len(groups) > 1 and len(groups[-1]) < JUDGED:
+        groups[-2:] = [np.concatenate(groups[-2:])]
+    means = [float(np.average(share[g], weights=weight[g])) for g in groups]
+    short = [2 ** int(size[g].max()) - 1 for g, m in zip(groups, means) if m < recall]
+    return min(means), max(short, default=None)
+
+
+def scan(rows: DataFrame, one: DataFrame, least: float) -> DataFrame:
+    """Hits of ``rows`` (vec_id, v) among all of ``one``, by comparing each with each:
+    blocks of both meet in one task."""
+    n, m = one.count(), rows.count()
+    deals, blocks = max(1, math.ceil(m / (5 * QUERIES))), math.ceil(n / SHARD)
+    left = one.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deals - 1).cast("long"))).alias("deal"))
+    right = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(deals)).alias("deal"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+
+    def run(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "root": [], "shard": [], "found": []})
+        ids, x, qids, q = left["vec_id"].to_numpy(), _matrix(left["v"]), right["vec_id"].to_numpy(), _matrix(right["v"])
+        node = np.unique(np.concatenate([ids, qids]))
+        root, of_row, of_query = np.arange(len(node)), np.searchsorted(node, ids), np.searchsorted(node, qids)
+        out, step = [], max(1, PAIRS // len(ids))
+        for k in range(0, len(q), step):
+            a, b = np.nonzero((q[k:k + step] @ x.T >= least) & (qids[k:k + step, None] != ids))
+            root = local_roots(len(node), of_query[a + k], of_row[b], root)
+            some, found = _lists(a, ids[b])
+            out.append(_hits(qids[some + k], None, None, found))
+        off = np.flatnonzero(root != np.arange(len(node)))
+        return pd.concat([*out, _hits(node[off], node[root[off]], None, None)])
+
+    keys = ["block", "deal"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, HITS)
 
 
 def dedup_vectors(vectors: DataFrame, least: float = 0.9, probes: int = 4, recall: float = 0.98, shard: int = SHARD) -> DataFrame:
@@ -373,8 +434,10 @@ def dedup_vectors(vectors: DataFrame, least: float = 0.9, probes: int = 4, recal
     Two vectors link at a cosine of ``least`` or more. ``n_links`` counts the other
     vectors linked directly, ``component_id`` is the smallest vec_id that links
     reach, ``kept`` whether that is the row's own. ``recall`` is the audited share
-    of links found; below the asked one, twice as many shards are searched, up to
-    all of them.
+    of a row's links that are found, as a mean over the rows of the group size
+    where it is lowest. Below the asked one, twice as many shards are
+    searched, up to all of them; if it is still short, all rows that have no
+    more links than the short sizes are held against all others.
 
     Equal vectors are one class: one of them is indexed, and counts for all.
     Vectors that are null, empty, zero, or hold a null or non-finite component
@@ -401,6 +464,10 @@ def dedup_vectors(vectors: DataFrame, least: float = 0.9, probes: int = 4, recal
         F.col("vec_id").eqNullSafe(component).alias("kept"), F.coalesce("recall", F.lit(1.0)).alias("recall"))
 
 
+def _counts(spark, hits: DataFrame, one: DataFrame) -> DataFrame:
+    return stage(spark, count_links(stage(spark, pairs_of(hits), "vector-pairs"), one), "vector-counts")
+
+
 def _dedup(spark, units: DataFrame, least: float, probes: int, recall: float, shard: int) -> DataFrame:
     """The same for vectors of one length, without those that link with nothing."""
     ship_package(spark)
@@ -420,12 +487,17 @@ def _dedup(spark, units: DataFrame, least: float, probes: int, recall: float, sh
     while True:
         query = stage(spark, _shards(one, centres, probes, blocks)[1], "vector-queries")
         hits = _search_on(index, query, lists, blocks, least, probes)
-        pairs = stage(spark, pairs_of(hits), "vector-pairs")
-        counts = stage(spark, count_links(pairs, one), "vector-counts")
-        share = audit(one, counts, least)
+        counts = _counts(spark, hits, one)
+        share, short = judge(audit(one, counts, least), recall)
         if share >= recall or probes == len(centres):
             break
         probes = min(2 * probes, len(centres))
+    if share < recall:
+        few = one.join(counts, F.col("vec_id") == F.col("a"), "left").where(F.coalesce("n", F.lit(0)) <= short)
+        rows = stage(spark, few.select("vec_id", "v"), "vector-short")
+        hits = hits.union(stage(spark, scan(rows, one, least), "vector-scan"))
+        counts = _counts(spark, hits, one)
+        share, _ = judge(audit(one, counts, least), recall)
     roots = components(hits.where("root IS NOT NULL"), "a", "root")
     whole = (
         classes.join(counts.withColumnRenamed("copies", "others"), F.col("first") == F.col("a"), "left")

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from gridfold.llm import embed_dedup as E
 
@@ -33,3 +34,22 @@ def test_the_search_goes_on_where_edges_leave_the_probed_shards(spark):
     got = {r.vec_id: r.n_links for r in E.dedup_vectors(frame(spark, x), recall=0.0, shard=40).collect()}
     share = [got[i] / n for i, n in enumerate(true) if n]
     assert max(s for s in share) <= 1 and np.mean(share) > 0.9
+
+
+def test_rows_that_stay_short_with_all_shards_probed_are_scanned(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    dense = rng.normal(size=16) + 0.1 * rng.normal(size=(150, 16))
+    far = rng.normal(size=(300, 16))
+    x = np.concatenate([dense, far, far[:40] + 0.02 * rng.normal(size=(40, 16))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    no_edges = F.array().cast("array<long>").alias("out")
+    monkeypatch.setattr(E, "_build", lambda index: index.select("vec_id").distinct().select("vec_id", no_edges))
+    got = {r.vec_id: r for r in E.dedup_vectors(frame(spark, x), shard=64).collect()}
+    assert [got[i].n_links for i in range(len(x))] == ((x @ x.T >= 0.9).sum(axis=1) - 1).tolist()
+    assert all(r.recall == 1 for r in got.values())
+
+
+def test_small_groups_are_judged_by_themselves():
+    dense, pairs = [(1000, 1000, 1.0)] * 70, [(1, 0, 3.0)] * 40
+    assert E.judge(dense + pairs, 0.98) == (0.0, 1)
+    assert E.judge(dense, 0.98) == (1.0, None) and E.judge([], 0.98) == (1.0, None)
