@@ -17,12 +17,19 @@ from pyspark.sql import DataFrame, functions as F
 from gridfold.llm.common import map_columns, rewrite_text, text_or_empty
 
 KEY_WORDS = r"(?:pass(?:wor[dt]|wd|phrase)?|pwd|secret|token|credentials?|auth|bearer|api[_-]?key|access[_-]?key|private[_-]?key)"
-#: What can be a secret: a key block, a value given to a credential's name, or a
-#: long run of key characters with a digit in it.
+#: What can be a secret: a key block; a value given to a credential's name, up to
+#: the closing quote, or to white space without one (a comma or the like ends it
+#: only before white space, a tag or the next name); a key with the mark of its
+#: issuer; or a long run of key characters. Digits are left to the forest.
+NAMED = rf"(?i:{KEY_WORDS}[\w-]{{0,20}}[\"']?\s*(?:[:=]|=>|is)\s*)"
+RUN = r"A-Za-z0-9_+/=-"
 CANDIDATE = re.compile(
     r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]|-(?!----))*-----END [A-Z ]*PRIVATE KEY-----"
-    rf"|(?i:{KEY_WORDS}[\w-]{{0,20}}[\"']?\s*(?:[:=]|=>|is)\s*[\"']?)(?P<value>[^\s\"',;<>]{{6,}})"
-    r"|(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*[0-9])[A-Za-z0-9_+/=-]{16,}",
+    rf"|{NAMED}(?P<q>[\"'])(?P<quoted>(?:\\[^\n]|(?!(?P=q))[^\\\n]){{6,}})(?P=q)"
+    rf"|{NAMED}[\"']?(?P<value>(?:[^\s\"',;<>]|(?:[,;<>](?=[,;<>]{{0,8}}[^\s\"',;<>/])|[\"'](?=[^\s\"',;<>]))(?![,;<>\"']{{0,8}}[\w-]{{1,40}}[\"']?\s{{0,4}}[:=])){{6,}})"
+    rf"|(?<![{RUN}])(?:(?:AKIA|ASIA|ABIA|ACCA)[A-Z0-9]{{16}}|gh[opsur]_[A-Za-z0-9]{{20,}}|github_pat_\w{{20,}}|[srp]k_(?:live|test)_[A-Za-z0-9]{{16,}}"
+    rf"|xox[abeoprs]-[A-Za-z0-9-]{{10,}}|glpat-[\w-]{{16,}}|npm_[A-Za-z0-9]{{20,}})(?![{RUN}])"
+    rf"|(?<![{RUN}])[{RUN}]{{16,}}",
 )
 KEYED = re.compile(KEY_WORDS, re.I)
 HARMLESS = re.compile(r"example|sample|dummy|placeholder|changeme|commit|sha-?\d|md5|checksum|digest|uuid|invoice|order|phone|card|isbn|version|build", re.I)
@@ -84,7 +91,7 @@ class Reader:
         )
 
     def candidates(self, text: str) -> list[tuple[int, int]]:
-        return [m.span("value") if m.group("value") else m.span() for m in CANDIDATE.finditer(text)]
+        return [m.span(m.lastgroup) if m.lastgroup in ("quoted", "value") else m.span() for m in CANDIDATE.finditer(text)]
 
 
 @dataclass
@@ -145,12 +152,14 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 8, le
 
 def labelled_findings(words: list[str], n: int = 4_000, seed: int = 11) -> list[tuple[str, int, int, bool]]:
     """(text, start, end, is a secret): findings as a reviewer would mark them.
-    Random keys of the usual kinds, in assignments or bare, are secrets; numbers,
-    identifiers, paths, digests named as such, placeholders and joined words
-    are not. ``words`` makes the prose around them."""
+    Random keys of the usual kinds, with digits or without, in assignments or bare,
+    and passwords with marks in them are secrets; numbers, identifiers, paths,
+    digests named as such, placeholders, long and joined words in any case,
+    rules, and phrases in quotes are not. ``words`` makes the prose around them."""
     rng = random.Random(seed)
     words = words or ["lorem", "ipsum", "dolor", "amet", "sunt", "culpa"]
     hexes, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    capitals, letters = alnum[:26], alnum[:52]
 
     def draw(chars: str, *sizes: int) -> str:
         return "".join(rng.choice(chars) for _ in range(rng.choice(sizes)))
@@ -163,8 +172,18 @@ def labelled_findings(words: list[str], n: int = 4_000, seed: int = 11) -> list[
             lambda: draw(hexes, 16, 18, 20, 24, 32, 40, 48, 64), lambda: draw(alnum, 20, 24, 32, 36, 40, 64), lambda: draw(alnum + "+/", 40, 44, 88) + "=",
             lambda: rng.choice(["AKIA", "ASIA"]) + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16),
             lambda: rng.choice(["ghp_", "sk_live_", "xoxb-", "glpat-", "npm_"]) + draw(alnum, 24, 36),
+            lambda: rng.choice(["AKIA", "ASIA"]) + draw(capitals, 16) if rng.random() < 0.5 else draw(letters, 20, 24, 32, 40),
         ])()
 
+    def marked() -> str:
+        return "".join(rng.sample(draw(alnum, 6, 8, 12, 16) + draw(",;<>!@#$%&*", 1, 2, 4), k=7)) + draw(alnum, 1, 4)
+
+    def long_word() -> str:
+        w = "".join(rng.choice(words) for _ in range(rng.randint(2, 5)))
+        while len(w) < 16:
+            w += rng.choice(words)
+        return rng.choice([str.lower, str.lower, str.capitalize, str.upper])(w)
+
     def harmless() -> tuple[str, str]:
         word = lambda: rng.choice(words)
         digits = "0123456789"
@@ -176,6 +195,9 @@ def labelled_findings(words: list[str], n: int = 4_000, seed: int = 11) -> list[
             lambda: (rng.choice(["/", "https://"]), "/".join([word(), word(), word() + draw(digits, 1, 2), word()])),
             lambda: (rng.choice(["password=", "token: ", "api_key = "]), rng.choice(["changeme", "your_", "example_", "placeholder_"]) + word() + draw(digits, 1, 2)),
             lambda: (rng.choice(["password: ", "token = ", "secret is "]), word() + word()), lambda: ("", word() + word() + word() + word() + draw(digits, 1)),
+            lambda: ("", long_word()), lambda: ("", long_word()),
+            lambda: ("", rng.choice(["-", "_", "/", ""]).join(rng.choice([str, str.capitalize, str.upper])(word()) for _ in range(rng.randint(3, 5)))),
+            lambda: ("", rng.choice("=-_+/") * rng.randint(16, 60)), lambda: (rng.choice(["password is \"", "token: \"", "secret = '"]), prose(rng.randint(2, 5))),
             lambda: ("", "x" * rng.randint(16, 30) + "1"), lambda: ("", "=" * rng.randint(10, 20) + draw(digits, 4) + "=" * 10),
         ])()
 
@@ -184,7 +206,7 @@ def labelled_findings(words: list[str], n: int = 4_000, seed: int = 11) -> list[
         good = rng.random() < 0.5
         if good:
             name = rng.choice(["password=", "passwd: ", "token = ", "api_key=", "secret: ", "access_key = ", "key ", "", ""])
-            lead, value = name + rng.choice(["", "\"", "'"]), secret()
+            lead, value = name + rng.choice(["", "\"", "'"]), marked() if name[-1:] in "= " and rng.random() < 0.15 and "=" in name else secret()
         else:
             lead, value = harmless()
         head = f"{prose(rng.randint(0, 6))} {lead}"
