@@ -33,12 +33,12 @@ CANDIDATE = re.compile(
 )
 KEYED = re.compile(KEY_WORDS, re.I)
 HARMLESS = re.compile(r"example|sample|dummy|placeholder|changeme|commit|sha-?\d|md5|checksum|digest|uuid|invoice|order|phone|card|isbn|version|build", re.I)
-AROUND = 48  # characters looked at before a candidate
+AROUND = 48  # characters looked at on either side of a candidate
 REDACTED = "[SECRET]"
 
 FEATURES = (
     "log_length", "digits", "upper", "lower", "other", "turns", "bigrams", "distinct", "covered", "path", "keyed", "harmless",
-    "assigned", "quoted", "hex",
+    "assigned", "quoted", "hex", "keyed_after", "harmless_after",
 )
 #: Dictionary: the most frequent words of the corpus, 4 to 12 small letters each.
 DICTIONARY, MIN_WORD, MAX_WORD = 5_000, 4, 12
@@ -76,18 +76,18 @@ class Reader:
         return hit / max(1, len(s))
 
     def features(self, text: str, start: int, end: int) -> tuple[float, ...]:
-        s, before, n = text[start:end], text[max(0, start - AROUND):start], end - start
+        s, before, after, n = text[start:end], text[max(0, start - AROUND):start], text[end:end + AROUND], end - start
         kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in s]
         codes = np.array([ord(c) - 96 if "a" <= c <= "z" else 0 for c in s.lower()])
         near = self.log[codes[:-1], codes[1:]].mean() if n > 1 else 0.0
         share = lambda k: kinds.count(k) / n
         return (
             float(np.log1p(n)), share("d"), share("u"), share("l"), share("o"),
-            sum(a != b for a, b in zip(kinds, kinds[1:])) / n, float(near), len(set(s)) / n, self.covered(s[:4096]),
+            sum(a != b for a, b in zip(kinds, kinds[1:])) / n, float(near), len(set(s)) / n, self.covered(s),
             float(s.count("/") / n > 0.05 or before[-1:] in ("/", ".", "\\") or "://" in before[-30:]),
             float(bool(KEYED.search(before) or s.startswith("-----BEGIN"))), float(bool(HARMLESS.search(before) or HARMLESS.search(s))),
             float(before.rstrip(" \"'")[-1:] in ("=", ":")), float(before[-1:] in ("\"", "'")),
-            float(all(c in "0123456789abcdefABCDEF" for c in s)),
+            float(all(c in "0123456789abcdefABCDEF" for c in s)), float(bool(KEYED.search(after))), float(bool(HARMLESS.search(after))),
         )
 
     def candidates(self, text: str) -> list[tuple[int, int]]:
@@ -203,14 +203,18 @@ def labelled_findings(words: list[str], n: int = 4_000, seed: int = 11) -> list[
 
     out = []
     while len(out) < n:
-        good = rng.random() < 0.5
+        good, named = rng.random() < 0.5, rng.random() < 0.2
         if good:
             name = rng.choice(["password=", "passwd: ", "token = ", "api_key=", "secret: ", "access_key = ", "key ", "", ""])
             lead, value = name + rng.choice(["", "\"", "'"]), marked() if name[-1:] in "= " and rng.random() < 0.15 and "=" in name else secret()
         else:
             lead, value = harmless()
+        if rng.random() < 0.05:  # a digest, or a key, by what stands after it
+            lead, value, named = "", draw(hexes, 32, 40, 64), not good
         head = f"{prose(rng.randint(0, 6))} {lead}"
-        out.append((f"{head}{value}{lead[-1:] if lead[-1:] in ('\"', chr(39)) else ''} {prose(3)}", len(head), len(head) + len(value), good))
+        told = ["is the password", "as api key", "(secret token)"] if good else ["is the commit", "(sha256)", "as checksum", "order number", "uuid"]
+        tail = f"{rng.choice(told)} {prose(1)}" if named else prose(3)
+        out.append((f"{head}{value}{lead[-1:] if lead[-1:] in ('\"', chr(39)) else ''} {tail}", len(head), len(head) + len(value), good))
     return out
 
 

@@ -45,3 +45,17 @@ def test_long_words_paths_and_rules_are_not(judge):
 ])
 def test_a_named_value_is_taken_whole(text, value):
     assert [text[a:b] for a, b in S.Reader(WORDS).candidates(text)] == [value]
+
+
+def test_coverage_reads_the_whole_candidate():
+    reader = S.Reader(WORDS)
+    text = "x" * 4096 + "mention" * 2048
+    assert reader.covered("mention" * 5) == 1
+    assert reader.features(text, 0, len(text))[S.FEATURES.index("covered")] == 7 * 2048 / len(text)
+
+
+def test_words_after_a_candidate_count(judge):
+    rng = random.Random(4)
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(50)]
+    assert sum(judge(f"whole orbit {k} is the commit") == [] for k in keys) >= 48
+    assert sum(judge(f"whole orbit {k} above season planet") == [k] for k in keys) >= 48
