@@ -50,12 +50,14 @@ def simhash(text: str, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, fp (as a signed long) per row; a null text counts as empty."""
+    """doc_id, fp (as a signed long) and ``key``, a hash of the text, per row; a null
+    text counts as empty."""
 
     def make():
-        return lambda ids, texts: {"doc_id": ids, "fp": [simhash(t, words) for t in texts]}
+        return lambda ids, keys, texts: {"doc_id": ids, "key": keys, "fp": [simhash(t, words) for t in texts]}
 
-    return map_columns(text_or_empty(docs, "doc_id"), "doc_id long, fp long", make)
+    texts = text_or_empty(docs, "doc_id").select("doc_id", F.xxhash64("text").alias("key"), "text")
+    return map_columns(texts, "doc_id long, key long, fp long", make)
 
 
 def _checks(block: Column) -> Column:
@@ -162,34 +164,41 @@ def dedup_documents(docs: DataFrame, words: int = 3, max_distance: int = 3) -> D
     """
     if max_distance < 0:
         raise ValueError("max_distance is a number of bits")
-    spark = docs.sparkSession
-    rows = stage(spark, fingerprints(docs, words), "simhash-rows")
+    rows = stage(docs.sparkSession, fingerprints(docs, words).drop("key"), "simhash-rows")
+    by_fp = _members(rows, max_distance).drop("root")
+    return rows.join(by_fp, "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _members(rows: DataFrame, max_distance: int) -> DataFrame:
+    """(fp, root, component_id) of each fingerprint of ``rows``."""
+    spark = rows.sparkSession
     classes = stage(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
     roots = components(anchor_links(classes.select("fp"), max_distance), "a", "b")
     member = classes.join(roots, classes["fp"] == roots["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     whole = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = member.join(whole, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
-        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return member.join(whole, "root").select("fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 3, max_distance: int = 3) -> DataFrame:
-    """The rows of ``docs``, with every column, without those whose doc_id is not its
-    component's: one document of each component stays.
+    """One row of each component of ``docs``, with every column: that of the smallest
+    doc_id (a null one comes last), and among rows that share it, the one whose text
+    has the smallest hash.
 
-    Rows that share a doc_id are one document: it stays if any of them is kept,
-    as one row. Rows without a doc_id stay where nothing with one links to
-    them, as one row for each text.
+    Rows that share a doc_id and have different texts are decided each by itself, so
+    that every component keeps a row. Rows that share both are one document.
     """
-    decided = stage(docs.sparkSession, dedup_documents(docs, words, max_distance).select("doc_id", "kept"), "simhash-decided")
-    ids = decided.groupBy("doc_id").agg(F.max("kept").alias("stays"), F.count("*").alias("rows")).where("NOT stays OR rows > 1")
-    ids = ids.select(F.col("doc_id").alias("other"), "stays")
-    same = docs["doc_id"].eqNullSafe(ids["other"])
-    once = docs.join(ids.where("stays"), same, "left_semi")
-    return (
-        docs.join(ids, same, "left_anti")
-        .unionByName(once.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
-        .unionByName(once.where("doc_id IS NULL").dropDuplicates(["text"]))
-    )
+    if max_distance < 0:
+        raise ValueError("max_distance is a number of bits")
+    rows = stage(docs.sparkSession, fingerprints(docs, words), "simhash-rows")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    rows = stage(docs.sparkSession, rows.join(_members(rows, max_distance).select("fp", "root"), "fp").select("root", place.alias("place")), "simhash-decided")
+    first = rows.groupBy("root").agg(F.min("place").alias("first"))
+    each = rows.groupBy("root", "place").agg(F.count("*").alias("rows")).join(first, "root")
+    ids = each.select(F.col("place.doc_id").alias("other"), F.col("place.key").alias("other_key"), (F.col("place") == F.col("first")).alias("stays"), "rows")
+    ids = ids.where("NOT stays OR rows > 1").drop("rows")
+    same = docs["doc_id"].eqNullSafe(ids["other"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == ids["other_key"])
+    once = docs.join(ids.where("stays"), same, "left_semi").withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return docs.join(ids, same, "left_anti").unionByName(once.dropDuplicates(["doc_id", "_key"]).drop("_key"))
