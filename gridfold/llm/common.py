@@ -43,6 +43,51 @@ def map_columns(df: DataFrame, schema: str, make: Callable[[], Callable[..., dic
     return df.mapInArrow(run, out)
 
 
+def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
+    """Arrow batches of ``df``, which has a column ``text``, in slices of bounded
+    bytes through ``make()``, called once per task. The function it returns takes
+    a slice and returns a dict of Arrow arrays or lists, one per column of ``schema``."""
+    from gridfold.llm.words import slices
+
+    ship_package(df.sparkSession)
+    out = df.sparkSession.createDataFrame([], schema).schema
+    at = df.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow, work = to_arrow_schema(out), make()
+        for batch in batches:
+            for a, b in slices(batch.column(at)):
+                got = work(batch.slice(a, b - a))
+                cols = [got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], f.type) for f in arrow]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow)], schema=arrow)
+
+    return df.mapInArrow(run, out)
+
+
+def join_by_weight(left: DataFrame, right: DataFrame, key: str, weight: str, most: int) -> DataFrame:
+    """``left`` joined to ``right``, which has one row per ``key`` and how many
+    rows of ``left`` have it, about, as ``weight``. The heaviest keys, at most ``most`` of
+    them, are broadcast, so no hot key is shuffled; all others are joined by a
+    shuffle. ``right`` is read more than once: pass a written table."""
+    level = F.length(F.bin(weight))
+    sizes = right.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()  # 64 rows at most
+    taken, floor = 0, None
+    for row in sizes:
+        taken += row["count"]
+        if taken > most:
+            break
+        floor = 1 << (row["level"] - 1)
+    if floor is None:  # no key is hot: the heaviest level alone has more keys than that
+        return left.join(right, key)
+    heavy, light = right.where(F.col(weight) >= floor), right.where(F.col(weight) < floor)
+    hot = left.join(F.broadcast(heavy), key)
+    if taken <= most:
+        return hot
+    return hot.unionByName(left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key))
+
+
 class Memo(dict):
     """Word -> value, filled by ``make`` and held to ``limit`` entries: the
     frequent words come early and stay, later rare ones are worked out again."""

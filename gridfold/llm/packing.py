@@ -4,75 +4,44 @@ from __future__ import annotations
 
 import math
 import zlib
-from array import array
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gridfold.llm.common import Memo, map_columns, text_or_empty, tokenizer_path
+from gridfold.llm.common import map_texts, text_or_empty, tokenizer_path
+from gridfold.llm.words import encode_words, library_tokenizer, split_words
 from gridfold.session import stage
 
-#: Distinct words whose ids a worker keeps.
-WORDS = 800_000
 #: Pieces packed together by one task. Waste is at most about one sequence a group.
 GROUP = 16_384
 
 
-class TokenizerIds:
-    """Ids of whole texts as little-endian unsigned 32-bit numbers, by the
-    tokenizers library, each distinct word once."""
-
-    def __init__(self, path: str, words: int = WORDS):
-        import regex
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.spaced = regex.compile(r" \s").search
-        self.at_spaces = regex.compile(r" (?=\S)").split
-        self.word = Memo(lambda w: self._ids(" " + w), words)
-
-    def _ids(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """A byte-level pattern starts a new match at each space before a word,
-        so words can be looked up one by one; a text that holds a special
-        token's string is left to the library as a whole."""
-        if any(s in text for s in self.special):
-            return self._ids(text)
-        first, *rest = self.at_spaces(text) if self.spaced(text) else text.split(" ")
-        return self._ids(first) + b"".join(map(self.word.__getitem__, rest))
-
-
-@lru_cache(maxsize=2)
-def tokenizer_ids(path: str) -> TokenizerIds:
-    return TokenizerIds(path)
-
-
 def document_pieces(docs: DataFrame, max_tokens: int, end_id: int, path: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and
     ``end_id``; what is over ``max_tokens`` long is cut into pieces of that
     length, of which only the first may be shorter."""
 
     def make():
-        ids, end = tokenizer_ids(path), array("I", [end_id]).tobytes()
-
-        def work(doc_ids, texts):
-            rows = []
-            for doc_id, text in zip(doc_ids, texts):
-                data = memoryview(ids.encode(text) + end)
-                n = len(data) // 4
+        encode, specials = library_tokenizer(path)
+
+        def work(batch):
+            words = split_words(batch.column("text"), specials)
+            spaced, codes = words.spaced()
+            ids = encode_words(spaced, encode, np.uint32).take(codes).merge(words.starts)
+            rows, pieces = [], []
+            for k, row in enumerate(words.rows.tolist()):
+                data = np.append(ids.flat[ids.starts[k]:ids.starts[k + 1]], np.uint32(end_id)).astype("<u4").tobytes()
+                n, view = len(data) // 4, memoryview(data)
                 cuts = [0, *range(n % max_tokens or max_tokens, n + 1, max_tokens)]
-                rows += [(doc_id, k, a, b - a, zlib.crc32(data[4 * a:4 * b]))
-                         for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-            return dict(zip(("doc_id", "piece", "start", "length", "ids_crc32"), zip(*rows)))
+                rows += [row] * (len(cuts) - 1)
+                pieces += [(i, a, b - a, zlib.crc32(view[4 * a:4 * b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+            piece, start, length, crc = zip(*pieces)
+            return {"doc_id": batch.column("doc_id").take(pa.array(rows)), "piece": piece, "start": start, "length": length, "ids_crc32": crc}
 
         return work
 
-    return map_columns(text_or_empty(docs, "doc_id"), "doc_id long, piece int, start long, length long, ids_crc32 long", make)
+    return map_texts(text_or_empty(docs, "doc_id"), "doc_id long, piece int, start long, length long, ids_crc32 long", make)
 
 
 def best_fit(tokens: np.ndarray, capacity: tuple[float, float, float], weights: tuple[float, float, float],
@@ -143,10 +112,11 @@ def pack_documents(docs: DataFrame, max_tokens: int = 1024, max_docs: int = 1024
     part = pieces.where(F.col("length") < max_tokens)
     groups = max(1, math.ceil(part.count() / group))
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        bins, offsets = best_fit(pdf["length"].to_numpy(), (max_tokens, max_docs, max_attention), weights, rule)
-        return pdf.assign(sequence_id=pdf["group"].to_numpy() * (1 << 32) + bins, offset=offsets).drop(columns="group")
+    def pack(key: tuple, pieces: pa.Table) -> pa.Table:
+        bins, offsets = best_fit(pieces.column("length").to_numpy(), (max_tokens, max_docs, max_attention), weights, rule)
+        sequences = pa.array(key[0].as_py() * (1 << 32) + bins)
+        return pieces.drop_columns("group").append_column("sequence_id", sequences).append_column("offset", pa.array(offsets))
 
     dealt = part.withColumn("group", F.pmod(F.xxhash64("at"), F.lit(groups)))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, at long, sequence_id long, offset long"
-    return full.unionByName(dealt.groupBy("group").applyInPandas(pack, schema)).drop("at")
+    return full.unionByName(dealt.groupBy("group").applyInArrow(pack, schema)).drop("at")
