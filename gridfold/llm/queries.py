@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gridfold.llm.centroids import centroid_sql
 from gridfold.llm.common import table
 
 
@@ -68,8 +69,27 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridfold.llm.centroids import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridfold.llm.alignment import align_documents
+
+    return align_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridfold.llm.token_files import token_file_documents
+
+    return token_file_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_embedding_graph, op2_fingerprints, op3_byte_bpe, op4_simhash_dedup, op5_token_counts, op6_secret_scan,
     op7_line_dedup, op8_best_fit_packing, op9_quality, op10_rendezvous_shards,
+    op11_centroid_clusters, op12_token_alignment, op13_token_files,
 )}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_centroid_clusters": centroid_sql()}
