@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gridfold.llm.common import join_by_weight, map_texts, text_or_empty, tokenizer_path
-from gridfold.llm.words import Ragged, encode_words, library_tokenizer, split_words
+from gridfold.llm.words import LibraryTokenizer, Ragged, encode_words, ragged, split_words, with_space
 from gridfold.session import stage
 
 #: Most id pairs, and most texts, that are broadcast: the heaviest ones.
@@ -49,13 +49,13 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
 
-        self.encode_a, _ = library_tokenizer(path_a, plain_specials=True)
+        self.encode_a = LibraryTokenizer(path_a, plain_specials=True)
         model = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.encode_b = lambda words: model.encode(words, num_threads=1)
+        self.encode_b = lambda words: ragged(model.encode(words.to_pylist(), num_threads=1))
         self.bytes_a, self.bytes_b = byte_level_tokens(path_a), piece_tokens(model)
         self.size_a, self.size_b = (np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
 
-    def words(self, words: list[str]) -> "AlignedWords":
+    def words(self, words: pa.Array) -> "AlignedWords":
         return AlignedWords(self, words)
 
 
@@ -63,10 +63,11 @@ class AlignedWords:
     """Ids, links and groups of each of some words. A word whose tokens do not
     spell it has none and is marked in ``lost``."""
 
-    def __init__(self, by: Aligner, words: list[str]):
-        a = encode_words([" " + w for w in words], by.encode_a)
+    def __init__(self, by: Aligner, words: pa.Array):
+        spaced = with_space(words)
+        a = encode_words(spaced, by.encode_a)
         b = encode_words(words, by.encode_b)  # the model puts the space first itself
-        spelled = [(" " + w).encode() for w in words]
+        spelled = spaced.cast(pa.binary()).to_pylist()
         ids_a, ids_b = a.flat.tolist(), b.flat.tolist()
         at_a, at_b = a.starts.tolist(), b.starts.tolist()
         self.lost = np.fromiter((

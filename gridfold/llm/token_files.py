@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridfold.llm.common import map_texts, text_or_empty, tokenizer_path
-from gridfold.llm.words import encode_words, library_tokenizer, split_words
+from gridfold.llm.words import LibraryTokenizer, encode_words, split_words
 from gridfold.session import scratch_path, ship_package, stage
 
 MAGIC = b"IDB1"
@@ -163,10 +163,10 @@ def encode_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """doc_id, ids (with ``end_id`` at the end) and ``same``, equal for equal texts, per row."""
 
     def make():
-        encode, specials = library_tokenizer(path)
+        encode = LibraryTokenizer(path)
 
         def work(batch):
-            words = split_words(batch.column("text"), specials)
+            words = split_words(batch.column("text"), encode.found)
             got = encode_words(words.distinct, encode).take(words.codes).merge(words.starts)
             flat = np.insert(got.flat, got.starts[1:], end_id)
             starts = got.starts + np.arange(len(got.starts))

@@ -3,18 +3,20 @@ of a slice once. Nothing outlives the slice: memory follows its bytes."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: UTF-8 bytes of text worked on at once (a longer text is a slice of its own).
-SLICE = 16 << 20
-#: Words, and characters of words, handed to a library in one call.
-CALL_WORDS, CALL_CHARS = 4096, 1 << 20
+SLICE = 8 << 20
+#: Bytes of distinct words encoded in one go.
+CALL = 2 << 20
 
 # A plain text may be cut at every space. Any other is only cut at a space after
 # a character that is no space and before a letter, number, mark or symbol, where
@@ -45,18 +47,22 @@ class Words:
     ``starts[k + 1]``. An empty text has none.
     """
 
-    distinct: list[str]
+    distinct: pa.Array
     codes: np.ndarray
     rows: np.ndarray
     starts: np.ndarray
 
-    def spaced(self) -> tuple[list[str], np.ndarray]:
+    def spaced(self) -> tuple[pa.Array, np.ndarray]:
         """Words with the space before them, but for the first of each text, and their codes."""
         some = self.starts[:-1][np.diff(self.starts) > 0]
         firsts, back = np.unique(self.codes[some], return_inverse=True)
         codes = self.codes.copy()
         codes[some] = len(self.distinct) + back
-        return [" " + w for w in self.distinct] + [self.distinct[c] for c in firsts], codes
+        return pa.concat_arrays([with_space(self.distinct), self.distinct.take(pa.array(firsts, pa.int64()))]), codes
+
+
+def with_space(words: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(pa.scalar("", words.type), words, pa.scalar(" ", words.type))
 
 
 def split_words(texts: pa.Array, whole: Iterable[str] = ()) -> Words:
@@ -82,7 +88,7 @@ def split_words(texts: pa.Array, whole: Iterable[str] = ()) -> Words:
     rows = np.concatenate([np.flatnonzero(plain), np.flatnonzero(odd), np.flatnonzero(none)])
     starts = np.zeros(len(texts) + 1, np.int64)
     np.cumsum(np.concatenate([*counts, np.zeros(int(none.sum()), np.int64)]), out=starts[1:])
-    return Words(coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), rows, starts)
+    return Words(coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), rows, starts)
 
 
 @dataclass
@@ -110,32 +116,113 @@ class Ragged:
         return Ragged(self.flat, self.starts[borders])
 
 
-def encode_words(words: list[str], encode: Callable[[list[str]], Iterable], dtype=np.int32) -> Ragged:
-    """Ids of each word; ``encode`` maps a list of words to their lists of ids."""
-    sizes, flats, at = [], [], 0
-    while at < len(words):
-        end, chars = at, 0
-        while end < len(words) and end - at < CALL_WORDS and (end == at or chars + len(words[end]) <= CALL_CHARS):
-            chars += len(words[end])
-            end += 1
-        got = encode(words[at:end])
-        sizes += map(len, got)
-        flats.append(np.fromiter((i for ids in got for i in ids), dtype))
-        at = end
-    starts = np.zeros(len(words) + 1, np.int64)
-    np.cumsum(sizes, out=starts[1:])
-    return Ragged(np.concatenate(flats) if flats else np.empty(0, dtype), starts)
-
-
-def library_tokenizer(path: str, plain_specials: bool = False) -> tuple[Callable, list[str]]:
-    """Batch encoder of a tokenizers file without added tokens, and the strings
-    of its special tokens that it would find inside texts."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = plain_specials
-    specials = [] if plain_specials else [a.content for a in t.get_added_tokens_decoder().values()]
-    return lambda words: [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)], specials
+def encode_words(words: pa.Array, encode: Callable[[pa.Array], Ragged]) -> Ragged:
+    """Ids of each word, some of them at a time."""
+    return end_to_end([encode(words.slice(a, b - a)) for a, b in slices(words, CALL)])
+
+
+def end_to_end(parts: list[Ragged]) -> Ragged:
+    sizes = np.concatenate([np.empty(0, np.int64), *(p.sizes for p in parts)])
+    return Ragged(np.concatenate([np.empty(0, np.int32), *(p.flat for p in parts)]), np.concatenate([[0], np.cumsum(sizes)]))
+
+
+def ragged(lists: list[list[int]]) -> Ragged:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return Ragged(np.fromiter(chain.from_iterable(lists), np.int32), np.concatenate([[0], np.cumsum(sizes)]))
+
+
+class LibraryTokenizer:
+    """Batch encoder of a tokenizers file without added tokens: call it with words.
+
+    Plain words are first cut into the matches of the file's own pattern, each
+    distinct match is encoded once, and many of them go to the library as one text,
+    which takes half as long. ``marks`` tells where each match's tokens begin or end
+    there; should their number not fit, each match is a text of its own. So is
+    any word that is not plain.
+    """
+
+    #: What a plain word has nothing of: white space, controls, marks that may join the letter before them.
+    UNPLAIN = r"[\x00-\x09\x0b-\x20\x7f-\x{a0}\p{Z}\p{C}\p{M}]"
+
+    def __init__(self, path: str, plain_specials: bool = False):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
+        import regex
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain_specials
+        self.specials = [a.content for a in self.tokenizer.get_added_tokens_decoder().values()]
+        #: special strings that it finds inside texts
+        self.found = [] if plain_specials else self.specials
+        with open(path) as f:
+            spec = json.load(f)
+        cut, suffix = spec["pre_tokenizer"] or {}, spec["model"].get("end_of_word_suffix")
+        vocab = self.tokenizer.get_vocab()
+        self.begins, self.marks, pattern = not suffix, np.zeros(max(vocab.values()) + 1, bool), None
+        if cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"] and not spec["normalizer"]:
+            import public_tokenizers
+
+            pattern, marked = public_tokenizers.PATTERN, lambda t: t.startswith("Ġ")  # a byte-level space
+        elif suffix and cut.get("type") == "Sequence" and cut["pretokenizers"][0]["type"] == "Split":
+            pattern, marked = cut["pretokenizers"][0]["pattern"]["Regex"], lambda t: t.endswith(suffix)
+        if pattern:
+            self.marks[[i for t, i in vocab.items() if marked(t)]] = True
+        self.findall = pattern and regex.compile(pattern if self.begins else f"\n|{pattern}").findall
+        self.lower = bool(spec["normalizer"])  # matches depend on normalized text, which plain small letters are
+
+    def __call__(self, words: pa.Array) -> Ragged:
+        if not self.findall or not len(words):
+            return self.single(words)
+        plain = pc.invert(pc.match_substring_regex(pc.utf8_ltrim(words, " ") if self.begins else words, self.UNPLAIN))
+        if self.begins:  # where a word begins is seen by its space
+            plain = pc.and_(plain, pc.match_substring_regex(words, "^ [^ \n]"))
+        for s in self.specials:
+            plain = pc.and_(plain, pc.invert(pc.match_substring(words, s)))
+        if self.lower:
+            ascii_ = pc.string_is_ascii(words)
+            words = pc.if_else(ascii_, pc.ascii_lower(words), words)
+            plain = pc.and_(plain, pc.or_(ascii_, pc.equal(pc.utf8_lower(words), words)))
+        plain = plain.to_numpy(zero_copy_only=False)
+        parts = [self.cut(words.filter(pa.array(plain))), self.single(words.filter(pa.array(~plain)))]
+        if plain.all():
+            return parts[0]
+        return end_to_end(parts).take(np.argsort(np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])))
+
+    def cut(self, words: pa.Array) -> Ragged:
+        """Ids of plain words by the matches that they consist of."""
+        if not len(words):
+            return ragged([])
+        if not self.begins:  # line breaks are white space like any other here, so they can tell words apart
+            words = pc.replace_substring(words, "\n", " ")
+        coded = pa.array(self.findall(("" if self.begins else "\n").join(words.to_pylist()) + "\n" * (not self.begins)), pa.string()).dictionary_encode()
+        pieces, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        border = (pc.starts_with(pieces, " ") if self.begins else pc.equal(pieces, "\n")).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(border[codes])
+        if len(at) != len(words):
+            return self.single(words)
+        joint = border if self.begins else ~border
+        both = end_to_end([self.joined(pieces.filter(pa.array(joint))), self.single(pieces.filter(pa.array(~joint)))])
+        place = np.empty(len(pieces), np.int64)
+        place[np.concatenate([np.flatnonzero(joint), np.flatnonzero(~joint)])] = np.arange(len(pieces))
+        if self.begins:
+            return both.take(place[codes]).merge(np.append(at, len(codes)))
+        inner = np.delete(codes, at)
+        return both.take(place[inner]).merge(np.concatenate([[0], at - np.arange(len(at))]))
+
+    def single(self, texts: pa.Array) -> Ragged:
+        lists = texts.to_pylist()
+        return end_to_end([ragged([e.ids for e in self.tokenizer.encode_batch_fast(lists[k:k + 512], add_special_tokens=False)]) for k in range(0, len(lists), 512)])
+
+    def joined(self, pieces: pa.Array, some: int = 512) -> Ragged:
+        out = []
+        for k in range(0, len(pieces), some):
+            text = ("" if self.begins else " ").join(pieces.slice(k, some).to_pylist())
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+            at, n = np.flatnonzero(self.marks[ids]), min(some, len(pieces) - k)
+            if len(at) != n or at[0 if self.begins else -1] != (0 if self.begins else len(ids) - 1):
+                out.append(self.single(pieces.slice(k, some)))
+            else:
+                out.append(Ragged(ids, np.append(at, len(ids)) if self.begins else np.concatenate([[0], at + 1])))
+        return end_to_end(out)
