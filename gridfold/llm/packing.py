@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gridfold.llm.common import map_texts, text_or_empty, tokenizer_path
-from gridfold.llm.words import LibraryTokenizer, encode_words, split_words
+from gridfold.llm.words import LibraryTokenizer, Remembered, split_words
 from gridfold.session import stage
 
 #: Pieces packed together by one task. Waste is at most about one sequence a group.
@@ -23,12 +23,13 @@ def document_pieces(docs: DataFrame, max_tokens: int, end_id: int, path: str) ->
     length, of which only the first may be shorter."""
 
     def make():
-        encode = LibraryTokenizer(path)
+        tokenizer = LibraryTokenizer(path)
+        encode = Remembered(tokenizer)
 
         def work(batch):
-            words = split_words(batch.column("text"), encode.found)
+            words = split_words(batch.column("text"), tokenizer.found)
             spaced, codes = words.spaced()
-            ids = encode_words(spaced, encode).take(codes).merge(words.starts)
+            ids = encode(spaced).take(codes).merge(words.starts)
             rows, pieces = [], []
             for k, row in enumerate(words.rows.tolist()):
                 data = np.append(ids.flat[ids.starts[k]:ids.starts[k + 1]], end_id).astype("<u4").tobytes()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridfold.llm.common import map_texts, text_or_empty, tokenizer_path
-from gridfold.llm.words import LibraryTokenizer, encode_words, split_words
+from gridfold.llm.words import LibraryTokenizer, Remembered, split_words
 from gridfold.session import scratch_path, ship_package, stage
 
 MAGIC = b"IDB1"
@@ -159,30 +159,53 @@ class Block:
 
 # ------------------------------------------------------------------- on Spark
 
-def encode_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, ids (with ``end_id`` at the end) and ``same``, equal for equal texts, per row."""
+def id_type(path: str, end_id: int) -> str:
+    """How a vocabulary's ids are held before they are coded: in 2 bytes if they fit."""
+    largest = max(LibraryTokenizer(path).tokenizer.get_vocab().values())
+    return "<u2" if max(largest, end_id) < 1 << 16 else "<u4"
+
+
+def encode_ids(docs: DataFrame, path: str, end_id: int, kind: str) -> DataFrame:
+    """doc_id, ids (with ``end_id`` at the end, as numbers of type ``kind``) and
+    ``same``, equal for equal texts, per row."""
 
     def make():
-        encode = LibraryTokenizer(path)
+        tokenizer = LibraryTokenizer(path)
+        encode = Remembered(tokenizer)
 
         def work(batch):
-            words = split_words(batch.column("text"), encode.found)
-            got = encode_words(words.distinct, encode).take(words.codes).merge(words.starts)
-            flat = np.insert(got.flat, got.starts[1:], end_id)
-            starts = got.starts + np.arange(len(got.starts))
+            words = split_words(batch.column("text"), tokenizer.found)
+            got = encode(words.distinct).take(words.codes).merge(words.starts)
+            flat = np.insert(got.flat, got.starts[1:], end_id).astype(kind)
+            ends = ((got.starts + np.arange(len(got.starts))) * flat.itemsize).astype(np.int32)
             rows = pa.array(words.rows)
-            ids = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat, pa.int32()))
+            ids = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
             return {"doc_id": batch.column("doc_id").take(rows), "same": batch.column("same").take(rows), "ids": ids}
 
         return work
 
     texts = text_or_empty(docs, "doc_id").withColumn("same", F.xxhash64("text"))
-    return map_texts(texts, "doc_id long, same long, ids array<int>", make)
+    return map_texts(texts, "doc_id long, same long, ids binary", make)
+
+
+def id_counts(encoded: DataFrame, kind: str) -> DataFrame:
+    """(id, count) over all documents, counted in each task first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            each = np.bincount(np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in batch.column("ids")]))
+            total = np.pad(total, (0, max(0, len(each) - len(total))))
+            total[:len(each)] += each
+        ids = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "count"])
+
+    return encoded.select("ids").mapInArrow(count, "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
 
 
-def write_ids(encoded: DataFrame, path: str, max_bits: int = MAX_BITS, block_ids: int = BLOCK_IDS, step: int = STEP) -> None:
-    """Write documents (doc_id, ids, and what orders rows of one doc_id: same, at)
-    into the folder ``path``, in ascending doc_id order, null doc_ids first.
+def write_ids(encoded: DataFrame, path: str, kind: str, max_bits: int = MAX_BITS, block_ids: int = BLOCK_IDS, step: int = STEP) -> None:
+    """Write documents (doc_id, ids of type ``kind``, and what orders rows of one
+    doc_id: same, at) into the folder ``path``, in ascending doc_id order, null doc_ids first.
 
     Code lengths follow from the counts of ids over all documents. Rows are
     ranged over tasks, each of which writes blocks of at least ``block_ids`` ids
@@ -192,7 +215,7 @@ def write_ids(encoded: DataFrame, path: str, max_bits: int = MAX_BITS, block_ids
         raise ValueError("a checkpoint counts up to 65,535 bits, a code has up to 25")
     spark = encoded.sparkSession
     ship_package(spark)
-    counts = encoded.select(F.explode("ids").alias("id")).groupBy("id").count().toPandas().sort_values("id")  # a row per id of the vocabulary
+    counts = id_counts(encoded, kind).toPandas().sort_values("id")  # a row per id of the vocabulary
     bits = code_lengths(counts["count"].to_numpy(np.int64), max_bits)
     code = Code(counts["id"].to_numpy(np.int64), bits)
     spark.createDataFrame(list(zip(code.ids.tolist(), bits.tolist())), "id int, bits int").coalesce(1).write.parquet(f"{path}/code")
@@ -210,13 +233,11 @@ def write_ids(encoded: DataFrame, path: str, max_bits: int = MAX_BITS, block_ids
             return row
 
         for batch in batches:
-            lists = batch.column("ids")
-            flat, cuts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy().tolist()
-            for doc_id, p, a, b in zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), cuts, cuts[1:]):
+            for doc_id, p, ids in zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), batch.column("ids")):
                 part = p
                 doc_ids.append(doc_id)
-                flats.append(flat[a:b].copy())
-                held += b - a
+                flats.append(np.frombuffer(ids.as_buffer(), kind))
+                held += len(flats[-1])
                 if held >= block_ids:
                     yield out()
         if doc_ids:
@@ -292,7 +313,9 @@ def token_file_documents(docs: DataFrame, path: str | None = None, end_id: int =
     an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    encoded = encode_ids(docs, path or tokenizer_path("word_bpe_49k.json"), end_id).withColumn("at", F.monotonically_increasing_id())
+    path = path or tokenizer_path("word_bpe_49k.json")
+    kind = id_type(path, end_id)
+    encoded = encode_ids(docs, path, end_id, kind).withColumn("at", F.monotonically_increasing_id())
     folder = folder or scratch_path(spark, "token-files")
-    write_ids(stage(spark, encoded, "token-ids"), folder)
+    write_ids(stage(spark, encoded, "token-ids"), folder, kind)
     return read_documents(spark, folder)

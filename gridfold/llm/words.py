@@ -15,8 +15,8 @@ import pyarrow.compute as pc
 
 #: UTF-8 bytes of text worked on at once (a longer text is a slice of its own).
 SLICE = 8 << 20
-#: Bytes of distinct words encoded in one go.
-CALL = 2 << 20
+#: Bytes of distinct words encoded in one go, and words that a task keeps the ids of.
+CALL, KEPT = 2 << 20, 1 << 20
 
 # A plain text may be cut at every space. Any other is only cut at a space after
 # a character that is no space and before a letter, number, mark or symbol, where
@@ -121,6 +121,29 @@ def encode_words(words: pa.Array, encode: Callable[[pa.Array], Ragged]) -> Ragge
     return end_to_end([encode(words.slice(a, b - a)) for a, b in slices(words, CALL)])
 
 
+class Remembered:
+    """An encoder that a task keeps the ids of up to ``most`` words with: the
+    first slices bring the frequent ones. It goes when the task ends."""
+
+    def __init__(self, encode: Callable[[pa.Array], Ragged], most: int = KEPT):
+        self.encode, self.most = encode, most
+        self.words, self.ids = pa.array([], pa.string()), ragged([])
+
+    def __call__(self, words: pa.Array) -> Ragged:
+        at = pc.index_in(words, value_set=self.words)
+        unseen = pc.is_null(at)
+        new = words.filter(unseen)
+        both = end_to_end([self.ids, encode_words(new, self.encode)])
+        codes = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        codes[unseen.to_numpy(zero_copy_only=False)] = len(self.words) + np.arange(len(new))
+        room = self.most - len(self.words)
+        if room > 0 and len(new):
+            self.words = pa.concat_arrays([self.words, new.slice(0, room)])
+            ends = both.starts[:len(self.words) + 1]
+            self.ids = Ragged(both.flat[:ends[-1]], ends)
+        return both.take(codes)
+
+
 def end_to_end(parts: list[Ragged]) -> Ragged:
     sizes = np.concatenate([np.empty(0, np.int64), *(p.sizes for p in parts)])
     return Ragged(np.concatenate([np.empty(0, np.int32), *(p.flat for p in parts)]), np.concatenate([[0], np.cumsum(sizes)]))

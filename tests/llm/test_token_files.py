@@ -88,8 +88,8 @@ def expected(rows):
 def test_documents(spark, docs, rows, empty, tmp_path):
     want = expected([(i, t) for i, t, *_ in rows])
     folder = str(tmp_path / "ids")
-    encoded = T.encode_ids(docs, P.path("word_bpe_49k.json"), 1).selectExpr("*", "monotonically_increasing_id() AS at")
-    T.write_ids(T.stage(spark, encoded, "test-ids"), folder, block_ids=500, step=16)
+    encoded = T.encode_ids(docs, P.path("word_bpe_49k.json"), 1, "<u4").selectExpr("*", "monotonically_increasing_id() AS at")
+    T.write_ids(T.stage(spark, encoded, "test-ids"), folder, "<u4", block_ids=500, step=16)
     got = T.read_documents(spark, folder, keep_ids=True).collect()
     assert Counter((r.doc_id, tuple(r.ids)) for r in got) == Counter((i, tuple(x.tolist())) for i, x in want)
     got.sort(key=lambda r: r.start)
