@@ -47,7 +47,7 @@ DICTIONARY, MIN_WORD, MAX_WORD = 5_000, 4, 12
 def dictionary(docs: DataFrame, size: int = DICTIONARY) -> dict[str, int]:
     """The ``size`` most frequent plain words of all texts, with their counts
     (ties: in alphabetical order): a top-k, so the driver gets a bounded list."""
-    each = docs.select(F.explode(F.split("text", " ")).alias("w")).where(F.col("w").rlike(f"^[a-z]{{{MIN_WORD},{MAX_WORD}}}$"))
+    each = docs.select(F.explode(F.split("text", " ")).alias("w")).where(F.col("w").rlike(rf"\A[a-z]{{{MIN_WORD},{MAX_WORD}}}\z"))
     top = each.groupBy("w").count().orderBy(F.desc("count"), "w").limit(size)
     return {r["w"]: r["count"] for r in top.collect()}
 
@@ -59,7 +59,7 @@ class Reader:
         self.words = words
         pairs = np.ones((27, 27))
         for w, n in words.items():
-            codes = [min(ord(c) - 96, 26) for c in w]
+            codes = [ord(c) - 96 if "a" <= c <= "z" else 0 for c in w]
             np.add.at(pairs, (codes[:-1], codes[1:]), n)
         self.log = np.log(pairs / pairs.sum(axis=1, keepdims=True))
 

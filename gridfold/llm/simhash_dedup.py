@@ -188,7 +188,9 @@ def keep_one(docs: DataFrame, words: int = 3, max_distance: int = 3) -> DataFram
     has the smallest hash.
 
     Rows that share a doc_id and have different texts are decided each by itself, so
-    that every component keeps a row. Rows that share both are one document.
+    that every component keeps a row. Rows that share both are one document. Null
+    texts count as empty, an empty table gives an empty result, and columns of any
+    name are kept as they are.
     """
     if max_distance < 0:
         raise ValueError("max_distance is a number of bits")
@@ -200,5 +202,6 @@ def keep_one(docs: DataFrame, words: int = 3, max_distance: int = 3) -> DataFram
     ids = each.select(F.col("place.doc_id").alias("other"), F.col("place.key").alias("other_key"), (F.col("place") == F.col("first")).alias("stays"), "rows")
     ids = ids.where("NOT stays OR rows > 1").drop("rows")
     same = docs["doc_id"].eqNullSafe(ids["other"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == ids["other_key"])
-    once = docs.join(ids.where("stays"), same, "left_semi").withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return docs.join(ids, same, "left_anti").unionByName(once.dropDuplicates(["doc_id", "_key"]).drop("_key"))
+    key = "_" * (1 + max(map(len, docs.columns)))  # a name that no column has
+    once = docs.join(ids.where("stays"), same, "left_semi").withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return docs.join(ids, same, "left_anti").unionByName(once.dropDuplicates(["doc_id", key]).drop(key))

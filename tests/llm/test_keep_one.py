@@ -18,3 +18,11 @@ def test_which_row_stays_is_defined(spark, order):
     got = keep_one(spark.createDataFrame(near[::order], "doc_id long, text string").coalesce(1)).collect()
     assert [r.doc_id for r in got] == [5]
     assert got[0].text == keep_one(spark.createDataFrame(near, "doc_id long, text string").repartition(3)).first().text
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, X, "a", 2, 3), (2, X, "b", 2, 3), (1, X, "a", 2, 3), (3, None, "c", 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key string, stays int, root int")
+    got = sorted(tuple(r) for r in keep_one(df).collect())
+    assert got == [(1, X, "a", 2, 3), (3, None, "c", 0, 0)]
+    assert keep_one(df.limit(0)).count() == 0

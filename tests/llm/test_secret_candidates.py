@@ -59,3 +59,10 @@ def test_words_after_a_candidate_count(judge):
     keys = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(50)]
     assert sum(judge(f"whole orbit {k} is the commit") == [] for k in keys) >= 48
     assert sum(judge(f"whole orbit {k} above season planet") == [k] for k in keys) >= 48
+
+
+def test_words_before_a_line_break(spark):
+    df = spark.createDataFrame([(1, "whole orbit ends\n"), (2, "whole\n orbit Season ends\n"), (3, None), (4, "")], "doc_id long, text string")
+    assert S.dictionary(df) == {"orbit": 2, "whole": 1}
+    S.Reader({"ends\n": 3, "a{b": 1})  # any string may be a word of a caller's list
+    assert S.scan_documents(df).count() == 4

@@ -127,3 +127,24 @@ def test_pack_documents(docs, rows, empty):
     assert total.sum().max() <= 64 and (total.cumsum() - out["length"] == out["offset"]).all()
     assert out["sequence_id"].nunique() <= -(-out["length"].sum() // 64) + 4
     assert pack_documents(empty).count() == 0
+
+
+def test_packing_keeps_large_ids_beside_null(spark):
+    ids = [9007199254740993, None, 9007199254740995, -5]
+    df = spark.createDataFrame([(i, "one two") for i in ids], "doc_id long, text string").coalesce(1)
+    assert Counter(r.doc_id for r in pack_documents(df, max_tokens=64).collect()) == Counter(ids)
+
+
+def test_one_long_word():
+    from tokenizers import Tokenizer
+
+    from gridfold.llm.words import LibraryTokenizer, encode_words, slices, split_words
+    import pyarrow as pa
+
+    text = "añb" * 3_500_000  # no space in ten million bytes
+    batch = pa.array([text[:30], text, "end of it"])
+    assert list(slices(batch)) == [(0, 1), (1, 2), (2, 3)]
+    path = P.path("byte_bpe_50k.json")
+    words = split_words(pa.array([text[:300_000]]))
+    ids = encode_words(words.distinct, LibraryTokenizer(path)).take(words.codes)
+    assert ids.flat.tolist() == Tokenizer.from_file(path).encode(text[:300_000]).ids
