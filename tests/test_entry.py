@@ -9,7 +9,11 @@ def test_entry_runs_on_smoke_data(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    from gridfold.plans.oracles import ORACLES
+    from gridfold.plans.queries import QUERIES
+
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
 
 
 def test_small_queries_match_oracles_at_smoke_scale(spark):
