@@ -8,6 +8,7 @@ status record with ``scan_error`` set; it never fails the job.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import pandas as pd
@@ -41,6 +42,7 @@ BINARY_SCHEMA = T.StructType([
 _RAW_SCHEMA = T.StructType(
     GRID_SCHEMA.fields
     + [f for f in SCAN_SCHEMA.fields if f.name not in ("source_file", "sheet_name")]
+    + [T.StructField("digest", T.StringType())]  # of the file's bytes, on its status record
 )
 
 
@@ -63,6 +65,7 @@ def _decode_partition(layout: Layout, max_bytes: int):
             ):
                 name = path.rsplit("/", 1)[-1]
                 sheet, error = None, None
+                digest = None if content is None else hashlib.sha256(content).hexdigest()
                 if name.lower().endswith(".xls"):
                     error = "legacy .xls workbooks are not supported"
                 elif length > max_bytes or content is None:
@@ -72,7 +75,7 @@ def _decode_partition(layout: Layout, max_bytes: int):
                     try:
                         sheet, rows = read_first_sheet(bytes(content), first, last)
                         for r, cells in rows:
-                            out.append((name, sheet, r, cells, None, None, None))
+                            out.append((name, sheet, r, cells, None, None, None, None))
                             if len(out) >= _CHUNK_ROWS:
                                 yield pd.DataFrame(out, columns=cols)
                                 out, mark = [], 0
@@ -82,7 +85,7 @@ def _decode_partition(layout: Layout, max_bytes: int):
                 # status record last: rows of a file that failed after a flush may
                 # already be out, and the ingest plan only takes rows of files
                 # without scan_error
-                out.append((name, sheet, 0, None, mtime, int(length), error))
+                out.append((name, sheet, 0, None, mtime, int(length), error, digest))
             if len(out) >= _CHUNK_ROWS:
                 yield pd.DataFrame(out, columns=cols)
                 out = []
@@ -92,8 +95,9 @@ def _decode_partition(layout: Layout, max_bytes: int):
     return run
 
 
-def list_binary(spark: SparkSession, landing_dir: str, recursive: bool = False) -> DataFrame:
-    """Binary listing of ``landing_dir`` (content is read only if selected)."""
+def list_binary(spark: SparkSession, landing_dir: str | list[str], recursive: bool = False) -> DataFrame:
+    """Binary listing of ``landing_dir``, a folder or a list of files (content is
+    read only if selected)."""
     reader = spark.read.format("binaryFile").schema(BINARY_SCHEMA)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
@@ -124,7 +128,8 @@ def with_label(raw: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
 def split_scan(raw: DataFrame) -> Scan:
     extra = ["label"] if "label" in raw.columns else []
     grid = raw.where(F.col("row") > 0).select(*[f.name for f in GRID_SCHEMA.fields], *extra)
-    files = raw.where(F.col("row") == 0).select(*[f.name for f in SCAN_SCHEMA.fields])
+    noted = ["digest"] if "digest" in raw.columns else []
+    files = raw.where(F.col("row") == 0).select(*[f.name for f in SCAN_SCHEMA.fields], *noted)
     return Scan(grid=grid, files=files)
 
 
