@@ -4,6 +4,7 @@ not answer for are read, and batches and ledger change in one commit."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 
 from gridfold.functions.names import base_name, is_workbook
 from gridfold.operators.batches import replaced_keys
+from gridfold.operators.checks import Check, check_report, raise_on_report
+from gridfold.operators.checks import quarantine as write_quarantine
 from gridfold.operators.ledger import LEDGER_SCHEMA, pending, run_entries, tombstones
-from gridfold.operators.quality import file_checks, raise_on_file_checks
+from gridfold.operators.quality import CHECK_BATCH_KEY, CHECK_NOT_EMPTY, file_checks, raise_on_file_checks
 from gridfold.plans.ingest import IngestError, IngestResult, _glob_escape, build_ingest, raise_on_file_errors
 from gridfold.schema import DEFAULT_LAYOUT, FACT_COLUMNS, Layout
 from gridfold.session import sql_conf, stage
@@ -42,8 +45,8 @@ def pending_paths(store: FactStore, landing_dir: str, names: list[str] | None =
 
 
 def ledger_ingest(spark: SparkSession, landing_dir: str, store: FactStore, log: DataFrame | None = None, layout: Layout = DEFAULT_LAYOUT,
-                  names: list[str] | None = None, reprocess: bool = False, run_id: str | None = None,
-                  raise_on_check: bool = True, raise_on_error: bool = True) -> LedgerRun:
+                  names: list[str] | None = None, reprocess: bool = False, run_id: str | None = None, raise_on_check: bool = True,
+                  raise_on_error: bool = True, checks: Sequence[Check] = (), quarantine: str | None = None) -> LedgerRun:
     """Ingest the workbooks that the ledger does not answer for.
 
     A file is taken when it is new, when it failed before, or when its stamp and its
@@ -53,7 +56,9 @@ def ledger_ingest(spark: SparkSession, landing_dir: str, store: FactStore, log:
     has it are noted and left alone, so a batch once removed stays removed.
     ``reprocess`` takes every file (or those of ``names``) again.
 
-    After the commit, failing files or checks raise unless told not to.
+    After the commit, failing files or checks raise unless told not to. ``checks``
+    are the caller's own, on each file's rows beside the default ones; with
+    ``quarantine``, a folder, every failing group is written there under the run's id.
     """
     run_id = run_id or uuid.uuid4().hex
     paths = pending_paths(store, landing_dir, names, reprocess)
@@ -62,11 +67,11 @@ def ledger_ingest(spark: SparkSession, landing_dir: str, store: FactStore, log:
     binary = list_binary(spark, [_glob_escape(p) for p in paths])
     with sql_conf(spark, DECODE_CONF):
         scan = split_scan(stage(spark, with_label(decode(binary, layout), layout), "ledger-grid"))
-    return apply_with_ledger(store, scan, log, layout, reprocess, run_id, landing_dir, raise_on_check, raise_on_error)
+    return apply_with_ledger(store, scan, log, layout, reprocess, run_id, landing_dir, raise_on_check, raise_on_error, checks, quarantine)
 
 
 def apply_with_ledger(store: FactStore, scan: Scan, log: DataFrame | None, layout: Layout, reprocess: bool, run_id: str, where: str,
-                      raise_on_check: bool = True, raise_on_error: bool = True) -> LedgerRun:
+                      raise_on_check: bool = True, raise_on_error: bool = True, own: Sequence[Check] = (), quarantine: str | None = None) -> LedgerRun:
     """Replace the batches of decoded workbooks and note each file, in one commit."""
     spark = store.spark
     ledger, version = store.ledger(LEDGER_SCHEMA), store.snapshot().version + 1
@@ -79,9 +84,20 @@ def apply_with_ledger(store: FactStore, scan: Scan, log: DataFrame | None, layou
     taken = fresh.count()
     rows = store.replace(facts.where("is_winner").select(*FACT_COLUMNS), replaced_keys(ing.valid), entries)
     result = IngestResult(rows_written=rows, dropped_batches=[], files=ing.plan.select("source_file", "batch_key", "error", "is_winner"), checks=checks)
+    report, place = None, None
+    if own or quarantine:
+        # two sets of different rows: the default checks know files without a row
+        default = checks.select("source_file", "batch_key", F.when(~F.col("not_empty"), F.lit(CHECK_NOT_EMPTY)).otherwise(F.lit(CHECK_BATCH_KEY)).alias("check"), "row_count",
+                                F.when(F.col("passed"), F.lit(0)).otherwise(F.col("row_count")).cast("long").alias("failed_rows"), "passed")
+        report = default.unionByName(check_report(facts, own).where(F.col("check") != CHECK_NOT_EMPTY)) if own else default
+        report = stage(spark, report, "ledger-report")
+    if quarantine and not report.where("NOT passed").isEmpty():
+        place = write_quarantine(report, quarantine, run_id)
     if raise_on_error and taken:
         raise_on_file_errors(result, where)
     if raise_on_check:
+        if report is not None and not report.where("NOT passed").isEmpty():
+            raise_on_report(report, store.root, place)
         raise_on_file_checks(checks, store.root)
     return LedgerRun(run_id, taken, rows, result)
 

@@ -185,3 +185,57 @@ def test_ledger_folders_are_merged(spark, tmp_path, monkeypatch):
         st.note(row(n))
     assert len(st.snapshot().ledger) <= 3 and st.ledger(LEDGER_SCHEMA).count() == 7
     assert st.ledger(LEDGER_SCHEMA).agg(F.sum("row_count")).first()[0] == 21
+
+
+# ------------------------------------------------------------------- stream
+def _stream(spark, tmp_path, name, max_files, land, **kw):
+    from gridfold.streaming.ledger_stream import ledger_stream
+
+    st = FactStore(spark, f"file://{tmp_path}/{name}", buckets=8)
+    q = ledger_stream(spark, str(land), st, str(tmp_path / f"{name}-ck"), max_files=max_files, **kw)
+    try:
+        q.awaitTermination()
+    except Exception:  # noqa: BLE001 - the caller asks the query
+        pass
+    return st, q
+
+
+def test_stream_is_the_same_table_for_any_batch_size(spark, tmp_path):
+    land = tmp_path / "land"
+    land.mkdir()
+    for i in range(7):
+        _book(land, f"f{i}.xlsx", f"BLB_26010{1 + i % 3}", 1 + i, 60 * i)
+    got = [_stream(spark, tmp_path, f"s{n}", n, land)[0] for n in (1, 4)]
+    rows = [sorted(map(tuple, st.read().drop("upload_datetime", "upload_user").collect()), key=repr) for st in got]
+    assert rows[0] == rows[1] and _batches(got[0]) == {"BLB_260101": "f6.xlsx", "BLB_260102": "f4.xlsx", "BLB_260103": "f5.xlsx"}
+
+
+def test_a_replayed_micro_batch_leaves_one_copy(spark, tmp_path):
+    from gridfold.operators.checks import RowCheck
+    from gridfold.sources.workbook import list_binary
+    from gridfold.streaming.ledger_stream import apply_micro_batch
+
+    land = tmp_path / "land"
+    land.mkdir()
+    _book(land, "good.xlsx", "BLB_260101")
+    (land / "torn.xlsx").write_bytes(b"no zip")
+    st = FactStore(spark, f"file://{tmp_path}/facts", buckets=8)
+    q = str(tmp_path / "q")
+    for _ in range(3):
+        apply_micro_batch(st, list_binary(spark, str(land)), "query-0", str(tmp_path / "stage0"), checks=[RowCheck("small", "value < 1")], quarantine=q)
+    entries = [(r["source_file"], r["outcome"]) for r in st.ledger(LEDGER_SCHEMA).collect()]
+    assert sorted(entries) == [("good.xlsx", "landed"), ("torn.xlsx", "failed")]
+    assert [(r["check"], r["source_file"], r["run_id"]) for r in spark.read.parquet(q).collect()] == [("small", "good.xlsx", "query-0")]
+
+
+def test_a_stream_told_to_fail_fails_once(spark, tmp_path):
+    land = tmp_path / "land"
+    land.mkdir()
+    (land / "torn.xlsx").write_bytes(b"no zip")
+    os.utime(land / "torn.xlsx", (1_600_000_000, 1_600_000_000))
+    _book(land, "good.xlsx", "BLB_260101")
+    st, q = _stream(spark, tmp_path, "s", 1, land, raise_on_error=True)
+    assert q.exception() is not None and _batches(st) == {}
+    st, q = _stream(spark, tmp_path, "s", 1, land, raise_on_error=True)
+    assert q.exception() is None and _batches(st) == {"BLB_260101": "good.xlsx"}
+    assert _state(st)["torn.xlsx"][0] == "failed" and st.ledger(LEDGER_SCHEMA).count() == 2
