@@ -14,7 +14,6 @@ import json
 import os
 import sys
 import time
-import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -22,7 +21,8 @@ HEADLINE = [
     "long_facts", "long_facts_bench", "lineage", "row_band", "header_classes", "file_errors",
     "wide_unpivot", "scaled_values", "replace_batches", "remove_batch", "period_summary",
     "key_check", "check_report", "latest_attempt", "run_outcomes", "landing_log", "unique_names",
-    "recent_landings", "newest_file", "batch_dates",
+    "recent_landings", "newest_file", "batch_dates", "data_versions", "check_totals", "file_checks", "check_set",
+    "sink_replace", "ledger_ingest",
 ]
 
 
@@ -40,8 +40,8 @@ def main() -> None:
                       extra={"spark.driver.memory": "16g"})
     from gridfold.plans import queries as Q
     from gridfold.plans.grids import WIDE_LAYOUT
-    from gridfold.plans.ingest import run_ingest
-    from gridfold.sources.tables import ensure_fact_table
+    from gridfold.plans.ledger_ingest import ledger_ingest
+    from gridfold.sources.store import FactStore
     from gridfold.streaming.ingest import write_workbooks
 
     timings: dict[str, float] = {}
@@ -62,21 +62,24 @@ def main() -> None:
     # N-file ingest from real workbooks, one per customer
     landing = scratch_path(spark, "bench-landing")
     n_files = write_workbooks(Q._grid(spark, sf, "customer").grid, landing)
-    table = f"default.bench_{uuid.uuid4().hex[:10]}"
-    ensure_fact_table(spark, table, location=scratch_path(spark, "bench-table"))
+    local = landing.removeprefix("file:")
+    for i, name in enumerate(sorted(os.listdir(local))):  # fixed times, so that the same workbook wins each batch in every run
+        if name.endswith(".xlsx"):
+            os.utime(os.path.join(local, name), (1_700_000_000 + i, 1_700_000_000 + i))
+    store = FactStore(spark, scratch_path(spark, "bench-store"))
     t = time.time()
-    res = run_ingest(spark, landing, table, layout=WIDE_LAYOUT, raise_on_check=False, raise_on_error=False)
+    rows = ledger_ingest(spark, landing, store, layout=WIDE_LAYOUT, raise_on_check=False, raise_on_error=False).rows_written
     timings["ingest_xlsx_all_files"] = time.time() - t
-    rows = res.rows_written
+    t = time.time()
+    ledger_ingest(spark, landing, store, layout=WIDE_LAYOUT, raise_on_check=False, raise_on_error=False)
+    timings["ingest_xlsx_nothing_new"] = time.time() - t
 
     # one file per run, on a sample, as the one-workbook-per-job mode does
-    files = [r.path for r in spark.read.format("binaryFile").load(landing).select("path")
-             .orderBy("path").limit(one_file_samples).collect()]
-    one_table = f"default.bench_one_{uuid.uuid4().hex[:10]}"
-    ensure_fact_table(spark, one_table, location=scratch_path(spark, "bench-one"))
+    one = FactStore(spark, scratch_path(spark, "bench-one"))
+    files = sorted(n for n in os.listdir(local) if n.endswith(".xlsx"))[:one_file_samples]
     t = time.time()
-    for p in files:
-        run_ingest(spark, p, one_table, layout=WIDE_LAYOUT, raise_on_check=False, raise_on_error=False)
+    for name in files:
+        ledger_ingest(spark, f"{landing}/{name}", one, layout=WIDE_LAYOUT, raise_on_check=False, raise_on_error=False)
     per_file = (time.time() - t) / max(1, len(files))
     timings["one_file_per_run_avg"] = per_file
 

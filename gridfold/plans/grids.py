@@ -33,7 +33,8 @@ BLANK_LABEL, BLANK_VALUE = "  ", "5"
 NA_LABEL, NA_VALUE = "N/A", "4"
 JUNK_HEADERS = ("Notes", "Q5 2026")
 JUNK_VALUE = "7"
-CUSTOMER_SHEETS = 1000  # distinct sheet names among customer files
+BATCH_FILES = 2  # customer files that share a sheet name, so a batch
+BATCH_DAYS = 36525  # sheet names there can be: the days that six digits name
 # sheet rows
 ROW_TITLE, ROW_NAME, ROW_DECOY, ROW_START, ROW_FIRST_LABEL = 1, 2, 5, 6, 7
 # rows after the labels, relative to the last label row
@@ -85,9 +86,9 @@ def sheet_name_for(file_key, by: str = "region"):
     """BLB_yyMMdd: a real date per file key."""
     if by == "region":
         return F.concat(F.lit("BLB_2601"), F.lpad((file_key + 1).cast("string"), 2, "0"))
-    # every 1000th customer shares a sheet name: re-deliveries of one batch
-    return F.concat(F.lit("BLB_"), F.date_format(F.date_add(F.lit("2020-01-01").cast("date"),
-                                                            (file_key % CUSTOMER_SHEETS).cast("int")), "yyMMdd"))
+    # neighbouring customers deliver the same batch
+    day = F.floor(file_key / BATCH_FILES) % BATCH_DAYS
+    return F.concat(F.lit("BLB_"), F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), day.cast("int")), "yyMMdd"))
 
 
 def period_header(year, qsort, est_year=None, est_quarter=None):

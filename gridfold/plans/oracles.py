@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from gridfold.operators.shape import ERR_BAD_DATE, ERR_NO_ESTIMATE, ERR_NO_METRIC
 from gridfold.plans import queries as Q
-from gridfold.plans.grids import CUSTOMER_SHEETS
+from gridfold.plans.grids import BATCH_DAYS, BATCH_FILES
 from gridfold.schema import NAME_UNSAFE_REGEX, PERIOD_REGEX, WS
 from gridfold.sources.landing import ERR_NAME_TAKEN, ERR_NOT_WORKBOOK, ERR_NO_NAME
 
@@ -62,7 +62,7 @@ def _base(by: str = "region") -> str:
 def _sheet(by: str) -> str:
     if by == "region":
         return "'BLB_2601' || lpad(CAST(file_key + 1 AS VARCHAR), 2, '0')"
-    return f"'BLB_' || strftime(DATE '2020-01-01' + CAST(file_key % {CUSTOMER_SHEETS} AS INTEGER), '%y%m%d')"
+    return f"'BLB_' || strftime(DATE '2000-01-01' + CAST((file_key // {BATCH_FILES}) % {BATCH_DAYS} AS INTEGER), '%y%m%d')"
 
 
 def _facts(by: str = "region", lineage: bool = False) -> str:
@@ -189,7 +189,7 @@ SELECT file_name, uploaded_by AS "user", size_bytes, coalesce(status, 'landed')
 FROM top"""
 
 ROW_BAND = f"""
-WITH {_base()},
+WITH {_base("customer")},
 pr AS (SELECT metric, CAST(6 + row_number() OVER (ORDER BY metric) AS INTEGER) AS row
        FROM (SELECT DISTINCT metric FROM base)),
 lab AS (SELECT fm.source_file, pr.row, fm.metric AS label
@@ -209,7 +209,7 @@ _VARIANTS_LIST = "[" + ", ".join(_s(v) for v in Q.HEADER_VARIANTS) + "]"
 _RE = _s(PERIOD_REGEX)
 
 HEADER_CLASSES = f"""
-WITH {_base()},
+WITH {_base("customer")},
 per AS (SELECT DISTINCT source_file, year, qsort FROM (
           SELECT source_file, year, quarter AS qsort FROM base UNION ALL SELECT source_file, year, 5 FROM base)),
 pc AS (SELECT source_file, year, qsort,
@@ -313,13 +313,15 @@ SELECT batch_key, o_orderkey, 'f_' || batch_key || '_b.xlsx' AS source_file,
        CAST(value + 1 AS DECIMAL(18,2)) AS value
 FROM ex WHERE batch_key IN {_in(Q.TWO_FILE_YEARS)}"""
 
+SINK_REPLACE = f"SELECT * FROM ({REPLACE_BATCHES}) r WHERE batch_key <> {_s(Q.REMOVED_BATCH)}"
+
 REMOVE_BATCH = f"""
 WITH {_EXISTING}
 SELECT batch_key, CAST(count(*) FILTER (WHERE batch_key <> {_s(Q.REMOVED_BATCH)}) AS BIGINT) AS row_count
 FROM ex GROUP BY batch_key"""
 
 PERIOD_SUMMARY = f"""
-SELECT period_type, year, is_estimate, count(*) AS row_count FROM ({_facts()}) f
+SELECT period_type, year, is_estimate, count(*) AS row_count FROM ({_facts("customer")}) f
 GROUP BY period_type, year, is_estimate ORDER BY period_type, year, is_estimate"""
 
 _KEYS = f"""k AS (
@@ -332,6 +334,53 @@ rep AS (
          max(try_strptime('20' || nullif(regexp_extract(batch_key, '^BLB_([0-9]{{6}})$', 1), ''), '%Y%m%d')) AS bd
   FROM k GROUP BY batch_key)"""
 
+_CUSTOMER_FILES = f"""{_base("customer")},
+vals AS (SELECT source_file, file_key, metric, year, quarter FROM base GROUP BY ALL
+         UNION ALL SELECT source_file, file_key, metric, year, 5 FROM base GROUP BY ALL),
+files AS (SELECT source_file, file_key, {_sheet("customer")} AS batch_key, bool_or(year >= 2000) AS valid, CAST(count(*) AS BIGINT) AS n
+          FROM vals GROUP BY source_file, file_key),
+won AS (SELECT *, valid AND file_key = max(file_key) FILTER (WHERE valid) OVER (PARTITION BY batch_key) AS wins, right(batch_key, 2) AS day FROM files)"""
+
+FILE_CHECKS = f"""
+WITH {_CUSTOMER_FILES}
+SELECT source_file, batch_key, n AS row_count, strptime('20' || right(batch_key, 6), '%Y%m%d')::DATE AS batch_date,
+       true AS not_empty, true AS key_ok, true AS passed
+FROM files WHERE valid"""
+
+LEDGER_INGEST = f"""
+WITH {_CUSTOMER_FILES},
+st AS (SELECT *, valid AND day <= {_s(Q.REMOVED_DAYS)} AND day <> {_s(Q.RETAKEN_DAY)} AS gone FROM won)
+SELECT source_file, batch_key,
+       CASE WHEN NOT valid THEN 'failed' WHEN gone THEN 'removed' WHEN wins THEN 'landed' ELSE 'superseded' END AS outcome,
+       CASE WHEN NOT valid THEN {_s(ERR_NO_ESTIMATE)} END AS error,
+       CASE WHEN NOT valid THEN NULL WHEN gone THEN 0 ELSE n END AS row_count,
+       CAST(1 + CASE WHEN NOT valid THEN 1 WHEN day <= {_s(Q.REMOVED_DAYS)} THEN 1 ELSE 0 END
+              + CASE WHEN day = {_s(Q.RETAKEN_DAY)} THEN 1 ELSE 0 END AS BIGINT) AS entries,
+       CASE WHEN wins AND NOT gone THEN n ELSE 0 END AS table_rows
+FROM st"""
+
+CHECK_SET = f"""
+WITH f AS (
+  SELECT CASE o_orderkey % 5 WHEN 0 THEN 'BLB_' || strftime(o_orderdate, '%y%m%d') WHEN 1 THEN 'Sheet1'
+              WHEN 2 THEN 'BLB_' || strftime(o_orderdate, '%y%m') WHEN 3 THEN {_s(Q.BAD_DATE_SHEET)} END AS batch_key,
+         'src_' || CAST(o_orderkey % 3 AS VARCHAR) || '.xlsx' AS source_file, CAST(o_totalprice AS DECIMAL(18,2)) AS value,
+         o_orderpriority AS metric
+  FROM orders),
+g AS (SELECT source_file, batch_key, count(*) AS n, count(*) FILTER (WHERE NOT coalesce(value >= {Q.LEAST_VALUE}, false)) AS low,
+             count(*) FILTER (WHERE metric NOT LIKE '_-%') AS spelled, max(value) AS top, count(DISTINCT metric) AS kinds,
+             max(try_strptime('20' || nullif(regexp_extract(batch_key, '^BLB_([0-9]{{6}})$', 1), ''), '%Y%m%d')) AS bd
+      FROM f GROUP BY source_file, batch_key),
+r AS (
+  SELECT source_file, batch_key, 'batch_key_date' AS "check", n, CASE WHEN bd IS NULL THEN n ELSE 0 END AS bad FROM g
+  UNION ALL SELECT source_file, batch_key, 'least_value', n, low FROM g
+  UNION ALL SELECT source_file, batch_key, 'metric_spelled', n, spelled FROM g
+  UNION ALL SELECT source_file, batch_key, 'top_value', n, CASE WHEN top < {Q.TOP_VALUE} THEN 0 ELSE n END FROM g
+  UNION ALL SELECT source_file, batch_key, 'two_metrics', n, CASE WHEN kinds >= 2 THEN 0 ELSE n END FROM g
+  UNION ALL SELECT NULL, NULL, 'not_empty', (SELECT count(*) FROM f), 0)
+SELECT source_file, batch_key, "check", CAST(n AS BIGINT) AS row_count, CAST(bad AS BIGINT) AS failed_rows,
+       CASE WHEN "check" = 'not_empty' THEN n > 0 ELSE bad = 0 END AS passed
+FROM r"""
+
 KEY_CHECK = f"""
 WITH {_KEYS}
 SELECT batch_key, row_count, CAST(bd AS DATE) AS batch_date, bd IS NOT NULL AS passed FROM rep"""
@@ -463,4 +512,8 @@ ORACLES: dict[str, str] = {
     "latest_attempt": LATEST_ATTEMPT,
     "run_outcomes": RUN_OUTCOMES,
     "stream_ingest": _facts("region"),
+    "sink_replace": SINK_REPLACE,
+    "ledger_ingest": LEDGER_INGEST,
+    "file_checks": FILE_CHECKS,
+    "check_set": CHECK_SET,
 }

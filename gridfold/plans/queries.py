@@ -11,11 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridfold.functions.names import unique_name, uploader
 from gridfold.operators.batches import batch_counts, remove_batches, replace_batches, replaced_keys, winning_files
+from gridfold.operators.checks import GroupCheck, RowCheck, batch_key_dated
+from gridfold.operators.checks import check_report as check_set_report
+from gridfold.operators.ledger import LEDGER_SCHEMA, ledger_report, pending
 from gridfold.operators.quality import check_batch_key, check_scope, check_totals, key_report, run_checks
 from gridfold.operators.report import period_summary
 from gridfold.operators.runs import latest_attempts, run_outcomes
@@ -30,8 +33,11 @@ from gridfold.operators.shape import (
 )
 from gridfold.plans.grids import WIDE_LAYOUT, Grid, derived_grid, period_header
 from gridfold.plans.ingest import Ingest, build_ingest
-from gridfold.session import spread
+from gridfold.plans.ledger_ingest import apply_with_ledger, remove_from_store
+from gridfold.session import scratch_path, spread
 from gridfold.sources.landing import guard_new_names, log_landings, newest_file, recent_landings
+from gridfold.sources.store import FactStore
+from gridfold.sources.workbook import Scan
 
 # ---------------------------------------------------------------------------
 # Fixed values used to derive query inputs.
@@ -46,6 +52,8 @@ BAD_DATE_FILES, BAD_DATE_SHEET = ("ASIA.xlsx", "EUROPE.xlsx"), "BLB_260231"
 UNREADABLE_FILE, UNREADABLE_ERROR = "EUROPE.xlsx", "unreadable workbook: test"
 TWO_FILE_YEARS, EMPTY_FILE_YEAR, BAD_FILE_YEAR = ("Y1996", "Y1998"), "Y2000", "Y1997"
 REMOVED_BATCH = "Y1997"
+REMOVED_DAYS, RETAKEN_DAY = "10", "05"
+LEAST_VALUE, TOP_VALUE = 5000, 300000
 UNLOGGED_REGION, UNASSIGNED_FILE = "MIDDLE EAST", "unassigned"
 EMPTY_SCOPE = "no_such_file.xlsx"
 RUN_STATES = ("PENDING", "QUEUED", "BLOCKED", "RUNNING", "TERMINATING", "TERMINATED",
@@ -152,12 +160,12 @@ def q_recent_landings(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- P1-P3/F6 ----------------------------------------------------------------
 def q_row_band(spark: SparkSession, sf: str) -> DataFrame:
-    return band_rows(_grid(spark, sf).grid, WIDE_LAYOUT)
+    return band_rows(_grid(spark, sf, "customer").grid, WIDE_LAYOUT)
 
 
 # --- P5/P7/P11/F7/F8 ---------------------------------------------------------
 def q_header_classes(spark: SparkSession, sf: str) -> DataFrame:
-    heads = header_cells(_grid(spark, sf).grid, WIDE_LAYOUT)
+    heads = header_cells(_grid(spark, sf, "customer").grid, WIDE_LAYOUT)
     last = heads.groupBy("source_file").agg(F.max("col").alias("last"))
     variants = last.select(
         "source_file", "last", F.posexplode(F.array(*[F.lit(v) for v in HEADER_VARIANTS])).alias("pos", "text")
@@ -286,7 +294,8 @@ def _existing_batches(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def q_replace_batches(spark: SparkSession, sf: str) -> DataFrame:
+def _replacement(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(existing rows, incoming rows, valid files) of a run that re-delivers some batches."""
     existing = _existing_batches(spark, sf)
     years = existing.select("batch_key").distinct()
     t0 = F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
@@ -315,10 +324,46 @@ def q_replace_batches(spark: SparkSession, sf: str) -> DataFrame:
     rows = rows.withColumn("value", (F.col("value") + offset).cast("decimal(18,2)"))
     valid = winning_files(files.where(F.col("error").isNull()))
     winners = valid.where(F.col("is_winner")).select("source_file")
-    incoming = rows.join(winners, "source_file", "left_semi").select(*existing.columns)
+    return existing, rows.join(winners, "source_file", "left_semi").select(*existing.columns), valid
+
+
+def q_replace_batches(spark: SparkSession, sf: str) -> DataFrame:
+    existing, incoming, valid = _replacement(spark, sf)
     return replace_batches(existing, incoming, replaced_keys(valid))
 
 
+def q_sink_replace(spark: SparkSession, sf: str) -> DataFrame:
+    """Written, re-delivered twice (one batch emptied by it), one batch removed, read back."""
+    existing, incoming, valid = _replacement(spark, sf)
+    store = FactStore(spark, scratch_path(spark, "sink-q"), existing.schema, buckets=16)
+    store.replace(existing, existing.select("batch_key"))
+    for _ in range(2):
+        store.replace(incoming, replaced_keys(valid))
+    store.remove(spark.createDataFrame([(REMOVED_BATCH,)], "batch_key string"))
+    return store.read()
+
+
+# --- M2/A6: ledger -------------------------------------------------------------
+def q_ledger_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Four steps over the customers' workbooks: all of them; batches of some days
+    removed; a run that finds only what failed before; one day's files taken again."""
+    g = _grid(spark, sf, "customer")
+    files = g.files.withColumn("digest", F.sha2("source_file", 256))
+    store = FactStore(spark, scratch_path(spark, "ledger-q"))
+    day = F.substring("batch_key", -2, 2)
+
+    def run(taken: DataFrame, name: str, again: bool = False) -> None:
+        apply_with_ledger(store, Scan(g.grid, taken), None, WIDE_LAYOUT, again, name, "the grid", raise_on_check=False, raise_on_error=False)
+
+    run(files, "run1")
+    remove_from_store(store, store.read().select("batch_key").where(day <= REMOVED_DAYS).distinct(), "remove")
+    run(pending(files, store.ledger(LEDGER_SCHEMA)), "run2")
+    run(files.where(F.substring("sheet_name", -2, 2) == RETAKEN_DAY), "run3", again=True)
+    held = store.read().groupBy("source_file").agg(F.count(F.lit(1)).alias("table_rows"))
+    return ledger_report(store.ledger(LEDGER_SCHEMA)).join(held, "source_file", "left").select(
+        "source_file", "batch_key", "outcome", "error", "row_count", "entries", F.coalesce("table_rows", F.lit(0)).alias("table_rows"))
+
+
 # --- M2/A1 -------------------------------------------------------------------
 def q_remove_batch(spark: SparkSession, sf: str) -> DataFrame:
     existing = _existing_batches(spark, sf)
@@ -328,19 +373,19 @@ def q_remove_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- A2/L2 -------------------------------------------------------------------
 def q_period_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return period_summary(_ingest(spark, sf).incoming)
+    return period_summary(_ingest(spark, sf, by="customer").incoming)
 
 
 # --- C1/A3/F7/F10 ------------------------------------------------------------
-def checked_keys(spark: SparkSession, sf: str) -> DataFrame:
-    o = _t(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+def checked_keys(spark: SparkSession, sf: str, **more: Column) -> DataFrame:
+    o = _t(spark, sf, "orders").select("o_orderkey", "o_orderdate", *[c.alias(n) for n, c in more.items()])
     k = F.col("o_orderkey") % 5
     key = (F.when(k == 0, F.concat(F.lit("BLB_"), F.date_format("o_orderdate", "yyMMdd")))
            .when(k == 1, F.lit("Sheet1"))
            .when(k == 2, F.concat(F.lit("BLB_"), F.date_format("o_orderdate", "yyMM")))
            .when(k == 3, F.lit(BAD_DATE_SHEET)))
     return o.select(key.alias("batch_key"),
-                    F.concat(F.lit("src_"), (F.col("o_orderkey") % 3).cast("string"), F.lit(".xlsx")).alias("source_file"))
+                    F.concat(F.lit("src_"), (F.col("o_orderkey") % 3).cast("string"), F.lit(".xlsx")).alias("source_file"), *more)
 
 
 def q_key_check(spark: SparkSession, sf: str) -> DataFrame:
@@ -356,6 +401,19 @@ def q_check_report(spark: SparkSession, sf: str) -> DataFrame:
     return whole.unionByName(empty)
 
 
+def q_check_set(spark: SparkSession, sf: str) -> DataFrame:
+    rows = checked_keys(spark, sf, value=F.col("o_totalprice").cast("decimal(18,2)"), metric=F.col("o_orderpriority"))
+    checks = [
+        batch_key_dated(), RowCheck("least_value", f"value >= {LEAST_VALUE}"), RowCheck("metric_spelled", "metric LIKE '_-%'"),
+        GroupCheck("top_value", "max(value)", lambda top: top < TOP_VALUE), GroupCheck("two_metrics", "count(DISTINCT metric)", lambda n: n >= 2),
+    ]
+    return check_set_report(rows, checks)
+
+
+def q_file_checks(spark: SparkSession, sf: str) -> DataFrame:
+    return _ingest(spark, sf, by="customer").checks.withColumn("batch_date", F.col("batch_date").cast("date"))
+
+
 # --- A4 ----------------------------------------------------------------------
 def q_check_totals(spark: SparkSession, sf: str) -> DataFrame:
     return check_totals(key_report(check_batch_key(checked_keys(spark, sf))))
@@ -431,4 +489,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "latest_attempt": q_latest_attempt,
     "run_outcomes": q_run_outcomes,
     "stream_ingest": q_stream_ingest,
+    "sink_replace": q_sink_replace,
+    "ledger_ingest": q_ledger_ingest,
+    "file_checks": q_file_checks,
+    "check_set": q_check_set,
 }
