@@ -14,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gridfold.llm.common import join_by_weight, map_texts, text_or_empty, tokenizer_path
-from gridfold.llm.words import LibraryTokenizer, Ragged, encode_words, ragged, split_words, with_space
+from gridfold.llm.words import LibraryTokenizer, Ragged, Remembered, ragged, split_words, with_space
 from gridfold.session import stage
 
 #: Most id pairs, and most texts, that are broadcast: the heaviest ones.
 HEAVY_PAIRS, HEAVY_TEXTS = 1 << 18, 1 << 12
+#: Bytes of text aligned at once, and words that a task keeps the ids of: links and groups take many times the text.
+SLICE, KEPT = 3 << 20, 1 << 18
 
 
 def byte_level_tokens(path: str) -> list[bytes]:
@@ -49,9 +51,9 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
 
-        self.encode_a = LibraryTokenizer(path_a, plain_specials=True)
+        self.encode_a = Remembered(LibraryTokenizer(path_a, plain_specials=True), KEPT)
         model = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.encode_b = lambda words: ragged(model.encode(words.to_pylist(), num_threads=1))
+        self.encode_b = Remembered(lambda words: ragged(model.encode(words.to_pylist(), num_threads=1)), KEPT)
         self.bytes_a, self.bytes_b = byte_level_tokens(path_a), piece_tokens(model)
         self.size_a, self.size_b = (np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
 
@@ -65,8 +67,8 @@ class AlignedWords:
 
     def __init__(self, by: Aligner, words: pa.Array):
         spaced = with_space(words)
-        a = encode_words(spaced, by.encode_a)
-        b = encode_words(words, by.encode_b)  # the model puts the space first itself
+        a = by.encode_a(spaced)
+        b = by.encode_b(words)  # the model puts the space first itself
         spelled = spaced.cast(pa.binary()).to_pylist()
         ids_a, ids_b = a.flat.tolist(), b.flat.tolist()
         at_a, at_b = a.starts.tolist(), b.starts.tolist()
@@ -147,7 +149,7 @@ def align_texts(texts: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
         return work
 
-    return map_texts(texts, ALIGNED, make)
+    return map_texts(texts, ALIGNED, make, SLICE)
 
 
 def pair_base(path_b: str) -> int:

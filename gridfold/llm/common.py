@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gridfold.llm.words import SLICE, slices
 from gridfold.session import ship_package
 
 
@@ -43,12 +44,10 @@ def map_columns(df: DataFrame, schema: str, make: Callable[[], Callable[..., dic
     return df.mapInArrow(run, out)
 
 
-def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
-    """Arrow batches of ``df``, which has a column ``text``, in slices of bounded
+def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], most: int = SLICE) -> DataFrame:
+    """Arrow batches of ``df``, which has a column ``text``, in slices of ``most``
     bytes through ``make()``, called once per task. The function it returns takes
     a slice and returns a dict of Arrow arrays or lists, one per column of ``schema``."""
-    from gridfold.llm.words import slices
-
     ship_package(df.sparkSession)
     out = df.sparkSession.createDataFrame([], schema).schema
     at = df.columns.index("text")
@@ -58,10 +57,11 @@ def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
 
         arrow, work = to_arrow_schema(out), make()
         for batch in batches:
-            for a, b in slices(batch.column(at)):
+            for a, b in slices(batch.column(at), most):
                 got = work(batch.slice(a, b - a))
                 cols = [got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow)], schema=arrow)
+        pa.default_memory_pool().release_unused()  # the worker goes on with other tasks
 
     return df.mapInArrow(run, out)
 

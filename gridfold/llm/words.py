@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: UTF-8 bytes of text worked on at once (a longer text is a slice of its own).
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Bytes of distinct words encoded in one go, and words that a task keeps the ids of.
 CALL, KEPT = 2 << 20, 1 << 20
 
