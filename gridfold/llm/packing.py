@@ -55,38 +55,38 @@ def best_fit(tokens: np.ndarray, capacity: tuple[float, float, float], weights:
     ``dot`` the one whose residual has the largest weighted dot-product with
     the item; equal scores go to the older bin; none open: a new bin.
     """
+    if rule not in ("norm", "dot"):
+        raise ValueError("rule is norm or dot")
     cap = np.asarray(capacity, dtype=float)
-    need = np.stack([tokens, np.ones(len(tokens)), tokens.astype(float) ** 2], axis=1)
-    if (need > cap).any():
+    need = np.stack([tokens, np.ones(len(tokens)), tokens.astype(float) ** 2])
+    if (need > cap[:, None]).any():
         raise ValueError("an item is larger than a sequence may be")
     bins, offsets = np.empty(len(tokens), dtype=np.int64), np.empty(len(tokens), dtype=np.int64)
-    room = np.empty((0, 3))  # of the open bins
-    label = np.empty(0, dtype=np.int64)
-    made = 0
     order = np.argsort(-tokens, kind="stable")
-    smallest = need[order[-1]] if len(order) else None
     scale = np.asarray(weights, dtype=float) / cap**2
+    room, label = np.empty((3, 256)), np.empty(256, dtype=np.int64)  # of the bins in use, oldest first: the first ``used``
+    used = made = closed = 0
     for k in order:
-        item = need[k]
-        at = -1
-        if len(room):
-            fits = (room >= item).all(axis=1)
-            if rule == "norm":
-                score = -(((room - item) ** 2) @ scale)
-            elif rule == "dot":
-                score = room @ (item * scale)
-            else:
-                raise ValueError("rule is norm or dot")
-            score = np.where(fits, score, -np.inf)
-            best = int(score.argmax())
-            at = best if fits[best] else -1
-        if at < 0:
-            room, label = np.vstack([room, cap]), np.append(label, made)
-            at, made = len(room) - 1, made + 1
-        bins[k], offsets[k] = label[at], int(cap[0] - room[at, 0])
-        room[at] -= item
-        if (room[at] < smallest).any():  # no later item fits: close it
-            room, label = np.delete(room, at, axis=0), np.delete(label, at)
+        item = need[:, k]
+        open_ = room[:, :used]
+        fits = np.flatnonzero((open_[0] >= item[0]) & (open_[1] >= item[1]) & (open_[2] >= item[2]))
+        if len(fits):
+            left = open_[:, fits]
+            score = -(scale @ (left - item[:, None]) ** 2) if rule == "norm" else (item * scale) @ left
+            at = fits[int(score.argmax())]
+        else:
+            if used == len(label):
+                room, label = np.concatenate([room, np.empty_like(room)], axis=1), np.concatenate([label, np.empty_like(label)])
+            room[:, used], label[used] = cap, made
+            at, used, made = used, used + 1, made + 1
+        bins[k], offsets[k] = label[at], int(cap[0] - room[0, at])
+        room[:, at] -= item
+        if (room[:, at] < need[:, order[-1]]).any():  # not even the smallest item fits any more: close it
+            room[:, at], closed = -1, closed + 1
+            if closed > 64 and 2 * closed > used:
+                still = np.flatnonzero(room[0, :used] >= 0)
+                room[:, :len(still)], label[:len(still)] = room[:, still], label[still]
+                used, closed = len(still), 0
     return bins, offsets
 
 
