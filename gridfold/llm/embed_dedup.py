@@ -435,33 +435,28 @@ def dedup_vectors(vectors: DataFrame, least: float = 0.9, probes: int = 4, recal
     vectors linked directly, ``component_id`` is the smallest vec_id that links
     reach, ``kept`` whether that is the row's own. ``recall`` is the audited share
     of a row's links that are found, as a mean over the rows of the group size
-    where it is lowest. Below the asked one, twice as many shards are
+    where it is lowest (null: no audited row has a link, or the row can't
+    link). Below the asked one, twice as many shards are
     searched, up to all of them; if it is still short, all rows that have no
     more links than the short sizes are held against all others.
 
     Equal vectors are one class: one of them is indexed, and counts for all.
     Vectors that are null, empty, zero, or hold a null or non-finite component
     link with nothing. Rows without a vec_id link with nothing and have no
-    component. A vec_id that is repeated is one vector: the largest by value.
+    component. Each row is a vector of its own, also where a vec_id is repeated;
+    such rows link by their vectors alone.
     Vectors of different lengths are compared among their own length only. An
     empty table gives an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
-    all_ids = vectors.select("vec_id")
-    units = unit_rows(vectors).where("vec_id IS NOT NULL AND v IS NOT NULL").groupBy("vec_id").agg(F.max("v").alias("v"))
-    units = stage(spark, units, "vectors")
+    rows = stage(spark, unit_rows(vectors), "vectors")
+    can = F.col("vec_id").isNotNull() & F.col("v").isNotNull()
+    units = rows.where(can)
+    found = rows.where(~can).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(None).cast("double").alias("recall"))
     lengths = [r[0] for r in units.select(F.size("v").alias("n")).distinct().orderBy("n").toLocalIterator()]
-    done = [_dedup(spark, units.where(F.size("v") == n), least, probes, recall, shard) for n in lengths]
-    if not done:
-        return all_ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
-                          F.col("vec_id").isNotNull().alias("kept"), F.lit(1.0).alias("recall"))
-    found = done[0]
-    for d in done[1:]:
-        found = found.unionByName(d)
-    component = F.coalesce("component_id", "vec_id")
-    return all_ids.join(found, "vec_id", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-        F.col("vec_id").eqNullSafe(component).alias("kept"), F.coalesce("recall", F.lit(1.0)).alias("recall"))
+    for n in lengths:
+        found = found.unionByName(_dedup(spark, units.where(F.size("v") == n), least, probes, recall, shard))
+    return found.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"), "recall")
 
 
 def _counts(spark, hits: DataFrame, one: DataFrame) -> DataFrame:
@@ -469,11 +464,14 @@ def _counts(spark, hits: DataFrame, one: DataFrame) -> DataFrame:
 
 
 def _dedup(spark, units: DataFrame, least: float, probes: int, recall: float, shard: int) -> DataFrame:
-    """The same for vectors of one length, without those that link with nothing."""
+    """The same for vectors of one length, without those that link with nothing.
+
+    Classes of equal vectors are numbered in the order of their smallest vec_id,
+    so the smallest number of a component is that of its smallest vec_id."""
     ship_package(spark)
     classes = units.groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
-    classes = stage(spark, classes, "vector-classes")
-    one = classes.select(F.col("first").alias("vec_id"), "copies", "v")
+    classes = stage(spark, classes.sort("first").withColumn("class", F.monotonically_increasing_id()), "vector-classes")
+    one = classes.select(F.col("class").alias("vec_id"), "copies", "v")
     n = one.count()
     sample = _matrix(one.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).toPandas()["v"])
     centres = kmeans(sample, max(1, min(math.ceil(OVERLAP * n / shard), len(sample) // 8)))
@@ -488,7 +486,8 @@ def _dedup(spark, units: DataFrame, least: float, probes: int, recall: float, sh
         query = stage(spark, _shards(one, centres, probes, blocks)[1], "vector-queries")
         hits = _search_on(index, query, lists, blocks, least, probes)
         counts = _counts(spark, hits, one)
-        share, short = judge(audit(one, counts, least), recall)
+        audited = audit(one, counts, least)
+        share, short = judge(audited, recall)
         if share >= recall or probes == len(centres):
             break
         probes = min(2 * probes, len(centres))
@@ -497,11 +496,13 @@ def _dedup(spark, units: DataFrame, least: float, probes: int, recall: float, sh
         rows = stage(spark, few.select("vec_id", "v"), "vector-short")
         hits = hits.union(stage(spark, scan(rows, one, least), "vector-scan"))
         counts = _counts(spark, hits, one)
-        share, _ = judge(audit(one, counts, least), recall)
+        audited = audit(one, counts, least)
+        share, _ = judge(audited, recall)
     roots = components(hits.where("root IS NOT NULL"), "a", "root")
+    least_id = classes.select(F.col("class").alias("root"), F.col("first").alias("least_id"))
     whole = (
-        classes.join(counts.withColumnRenamed("copies", "others"), F.col("first") == F.col("a"), "left")
-        .join(roots, F.col("first") == F.col("node"), "left")
-        .select("v", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "first").alias("component_id"))
+        classes.join(counts.withColumnRenamed("copies", "others"), F.col("class") == F.col("a"), "left")
+        .join(roots, F.col("class") == F.col("node"), "left").join(least_id, "root", "left")
+        .select("v", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("least_id", "first").alias("component_id"))
     )
-    return units.join(whole, "v").select("vec_id", "n_links", "component_id", F.lit(share).alias("recall"))
+    return units.join(whole, "v").select("vec_id", "n_links", "component_id", F.lit(share if audited else None).cast("double").alias("recall"))

@@ -73,63 +73,73 @@ def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     return rows.join(other, ["t", "key"]).where((F.col("fp") != F.col("near")) & (far <= radius)).select("fp", "near").distinct()
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """text (null: empty), and ``doc``, what tells documents apart and puts them
+    in order: ids ascending, none last, then the hash of the text."""
+    text = F.coalesce("text", F.lit(""))
+    doc = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id"), F.xxhash64(text).alias("text"))
+    return docs.select(doc.alias("doc"), text.alias("text"))
+
+
 def next_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, next_id and the code points ``take`` to be replaced, for each
-    distinct doc_id in ascending order; the last one is followed by the first.
+    """doc, next_doc, copies and the code points ``take`` to be replaced, for each
+    distinct ``doc`` of :func:`keyed` rows in ascending order; the last one is
+    followed by the first.
 
-    Ids are sorted over the cluster and numbered by (partition, row); the next id
+    They are sorted over the cluster and numbered by (partition, row); the next
     is the next row's, or the first of the next partition that has rows."""
-    ids = docs.groupBy("doc_id").agg(F.max(F.length(F.coalesce("text", F.lit("")))).alias("n")).where("doc_id IS NOT NULL")
-    rows = ids.sort("doc_id").withColumn("at", F.monotonically_increasing_id())
+    each = docs.groupBy("doc").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("copies"))
+    rows = each.sort("doc").withColumn("at", F.monotonically_increasing_id())
     rows = stage(docs.sparkSession, rows, "fingerprint-order").withColumn("part", F.shiftrightunsigned("at", 33))
-    firsts = rows.groupBy("part").agg(F.min("doc_id").alias("first"), F.max("at").alias("end"))
+    firsts = rows.groupBy("part").agg(F.min("doc").alias("first"), F.max("at").alias("end"))
     turn = W.orderBy("part")  # one row for each partition of the sort
     ends = firsts.select("end", F.coalesce(F.lead("first").over(turn), F.first("first").over(turn.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("after"))
-    step = rows.select((F.col("at") - 1).alias("at"), F.col("doc_id").alias("following"))
+    step = rows.select((F.col("at") - 1).alias("at"), F.col("doc").alias("following"))
     return (
         rows.join(step, "at", "left").join(ends, F.col("at") == F.col("end"), "left")
-        .select("doc_id", F.coalesce("following", "after").alias("next_id"), F.floor(F.col("n") / 4).cast("int").alias("take"))
+        .select("doc", F.coalesce("following", "after").alias("next_doc"), "copies", F.floor(F.col("n") / 4).cast("int").alias("take"))
     )
 
 
 def fingerprint_documents(docs: DataFrame, radius: int = 3) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next, n_near: one row per doc_id.
+    near_edited, near_next, n_near: one row per row of ``docs``.
 
     The edited text has its last floor(n_chars / 4) code points replaced by the
     first as many (or all) of the next document's. ``n_near`` counts the other
-    documents whose fingerprint is within ``radius`` bits; documents with equal
+    rows whose fingerprint is within ``radius`` bits; rows with equal
     fingerprints are one class, counted and not paired.
 
     A null text counts as empty; a text without words has fingerprint 0. Rows
-    that repeat a doc_id count once, with the longest text (the largest of equal
-    ones); rows without a doc_id are left out, for they have no place in the
-    order. One document alone is followed by itself. An empty table gives an
-    empty result; other columns are ignored.
+    that share a doc_id follow one another in the order of their texts' XXH64;
+    rows without a doc_id come last, in that order too. Rows that repeat both
+    doc_id and text are one document, so that its next is another one, and
+    each of them is returned. One document alone is followed by itself. An empty
+    table gives an empty result; other columns are ignored.
     """
-    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    order = next_documents(docs)
-    repeated = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    one = whole.join(repeated, "doc_id").groupBy("doc_id").agg(F.max_by("text", F.struct(F.length("text"), F.col("text"))).alias("text"))
-    whole = whole.join(repeated, "doc_id", "left_anti").unionByName(one)
+    whole = keyed(docs)
+    order = next_documents(whole)
+    repeated = order.where("copies > 1").select("doc")
+    one = whole.join(repeated, "doc").dropDuplicates(["doc"])
+    whole = whole.join(repeated, "doc", "left_anti").unionByName(one)
     # the text moves once: both joins read the same exchange
-    placed = whole.repartition("doc_id")
-    heads = placed.join(order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), "take"), "doc_id").select(
-        F.col("before").alias("doc_id"), F.col("doc_id").alias("next_id"), "take", F.expr("substring(text, 1, take)").alias("head"))
+    placed = whole.repartition("doc")
+    heads = placed.join(order.select(F.col("next_doc").alias("doc"), F.col("doc").alias("before"), "take", "copies"), "doc").select(
+        F.col("before").alias("doc"), F.col("doc").alias("next_doc"), "take", "copies", F.expr("substring(text, 1, take)").alias("head"))
     n = F.length("text")
     edited = F.concat(F.expr("substring(text, 1, length(text) - take)"), F.col("head"))
-    both = placed.join(heads, "doc_id").select("doc_id", "next_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    facts = both.select("doc_id", "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.posexplode(F.array("text", "edited")).alias("which", "text"))
+    both = placed.join(heads, "doc").select("doc", "next_doc", "copies", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    facts = both.select("doc", "next_doc", "copies", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.posexplode(F.array("text", "edited")).alias("which", "text"))
     return _finish(facts, radius)
 
 
 def _finish(facts: DataFrame, radius: int) -> DataFrame:
     spark = facts.sparkSession
-    fps = stage(spark, simhash(facts, "doc_id", "next_id", "n_chars", "edited_sha256", "which"), "fingerprints")
-    own = fps.where("which = 0").select("doc_id", "next_id", "n_chars", "edited_sha256", "fp")
-    edited = fps.where("which = 1").select("doc_id", F.col("fp").alias("edited_fp"))
-    following = own.select(F.col("doc_id").alias("next_id"), F.col("fp").alias("next_fp"))
-    classes = stage(spark, own.groupBy("fp").agg(F.count("*").alias("n")), "fingerprint-classes")
+    fps = stage(spark, simhash(facts, "doc", "next_doc", "copies", "n_chars", "edited_sha256", "which"), "fingerprints")
+    own = fps.where("which = 0").select("doc", "next_doc", "copies", "n_chars", "edited_sha256", "fp")
+    edited = fps.where("which = 1").select("doc", F.col("fp").alias("edited_fp"))
+    following = own.select(F.col("doc").alias("next_doc"), F.col("fp").alias("next_fp"))
+    classes = stage(spark, own.groupBy("fp").agg(F.sum("copies").alias("n")), "fingerprint-classes")
     sizes = classes.withColumnRenamed("fp", "near").withColumnRenamed("n", "near_n")
     around = near_links(classes.select("fp"), radius).join(sizes, "near").groupBy("fp").agg(F.sum("near_n").alias("around"))
     counted = classes.join(around, "fp", "left").select("fp", (F.col("n") - 1 + F.coalesce("around", F.lit(0))).alias("n_near"))
@@ -138,7 +148,8 @@ def _finish(facts: DataFrame, radius: int) -> DataFrame:
         return F.lower(F.lpad(F.hex(c), 16, "0"))
 
     return (
-        own.join(edited, "doc_id").join(following, "next_id").join(counted, "fp")
-        .select("doc_id", "n_chars", "edited_sha256", text("fp").alias("fingerprint"), text("edited_fp").alias("edited_fingerprint"),
+        own.join(edited, "doc").join(following, "next_doc").join(counted, "fp")
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+        .select(F.when(~F.col("doc.none"), F.col("doc.id")).alias("doc_id"), "n_chars", "edited_sha256", text("fp").alias("fingerprint"), text("edited_fp").alias("edited_fingerprint"),
                 likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "n_near")
     )

@@ -53,3 +53,16 @@ def test_small_groups_are_judged_by_themselves():
     dense, pairs = [(1000, 1000, 1.0)] * 70, [(1, 0, 3.0)] * 40
     assert E.judge(dense + pairs, 0.98) == (0.0, 1)
     assert E.judge(dense, 0.98) == (1.0, None) and E.judge([], 0.98) == (1.0, None)
+
+
+def test_rows_that_share_a_vec_id_are_vectors_of_their_own(spark):
+    rows = [(1, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0]), (9, [1.0, 0.05]), (4, [-1.0, 0.0]), (None, [1.0, 0.0]), (5, None), (5, [0.0, 0.0])]
+    got = E.dedup_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    want = [(1, 2, 1, True), (1, 1, 1, True), (2, 2, 1, False), (2, 2, 1, False), (9, 1, 1, False), (4, 0, 4, True), (None, 0, None, True), (5, 0, 5, True), (5, 0, 5, True)]
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted((tuple(r)[:4] for r in got.collect()), key=key) == sorted(want, key=key)
+
+
+def test_recall_is_null_where_no_audited_row_has_a_link(spark):
+    got = E.dedup_vectors(spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, None)], "vec_id long, embedding array<double>"))
+    assert [r.recall for r in got.collect()] == [None] * 3
