@@ -160,6 +160,15 @@ def test_line_dedup_of_many_variants_of_a_line(spark):
     assert Counter((r.doc_id, r.text) for r in got) == brute_lines(rows)
 
 
+def test_line_dedup_of_lines_from_few_words_and_words_that_occur_once(spark):
+    rng = np.random.default_rng(21)
+    line = lambda k: " ".join([f"w{j}" for j in rng.integers(0, 20, rng.integers(3, 9))] + [f"once{k}{e}" for e in "ab"[:k % 3]])
+    lines = [line(k) for k in range(240)]
+    rows = [(k, "\n".join(lines[8 * k:8 * k + 8])) for k in range(30)]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == brute_lines(rows)
+
+
 def test_embedding_graph(spark):
     rng = np.random.default_rng(2)
     far = rng.normal(size=(300, 16))
