@@ -68,10 +68,12 @@ def stage(spark: SparkSession, df: DataFrame, label: str, path: str | None = Non
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts lineage like ``checkpoint()`` but keeps a columnar, prunable copy:
-    later branches read only the columns and row groups they need.
+    later branches read only the columns and row groups they need. The
+    shuffle files of the write go when it ends; nothing reads them again.
     """
     path = path or scratch_path(spark, label)
-    df.write.mode("overwrite").parquet(path)
+    with sql_conf(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
