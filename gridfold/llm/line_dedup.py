@@ -71,12 +71,12 @@ def _overlap(n: Column, m: Column, t: float) -> Column:
     return F.ceil((n + m) * (t / (1 + t)) - 1e-9)
 
 
-def _may_match(x: Column, y: Column, t: float) -> Column:
-    """Length, positional and parity filters on structs of n, pos and parity."""
-    n, m = x["n"], y["n"]
+def _may_match(x: str, y: str, t: float) -> Column:
+    """Length, positional and parity filters on rows of prefix words."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     need = _overlap(n, m, t)
-    behind = 1 + F.least(n - x["pos"], m - y["pos"])
-    differ = F.bit_count(x["parity"].bitwiseXOR(y["parity"]))
+    behind = 1 + F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos"))
+    differ = F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity")))
     return (F.least(n, m) >= F.greatest(n, m) * t - 1e-9) & (behind >= need) & (differ <= n + m - 2 * need)
 
 
@@ -155,25 +155,26 @@ def later_matches(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     sets = sets.sort("first").select(F.monotonically_increasing_id().alias("sid"), "set", "first.doc", "first.line", "n", "parity", "prefix")
     sets = stage(spark, sets, "line-classes")
 
-    # words that occur once come first, so what is left of a prefix is its end
-    skipped = _prefix_length(F.col("n"), threshold) - F.size("prefix")
-    by_word = sets.select("sid", "n", "parity", skipped.alias("skipped"), F.posexplode("prefix").alias("pos", "word"))
-    by_word = by_word.select("word", "sid", "n", (F.col("skipped") + F.col("pos") + 1).cast("int").alias("pos"), "parity")
+    def by_word(classes: DataFrame) -> DataFrame:
+        # words that occur once come first, so what is left of a prefix is its end
+        skipped = (_prefix_length(F.col("n"), threshold) - F.size("prefix")).alias("skipped")
+        each = classes.select(skipped, F.struct(*(c for c in classes.columns if c in ("sid", "n", "parity", "open"))).alias("s"), F.posexplode("prefix").alias("pos", "word"))
+        return each.select("word", (F.col("skipped") + F.col("pos") + 1).cast("int").alias("pos"), "s.*")
+
+    def pairs_of(rows: DataFrame, label: str) -> DataFrame:
+        may = _may_match("x", "y", threshold) & (F.col("x.sid") < F.col("y.sid"))
+        return stage(spark, rows.where(may).select(F.col("x.sid").alias("x"), F.col("y.sid").alias("y")).distinct(), label)
 
     row, turn = F.struct("sid", "n", "pos", "parity"), W.partitionBy("word").orderBy("sid")
     near = F.array(F.first(row).over(turn), F.lag(row, 1).over(turn), F.lag(row, 2).over(turn))
-    shared = by_word.select("*", near.alias("x"), F.lead("sid", 1).over(turn).alias("next")).where("x[1] IS NOT NULL OR next IS NOT NULL")
-    may = F.filter("x", lambda x: x.isNotNull() & (x.sid < F.col("sid")) & _may_match(x, F.struct("n", "pos", "parity"), threshold))
-    # only words that more than one set has in its prefix go on
-    shared = stage(spark, shared.select("word", "sid", "n", "pos", "parity", F.transform(may, lambda x: x.sid).alias("x")), "line-words")
-    first = stage(spark, shared.select(F.explode("x").alias("x"), F.col("sid").alias("y")).distinct(), "line-pairs")
+    near = by_word(sets).select(row.alias("y"), near.alias("x")).where("x[1] IS NOT NULL").select("y", F.explode("x").alias("x"))
+    first = pairs_of(near, "line-pairs")
     settled = stage(spark, _verified(first, sets, docs, threshold).select(F.col("y").alias("sid")).distinct(), "line-settled")
 
-    marked = shared.drop("x").join(settled.withColumn("done", F.lit(True)), "sid", "left").withColumn("open", F.col("done").isNull())
+    marked = by_word(sets.join(settled.withColumn("done", F.lit(True)), "sid", "left").withColumn("open", F.col("done").isNull()))
     # the condition on y.open is not one of a side alone, so both sides read one exchange
-    rest = marked.alias("x").join(marked.alias("y"), F.col("x.word") == F.col("y.word")).where("(x.sid < y.sid) = y.open AND x.sid < y.sid")
-    rest = rest.where(_may_match(F.struct("x.n", "x.pos", "x.parity"), F.struct("y.n", "y.pos", "y.parity"), threshold))
-    rest = stage(spark, rest.select(F.col("x.sid").alias("x"), F.col("y.sid").alias("y")).distinct(), "line-rest").join(first, ["x", "y"], "left_anti")
+    rest = marked.alias("x").join(marked.alias("y"), F.col("x.word") == F.col("y.word")).where("(x.sid < y.sid) = y.open")
+    rest = pairs_of(rest, "line-rest").join(first, ["x", "y"], "left_anti")
     settled = settled.union(_verified(rest, sets, docs, threshold).select("y")).distinct()
 
     kept = sets.join(settled, "sid", "left_anti").select("set", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"))
