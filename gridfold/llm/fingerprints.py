@@ -118,10 +118,11 @@ def fingerprint_documents(docs: DataFrame, radius: int = 3) -> DataFrame:
     table gives an empty result; other columns are ignored.
     """
     whole = keyed(docs)
-    order = next_documents(whole)
+    order = stage(docs.sparkSession, next_documents(whole), "fingerprint-next")
     repeated = order.where("copies > 1").select("doc")
-    one = whole.join(repeated, "doc").dropDuplicates(["doc"])
-    whole = whole.join(repeated, "doc", "left_anti").unionByName(one)
+    if not repeated.isEmpty():  # else no text has to be held against the repeated ones
+        one = whole.join(repeated, "doc").dropDuplicates(["doc"])
+        whole = whole.join(repeated, "doc", "left_anti").unionByName(one)
     # the text moves once: both joins read the same exchange
     placed = whole.repartition("doc")
     heads = placed.join(order.select(F.col("next_doc").alias("doc"), F.col("doc").alias("before"), "take", "copies"), "doc").select(
