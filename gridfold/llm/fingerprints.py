@@ -73,14 +73,25 @@ def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     return rows.join(other, ["t", "key"]).where((F.col("fp") != F.col("near")) & (far <= radius)).select("fp", "near").distinct()
 
 
+def _sortable(x: Column) -> Column:
+    """16 hex digits that sort as the long does."""
+    return F.lpad(F.hex(x.bitwiseXOR(F.lit(-(1 << 63)).cast("long"))), 16, "0")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """text (null: empty), and ``doc``, what tells documents apart and puts them
-    in order: ids ascending, none last, then the hash of the text."""
-    text = F.coalesce("text", F.lit(""))
-    doc = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id"), F.xxhash64(text).alias("text"))
+    """text (null: empty), and ``doc``, a string that tells documents apart and
+    puts them in order: ids ascending, none last, then the hash of the text."""
+    text, i = F.coalesce("text", F.lit("")), F.col("doc_id").cast("long")
+    doc = F.concat(F.when(i.isNull(), "1").otherwise("0"), _sortable(F.coalesce(i, F.lit(0).cast("long"))), _sortable(F.xxhash64(text)))
     return docs.select(doc.alias("doc"), text.alias("text"))
 
 
+def _id_of(doc: str) -> Column:
+    """The doc_id in a key."""
+    i = F.conv(F.substring(doc, 2, 16), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")
+    return F.when(F.substring(doc, 1, 1) == "0", i.cast("long"))
+
+
 def next_documents(docs: DataFrame) -> DataFrame:
     """doc, next_doc, copies and the code points ``take`` to be replaced, for each
     distinct ``doc`` of :func:`keyed` rows in ascending order; the last one is
@@ -151,6 +162,6 @@ def _finish(facts: DataFrame, radius: int) -> DataFrame:
     return (
         own.join(edited, "doc").join(following, "next_doc").join(counted, "fp")
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-        .select(F.when(~F.col("doc.none"), F.col("doc.id")).alias("doc_id"), "n_chars", "edited_sha256", text("fp").alias("fingerprint"), text("edited_fp").alias("edited_fingerprint"),
+        .select(_id_of("doc").alias("doc_id"), "n_chars", "edited_sha256", text("fp").alias("fingerprint"), text("edited_fp").alias("edited_fingerprint"),
                 likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "n_near")
     )
