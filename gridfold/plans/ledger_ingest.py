@@ -4,7 +4,7 @@ not answer for are read, and batches and ledger change in one commit."""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from gridfold.functions.names import base_name, is_workbook
 from gridfold.operators.batches import replaced_keys
-from gridfold.operators.checks import Check, check_report, raise_on_report
+from gridfold.operators.checks import Check, check_report, check_table, raise_on_report
 from gridfold.operators.checks import quarantine as write_quarantine
 from gridfold.operators.ledger import LEDGER_SCHEMA, pending, run_entries, tombstones
 from gridfold.operators.quality import CHECK_BATCH_KEY, CHECK_NOT_EMPTY, file_checks, raise_on_file_checks
 from gridfold.plans.ingest import IngestError, IngestResult, _glob_escape, build_ingest, raise_on_file_errors
 from gridfold.schema import DEFAULT_LAYOUT, FACT_COLUMNS, Layout
 from gridfold.session import sql_conf, stage
+from gridfold.sources.latest import lineage_log
 from gridfold.sources.store import FactStore
 from gridfold.sources.workbook import DECODE_CONF, Scan, decode, list_binary, split_scan, with_label
 
@@ -29,6 +30,7 @@ class LedgerRun:
     taken: int  # files read by this run
     rows_written: int
     result: IngestResult | None  # None: there was nothing to do
+    warning: str | None = None  # why lineage is NULL: the landing log could not be read
 
 
 def pending_paths(store: FactStore, landing_dir: str, names: list[str] | None = None, reprocess: bool = False) -> list[str]:
@@ -44,7 +46,7 @@ def pending_paths(store: FactStore, landing_dir: str, names: list[str] | None =
     return sorted(r["path"] for r in listed.select("path").collect())
 
 
-def ledger_ingest(spark: SparkSession, landing_dir: str, store: FactStore, log: DataFrame | None = None, layout: Layout = DEFAULT_LAYOUT,
+def ledger_ingest(spark: SparkSession, landing_dir: str, store: FactStore, log: DataFrame | Callable[[], DataFrame] | None = None, layout: Layout = DEFAULT_LAYOUT,
                   names: list[str] | None = None, reprocess: bool = False, run_id: str | None = None, raise_on_check: bool = True,
                   raise_on_error: bool = True, checks: Sequence[Check] = (), quarantine: str | None = None) -> LedgerRun:
     """Ingest the workbooks that the ledger does not answer for.
@@ -56,6 +58,10 @@ def ledger_ingest(spark: SparkSession, landing_dir: str, store: FactStore, log:
     has it are noted and left alone, so a batch once removed stays removed.
     ``reprocess`` takes every file (or those of ``names``) again.
 
+    ``log``, the landing log (``LatestLandings.read`` or the whole one) or a function that
+    opens it, gives lineage; one that can't be read leaves it NULL and is the
+    run's ``warning``.
+
     After the commit, failing files or checks raise unless told not to. ``checks``
     are the caller's own, on each file's rows beside the default ones; with
     ``quarantine``, a folder, every failing group is written there under the run's id.
@@ -70,13 +76,14 @@ def ledger_ingest(spark: SparkSession, landing_dir: str, store: FactStore, log:
     return apply_with_ledger(store, scan, log, layout, reprocess, run_id, landing_dir, raise_on_check, raise_on_error, checks, quarantine)
 
 
-def apply_with_ledger(store: FactStore, scan: Scan, log: DataFrame | None, layout: Layout, reprocess: bool, run_id: str, where: str,
+def apply_with_ledger(store: FactStore, scan: Scan, log: DataFrame | Callable[[], DataFrame] | None, layout: Layout, reprocess: bool, run_id: str, where: str,
                       raise_on_check: bool = True, raise_on_error: bool = True, own: Sequence[Check] = (), quarantine: str | None = None) -> LedgerRun:
     """Replace the batches of decoded workbooks and note each file, in one commit."""
     spark = store.spark
     ledger, version = store.ledger(LEDGER_SCHEMA), store.snapshot().version + 1
     fresh = scan.files if reprocess else stage(spark, pending(scan.files, ledger, by="digest"), "ledger-fresh")
     unchanged = scan.files.join(fresh.select("source_file"), "source_file", "left_anti")
+    log, warning = lineage_log(spark, log, fresh)
     ing = build_ingest(scan.grid, fresh, log, layout, materialize=True)
     facts = stage(spark, ing.facts, "ledger-facts")  # the body pass runs once; checks read one column of it
     checks = stage(spark, file_checks(ing.valid, facts), "ledger-checks")
@@ -99,7 +106,7 @@ def apply_with_ledger(store: FactStore, scan: Scan, log: DataFrame | None, layou
         if report is not None and not report.where("NOT passed").isEmpty():
             raise_on_report(report, store.root, place)
         raise_on_file_checks(checks, store.root)
-    return LedgerRun(run_id, taken, rows, result)
+    return LedgerRun(run_id, taken, rows, result, warning)
 
 
 def remove_from_store(store: FactStore, keys: DataFrame, run_id: str | None = None) -> None:
@@ -110,4 +117,10 @@ def remove_from_store(store: FactStore, keys: DataFrame, run_id: str | None = No
     store.remove(keys, tombstones(ledger, keys, run_id, store.snapshot().version + 1))
 
 
-__all__ = ["IngestError", "LedgerRun", "apply_with_ledger", "ledger_ingest", "pending_paths", "remove_from_store"]
+def check_stored(store: FactStore, file: str, checks: Sequence[Check] | None = None, quarantine: str | None = None, run_id: str = "") -> int:
+    """Check one source file's rows as a step of its own; only the buckets that
+    hold them are opened."""
+    return check_table(store.read(files=[file]), file, checks, store.root, quarantine, run_id)
+
+
+__all__ = ["IngestError", "LedgerRun", "apply_with_ledger", "check_stored", "ledger_ingest", "pending_paths", "remove_from_store"]

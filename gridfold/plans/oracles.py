@@ -359,6 +359,20 @@ SELECT source_file, batch_key,
        CASE WHEN wins AND NOT gone THEN n ELSE 0 END AS table_rows
 FROM st"""
 
+_KEPT = f"""SELECT * FROM ({_facts("customer")}) f
+WHERE right(batch_key, 2) > {_s(Q.REMOVED_DAYS)} AND (right(batch_key, 2) <> {_s(Q.RECOUNTED_DAY)} OR period_type = 'FY')"""
+
+STORED_SUMMARY = f"""
+SELECT period_type, year, is_estimate, count(*) AS row_count FROM ({_KEPT}) k
+GROUP BY period_type, year, is_estimate ORDER BY period_type, year, is_estimate"""
+
+STORED_BATCHES = f"SELECT batch_key, source_file, count(*) AS row_count FROM ({_KEPT}) k GROUP BY batch_key, source_file"
+
+LATEST_LANDING = """
+SELECT 'f_' || CAST(user_id // 2 AS VARCHAR) || '.xlsx' AS file_name, 'u' || CAST(user_id AS VARCHAR) AS uploaded_by, ts AS uploaded_at
+FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id // 2 ORDER BY ts DESC NULLS LAST, 'u' || CAST(user_id AS VARCHAR) DESC NULLS LAST) = 1"""
+
 CHECK_SET = f"""
 WITH f AS (
   SELECT CASE o_orderkey % 5 WHEN 0 THEN 'BLB_' || strftime(o_orderdate, '%y%m%d') WHEN 1 THEN 'Sheet1'
@@ -516,4 +530,7 @@ ORACLES: dict[str, str] = {
     "ledger_ingest": LEDGER_INGEST,
     "file_checks": FILE_CHECKS,
     "check_set": CHECK_SET,
+    "stored_summary": STORED_SUMMARY,
+    "stored_batches": STORED_BATCHES,
+    "latest_landing": LATEST_LANDING,
 }

@@ -20,7 +20,7 @@ from gridfold.operators.checks import GroupCheck, RowCheck, batch_key_dated
 from gridfold.operators.checks import check_report as check_set_report
 from gridfold.operators.ledger import LEDGER_SCHEMA, ledger_report, pending
 from gridfold.operators.quality import check_batch_key, check_scope, check_totals, key_report, run_checks
-from gridfold.operators.report import period_summary
+from gridfold.operators.report import period_summary, stored_batches, stored_period_summary
 from gridfold.operators.runs import latest_attempts, run_outcomes
 from gridfold.operators.shape import (
     band_rows,
@@ -34,8 +34,9 @@ from gridfold.operators.shape import (
 from gridfold.plans.grids import WIDE_LAYOUT, Grid, derived_grid, period_header
 from gridfold.plans.ingest import Ingest, build_ingest
 from gridfold.plans.ledger_ingest import apply_with_ledger, remove_from_store
-from gridfold.session import scratch_path, spread
+from gridfold.session import scratch_path, spread, stage
 from gridfold.sources.landing import guard_new_names, log_landings, newest_file, recent_landings
+from gridfold.sources.latest import LatestLandings
 from gridfold.sources.store import FactStore
 from gridfold.sources.workbook import Scan
 
@@ -52,7 +53,7 @@ BAD_DATE_FILES, BAD_DATE_SHEET = ("ASIA.xlsx", "EUROPE.xlsx"), "BLB_260231"
 UNREADABLE_FILE, UNREADABLE_ERROR = "EUROPE.xlsx", "unreadable workbook: test"
 TWO_FILE_YEARS, EMPTY_FILE_YEAR, BAD_FILE_YEAR = ("Y1996", "Y1998"), "Y2000", "Y1997"
 REMOVED_BATCH = "Y1997"
-REMOVED_DAYS, RETAKEN_DAY = "10", "05"
+REMOVED_DAYS, RETAKEN_DAY, RECOUNTED_DAY = "10", "05", "15"
 LEAST_VALUE, TOP_VALUE = 5000, 300000
 UNLOGGED_REGION, UNASSIGNED_FILE = "MIDDLE EAST", "unassigned"
 EMPTY_SCOPE = "no_such_file.xlsx"
@@ -376,6 +377,38 @@ def q_period_summary(spark: SparkSession, sf: str) -> DataFrame:
     return period_summary(_ingest(spark, sf, by="customer").incoming)
 
 
+def _kept_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The counts that a store keeps, after all batches came, those of some days went
+    and one day's came again with their whole years only."""
+    facts = stage(spark, _ingest(spark, sf, by="customer").incoming, "summary-facts")
+    store, day = FactStore(spark, scratch_path(spark, "summary-q")), F.substring("batch_key", -2, 2)
+    store.replace(facts, facts.select("batch_key"))
+    store.remove(store.summary().select("batch_key").where(day <= REMOVED_DAYS))
+    again = store.read().where(day == RECOUNTED_DAY)
+    store.replace(again.where("period_type = 'FY'"), again.select("batch_key"))
+    return store.summary()
+
+
+def q_stored_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return stored_period_summary(_kept_counts(spark, sf))
+
+
+def q_stored_batches(spark: SparkSession, sf: str) -> DataFrame:
+    return stored_batches(_kept_counts(spark, sf))
+
+
+# --- J1 ----------------------------------------------------------------------
+def q_latest_landing(spark: SparkSession, sf: str) -> DataFrame:
+    """Landings (the events) merged in three parts, the last one twice."""
+    log = _t(spark, sf, "events").select(
+        F.concat(F.lit("f_"), F.expr("user_id DIV 2").cast("string"), F.lit(".xlsx")).alias("file_name"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("uploaded_by"), F.col("ts").alias("uploaded_at"), (F.col("event_id") % 3).alias("part"))
+    latest = LatestLandings(spark, scratch_path(spark, "latest-q"), log.schema["uploaded_at"].dataType, buckets=16)
+    for part in (2, 0, 1, 1):
+        latest.add(log.where(F.col("part") == part))
+    return latest.read()
+
+
 # --- C1/A3/F7/F10 ------------------------------------------------------------
 def checked_keys(spark: SparkSession, sf: str, **more: Column) -> DataFrame:
     o = _t(spark, sf, "orders").select("o_orderkey", "o_orderdate", *[c.alias(n) for n, c in more.items()])
@@ -493,4 +526,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ledger_ingest": q_ledger_ingest,
     "file_checks": q_file_checks,
     "check_set": q_check_set,
+    "stored_summary": q_stored_summary,
+    "stored_batches": q_stored_batches,
+    "latest_landing": q_latest_landing,
 }

@@ -3,6 +3,7 @@
 A store is a folder in any file system that Spark writes to:
 
     data/<write>/bucket=N/*.parquet    rows of the buckets that one write touched
+    summary/<write>/bucket=N/*.parquet the same rows counted by batch key and summary columns
     ledger/<write>/*.parquet           ledger rows of one write (operators.ledger)
     snapshots/<version>.json           what makes up that version: a folder a bucket, ledger folders
 
@@ -13,6 +14,10 @@ before, whole. A rename never replaces a file, so of two writers that started fr
 version the second finds it taken: it goes on from the new version if that left
 its buckets alone, and fails with :class:`StoreConflict` if not.
 
+The summary of a bucket is written with its rows and found by the same folder name, so
+one commit swaps both: reports by batch, period and file add up its counts (A1/A2),
+and a file's rows are found without opening other buckets (P17).
+
 The driver handles one entry per bucket and ledger write, never one per batch or row.
 """
 
@@ -20,7 +25,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace as changed
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +36,8 @@ from gridfold.schema import FACT_SCHEMA
 from gridfold.session import stage
 
 BUCKETS = 64
+#: Columns that rows are counted by, beside the batch key, where a schema has them.
+SUMMARY = ("source_file", "period_type", "year", "is_estimate")
 #: Ledger folders of a snapshot beyond which a write merges them into one.
 LEDGER_FOLDERS = 32
 
@@ -49,6 +56,7 @@ class Snapshot:
     ledger: tuple[str, ...] = ()
     schema: str = ""
     action: str = ""
+    summary: tuple[str, ...] = ()
 
     def to_json(self) -> str:
         return json.dumps(self.__dict__, sort_keys=True)
@@ -57,23 +65,27 @@ class Snapshot:
     def from_json(text: str) -> "Snapshot":
         d = json.loads(text)
         return Snapshot(**{**d, "folders": {int(k): v for k, v in d["folders"].items()},
-                           "rows": {int(k): v for k, v in d["rows"].items()}, "ledger": tuple(d["ledger"])})
+                           "rows": {int(k): v for k, v in d["rows"].items()}, "ledger": tuple(d["ledger"]), "summary": tuple(d["summary"])})
 
 
 class FactStore:
-    """Rows by batch key. ``schema`` and ``buckets`` count when the store is made;
-    afterwards its first snapshot says what they are."""
+    """Rows by batch key. ``schema``, ``key``, ``buckets`` and ``summary`` (the columns to
+    count rows by; None: those of SUMMARY that the schema has) count when the store
+    is made; afterwards its first snapshot says what they are."""
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType = FACT_SCHEMA, key: str = "batch_key", buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType = FACT_SCHEMA, key: str = "batch_key", buckets: int = BUCKETS,
+                 summary: Sequence[str] | None = None):
         self.spark, self.root = spark, root.rstrip("/")
         self._hadoop = spark._jvm.org.apache.hadoop.fs
         if self._newest() is None:
             try:
-                self._commit(Snapshot(0, key, buckets, schema=schema.json(), action="create"))
+                by = [c for c in SUMMARY if c in schema.names and c != key] if summary is None else summary
+                self._commit(Snapshot(0, key, buckets, schema=schema.json(), action="create", summary=tuple(schema[c].name for c in by)))
             except FileExistsError:
                 pass  # made by another session meanwhile
         first = self.snapshot()
         self.key, self.buckets, self.schema = first.key, first.buckets, T.StructType.fromJson(json.loads(first.schema))
+        self._by = T.StructType([self.schema[c] for c in (first.key, *first.summary)])
 
     # ------------------------------------------------------------ snapshots
     def _path(self, name: str):
@@ -126,17 +138,36 @@ class FactStore:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*(f"{self.root}/{p}" for _, p in sorted(wanted.items())))
 
-    def read(self, keys: Iterable[str | None] | None = None, version: int | None = None) -> DataFrame:
+    def _summary(self, folders: dict[int, str]) -> DataFrame:
+        schema = T.StructType([*self._by.fields, T.StructField("row_count", T.LongType())])
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{p.replace('data/', 'summary/', 1)}" for _, p in sorted(folders.items())))
+
+    def summary(self, version: int | None = None) -> DataFrame:
+        """Rows of a version by batch key and summary columns (``row_count``). It is
+        kept up by every write, so no fact is read."""
+        return self._summary(self.snapshot(version).folders)
+
+    def read(self, keys: Iterable[str | None] | None = None, version: int | None = None, files: Iterable[str] | None = None) -> DataFrame:
         """The rows of a version (default: the newest). ``keys``, a few batch
-        keys, restricts it to their rows: only their buckets are opened."""
-        snapshot = self.snapshot(version)
-        if keys is None:
-            return self._read(snapshot)
-        keys = list(keys)
-        of = self.spark.createDataFrame([(k,) for k in keys], T.StructType([self.schema[self.key]]))
-        buckets = {r[0] for r in of.select(self.bucket_of()).distinct().collect()}
-        some = F.col(self.key).isin([k for k in keys if k is not None])
-        return self._read(snapshot, buckets).where(F.coalesce(some, F.lit(False)) | (F.col(self.key).isNull() if None in keys else F.lit(False)))
+        keys, and ``files``, a few values of ``source_file``, restrict it to their
+        rows: only the buckets that hold them are opened."""
+        snapshot, buckets, some = self.snapshot(version), None, F.lit(True)
+        if keys is not None:
+            keys = list(keys)
+            of = self.spark.createDataFrame([(k,) for k in keys], T.StructType([self.schema[self.key]]))
+            buckets = {r[0] for r in of.select(self.bucket_of()).distinct().collect()}
+            named = F.coalesce(F.col(self.key).isin([k for k in keys if k is not None]), F.lit(False))
+            some = named | (F.col(self.key).isNull() if None in keys else F.lit(False))
+        if files is not None:
+            from_files = F.col("source_file").isin(list(files))
+            held = self._summary(snapshot.folders).where(from_files) if "source_file" in self._by.names else None
+            if held is not None:
+                holding = {r[0] for r in held.select(self.bucket_of()).distinct().collect()}  # at most one per bucket
+                buckets = holding if buckets is None else buckets & holding
+            some = some & from_files
+        return self._read(snapshot, buckets).where(some)
 
     def ledger(self, schema: T.StructType, version: int | None = None) -> DataFrame:
         folders = self.snapshot(version).ledger
@@ -145,15 +176,18 @@ class FactStore:
         return self.spark.read.schema(schema).parquet(*(f"{self.root}/{p}" for p in folders))
 
     # -------------------------------------------------------------- writing
-    def replace(self, incoming: DataFrame, keys: DataFrame, ledger: DataFrame | None = None, action: str = "replace") -> int:
+    def replace(self, incoming: DataFrame, keys: DataFrame, ledger: DataFrame | None = None, action: str = "replace",
+                base: Snapshot | None = None) -> int:
         """Replace the batches named in ``keys``, a frame with the key column, by the
         rows of ``incoming``; a key that gets no row is emptied. ``incoming`` must
         not hold other keys. ``ledger`` rows are committed with it. Returns
         the rows written for the replaced batches. Repeating a call leaves the same rows.
+        ``base``: the snapshot that ``incoming`` was made from, if it was; a bucket
+        that changed since is a :class:`StoreConflict`.
 
         Hot batches are split over tasks by REBALANCE, so a bucket is a folder of
         well-sized files, not one task's work."""
-        base = self.snapshot()
+        base = base or self.snapshot()
         names = [f.name for f in self.schema.fields]
         keyed = stage(self.spark, keys.select(F.col(self.key).cast(self.schema[self.key].dataType).alias("_key")).distinct(), "store-keys")
         touched = {r[0] for r in keyed.select(self.bucket_of("_key")).distinct().collect()}
@@ -163,13 +197,13 @@ class FactStore:
         write = uuid.uuid4().hex
         rows = kept.select(names).unionByName(new).withColumn("bucket", self.bucket_of())
         rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.root}/data/{write}")
-        counts = self._counts(write)
+        counts = self._summarise(write)
         if not set(counts) <= touched:
             raise ValueError("incoming rows belong to batches that are not named in keys")
         folders = {b: f"data/{write}/bucket={b}" for b in counts}
         self._finish(base, touched, folders, counts, self._write_ledger(ledger, write), action)
-        written = self._read(changed(base, folders=folders)).select(self.key)  # one column of what was written
-        return written.join(keyed, F.col(self.key).eqNullSafe(F.col("_key")), "left_semi").count()
+        written = self._summary(folders).join(keyed, F.col(self.key).eqNullSafe(F.col("_key")), "left_semi")
+        return written.agg(F.coalesce(F.sum("row_count"), F.lit(0))).first()[0]
 
     def remove(self, keys: DataFrame, ledger: DataFrame | None = None) -> None:
         """M2: empty the batches named in ``keys``."""
@@ -179,13 +213,17 @@ class FactStore:
         """Commit ledger rows alone."""
         self._finish(self.snapshot(), set(), {}, {}, self._write_ledger(ledger, uuid.uuid4().hex), "note")
 
-    def _counts(self, write: str) -> dict[int, int]:
-        """Rows per bucket folder, from the files' footers."""
-        files = self.spark.read.option("basePath", f"{self.root}/data/{write}")
+    def _summarise(self, write: str) -> dict[int, int]:
+        """Count the rows of a write by key and summary columns and write that beside
+        them, a folder per bucket; returns the rows per bucket."""
+        place, bucket = f"{self.root}/data/{write}", T.StructField("bucket", T.IntegerType())
         if not any("=" in s.getPath().getName() for s in self._files().listStatus(self._path(f"data/{write}"))):
             return {}
-        found = files.schema(T.StructType([T.StructField("bucket", T.IntegerType())])).parquet(f"{self.root}/data/{write}").groupBy("bucket").count()
-        return {r["bucket"]: r["count"] for r in found.collect()}
+        rows = self.spark.read.schema(T.StructType([*self._by.fields, bucket])).parquet(place)
+        part = rows.groupBy("bucket", *self._by.names).agg(F.count(F.lit(1)).alias("row_count"))
+        part.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.root}/summary/{write}")
+        found = self.spark.read.schema(T.StructType([T.StructField("row_count", T.LongType()), bucket])).parquet(f"{self.root}/summary/{write}")
+        return {r["bucket"]: r["n"] for r in found.groupBy("bucket").agg(F.sum("row_count").alias("n")).collect()}
 
     def _write_ledger(self, ledger: DataFrame | None, write: str) -> tuple[str, ...]:
         if ledger is None:
@@ -228,7 +266,7 @@ class FactStore:
             if not name.endswith(".json") or int(name[:-5]) < first:
                 fs.delete(s.getPath(), False)
                 gone.append(f"snapshots/{name}")
-        for kind in ("data", "ledger"):
+        for kind in ("data", "summary", "ledger"):
             if fs.exists(self._path(kind)):
                 for s in fs.listStatus(self._path(kind)):
                     if s.getPath().getName() not in used:

@@ -34,7 +34,7 @@ def apply_micro_batch(store: FactStore, batch: DataFrame, run_id: str, stage_pat
         scan = split_scan(stage(spark, with_label(decode(batch, layout), layout), "stream", stage_path))
     if scan.files.isEmpty():
         return None
-    log = spark.table(log_table) if log_table and spark.catalog.tableExists(log_table) else None
+    log = (lambda: spark.table(log_table)) if log_table else None  # not there or not readable: lineage is NULL
     return apply_with_ledger(store, scan, log, layout, False, run_id, "the landing stream", raise_on_check, raise_on_error, checks, quarantine)
 
 
