@@ -506,3 +506,22 @@ def _dedup(spark, units: DataFrame, least: float, probes: int, recall: float, sh
         .select("v", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("least_id", "first").alias("component_id"))
     )
     return units.join(whole, "v").select("vec_id", "n_links", "component_id", F.lit(share if audited else None).cast("double").alias("recall"))
+
+
+def link_sql(least: float = 0.9) -> str:
+    """DuckDB SQL for the rows of :func:`dedup_vectors` over ``embeddings``, comparing each
+    vector with each. It misses no link, so its recall is 1 wherever vectors of a length have one."""
+    return f"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+can AS MATERIALIZED (
+  SELECT row, vec_id, e FROM v WHERE vec_id IS NOT NULL AND len(e) > 0
+  AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e) AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS MATERIALIZED (
+  SELECT a.row, b.row AS other FROM can a JOIN can b ON a.row <> b.row AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {least}),
+reach AS (SELECT row, row AS other FROM v UNION SELECT r.row, l.other FROM reach r JOIN link l ON l.row = r.other),
+root AS (SELECT r.row, min(v.vec_id) AS component_id FROM reach r JOIN v ON v.row = r.other GROUP BY r.row),
+n AS (SELECT row, count(*) AS n_links FROM link GROUP BY row),
+linked AS (SELECT DISTINCT len(e) AS length FROM can JOIN n USING (row))
+SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id IS NOT DISTINCT FROM component_id AS kept,
+       CASE WHEN can.row IS NOT NULL AND len(can.e) IN (SELECT length FROM linked) THEN 1.0::DOUBLE END AS recall
+FROM v JOIN root ON root.row = v.row LEFT JOIN n ON n.row = v.row LEFT JOIN can ON can.row = v.row"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridfold.llm.centroids import centroid_sql
 from gridfold.llm.common import table
+from gridfold.llm.embed_dedup import link_sql
 
 
 def op1_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,4 +93,4 @@ QUERIES = {f.__name__: f for f in (
     op7_line_dedup, op8_best_fit_packing, op9_quality, op10_rendezvous_shards,
     op11_centroid_clusters, op12_token_alignment, op13_token_files,
 )}
-ORACLES: dict[str, str] = {"op11_centroid_clusters": centroid_sql()}
+ORACLES: dict[str, str] = {"op1_embedding_graph": link_sql(), "op11_centroid_clusters": centroid_sql()}

@@ -66,3 +66,18 @@ def test_rows_that_share_a_vec_id_are_vectors_of_their_own(spark):
 def test_recall_is_null_where_no_audited_row_has_a_link(spark):
     got = E.dedup_vectors(spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, None)], "vec_id long, embedding array<double>"))
     assert [r.recall for r in got.collect()] == [None] * 3
+
+
+def test_the_sql_gives_the_same_rows(spark):
+    import duckdb
+    import pyarrow as pa
+
+    x = blob(120, dim=8)
+    rows = [(i % 110, v.tolist()) for i, v in enumerate(x)] + [(200, x[0].tolist()), (None, x[1].tolist()), (201, None), (202, []), (203, [0.0] * 8),
+                                                              (204, [None] + [1.0] * 7), (205, [float("nan")] * 8), (206, [1.0, 0.0]), (207, [0.0, 1.0])]
+    got = E.dedup_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    db = duckdb.connect()
+    db.register("embeddings", pa.table({"vec_id": pa.array([r[0] for r in rows], pa.int64()), "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float64()))}))
+    want = db.sql(E.link_sql()).fetchall()
+    assert sum(r[1] for r in want) > 100
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
