@@ -70,24 +70,24 @@ def classify_headers(headers: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> Dat
     ``last_col - first_col + 1`` headers), so classifying costs one shuffle
     on source_file, and the per-file plan built on top reuses it.
     """
-    cls = header_class("text", layout.metric_marker, layout.estimate_suffix)
-    p = parse_period("text", layout.estimate_suffix)
-    per_file = headers.groupBy("source_file").agg(
-        F.collect_list(F.struct("col", "text", cls.alias("c0"), p.alias("p"))).alias("hs")
-    )
+    # only column and text travel; class and period follow from the text
+    per_file = headers.groupBy("source_file").agg(F.collect_list(F.struct("col", "text")).alias("hs"))
 
-    def settle(x):
-        repeated = F.exists("hs", lambda y: (y["c0"] == "period") & (y["text"] == x["text"]) & (y["col"] < x["col"]))
-        return x.withField("c0", F.when((x["c0"] == "period") & repeated, F.lit("skipped")).otherwise(x["c0"]))
+    def with_repeat(x):
+        repeated = F.exists("hs", lambda y: (y["text"] == x["text"]) & (y["col"] < x["col"]))
+        return F.struct(x["col"].alias("col"), x["text"].alias("text"), repeated.alias("repeated"))
 
-    h = per_file.select("source_file", F.explode(F.transform("hs", settle)).alias("h"))
-    is_period = F.col("h.c0") == "period"
+    h = per_file.select("source_file", F.explode(F.transform("hs", with_repeat)).alias("h")).select("source_file", "h.*")
+    cls = header_class("text", layout.metric_marker, layout.estimate_suffix)
+    h = h.select(
+        "source_file", "col", "text",
+        F.when((cls == "period") & F.col("repeated"), F.lit("skipped")).otherwise(cls).alias("header_class"),
+        parse_period("text", layout.estimate_suffix).alias("p"),
+    )
+    is_period = F.col("header_class") == "period"
     return h.select(
-        "source_file",
-        F.col("h.col").alias("col"),
-        F.col("h.text").alias("text"),
-        F.col("h.c0").alias("header_class"),
-        *[F.when(is_period, F.col(f"h.p.{f}")).alias(f) for f in ("period_type", "year", "quarter", "is_estimate")],
+        "source_file", "col", "text", "header_class",
+        *[F.when(is_period, F.col(f"p.{f}")).alias(f) for f in ("period_type", "year", "quarter", "is_estimate")],
     )
 
 

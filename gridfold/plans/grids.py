@@ -14,10 +14,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfold.operators.shape import grid_from_cells
 from gridfold.schema import END_MARKER, ESTIMATE_SUFFIX, START_MARKER, Layout
 
 # ---------------------------------------------------------------------------
@@ -33,6 +32,7 @@ BLANK_LABEL, BLANK_VALUE = "  ", "5"
 NA_LABEL, NA_VALUE = "N/A", "4"
 JUNK_HEADERS = ("Notes", "Q5 2026")
 JUNK_VALUE = "7"
+NO_YEAR = -(10**9)  # in a period's code, for orders without a date
 BATCH_FILES = 2  # customer files that share a sheet name, so a batch
 BATCH_DAYS = 36525  # sheet names there can be: the days that six digits name
 # sheet rows
@@ -106,124 +106,149 @@ def period_header(year, qsort, est_year=None, est_quarter=None):
 
 
 def period_values(facts: DataFrame) -> DataFrame:
-    """(source_file, file_key, metric, year, qsort, value_text); qsort 5 = FY."""
-    q = facts.groupBy("source_file", "file_key", "metric", "year", "quarter").agg(F.sum("price").alias("v"))
-    fy = facts.groupBy("source_file", "file_key", "metric", "year").agg(F.sum("price").alias("v"))
-    return q.select("source_file", "file_key", "metric", "year", F.col("quarter").alias("qsort"),
-                    F.col("v").cast("string").alias("value_text")).unionByName(
-        fy.select("source_file", "file_key", "metric", "year", F.lit(5).alias("qsort"),
-                  F.col("v").cast("string").alias("value_text")))
+    """(source_file, file_key, metric, year, qsort, value_text); qsort 5 = FY.
+    One pass: every order counts for its quarter and for its full year."""
+    return facts.withColumn("qsort", F.explode(F.array("quarter", F.lit(5)))).groupBy(
+        "source_file", "file_key", "metric", "year", "qsort").agg(F.sum("price").cast("string").alias("value_text"))
 
 
-def period_columns(values: DataFrame, est_start=None) -> DataFrame:
-    """(source_file, year, qsort, col, header): one sheet column per period.
+def period_code(year, qsort):
+    """A long that sorts as (year, qsort) do, nulls first, so that a sheet's
+    periods are told apart and placed as plain numbers."""
+    return F.shiftleft(F.coalesce(year.cast("long"), F.lit(NO_YEAR)), 3) + F.coalesce(qsort, F.lit(0))
 
-    ``est_start``: optional function file_key -> (est_year, est_quarter).
-    """
-    per = values.select("source_file", "file_key", "year", "qsort").distinct()
-    w = Window.partitionBy("source_file").orderBy("year", "qsort")
-    ey, eq = est_start(F.col("file_key")) if est_start else (None, None)
-    return per.withColumn("col", (F.dense_rank().over(w) + 2).cast("int")).withColumn(
-        "header", period_header(F.col("year"), F.col("qsort"), ey, eq)).drop("file_key")
 
+def code_year(code):
+    return F.nullif(F.shiftright(code, 3), F.lit(NO_YEAR))
 
-def label_rows(values: DataFrame) -> DataFrame:
-    """(metric, row): label rows by priority order (a handful of values)."""
-    w = Window.orderBy("metric")
-    return values.select("metric").distinct().withColumn(
-        "row", (F.row_number().over(w) + ROW_FIRST_LABEL - 1).cast("int"))
 
+def code_qsort(code):
+    return F.nullif(code.bitwiseAND(F.lit(7)), F.lit(0))
 
-def _cells(df: DataFrame, *specs) -> DataFrame:
-    """One branch emitting several cells per input row: specs are (row, col, text)."""
-    arr = F.array(*[F.struct(r.cast("int").alias("row"), c.cast("int").alias("col"), t.cast("string").alias("text"))
-                    for r, c, t in specs])
-    return df.select("source_file", F.explode(arr).alias("c")).select("source_file", "c.*")
 
+def sheet_values(values: DataFrame) -> DataFrame:
+    """(source_file, vals): the values of a sheet in one record, as many as its
+    cells. Values without a file make no sheet: only their metrics stay."""
+    named = F.col("source_file").isNotNull()
+    period = period_code(F.col("year"), F.col("qsort"))
+    kept = {"file_key": F.col("file_key"), "period": period, "value_text": F.col("value_text")}
+    return values.groupBy("source_file").agg(
+        F.collect_set(F.struct("metric", *[F.when(named, c).alias(n) for n, c in kept.items()])).alias("vals"))
 
-def derived_grid(spark: SparkSession, sf_dir: str, by: str = "region", junk: bool = True,
-                 stage_grid: bool = True, est_start=None) -> Grid:
-    """Grid rows and file list for one derived sheet per region / customer.
 
-    With ``stage_grid`` the grid is written once as Parquet in the shared
-    checkpoint folder and read back, as decoded workbooks are.
+def label_rows(sheets: DataFrame) -> DataFrame:
+    """(labels): the metrics in order (a handful of values), one label row each."""
+    metrics = sheets.select(F.explode("vals.metric").alias("metric")).distinct()
+    return metrics.agg(F.transform(F.sort_array(F.collect_list(F.struct("metric"))), lambda x: x["metric"]).alias("labels"))
+
+
+def _entry(col, text):
+    return F.struct(F.lit(col).cast("int").alias("col"), F.lit(text).cast("string").alias("text"))
+
+
+def _row(row, *entries):
+    """A sheet row: ``entries`` are arrays of cells; two in one column are an error."""
+    return F.struct(F.lit(row).cast("int").alias("row"), F.map_from_entries(F.concat(*entries)).alias("cells"))
+
+
+def sheet_rows(sheets: DataFrame, labels: DataFrame, by: str = "region", junk: bool = True, est_start=None) -> DataFrame:
+    """Decoder-like records of each sheet (row 0: its status), made from its one
+    record of values without moving it.
+
+    ``est_start``: optional function file_key -> (est_year, est_quarter).
     """
-    from gridfold.session import stage
-
-    facts = order_facts(spark, sf_dir, by)
-    values = period_values(facts)
-    if stage_grid:
-        # every branch below reads the aggregated values: aggregate orders once
-        values = stage(spark, values, "derived-values")
-    cols = period_columns(values, est_start)
-    labels = label_rows(values)
-    body = values.join(cols, ["source_file", "year", "qsort"]).join(labels, "metric")
-
-    # per file: key, last period column, first period header, last label row
-    shape = cols.groupBy("source_file").agg(
-        F.max("col").alias("last_col"), F.min(F.struct("col", "header")).alias("first")
-    ).join(
-        body.groupBy("source_file").agg(F.max("row").alias("last"), F.max("file_key").alias("file_key")),
-        "source_file",
-    )
-    lit, col, last, last_col = F.lit, F.col, F.col("last"), F.col("last_col")
-    n_junk = len(JUNK_HEADERS) + 1 if junk else 0
-    fixed = [
-        (lit(ROW_TITLE), lit(2), lit(TITLE)),
-        (lit(ROW_NAME), lit(2), col("source_file")),
-        (lit(4), lit(2), lit(METRIC_HEADER)),
-        (lit(ROW_DECOY), lit(2), lit(DECOY_BEFORE)),
-        (lit(ROW_START), lit(2), lit(START_MARKER)),
-        (last + OFF_REPEAT, lit(2), lit(METRIC_HEADER)),
-        (last + OFF_BLANK, lit(2), lit(BLANK_LABEL)),
-        (last + OFF_NA, lit(2), lit(NA_LABEL)),
-        (last + OFF_END, lit(2), lit(END_MARKER)),
-        (last + OFF_AFTER, lit(2), lit(DECOY_AFTER)),
-    ]
-    if junk:
-        fixed += [(lit(4), last_col + i + 1, lit(t)) for i, t in enumerate(JUNK_HEADERS)]
-        # a repeated period header (the first one): a second column of that name is not a period
-        fixed.append((lit(4), last_col + len(JUNK_HEADERS) + 1, col("first.header")))
+    col = F.col
+    in_body = lambda x: (F.shiftright(x["period"], 3) != NO_YEAR) & (x["period"].bitwiseAND(F.lit(7)) != 0) & x["metric"].isNotNull()
+    place = lambda period: (F.array_position("periods", period) + 2).cast("int")
+
+    def heads_of(key):
+        """The period columns that one key has values for; two of one name are an error."""
+        ey, eq = est_start(key) if est_start else (None, None)
+        own = F.array_distinct(F.transform(F.filter("vals", lambda x: x["file_key"] == key), lambda x: x["period"]))
+        return F.transform(F.sort_array(own), lambda p: F.struct(
+            place(p).alias("col"), period_header(code_year(p), code_qsort(p), ey, eq).alias("header")))
+
+    s = sheets.where(col("source_file").isNotNull() & F.exists("vals", in_body)).crossJoin(F.broadcast(labels))
+    s = s.withColumns({"periods": F.sort_array(F.array_distinct("vals.period")), "keys": F.array_distinct("vals.file_key")})
+    s = s.withColumns({
+        # one sheet column per period
+        "heads": F.flatten(F.transform("keys", heads_of)),
+        "body": F.transform(F.filter("vals", in_body), lambda x: F.struct(
+            (F.array_position("labels", x["metric"]) + ROW_FIRST_LABEL - 1).cast("int").alias("row"),
+            place(x["period"]).alias("col"), x["value_text"].alias("text"), x["file_key"].alias("file_key"))),
+        "last_col": F.size("periods") + 2,
+    })
+    s = s.withColumns({"last": F.array_max("body.row"), "file_key": F.array_max("body.file_key")})
+    last, last_col = col("last"), col("last_col")
     # every period column: header, decoys, repeated header, blank and N/A rows
-    per_col = cols.join(shape.select("source_file", "last"), "source_file")
-    col_cells = [
-        (lit(4), col("col"), col("header")),
-        (lit(ROW_DECOY), col("col"), lit(DECOY_BEFORE_VALUE)),
-        (last + OFF_REPEAT, col("col"), col("header")),
-        (last + OFF_BLANK, col("col"), lit(BLANK_VALUE)),
-        (last + OFF_NA, col("col"), lit(NA_VALUE)),
-        (last + OFF_AFTER, col("col"), lit(DECOY_AFTER_VALUE)),
-    ]
-    label_rows_df = body.select("source_file", "row", "metric").distinct()
-    label_cells = [(col("row"), lit(2), col("metric"))]
+    across = lambda text: F.transform("heads", lambda h: _entry(h["col"], text))
+    headers = F.transform("heads", lambda h: _entry(h["col"], h["header"]))
+    first = lambda text: F.array(_entry(2, text))
+    more, marks = [], []
     if junk:
-        label_rows_df = label_rows_df.join(shape.select("source_file", "last_col"), "source_file")
-        label_cells += [(col("row"), last_col + i + 1, lit(JUNK_VALUE)) for i in range(n_junk)]
-    cells = (
-        body.select("source_file", "row", "col", F.col("value_text").alias("text"))
-        .unionByName(_cells(label_rows_df, *label_cells))
-        .unionByName(_cells(shape, *fixed))
-        .unionByName(_cells(per_col, *col_cells))
-    )
-    sheet = shape.select("source_file", sheet_name_for(F.col("file_key"), by).alias("sheet_name"))
-    grid = grid_from_cells(cells.join(sheet, "source_file"))
-    files = shape.select(
-        "source_file",
-        sheet_name_for(F.col("file_key"), by).alias("sheet_name"),
-        F.timestamp_seconds(F.lit(1767225600) + F.col("file_key") * 3600).alias("modified_at"),
-        F.lit(None).cast("long").alias("size_bytes"),
-        F.lit(None).cast("string").alias("scan_error"),
+        # a repeated period header (the first one): a second column of that name is not a period
+        texts = [*JUNK_HEADERS, F.array_min("heads")["header"]]
+        more = [F.array(*[_entry(last_col + i + 1, t) for i, t in enumerate(texts)])]
+        marks = [F.array(*[_entry(last_col + i + 1, JUNK_VALUE) for i in range(len(texts))])]
+    label = lambda row: _row(
+        row, first(F.element_at("labels", row - (ROW_FIRST_LABEL - 1))),
+        F.transform(F.filter("body", lambda b: b["row"] == row), lambda b: _entry(b["col"], b["text"])), *marks)
+    rows = F.concat(
+        F.array(
+            F.struct(F.lit(0).alias("row"), F.lit(None).cast("map<int,string>").alias("cells")),
+            _row(ROW_TITLE, first(TITLE)),
+            _row(ROW_NAME, first(col("source_file"))),
+            _row(4, first(METRIC_HEADER), headers, *more),
+            _row(ROW_DECOY, first(DECOY_BEFORE), across(DECOY_BEFORE_VALUE)),
+            _row(ROW_START, first(START_MARKER)),
+        ),
+        F.transform(F.array_distinct("body.row"), label),
+        F.array(
+            _row(last + OFF_REPEAT, first(METRIC_HEADER), headers),
+            _row(last + OFF_BLANK, first(BLANK_LABEL), across(BLANK_VALUE)),
+            _row(last + OFF_NA, first(NA_LABEL), across(NA_VALUE)),
+            _row(last + OFF_END, first(END_MARKER)),
+            _row(last + OFF_AFTER, first(DECOY_AFTER), across(DECOY_AFTER_VALUE)),
+        ),
     )
+    noted = F.when(col("r.row") == 0, F.timestamp_seconds(F.lit(1767225600) + col("file_key") * 3600))
+    return s.select(
+        "source_file", sheet_name_for(col("file_key"), by).alias("sheet_name"), "file_key", F.explode(rows).alias("r"),
+    ).select(
+        "source_file", "sheet_name", "r.row", "r.cells", noted.alias("modified_at"),
+        F.lit(None).cast("long").alias("size_bytes"), F.lit(None).cast("string").alias("scan_error"))
+
+
+def derived_grid(spark: SparkSession, sf_dir: str, by: str = "region", junk: bool = True,
+                 stage_grid: bool = True, est_start=None, buckets: int | None = None) -> Grid:
+    """Grid rows and file list for one derived sheet per region / customer.
+
+    With ``stage_grid`` the grid is written once as Parquet in the shared
+    checkpoint folder and read back, as decoded workbooks are; ``buckets``
+    stages it bucketed by source_file, as :func:`scan_workbooks` does (default:
+    for so many customers that their per-file plan is not broadcast).
+    """
+    from gridfold.plans.ingest import BROADCAST_MAX_FILES
+    from gridfold.session import sql_conf, stage, stage_bucketed
+    from gridfold.sources.workbook import split_scan, with_label
+
+    sheets = sheet_values(period_values(order_facts(spark, sf_dir, by)))
     if not stage_grid:
-        return Grid(grid=grid, files=files)
-    # one staged frame in the decoder's layout (status records as row 0), so
-    # the order aggregates behind grid and file list run once
-    from gridfold.sources.workbook import split_scan
-
-    raw = grid.select(*grid.columns, *[F.lit(None).cast(t).alias(c) for c, t in
-                                        (("modified_at", "timestamp"), ("size_bytes", "long"), ("scan_error", "string"))])
-    raw = raw.unionByName(files.select("source_file", "sheet_name", F.lit(0).alias("row"),
-                                       F.lit(None).cast("map<int,string>").alias("cells"),
-                                       "modified_at", "size_bytes", "scan_error"))
-    scan = split_scan(stage(spark, raw, "derived-grid"))
+        scan = split_scan(sheet_rows(sheets, label_rows(sheets), by, junk, est_start))
+        return Grid(grid=scan.grid, files=scan.files)
+    if buckets is None and by == "customer" and _t(spark, sf_dir, "customer").count() > BROADCAST_MAX_FILES:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if buckets:
+        # every task holds one bucket's sheets, so nothing is sorted or moved to write it
+        aligned = {"spark.sql.shuffle.partitions": str(buckets), "spark.sql.adaptive.coalescePartitions.enabled": "false",
+                   "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false", "spark.sql.maxConcurrentOutputFileWriters": "4"}
+        put = lambda df, label: stage_bucketed(spark, df, label, "source_file", buckets)
+    else:
+        aligned = {}
+        put = lambda df, label: stage(spark, df, label)
+    with sql_conf(spark, aligned):
+        # every sheet below reads its own values: aggregate orders once
+        sheets = put(sheets, "derived-values")
+        raw = sheet_rows(sheets, label_rows(sheets), by, junk, est_start)
+        scan = split_scan(put(with_label(raw, WIDE_LAYOUT), "derived-grid"))
     return Grid(grid=scan.grid, files=scan.files)
