@@ -212,8 +212,10 @@ def file_plan(files: DataFrame, grid: DataFrame, layout: Layout = DEFAULT_LAYOUT
     Columns: source_file, sheet_name, batch_key, modified_at, error,
     metric_col, periods, data_version, band_start, band_end.
     The two per-file aggregates come out hash-partitioned by source_file, so
-    only the (one row per file) status side shuffles to meet them.
+    only the (one row per file) status side shuffles to meet them. ``grid`` may
+    hold more files than ``files`` names: their rows go before any is parsed.
     """
+    grid = grid.join(files.select("source_file"), "source_file", "left_semi")
     hplan = header_plan(classify_headers(header_cells(grid, layout), layout), layout)
     return (
         with_date_gate(files.select("source_file", "sheet_name", "modified_at", "scan_error"))

@@ -51,3 +51,22 @@ def test_two_customers_of_one_name_and_period_are_an_error(spark, tables):
         "overwrite").parquet(f"{tables}/customer.parquet")
     with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
         derived_grid(spark, tables, "customer")
+
+
+def test_rows_of_files_that_are_not_taken_go_before_headers_are_read(spark, tables):
+    g = derived_grid(spark, tables, "customer")
+    some = g.files.where("source_file = 'C3.xlsx'")
+    plan = file_plan(some, g.grid, WIDE_LAYOUT)
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Join LeftSemi") == 2  # header row and marker rows
+    whole = file_plan(g.files, g.grid, WIDE_LAYOUT).where("source_file = 'C3.xlsx'")
+    assert plan.collect() == whole.collect() and plan.count() == 1
+
+
+def test_kept_counts_run_the_body_pass_once(spark, tables, monkeypatch):
+    from gridfold.plans import queries
+
+    staged = []
+    monkeypatch.setattr(queries, "stage", lambda s, df, label: staged.append((label, df.columns)) or df, raising=False)
+    assert queries._kept_counts(spark, tables).count() >= 0
+    assert [label for label, _ in staged] == ["kept-facts"]
