@@ -34,7 +34,7 @@ from gridfold.operators.shape import (
 from gridfold.plans.grids import WIDE_LAYOUT, Grid, derived_grid, period_header
 from gridfold.plans.ingest import Ingest, build_ingest
 from gridfold.plans.ledger_ingest import apply_with_ledger, remove_from_store
-from gridfold.session import scratch_path, spread
+from gridfold.session import scratch_path, spread, stage
 from gridfold.sources.landing import guard_new_names, log_landings, newest_file, recent_landings
 from gridfold.sources.latest import LatestLandings
 from gridfold.sources.store import FactStore
@@ -380,7 +380,7 @@ def q_period_summary(spark: SparkSession, sf: str) -> DataFrame:
 def _kept_counts(spark: SparkSession, sf: str) -> DataFrame:
     """The counts that a store keeps, after all batches came, those of some days went
     and one day's came again with their whole years only."""
-    facts = _ingest(spark, sf, by="customer").incoming
+    facts = stage(spark, _ingest(spark, sf, by="customer").incoming, "kept-facts")  # the body pass runs once, for keys and rows
     store, day = FactStore(spark, scratch_path(spark, "summary-q")), F.substring("batch_key", -2, 2)
     store.replace(facts, facts.select("batch_key"))
     store.remove(store.summary().select("batch_key").where(day <= REMOVED_DAYS))
