@@ -41,7 +41,7 @@ def test_stages_on_odd_and_empty_tables(spark, docs, empty):
 
 
 def test_one_query_for_each_operator():
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", ["op1_embedding_graph", "op7_line_dedup", "op10_rendezvous_shards"])
