@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gridfold.llm.words import SLICE, slices
 from gridfold.session import ship_package
 
+#: Rows with whole texts that reach a Python task at once.
+TEXT_ROWS = 2048
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,6 +27,34 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches; after each batch that it gives, and when it ends,
+    what it no longer holds goes back to the system: allocators would keep it,
+    and the Python worker stays and goes on with other tasks."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield batch
+            del batch
+            release()
+        release()
+
+    return task
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library than GNU's has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], at: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """``batches`` in slices of at most ``most`` bytes of the text in column ``at``, or of one row."""
+    for batch in batches:
+        for a, b in slices(batch.column(at), most):
+            yield batch.slice(a, b - a)
+
+
 def map_columns(df: DataFrame, schema: str, make: Callable[[], Callable[..., dict]]) -> DataFrame:
     """Arrow batches of ``df`` through ``make()``, called once per task.
 
@@ -32,6 +65,7 @@ def map_columns(df: DataFrame, schema: str, make: Callable[[], Callable[..., dic
     out = df.sparkSession.createDataFrame([], schema).schema
     names = out.fieldNames()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -52,16 +86,15 @@ def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
     out = df.sparkSession.createDataFrame([], schema).schema
     at = df.columns.index("text")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow, work = to_arrow_schema(out), make()
-        for batch in batches:
-            for a, b in slices(batch.column(at), most):
-                got = work(batch.slice(a, b - a))
-                cols = [got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], f.type) for f in arrow]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow)], schema=arrow)
-        pa.default_memory_pool().release_unused()  # the worker goes on with other tasks
+        for batch in sliced(batches, at, most):
+            got = work(batch)
+            cols = [got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], f.type) for f in arrow]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
     return df.mapInArrow(run, out)
 
@@ -116,9 +149,10 @@ def rewrite_text(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[
     names = docs.columns
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in sliced(batches, at):
             old = batch.column(at).to_pylist()
             new = [n if o is not None else None for o, n in zip(old, work([t or "" for t in old]))]
             columns = list(batch.columns)
@@ -137,11 +171,11 @@ def filter_text(docs: DataFrame, make: Callable[[], Callable]) -> DataFrame:
     ship_package(docs.sparkSession)
     at = docs.columns.index("text")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            if batch.num_rows:
-                keep = work([t or "" for t in batch.column(at).to_pylist()])
-                yield batch.filter(pa.array(keep, pa.bool_()))
+        for batch in sliced(batches, at):
+            keep = work([t or "" for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gridfold.llm.common import map_texts, text_or_empty, tokenizer_path
+from gridfold.llm.common import TEXT_ROWS, map_texts, text_or_empty, tokenizer_path
 from gridfold.llm.words import LibraryTokenizer, Remembered, split_words
 from gridfold.session import stage
 
@@ -108,7 +108,7 @@ def pack_documents(docs: DataFrame, max_tokens: int = 1024, max_docs: int = 1024
     spark, path = docs.sparkSession, path or tokenizer_path("byte_bpe_50k.json")
     max_attention = max_attention or max_tokens**2
     pieces = document_pieces(docs, max_tokens, end_id, path).withColumn("at", F.monotonically_increasing_id())
-    pieces = stage(spark, pieces, "pack-pieces")
+    pieces = stage(spark, pieces, "pack-pieces", batch_rows=TEXT_ROWS)
     full = pieces.where(F.col("length") == max_tokens).select("*", (-F.col("at") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     part = pieces.where(F.col("length") < max_tokens)
     groups = max(1, math.ceil(part.count() / group))

@@ -64,15 +64,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(spark: SparkSession, df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+def stage(spark: SparkSession, df: DataFrame, label: str, path: str | None = None, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts lineage like ``checkpoint()`` but keeps a columnar, prunable copy:
     later branches read only the columns and row groups they need. The
     shuffle files of the write go when it ends; nothing reads them again.
+    ``batch_rows``: rows that reach Python tasks at once, fewer than Spark's
+    10,000 where rows hold whole texts, which JVM and worker both buffer.
     """
     path = path or scratch_path(spark, label)
-    with sql_conf(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+    conf = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    if batch_rows:
+        conf["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(batch_rows)
+    with sql_conf(spark, conf):
         df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -148,3 +148,15 @@ def test_one_long_word():
     words = split_words(pa.array([text[:300_000]]))
     ids = encode_words(words.distinct, LibraryTokenizer(path)).take(words.codes)
     assert ids.flat.tolist() == Tokenizer.from_file(path).encode(text[:300_000]).ids
+
+
+def test_a_task_gives_memory_back_and_works_on_slices(spark, monkeypatch):
+    import pyarrow as pa
+
+    from gridfold.llm import common
+
+    freed, batch = [], pa.RecordBatch.from_arrays([pa.array(["ab", None, "c" * 9, ""])], names=["text"])
+    monkeypatch.setattr(common, "release", lambda: freed.append(1))
+    assert [b.num_rows for b in common.sliced(iter([batch, batch.slice(0, 0)]), 0, 4)] == [2, 1, 1]
+    assert len(list(common.released(lambda batches: batches)(iter([batch, batch])))) == 2 and len(freed) == 3
+    common.release()
