@@ -20,13 +20,14 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridfold.llm.common import map_texts, text_or_empty, tokenizer_path
-from gridfold.llm.words import LibraryTokenizer, Remembered, split_words
+from gridfold.llm.common import TEXT_ROWS, map_texts, text_or_empty, tokenizer_path
+from gridfold.llm.words import SLICE, LibraryTokenizer, Remembered, split_words
 from gridfold.session import scratch_path, ship_package, stage
 
 MAGIC = b"IDB1"
@@ -86,11 +87,18 @@ class Code:
         """(id, bits) for every next ``longest`` bits."""
         room = np.int64(1) << (self.longest - self.bits[self.order].astype(np.int64))
         ids, bits = np.repeat(self.ids[self.order], room), np.repeat(self.bits[self.order], room)
-        return np.resize(ids, 1 << self.longest).astype(np.uint32), np.resize(bits, 1 << self.longest).astype(np.int64)
+        return np.resize(ids, 1 << self.longest).astype(np.uint32), np.resize(bits, 1 << self.longest).astype(np.uint8)
+
+    @cached_property
+    def place(self) -> np.ndarray:
+        """Where each id is among ``ids``."""
+        out = np.zeros(int(self.ids.max(initial=0)) + 1, np.int64)
+        out[self.ids] = np.arange(len(self.ids))
+        return out
 
     def pack(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The stream of ``ids`` and the bits of each id."""
-        at = np.searchsorted(self.ids, ids)
+        at = self.place[ids]
         bits = self.bits[at].astype(np.int64)
         ends = np.cumsum(bits)
         starts = ends - bits
@@ -101,8 +109,9 @@ class Code:
         word = starts >> 5
         runs = np.flatnonzero(np.diff(word, prepend=-1))
         if len(runs):
-            words[word[runs]] |= np.bitwise_or.reduceat(both >> np.uint64(32), runs)
-            words[word[runs] + 1] |= np.bitwise_or.reduceat(both & np.uint64(0xFFFFFFFF), runs)
+            both = np.bitwise_or.reduceat(both, runs)
+            words[word[runs]] |= both >> np.uint64(32)
+            words[word[runs] + 1] |= both & np.uint64(0xFFFFFFFF)
         return words.astype(">u4").tobytes()[:(total + 7) // 8], bits
 
 
@@ -144,14 +153,14 @@ class Block:
         a, b = first // self.step, -(-last // self.step)
         base = int(self.marks[a]) // 8
         part = self.stream[base:-(-int(self.marks[b]) // 8)] + bytes(self.step * longest // 8 + 8)
-        octets = np.frombuffer(part, "u1").astype(np.int64)
+        octets = np.frombuffer(part, "u1").astype(np.uint32)
         next32 = (octets[:-3] << 24) | (octets[1:-2] << 16) | (octets[2:-1] << 8) | octets[3:]
         place = self.marks[a:b] - 8 * base
         of, bits = table
         out = np.empty((self.step, b - a), np.uint32)
         steps = self.step if b - a > 1 else last - a * self.step
         for k in range(steps):  # the k-th id of every run at once; past the last id it reads padding
-            window = (next32[np.minimum(place >> 3, len(next32) - 1)] >> (32 - longest - (place & 7))) & ((1 << longest) - 1)
+            window = (next32[np.minimum(place >> 3, len(next32) - 1)] >> (32 - longest - (place & 7)).astype(np.uint32)) & np.uint32((1 << longest) - 1)
             out[k] = of[window]
             place = place + bits[window]
         return out.T.reshape(-1)[first - a * self.step:last - a * self.step]
@@ -185,7 +194,7 @@ def encode_ids(docs: DataFrame, path: str, end_id: int, kind: str) -> DataFrame:
         return work
 
     texts = text_or_empty(docs, "doc_id").withColumn("same", F.xxhash64("text"))
-    return map_texts(texts, "doc_id long, same long, ids binary", make)
+    return map_texts(texts, "doc_id long, same long, ids binary", make, 2 * SLICE)
 
 
 def id_counts(encoded: DataFrame, kind: str) -> DataFrame:
@@ -317,5 +326,5 @@ def token_file_documents(docs: DataFrame, path: str | None = None, end_id: int =
     kind = id_type(path, end_id)
     encoded = encode_ids(docs, path, end_id, kind).withColumn("at", F.monotonically_increasing_id())
     folder = folder or scratch_path(spark, "token-files")
-    write_ids(stage(spark, encoded, "token-ids"), folder, kind)
+    write_ids(stage(spark, encoded, "token-ids", batch_rows=2 * TEXT_ROWS), folder, kind)
     return read_documents(spark, folder)

@@ -4,7 +4,8 @@ of a slice once. Nothing outlives the slice: memory follows its bytes."""
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable, Iterator
+from array import array
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from itertools import chain
@@ -65,23 +66,20 @@ def with_space(words: pa.Array) -> pa.Array:
     return pc.binary_join_element_wise(pa.scalar("", words.type), words, pa.scalar(" ", words.type))
 
 
-def split_words(texts: pa.Array, whole: Iterable[str] = ()) -> Words:
+def split_words(texts: pa.Array, whole: Collection[str] = ()) -> Words:
     """Cut texts (null: empty) into words; one that holds a string of
     ``whole``, such as a special token, stays in one piece."""
     import regex
 
     texts = pc.fill_null(texts, "")
-    odd = pc.match_substring_regex(texts, _ODD)
-    one = pa.array(np.zeros(len(texts), bool))
-    for s in whole:
-        one = pc.or_(one, pc.match_substring(texts, s))
-    odd, none = pc.or_(odd, one).to_numpy(zero_copy_only=False), pc.equal(texts, "").to_numpy(zero_copy_only=False)
+    odd = pc.match_substring_regex(texts, "|".join([_ODD, *(rf"\Q{s}\E" for s in whole)])).to_numpy(zero_copy_only=False)
+    none = pc.equal(texts, "").to_numpy(zero_copy_only=False)
     plain = ~odd & ~none
     lists = pc.split_pattern(texts.filter(pa.array(plain)), " ")
     counts, flat = [pc.list_value_length(lists).to_numpy(zero_copy_only=False)], [pc.list_flatten(lists)]
     if odd.any():
         cut = regex.compile(_CUT).split
-        some = [[t] if w else cut(t) for t, w in zip(texts.filter(pa.array(odd)).to_pylist(), one.filter(pa.array(odd)).to_pylist())]
+        some = [[t] if any(s in t for s in whole) else cut(t) for t in texts.filter(pa.array(odd)).to_pylist()]
         counts.append(np.fromiter(map(len, some), np.int64, len(some)))
         flat.append(pa.array([w for words in some for w in words], flat[0].type))
     coded = pa.concat_arrays(flat).dictionary_encode()
@@ -123,17 +121,18 @@ def encode_words(words: pa.Array, encode: Callable[[pa.Array], Ragged]) -> Ragge
 
 class Remembered:
     """An encoder that a task keeps the ids of up to ``most`` words with: the
-    first slices bring the frequent ones. It goes when the task ends."""
+    first slices bring the frequent ones. It goes when the task ends. Its owner
+    names the encoder with each call, for a cycle would keep both in memory."""
 
-    def __init__(self, encode: Callable[[pa.Array], Ragged], most: int = KEPT):
+    def __init__(self, encode: Callable[[pa.Array], Ragged] | None = None, most: int = KEPT):
         self.encode, self.most = encode, most
         self.words, self.ids = pa.array([], pa.string()), ragged([])
 
-    def __call__(self, words: pa.Array) -> Ragged:
+    def __call__(self, words: pa.Array, encode: Callable[[pa.Array], Ragged] | None = None) -> Ragged:
         at = pc.index_in(words, value_set=self.words)
         unseen = pc.is_null(at)
         new = words.filter(unseen)
-        both = end_to_end([self.ids, encode_words(new, self.encode)])
+        both = end_to_end([self.ids, encode_words(new, encode or self.encode)])
         codes = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
         codes[unseen.to_numpy(zero_copy_only=False)] = len(self.words) + np.arange(len(new))
         room = self.most - len(self.words)
@@ -157,15 +156,23 @@ def ragged(lists: list[list[int]]) -> Ragged:
 class LibraryTokenizer:
     """Batch encoder of a tokenizers file without added tokens: call it with words.
 
-    Plain words are first cut into the matches of the file's own pattern, each
-    distinct match is encoded once, and many of them go to the library as one text,
-    which takes half as long. ``marks`` tells where each match's tokens begin or end
-    there; should their number not fit, each match is a text of its own. So is
-    any word that is not plain.
+    Plain words are first cut into the matches of the file's own pattern, and each
+    distinct match is encoded once a task. It goes to the library's model in the file's
+    byte-level letters, as the library itself would hand it on; matches that the
+    normalizer may change by more than small letters go to the library as one text, where ``marks`` tells
+    where each match's tokens end; should their number not fit, each match is a
+    text of its own. So is any word that is not plain.
     """
 
-    #: What a plain word has nothing of: white space, controls, marks that may join the letter before them.
-    UNPLAIN = r"[\x00-\x09\x0b-\x20\x7f-\x{a0}\p{Z}\p{C}\p{M}]"
+    #: The normalizer changes nothing of these but capitals, which Arrow's small letters equal here.
+    LATIN = r"^[\n\x20-\x7e\x{a1}-\x{ff}]*$"
+    #: Latin-1 words of one run of letters and what else may follow, which are a match each.
+    LETTERS_FIRST = r"^(?P<letters> ?[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)(?P<rest>[!-/:-@\[-`{-~\x{a1}-\x{a9}\x{ab}-\x{b1}\x{b4}\x{b6}-\x{b8}\x{bb}\x{bf}\x{d7}\x{f7}]*)$"
+    #: Byte-level letters: a byte that is no printable Latin-1 character is one from 256 on.
+    LETTERS = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
+
+    #: What a plain word has nothing of: white space but line feeds, controls, marks that may join the letter before them.
+    UNPLAIN = r"[\x00-\x09\x0b-\x20\x7f-\x{a0}\p{Z}\p{Cf}\p{Co}\p{M}]"
 
     def __init__(self, path: str, plain_specials: bool = False):
         import os
@@ -193,6 +200,7 @@ class LibraryTokenizer:
         if pattern:
             self.marks[[i for t, i in vocab.items() if marked(t)]] = True
         self.findall = pattern and regex.compile(pattern if self.begins else f"\n|{pattern}").findall
+        self.model, self.known = self.tokenizer.model, Remembered()
         self.lower = bool(spec["normalizer"])  # matches depend on normalized text, which plain small letters are
 
     def __call__(self, words: pa.Array) -> Ragged:
@@ -204,9 +212,8 @@ class LibraryTokenizer:
         for s in self.specials:
             plain = pc.and_(plain, pc.invert(pc.match_substring(words, s)))
         if self.lower:
-            ascii_ = pc.string_is_ascii(words)
-            words = pc.if_else(ascii_, pc.ascii_lower(words), words)
-            plain = pc.and_(plain, pc.or_(ascii_, pc.equal(pc.utf8_lower(words), words)))
+            words, small = pc.if_else(pc.match_substring_regex(words, self.LATIN), pc.utf8_lower(words), words), pc.utf8_lower(words)
+            plain = pc.and_(plain, pc.equal(words, small))
         plain = plain.to_numpy(zero_copy_only=False)
         parts = [self.cut(words.filter(pa.array(plain))), self.single(words.filter(pa.array(~plain)))]
         if plain.all():
@@ -217,22 +224,47 @@ class LibraryTokenizer:
         """Ids of plain words by the matches that they consist of."""
         if not len(words):
             return ragged([])
+        two = pc.extract_regex(words, self.LETTERS_FIRST)
+        simple = pc.is_valid(two).to_numpy(zero_copy_only=False)
+        others, two = words.filter(pa.array(~simple)), two.filter(pa.array(simple))
+        found = self.found_in(others)
+        if found is None:
+            return end_to_end([self.cut(words.filter(pa.array(simple))), self.single(others)]).take(np.argsort(np.argsort(~simple, kind="stable")))
+        n = len(two)
+        coded = pa.concat_arrays([*two.flatten(), found[0]]).dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        codes[:2 * n] = codes[:2 * n].reshape(2, n).T.ravel()  # letters and what follows them, word by word
+        borders = np.concatenate([np.arange(0, 2 * n, 2), 2 * n + found[1]])
+        return self.known(coded.dictionary, self.matches).take(codes).merge(borders).take(np.argsort(np.argsort(~simple, kind="stable")))
+
+    def found_in(self, words: pa.Array) -> tuple[pa.Array, np.ndarray] | None:
+        """Matches of all words, and where each word's begin (and the last one's end);
+        none if they do not tell the words apart."""
         if not self.begins:  # line breaks are white space like any other here, so they can tell words apart
             words = pc.replace_substring(words, "\n", " ")
-        coded = pa.array(self.findall(("" if self.begins else "\n").join(words.to_pylist()) + "\n" * (not self.begins)), pa.string()).dictionary_encode()
-        pieces, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        border = (pc.starts_with(pieces, " ") if self.begins else pc.equal(pieces, "\n")).to_numpy(zero_copy_only=False)
-        at = np.flatnonzero(border[codes])
+        matches = pa.array(self.findall(("" if self.begins else "\n").join(words.to_pylist()) + "\n" * (not self.begins and len(words) > 0)), pa.string())
+        border = (pc.starts_with(matches, " ") if self.begins else pc.equal(matches, "\n")).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(border)
         if len(at) != len(words):
-            return self.single(words)
-        joint = border if self.begins else ~border
-        both = end_to_end([self.joined(pieces.filter(pa.array(joint))), self.single(pieces.filter(pa.array(~joint)))])
-        place = np.empty(len(pieces), np.int64)
-        place[np.concatenate([np.flatnonzero(joint), np.flatnonzero(~joint)])] = np.arange(len(pieces))
+            return None
         if self.begins:
-            return both.take(place[codes]).merge(np.append(at, len(codes)))
-        inner = np.delete(codes, at)
-        return both.take(place[inner]).merge(np.concatenate([[0], at - np.arange(len(at))]))
+            return matches, np.append(at, len(matches))
+        return matches.filter(pa.array(~border)), np.concatenate([[0], at - np.arange(len(at))])
+
+    def matches(self, pieces: pa.Array) -> Ragged:
+        """Ids of distinct matches of plain words."""
+        ascii_ = pc.string_is_ascii(pieces).to_numpy(zero_copy_only=False)
+        other = pc.match_substring_regex(pieces, self.LATIN).to_numpy(zero_copy_only=False) ^ ascii_ if self.lower else ~ascii_
+        some = [ascii_, other, ~ascii_ & ~other]
+        texts = pc.replace_substring(pc.replace_substring(pieces.filter(pa.array(ascii_)), " ", "\u0120"), "\n", "\u010a").to_pylist()
+        texts += [p.encode().decode("latin-1").translate(self.LETTERS) for p in pieces.filter(pa.array(other)).to_pylist()]
+        ids, ends = array("i"), array("q", [0])
+        for tokens in map(self.model.tokenize, texts):
+            ids.extend([t.id for t in tokens])
+            ends.append(len(ids))
+        whole = Ragged(np.array(ids, np.int32), np.array(ends, np.int64))
+        both = end_to_end([whole, self.joined(pieces.filter(pa.array(some[2])))])
+        return both.take(np.argsort(np.concatenate([np.flatnonzero(which) for which in some])))
 
     def single(self, texts: pa.Array) -> Ragged:
         lists = texts.to_pylist()

@@ -150,6 +150,31 @@ def test_one_long_word():
     assert ids.flat.tolist() == Tokenizer.from_file(path).encode(text[:300_000]).ids
 
 
+@pytest.mark.parametrize("name, specials", [("byte_bpe_50k.json", False), ("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_matches_reach_the_librarys_model_as_the_library_hands_them_on(name, specials, monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from gridfold.llm.words import LibraryTokenizer, Remembered, split_words
+
+    texts = ["Étude des eaux.\nÈre, ÑANDÚ ¡ya! x÷y ×2 3²½ \xb5\xaa\xba\xad ÿß", "it's I'll 'S ''t foo's,\nbar\n\nBaz\n qux.\n", "Ω Å K ſ İI ǅ ΑΣ ﬁ 漢字 가 é \x7f\x85\x1c a\tb  c\r\nd",
+             "<|endoftext|> a<|startoftext|>b", "word. word, word Word WORD wörd WÖRD wörd. (wörd) «wörd» wörd1 1wörd", "", " ", "\n", "a\nb c\nd É\nÉ é.É", "The the. The\nthe"] * 2
+    encode = LibraryTokenizer(P.path(name), plain_specials=specials)
+    library = Tokenizer.from_file(P.path(name))
+    library.encode_special_tokens = specials
+    one_by_one = []
+    monkeypatch.setattr(encode, "single", lambda words: one_by_one.extend(words.to_pylist()) or LibraryTokenizer.single(encode, words))
+    words = split_words(pa.array(texts), encode.found)
+    remember = Remembered(encode)
+    for _ in range(2):  # the second time by what is remembered
+        spaced, codes = words.spaced() if encode.begins else (words.distinct, words.codes)
+        ids = remember(spaced).take(codes).merge(words.starts)
+        got = {row: ids.flat[ids.starts[k]:ids.starts[k + 1]].tolist() for k, row in enumerate(words.rows.tolist())}
+        assert [got[k] for k in range(len(texts))] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert " des" not in one_by_one and not any("eaux.\nÈre," in w for w in one_by_one), "such words went one by one before"
+    assert len(encode.known.words) and len(set(encode.known.words.to_pylist())) == len(encode.known.words), "each match is encoded once"
+
+
 def test_a_task_gives_memory_back_and_works_on_slices(spark, monkeypatch):
     import pyarrow as pa
 
