@@ -7,13 +7,15 @@ from collections.abc import Callable, Iterator
 from contextlib import suppress
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridfold.llm.words import SLICE, slices
 from gridfold.session import ship_package
 
 #: Rows with whole texts that reach a Python task at once.
 TEXT_ROWS = 2048
+#: Bits that a bitmap has for each key, so that few other rows pass; and the most it has.
+BITS, MOST_BITS = 16, 1 << 28
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +101,26 @@ def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
     return df.mapInArrow(run, out)
 
 
+def bitmap(keys: DataFrame) -> Column:
+    """A bitmap, of one row that plans refer to, with the bit of each hash in column
+    ``key`` set. It spares rows a shuffle and decides nothing. Its size follows the
+    number of keys (read twice: pass a written table), up to 32 MiB."""
+    size = max(1 << 15, min(MOST_BITS, 1 << (BITS * keys.count()).bit_length()))
+    bit = F.pmod("key", F.lit(size))
+    out, run = bytearray(size // 8), 1 << 15  # bits that travel to the driver in one row
+    parts = keys.groupBy(F.floor(bit / run).alias("at")).agg(F.bitmap_construct_agg(bit % run))
+    for at, part in parts.toLocalIterator():  # at most size / run rows
+        out[at * run // 8:(at + 1) * run // 8] = part
+    return keys.sparkSession.createDataFrame([(out,)], "bits binary").scalar()
+
+
+def in_bitmap(bits: Column, key: Column) -> Column:
+    """Whether the bit of ``key`` is set: always so for the keys it was made of."""
+    bit = F.pmod(key, 8 * F.length(bits).cast("long"))
+    byte = F.conv(F.hex(F.substring(bits, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.call_function("shiftright", byte, F.pmod(bit, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 def join_by_weight(left: DataFrame, right: DataFrame, key: str, weight: str, most: int) -> DataFrame:
     """``left`` joined to ``right``, which has one row per ``key`` and how many
     rows of ``left`` have it, about, as ``weight``. The heaviest keys, at most ``most`` of

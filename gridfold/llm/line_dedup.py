@@ -5,8 +5,9 @@ similarity of their sets is at least the threshold. Words are put in order of
 rarity; matching sets then share a word among the first n - ceil(t n) + 1 of
 either (prefix filter), have sizes within a factor t (length filter), can still
 reach the overlap behind the shared word (positional filter), and differ in
-few enough words (a 64-bit parity of the words bounds that from below). Words
-that occur once in all texts are shared by no two lines and leave the prefixes.
+few enough words (a 128-bit parity of the words bounds that from below; 64 bits
+say nothing on lines of over 80 words). Words that occur once in all texts are
+shared by no two lines and leave the prefixes.
 What passes is verified on the words themselves.
 """
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from gridfold.llm.common import bitmap, in_bitmap
 from gridfold.session import stage
 
 #: Counters of the rarity sketch: a fixed 4 MiB, one class (a byte) each. Words
@@ -22,8 +24,6 @@ from gridfold.session import stage
 BUCKETS = 1 << 22
 #: Counters that travel to the driver in one row (at most 128: a place is an ASCII character).
 RUN = 64
-#: Bits of the bitmaps that spare rows a shuffle.
-BITS = 1 << 20
 #: Keys of :func:`_ordered` below this are of words that occur once: their class is 1.
 ONCE = 2 << 56
 
@@ -73,10 +73,11 @@ def _overlap(n: Column, m: Column, t: float) -> Column:
 
 def _may_match(x: str, y: str, t: float) -> Column:
     """Length, positional and parity filters on rows of prefix words."""
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    n, m = (F.shiftright(F.col(f"{r}.at"), 32) for r in (x, y))
+    pos, other = (F.shiftright(F.col(f"{r}.at"), 1).bitwiseAND(F.lit((1 << 31) - 1)) for r in (x, y))
     need = _overlap(n, m, t)
-    behind = 1 + F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos"))
-    differ = F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity")))
+    behind = 1 + F.least(n - pos, m - other)
+    differ = sum(F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in ("odd", "even"))
     return (F.least(n, m) >= F.greatest(n, m) * t - 1e-9) & (behind >= need) & (differ <= n + m - 2 * need)
 
 
@@ -91,34 +92,18 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def line_sets(docs: DataFrame, threshold: float, classes: DataFrame) -> DataFrame:
-    """doc_id, doc, line, set, n, parity and prefix for each line with a word."""
+    """doc_id, doc, line, set, n, prefix, and the parities ``odd`` and ``even`` for each line with a word."""
     lines = docs.select("doc_id", "doc", F.posexplode(F.split("text", "\n")).alias("line", "words")).where(r"words RLIKE '\\S'")
     lines = lines.select("*", classes.scalar().alias("rank")).select("doc_id", "doc", "line", _ordered(F.col("words"), F.col("rank")).alias("w"))
     n = F.size("w")
     bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))
-    parity = F.aggregate("w", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(bit(w)))
+    half = lambda k: lambda w: w.bitwiseAND(F.lit(64)) == 64 * k
+    parity = lambda k: F.aggregate(F.filter("w", half(k)), F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(bit(w)))
     prefix = F.filter(F.slice("w", 1, _prefix_length(n, threshold)), lambda w: w >= ONCE)
-    return lines.select("doc_id", "doc", "line", F.xxhash64("w").alias("set"), n.alias("n"), parity.alias("parity"),
+    return lines.select("doc_id", "doc", "line", F.xxhash64("w").alias("set"), n.alias("n"), parity(1).alias("odd"), parity(0).alias("even"),
                         F.transform(prefix, lambda w: w.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"))
 
 
-def _bitmap(keys: DataFrame) -> Column:
-    """A fixed 128 KiB literal with the bit of each hash in column ``key`` set."""
-    bit = F.pmod("key", F.lit(BITS))
-    mask = F.call_function("shiftleft", F.lit(1), F.pmod(bit, F.lit(8)).cast("int"))
-    out = bytearray(BITS // 8)
-    for at, byte in keys.groupBy(F.floor(bit / 8).alias("at")).agg(F.bit_or(mask)).toLocalIterator():  # at most BITS / 8 rows
-        out[at] = byte
-    return F.lit(out)
-
-
-def _in_bitmap(bits: Column, key: Column) -> Column:
-    """Whether the bit of ``key`` is set: always so for the keys it was made of."""
-    bit = F.pmod(key, F.lit(BITS))
-    byte = F.conv(F.hex(F.substring(bits, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.call_function("shiftright", byte, F.pmod(bit, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, t: float) -> DataFrame:
     """(x, y): the pairs of set numbers whose lines have the similarity. Only the
     lines of these pairs, and those a bitmap can't tell from them, are moved."""
@@ -126,8 +111,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, t: float) -> D
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("sid")).distinct()
     places = stage(spark, sets.join(wanted, "sid").select("sid", "doc", "line"), "line-places")
     key = F.xxhash64("doc", "line")
-    bits = _bitmap(places.select(key.alias("key")))
-    lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "words")).where(_in_bitmap(bits, key))
+    bits = bitmap(places.select(key.alias("key")))
+    lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "words")).where(in_bitmap(bits, key))
     text = stage(spark, lines.join(places, ["doc", "line"]).select("sid", F.col("words").alias("text")), "line-texts")
     # texts travel as they are: as arrays of words they would be several times as large.
     # The lambda binds the words, which a plain condition would split anew at each mention.
@@ -151,29 +136,35 @@ def later_matches(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     spark = docs.sparkSession
     lines = stage(spark, line_sets(docs, threshold, rarity_classes(docs)), "line-sets")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc", "line")
-    sets = lines.groupBy("set").agg(F.min(place).alias("first"), *(F.any_value(c).alias(c) for c in ("n", "parity", "prefix")))
-    sets = sets.sort("first").select(F.monotonically_increasing_id().alias("sid"), "set", "first.doc", "first.line", "n", "parity", "prefix")
+    sets = lines.groupBy("set").agg(F.min(place).alias("first"), *(F.any_value(c).alias(c) for c in ("n", "odd", "even", "prefix")))
+    sets = sets.sort("first").select(F.monotonically_increasing_id().alias("sid"), "set", "first.doc", "first.line", "n", "odd", "even", "prefix")
     sets = stage(spark, sets, "line-classes")
 
-    def by_word(classes: DataFrame) -> DataFrame:
+    def by_word(classes: DataFrame, open: Column) -> DataFrame:
+        """A row for each word of a prefix; n, pos and ``open`` travel as one long, ``at``."""
         # words that occur once come first, so what is left of a prefix is its end
-        skipped = (_prefix_length(F.col("n"), threshold) - F.size("prefix")).alias("skipped")
-        each = classes.select(skipped, F.struct(*(c for c in classes.columns if c in ("sid", "n", "parity", "open"))).alias("s"), F.posexplode("prefix").alias("pos", "word"))
-        return each.select("word", (F.col("skipped") + F.col("pos") + 1).cast("int").alias("pos"), "s.*")
+        skipped = _prefix_length(F.col("n"), threshold) - F.size("prefix") + 1
+        size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(open.cast("long"))
+        each = classes.select("sid", "odd", "even", size.alias("size"), skipped.alias("skipped"), F.posexplode("prefix").alias("pos", "word"))
+        return each.select("word", "sid", (F.col("size") + 2 * (F.col("skipped") + F.col("pos"))).alias("at"), "odd", "even")
 
     def pairs_of(rows: DataFrame, label: str) -> DataFrame:
         may = _may_match("x", "y", threshold) & (F.col("x.sid") < F.col("y.sid"))
         return stage(spark, rows.where(may).select(F.col("x.sid").alias("x"), F.col("y.sid").alias("y")).distinct(), label)
 
-    row, turn = F.struct("sid", "n", "pos", "parity"), W.partitionBy("word").orderBy("sid")
-    near = F.array(F.first(row).over(turn), F.lag(row, 1).over(turn), F.lag(row, 2).over(turn))
-    near = by_word(sets).select(row.alias("y"), near.alias("x")).where("x[1] IS NOT NULL").select("y", F.explode("x").alias("x"))
+    rows = by_word(sets, F.lit(0)).select("word", F.struct("sid", "at", "odd", "even").alias("y"))
+    turn = W.partitionBy("word").orderBy("y.sid")
+    near = F.array(F.first("y").over(turn), F.lag("y", 1).over(turn), F.lag("y", 2).over(turn))
+    near = rows.select("y", near.alias("x")).where("x[1] IS NOT NULL").select("y", F.explode("x").alias("x"))
     first = pairs_of(near, "line-pairs")
     settled = stage(spark, _verified(first, sets, docs, threshold).select(F.col("y").alias("sid")).distinct(), "line-settled")
 
-    marked = by_word(sets.join(settled.withColumn("done", F.lit(True)), "sid", "left").withColumn("open", F.col("done").isNull()))
-    # the condition on y.open is not one of a side alone, so both sides read one exchange
-    rest = marked.alias("x").join(marked.alias("y"), F.col("x.word") == F.col("y.word")).where("(x.sid < y.sid) = y.open")
+    maybe = in_bitmap(bitmap(settled.select(F.xxhash64("sid").alias("key"))), F.xxhash64("sid"))
+    marked = sets.where(maybe).join(settled.withColumn("done", F.lit(1)), "sid", "left").unionByName(sets.where(~maybe).withColumn("done", F.lit(None).cast("int")))
+    marked = by_word(marked, F.col("done").isNull())
+    # y's open bit is part of what both sides need, so they read one exchange
+    rest = marked.alias("x").join(marked.alias("y"), F.col("x.word") == F.col("y.word"))
+    rest = rest.where((F.col("x.sid") < F.col("y.sid")) == (F.col("y.at").bitwiseAND(F.lit(1)) == 1))
     rest = pairs_of(rest, "line-rest").join(first, ["x", "y"], "left_anti")
     settled = settled.union(_verified(rest, sets, docs, threshold).select("y")).distinct()
 
@@ -182,17 +173,20 @@ def later_matches(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     return match.where("first_doc IS NULL OR first_doc <> doc OR first_line <> line").select("doc", "line")
 
 
-def remove_lines(docs: DataFrame, matches: DataFrame, *columns: str) -> DataFrame:
-    """``docs`` (with ``doc``) and n_lines, n_removed; text without its matches.
-    Documents that a bitmap shows to have none are not moved."""
+def remove_lines(docs: DataFrame, matches: DataFrame, columns: list[str], text: Column) -> DataFrame:
+    """``columns`` of ``docs`` (with ``doc``), n_lines, n_removed, and ``text``, which
+    is worked out from these columns and moved as part of them, without its
+    matches. Documents that a bitmap shows to have none are not moved."""
     gone = stage(docs.sparkSession, matches.groupBy("doc").agg(F.collect_set("line").alias("gone")), "line-gone")
-    some = _in_bitmap(_bitmap(gone.select(F.col("doc").alias("key"))), F.col("doc"))
+    some = in_bitmap(bitmap(gone.select(F.col("doc").alias("key"))), F.col("doc"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
-    cut = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
-    hit = docs.where(some).join(gone, "doc", "left").withColumn("lines", F.split("text", "\n"))
-    hit = hit.select(*columns, cut.alias("text"), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
-    whole = docs.where(~some).select(*columns, "text", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
-    return hit.unionByName(whole)
+    cut = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
+    rows = docs.select("doc", *columns)
+    hit = rows.where(some).join(gone, "doc", "left").withColumn("lines", F.split(text, "\n"))
+    counts = {"n_lines": F.size("lines").cast("long"), "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}
+    hit = hit.withColumns(counts | {"text": cut}).drop("doc", "lines", "gone")
+    counts = {"n_lines": F.size(F.split(text, "\n")).cast("long"), "n_removed": F.lit(0).cast("long")}
+    return hit.unionByName(rows.where(~some).withColumns(counts | {"text": text}).drop("doc"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -208,15 +202,16 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     if not 0 < threshold <= 1:
         raise ValueError("threshold is a Jaccard similarity in (0, 1]")
     rows = keyed(docs)
-    return remove_lines(rows, later_matches(rows, threshold), "doc_id")
+    out = remove_lines(rows, later_matches(rows, threshold), ["doc_id", "text"], F.col("text"))
+    return out.select("doc_id", "text", "n_lines", "n_removed")
 
 
 def dedup_line_documents(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``docs`` with all its columns, its texts as :func:`dedup_lines` leaves them;
     ``n_chars``, where there is one, follows a changed text."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct("*").alias("row"))
-    rows = rows.withColumn("doc", F.xxhash64("doc_id", "text"))
-    out = remove_lines(rows, later_matches(rows.select("doc_id", "text", "doc"), threshold), "row")
+    text = F.coalesce("row.text", F.lit(""))
+    rows = docs.select(F.struct("*").alias("row")).withColumn("doc", F.xxhash64("row.doc_id", text))
+    out = remove_lines(rows, later_matches(keyed(docs), threshold), ["row"], text)
     changed = F.col("n_removed") > 0
     row = F.col("row").withField("text", F.when(changed, F.col("text")).otherwise(F.col("row.text")))
     if "n_chars" in docs.columns:

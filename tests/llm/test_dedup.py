@@ -199,3 +199,35 @@ def test_robust_prune_drops_what_a_nearer_one_covers():
     x /= np.linalg.norm(x, axis=1)[:, None]
     out = E.robust_prune(x, np.array([0]), np.array([[1, 2, 3, -1]]), 3)
     assert out.tolist() == [[1, -1, -1]] or out.tolist() == [[1, 3, -1]]
+
+
+def test_line_dedup_moves_little_that_does_not_match(spark, monkeypatch):
+    """Long lines of common words that match nothing reach no comparison of texts: of
+    7,260 pairs of these, 64 bits of parity let more than a thousand pass."""
+    from gridfold.llm import line_dedup
+
+    rng = np.random.default_rng(8)
+    lines = [" ".join(f"w{j}" for j in rng.choice(400, 140, replace=False)) for _ in range(120)]
+    rows = [(k, line) for k, line in enumerate(lines)] + [(200 + k, f"{line} new{k}") for k, line in enumerate(lines[:10])]
+    seen = []
+
+    def verified(pairs, *rest):
+        seen.extend((r.x, r.y) for r in pairs.collect())
+        return checked(pairs, *rest)
+
+    checked = line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", verified)
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == brute_lines(rows)
+    assert len(seen) == 10
+
+
+def test_bitmap_grows_with_its_keys(spark):
+    from gridfold.llm.common import bitmap, in_bitmap
+
+    keys = spark.range(200_000).select(F.xxhash64("id").alias("key"))
+    rows = spark.range(400_000).select("id", in_bitmap(bitmap(keys), F.xxhash64("id")).alias("hit"))
+    hits = dict(rows.where("hit").groupBy((F.col("id") < 200_000).alias("own")).count().collect())
+    assert hits[True] == 200_000 and hits.get(False, 0) < 20_000  # a fixed 1 Mi bits let 34,000 pass
+    none = keys.where("key IS NULL")
+    assert rows.sparkSession.range(9).where(in_bitmap(bitmap(none), F.xxhash64("id"))).count() == 0
