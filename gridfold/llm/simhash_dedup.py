@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridfold.llm.common import map_columns, text_or_empty
+from gridfold.llm.common import bitmap, in_bitmap, map_columns, text_or_empty
 from gridfold.llm.components import components, local_roots
 from gridfold.session import ship_package, stage
 
@@ -200,8 +200,12 @@ def keep_one(docs: DataFrame, words: int = 3, max_distance: int = 3) -> DataFram
     first = rows.groupBy("root").agg(F.min("place").alias("first"))
     each = rows.groupBy("root", "place").agg(F.count("*").alias("rows")).join(first, "root")
     ids = each.select(F.col("place.doc_id").alias("other"), F.col("place.key").alias("other_key"), (F.col("place") == F.col("first")).alias("stays"), "rows")
-    ids = ids.where("NOT stays OR rows > 1").drop("rows")
-    same = docs["doc_id"].eqNullSafe(ids["other"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == ids["other_key"])
+    ids = stage(docs.sparkSession, ids.where("NOT stays OR rows > 1").drop("rows"), "simhash-others")
+    text = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    same = docs["doc_id"].eqNullSafe(ids["other"]) & (text == ids["other_key"])
+    # rows that a bitmap shows to be none of these are not moved
+    some = in_bitmap(bitmap(ids.select(F.xxhash64("other", "other_key").alias("key"))), F.xxhash64(docs["doc_id"].cast("long"), text))
     key = "_" * (1 + max(map(len, docs.columns)))  # a name that no column has
-    once = docs.join(ids.where("stays"), same, "left_semi").withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
-    return docs.join(ids, same, "left_anti").unionByName(once.dropDuplicates(["doc_id", key]).drop(key))
+    once = docs.where(some).join(ids.where("stays"), same, "left_semi").withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    left = docs.where(some).join(ids, same, "left_anti")
+    return docs.where(~some).unionByName(left).unionByName(once.dropDuplicates(["doc_id", key]).drop(key))

@@ -26,3 +26,13 @@ def test_columns_of_any_name_stay(spark):
     got = sorted(tuple(r) for r in keep_one(df).collect())
     assert got == [(1, X, "a", 2, 3), (3, None, "c", 0, 0)]
     assert keep_one(df.limit(0)).count() == 0
+
+
+def test_only_rows_that_may_go_are_moved(spark):
+    """The rows that stay by themselves don't pass an exchange of texts."""
+    df = spark.createDataFrame([(k, f"{k} " * 9, k) for k in range(50)] + [(60, X, 1), (61, X, 2)], "doc_id int, text string, n long")
+    got = keep_one(df)
+    assert sorted(r.doc_id for r in got.collect()) == [*range(50), 60]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    union = plan.split("\n")[0]
+    assert union.startswith("Union") and plan.split("\n")[1].lstrip(":+- ").startswith("Filter")
