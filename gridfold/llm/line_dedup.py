@@ -13,6 +13,8 @@ What passes is verified on the words themselves.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridfold.llm.common import bitmap, in_bitmap
@@ -24,6 +26,9 @@ from gridfold.session import stage
 BUCKETS = 1 << 22
 #: Counters that travel to the driver in one row (at most 128: a place is an ASCII character).
 RUN = 64
+#: Parts of the prefix words that are joined one after the other, so that the
+#: rows of one part at a time lie on disk.
+PARTS = 2
 #: Keys of :func:`_ordered` below this are of words that occur once: their class is 1.
 ONCE = 2 << 56
 
@@ -104,12 +109,18 @@ def line_sets(docs: DataFrame, threshold: float, classes: DataFrame) -> DataFram
                         F.transform(prefix, lambda w: w.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"))
 
 
+def _split(sets: DataFrame, sids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sets that a bitmap of ``sids`` (a written table) shows, with few others, and the rest."""
+    some = in_bitmap(bitmap(sids.select(F.xxhash64("sid").alias("key"))), F.xxhash64("sid"))
+    return sets.where(some), sets.where(~some)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, t: float) -> DataFrame:
     """(x, y): the pairs of set numbers whose lines have the similarity. Only the
     lines of these pairs, and those a bitmap can't tell from them, are moved."""
     spark = docs.sparkSession
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("sid")).distinct()
-    places = stage(spark, sets.join(wanted, "sid").select("sid", "doc", "line"), "line-places")
+    wanted = stage(spark, pairs.select(F.explode(F.array("x", "y")).alias("sid")).distinct(), "line-wanted")
+    places = stage(spark, _split(sets, wanted)[0].join(wanted, "sid").select("sid", "doc", "line"), "line-places")
     key = F.xxhash64("doc", "line")
     bits = bitmap(places.select(key.alias("key")))
     lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "words")).where(in_bitmap(bits, key))
@@ -140,35 +151,44 @@ def later_matches(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     sets = sets.sort("first").select(F.monotonically_increasing_id().alias("sid"), "set", "first.doc", "first.line", "n", "odd", "even", "prefix")
     sets = stage(spark, sets, "line-classes")
 
-    def by_word(classes: DataFrame, open: Column) -> DataFrame:
-        """A row for each word of a prefix; n, pos and ``open`` travel as one long, ``at``."""
+    def by_word(classes: DataFrame, open: Column, part: int) -> DataFrame:
+        """A row for each word of a prefix in this part; n, pos and ``open`` travel as one long, ``at``."""
         # words that occur once come first, so what is left of a prefix is its end
         skipped = _prefix_length(F.col("n"), threshold) - F.size("prefix") + 1
         size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(open.cast("long"))
         each = classes.select("sid", "odd", "even", size.alias("size"), skipped.alias("skipped"), F.posexplode("prefix").alias("pos", "word"))
+        each = each.where(F.pmod("word", F.lit(PARTS)) == part)
         return each.select("word", "sid", (F.col("size") + 2 * (F.col("skipped") + F.col("pos"))).alias("at"), "odd", "even")
 
-    def pairs_of(rows: DataFrame, label: str) -> DataFrame:
+    def pairs_of(rows: list[DataFrame], label: str) -> DataFrame:
         may = _may_match("x", "y", threshold) & (F.col("x.sid") < F.col("y.sid"))
-        return stage(spark, rows.where(may).select(F.col("x.sid").alias("x"), F.col("y.sid").alias("y")).distinct(), label)
+        parts = [stage(spark, r.where(may).select(F.col("x.sid").alias("x"), F.col("y.sid").alias("y")).distinct(), label) for r in rows]
+        return reduce(DataFrame.union, parts).distinct()
 
-    rows = by_word(sets, F.lit(0)).select("word", F.struct("sid", "at", "odd", "even").alias("y"))
-    turn = W.partitionBy("word").orderBy("y.sid")
-    near = F.array(F.first("y").over(turn), F.lag("y", 1).over(turn), F.lag("y", 2).over(turn))
-    near = rows.select("y", near.alias("x")).where("x[1] IS NOT NULL").select("y", F.explode("x").alias("x"))
-    first = pairs_of(near, "line-pairs")
+    def near(part: int) -> DataFrame:
+        rows = by_word(sets, F.lit(0), part).select("word", F.struct("sid", "at", "odd", "even").alias("y"))
+        turn = W.partitionBy("word").orderBy("y.sid")
+        each = F.array(F.first("y").over(turn), F.lag("y", 1).over(turn), F.lag("y", 2).over(turn))
+        return rows.select("y", each.alias("x")).where("x[1] IS NOT NULL").select("y", F.explode("x").alias("x"))
+
+    first = stage(spark, pairs_of([near(k) for k in range(PARTS)], "line-near"), "line-pairs")
     settled = stage(spark, _verified(first, sets, docs, threshold).select(F.col("y").alias("sid")).distinct(), "line-settled")
 
-    maybe = in_bitmap(bitmap(settled.select(F.xxhash64("sid").alias("key"))), F.xxhash64("sid"))
-    marked = sets.where(maybe).join(settled.withColumn("done", F.lit(1)), "sid", "left").unionByName(sets.where(~maybe).withColumn("done", F.lit(None).cast("int")))
-    marked = by_word(marked, F.col("done").isNull())
-    # y's open bit is part of what both sides need, so they read one exchange
-    rest = marked.alias("x").join(marked.alias("y"), F.col("x.word") == F.col("y.word"))
-    rest = rest.where((F.col("x.sid") < F.col("y.sid")) == (F.col("y.at").bitwiseAND(F.lit(1)) == 1))
-    rest = pairs_of(rest, "line-rest").join(first, ["x", "y"], "left_anti")
-    settled = settled.union(_verified(rest, sets, docs, threshold).select("y")).distinct()
+    some, others = _split(sets, settled)
+    marked = some.join(settled.withColumn("done", F.lit(1)), "sid", "left").unionByName(others.withColumn("done", F.lit(None).cast("int")))
+
+    def later(part: int) -> DataFrame:
+        rows = by_word(marked, F.col("done").isNull(), part)
+        # y's open bit is part of what both sides need, so they read one exchange
+        both = rows.alias("x").join(rows.alias("y"), F.col("x.word") == F.col("y.word"))
+        return both.where((F.col("x.sid") < F.col("y.sid")) == (F.col("y.at").bitwiseAND(F.lit(1)) == 1))
+
+    rest = pairs_of([later(k) for k in range(PARTS)], "line-later").join(first, ["x", "y"], "left_anti")
+    rest = stage(spark, rest, "line-rest")
+    settled = stage(spark, settled.union(_verified(rest, sets, docs, threshold).select("y")).distinct(), "line-settled")
 
-    kept = sets.join(settled, "sid", "left_anti").select("set", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"))
+    some, others = _split(sets, settled)
+    kept = some.join(settled, "sid", "left_anti").unionByName(others).select("set", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"))
     match = lines.select("doc", "line", "set").join(kept, "set", "left")
     return match.where("first_doc IS NULL OR first_doc <> doc OR first_line <> line").select("doc", "line")
 
