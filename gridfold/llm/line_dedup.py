@@ -5,16 +5,19 @@ similarity of their sets is at least the threshold. Words are put in order of
 rarity; matching sets then share a word among the first n - ceil(t n) + 1 of
 either (prefix filter), have sizes within a factor t (length filter), can still
 reach the overlap behind the shared word (positional filter), and differ in
-few enough words (a 128-bit parity of the words bounds that from below; 64 bits
-say nothing on lines of over 80 words). Words that occur once in all texts are
-shared by no two lines and leave the prefixes.
+few enough words (a parity of the words bounds that from below: 64 bits for
+lines of up to 64 words, 128 for longer ones, of which 64 say nothing). Words
+that occur once in all texts are shared by no two lines and leave the prefixes.
 What passes is verified on the words themselves.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridfold.llm.common import bitmap, in_bitmap
@@ -24,18 +27,29 @@ from gridfold.session import stage
 #: that share a counter with more frequent ones are taken for as frequent, so
 #: too few counters put common words into the prefixes.
 BUCKETS = 1 << 22
-#: Counters that travel to the driver in one row (at most 128: a place is an ASCII character).
-RUN = 64
+#: Counters that travel to the driver in one row (a place is two characters of 8 bits).
+RUN = 1 << 16
 #: Parts of the prefix words that are joined one after the other, so that the
 #: rows of one part at a time lie on disk.
 PARTS = 2
 #: Keys of :func:`_ordered` below this are of words that occur once: their class is 1.
 ONCE = 2 << 56
+#: Keys below this are of words that occur less than 1,024 times: their class is at most 40.
+#: All pairs of lines that share such a word are looked at, 512 a line on average at most.
+HOT = 41 << 56
+#: Lines of at most this many words have a parity of 64 bits.
+SHORT = 64
+
+
+def _pieces(text: Column, spaces: str = "\t\x0b\f\r") -> Column:
+    """A lower-cased text cut at each blank and each of ``spaces``: its words, and
+    empty ones. One character is split by without a regular expression, which takes longer."""
+    return F.split(reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), spaces, F.lower(text)), " ")
 
 
 def words(line: Column) -> Column:
     """The distinct words of a line, without the empty one."""
-    return F.array_distinct(F.array_remove(F.split(F.lower(line), r"\s+"), ""))
+    return F.array_distinct(F.array_remove(_pieces(line), ""))
 
 
 def _bucket(hashed: Column) -> Column:
@@ -46,29 +60,35 @@ def rarity_classes(texts: DataFrame) -> DataFrame:
     """One row, ``classes``: for each bucket of word hashes, a byte 1..127 that
     rises with the number of occurrences in all texts (four classes to a factor
     of two). A frame, so that plans refer to it instead of spelling it out."""
-    each = texts.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("w"))
+    each = texts.select(F.explode(_pieces(F.col("text"), "\n\t\x0b\f\r")).alias("w")).where("w <> ''")
     counts = each.groupBy(_bucket(F.xxhash64("w")).alias("b")).count()
-    step = F.char(F.least(F.lit(127), 1 + F.floor(4 * F.log2("count"))))
-    runs = counts.groupBy(F.floor(F.col("b") / RUN).alias("run")).agg(F.collect_list(F.struct(F.char(F.col("b") % RUN).alias("at"), step.alias("step"))).alias("seen"))
-    out = bytearray([1]) * BUCKETS
-    for run, at, steps in runs.select("run", F.array_join("seen.at", ""), F.array_join("seen.step", "")).collect():  # at most BUCKETS / RUN rows
-        for k, c in zip(at.encode(), steps.encode()):
-            out[run * RUN + k] = c
-    return texts.sparkSession.createDataFrame([(out,)], "classes binary")
+    step = F.least(F.lit(127), 1 + F.floor(4 * F.log2("count"))).cast("int")
+    runs = counts.groupBy(F.floor(F.col("b") / RUN).alias("run")).agg(F.collect_list(128 * F.col("b") % (128 * RUN) + step).alias("seen"))
+    chars = lambda bits, most: F.array_join(F.transform("seen", lambda x: F.char(F.shiftright(x, bits).bitwiseAND(F.lit(most)))), "")
+    out = np.ones(BUCKETS, dtype=np.int8)
+    for run, *row in runs.select("run", chars(15, 255), chars(7, 255), chars(0, 127)).collect():  # at most BUCKETS / RUN rows
+        high, low, steps = (np.frombuffer(x.encode("latin-1"), dtype=np.uint8).astype(np.int64) for x in row)
+        out[run * RUN + 256 * high + low] = steps
+    one = pa.ListArray.from_arrays(pa.array([0, BUCKETS], pa.int32()), pa.array(out))
+    return texts.sparkSession.createDataFrame(pa.table({"classes": one}))
 
 
-def _ordered(line: Column, rank: Column) -> Column:
-    """Hashes of a line's distinct words, rarest first: class, then hash, in one long."""
+def _ordered(lines: DataFrame, classes: DataFrame) -> DataFrame:
+    """``lines`` with ``w``, hashes of the distinct words in ``words``, rarest first
+    (class, then hash, in one long), and their number ``n``, instead of ``words``."""
 
     def key(h: Column, rank: Column) -> Column:
-        c = F.ascii(F.substring(rank, _bucket(h) + 1, F.lit(1)).cast("string")).cast("long")
+        c = F.get(rank, F.shiftrightunsigned(h, 65 - BUCKETS.bit_length())).cast("long")
         return F.shiftleft(c, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    hashes = F.transform(F.split(F.lower(line), r"\s+"), lambda w: F.xxhash64(w))
-    hashes = F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit(""))))
-    # named once, as the element of an array, so that the bytes are not put into every row
-    ranked = F.transform(F.array(rank), lambda rank: F.transform(hashes, lambda h: key(h, rank)))
-    return F.sort_array(F.get(ranked, F.lit(0)))
+    keep = [c for c in lines.columns if c != "words"]
+    hashes = F.transform(_pieces(F.col("words")), lambda w: F.xxhash64(w))
+    rows = lines.select(*keep, F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit("")))).alias("h"))
+    # the classes are named once, as the element of an array, and the hashes more than once
+    # beside them: so Spark puts the classes into no row, and works the hashes out by themselves
+    rows = rows.select(*keep, "h", F.size("h").alias("n"), classes.scalar().alias("rank"))
+    ranked = F.get(F.transform(F.array("rank"), lambda rank: F.transform("h", lambda h: key(h, rank))), F.lit(0))
+    return rows.select(*keep, F.sort_array(ranked).alias("w"), "n")
 
 
 def _overlap(n: Column, m: Column, t: float) -> Column:
@@ -76,14 +96,16 @@ def _overlap(n: Column, m: Column, t: float) -> Column:
     return F.ceil((n + m) * (t / (1 + t)) - 1e-9)
 
 
-def _may_match(x: str, y: str, t: float) -> Column:
-    """Length, positional and parity filters on rows of prefix words."""
-    n, m = (F.shiftright(F.col(f"{r}.at"), 32) for r in (x, y))
-    pos, other = (F.shiftright(F.col(f"{r}.at"), 1).bitwiseAND(F.lit((1 << 31) - 1)) for r in (x, y))
+def _may_match(x: Callable[[str], Column], y: Callable[[str], Column], t: float) -> Column:
+    """Length, positional and parity filters on the fields of two rows of prefix words, x of the earlier set."""
+    n, m = (F.shiftright(r("at"), 32) for r in (x, y))
+    pos, other = (F.shiftright(r("at"), 1).bitwiseAND(F.lit((1 << 31) - 1)) for r in (x, y))
     need = _overlap(n, m, t)
     behind = 1 + F.least(n - pos, m - other)
-    differ = sum(F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in ("odd", "even"))
-    return (F.least(n, m) >= F.greatest(n, m) * t - 1e-9) & (behind >= need) & (differ <= n + m - 2 * need)
+    odd, even = (x(p).bitwiseXOR(y(p)) for p in ("odd", "even"))
+    halves, whole = F.bit_count(odd) + F.bit_count(even), F.bit_count(odd.bitwiseXOR(even))
+    differ = F.when(F.least(n, m) > SHORT, halves).otherwise(whole)
+    return (x("sid") < y("sid")) & (F.least(n, m) >= F.greatest(n, m) * t - 1e-9) & (behind >= need) & (differ <= n + m - 2 * need)
 
 
 def _prefix_length(n: Column, t: float) -> Column:
@@ -97,16 +119,21 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def line_sets(docs: DataFrame, threshold: float, classes: DataFrame) -> DataFrame:
-    """doc_id, doc, line, set, n, prefix, and the parities ``odd`` and ``even`` for each line with a word."""
+    """doc_id, doc, line, set, n, the parities ``odd`` and ``even`` (0 in a short line)
+    and the words of the prefix, ``prefix`` and behind them ``hot``, for each line with a word."""
     lines = docs.select("doc_id", "doc", F.posexplode(F.split("text", "\n")).alias("line", "words")).where(r"words RLIKE '\\S'")
-    lines = lines.select("*", classes.scalar().alias("rank")).select("doc_id", "doc", "line", _ordered(F.col("words"), F.col("rank")).alias("w"))
-    n = F.size("w")
-    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))
-    half = lambda k: lambda w: w.bitwiseAND(F.lit(64)) == 64 * k
-    parity = lambda k: F.aggregate(F.filter("w", half(k)), F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(bit(w)))
-    prefix = F.filter(F.slice("w", 1, _prefix_length(n, threshold)), lambda w: w >= ONCE)
-    return lines.select("doc_id", "doc", "line", F.xxhash64("w").alias("set"), n.alias("n"), parity(1).alias("odd"), parity(0).alias("even"),
-                        F.transform(prefix, lambda w: w.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"))
+    lines = _ordered(lines, classes)
+    # the bit of a word is read from a list, which takes fewer steps than to shift it
+    bits = [F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)]
+    none = [F.lit(0).cast("long")] * 64
+    parity = lambda of: F.aggregate("w", none[0], lambda a, w: a.bitwiseXOR(F.get(F.array(*of), w.bitwiseAND(F.lit(len(of) - 1)))))
+    short = F.col("n") <= SHORT
+    odd, even = F.when(short, parity(bits)).otherwise(parity(none + bits)), F.when(short, none[0]).otherwise(parity(bits + none))
+    first = F.slice("w", 1, _prefix_length(F.col("n"), threshold))
+    short_word = lambda w: w.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    prefix, hot = F.filter(first, lambda w: (w >= ONCE) & (w < HOT)), F.filter(first, lambda w: w >= HOT)
+    return lines.select("doc_id", "doc", "line", F.xxhash64("w").alias("set"), "n", odd.alias("odd"), even.alias("even"),
+                        F.transform(prefix, short_word).alias("prefix"), F.transform(hot, short_word).alias("hot"))
 
 
 def _split(sets: DataFrame, sids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -138,53 +165,68 @@ def later_matches(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     rows without a doc_id last. ``docs`` as from :func:`keyed`.
 
     Lines with one set are one class, numbered in the order of their first line.
-    A set is settled once it matches any earlier set, so it is first held
-    against three of the sets that share each of its prefix words: the earliest
-    and the two just before it. Only sets that match none of these are joined
+    Sets that share a word of their prefixes are paired, but for hot words. A
+    set is settled once it matches any earlier set, so of those that share a hot
+    word only three are paired with it at first: the earliest and the two just
+    before it. It is held against the earliest of all it is paired with. Only
+    sets that don't match that are held against the others, and joined by hot words
     with all earlier ones. That way a group of many variants of a line does
     not yield all of its pairs.
     """
     spark = docs.sparkSession
     lines = stage(spark, line_sets(docs, threshold, rarity_classes(docs)), "line-sets")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc", "line")
-    sets = lines.groupBy("set").agg(F.min(place).alias("first"), *(F.any_value(c).alias(c) for c in ("n", "odd", "even", "prefix")))
-    sets = sets.sort("first").select(F.monotonically_increasing_id().alias("sid"), "set", "first.doc", "first.line", "n", "odd", "even", "prefix")
+    rest = ("n", "odd", "even", "prefix", "hot")
+    sets = lines.groupBy("set").agg(F.min(place).alias("first"), *(F.any_value(c).alias(c) for c in rest))
+    sets = sets.sort("first").select(F.monotonically_increasing_id().alias("sid"), "set", "first.doc", "first.line", *rest)
     sets = stage(spark, sets, "line-classes")
 
-    def by_word(classes: DataFrame, open: Column, part: int) -> DataFrame:
-        """A row for each word of a prefix in this part; n, pos and ``open`` travel as one long, ``at``."""
-        # words that occur once come first, so what is left of a prefix is its end
-        skipped = _prefix_length(F.col("n"), threshold) - F.size("prefix") + 1
+    def by_word(classes: DataFrame, words: str, open: Column, part: int) -> DataFrame:
+        """A row for each of ``words`` in this part; n, pos and ``open`` travel as one long, ``at``."""
+        # words that occur once come first and hot ones last, so what is left of a prefix is its end
+        behind = F.size("hot") + (F.size("prefix") if words == "prefix" else 0)
+        skipped = _prefix_length(F.col("n"), threshold) - behind + 1
         size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(open.cast("long"))
-        each = classes.select("sid", "odd", "even", size.alias("size"), skipped.alias("skipped"), F.posexplode("prefix").alias("pos", "word"))
+        each = classes.select("sid", "odd", "even", size.alias("size"), skipped.alias("skipped"), F.posexplode(words).alias("pos", "word"))
         each = each.where(F.pmod("word", F.lit(PARTS)) == part)
         return each.select("word", "sid", (F.col("size") + 2 * (F.col("skipped") + F.col("pos"))).alias("at"), "odd", "even")
 
-    def pairs_of(rows: list[DataFrame], label: str) -> DataFrame:
-        may = _may_match("x", "y", threshold) & (F.col("x.sid") < F.col("y.sid"))
-        parts = [stage(spark, r.where(may).select(F.col("x.sid").alias("x"), F.col("y.sid").alias("y")).distinct(), label) for r in rows]
-        return reduce(DataFrame.union, parts).distinct()
+    def staged(parts: list[DataFrame], label: str) -> DataFrame:
+        return reduce(DataFrame.union, [stage(spark, p.distinct(), label) for p in parts])
+
+    def joined(rows: DataFrame) -> DataFrame:
+        both = rows.alias("x").join(rows.alias("y"), F.col("x.word") == F.col("y.word"))
+        return both.where(_may_match(lambda f: F.col(f"x.{f}"), lambda f: F.col(f"y.{f}"), threshold))
+
+    numbers = (F.col("x.sid").alias("x"), F.col("y.sid").alias("y"))
+
+    def shared(part: int) -> DataFrame:
+        return joined(by_word(sets, "prefix", F.lit(0), part)).select(*numbers)
 
     def near(part: int) -> DataFrame:
-        rows = by_word(sets, F.lit(0), part).select("word", F.struct("sid", "at", "odd", "even").alias("y"))
+        rows = by_word(sets, "hot", F.lit(0), part).select("word", F.struct("sid", "at", "odd", "even").alias("y"))
         turn = W.partitionBy("word").orderBy("y.sid")
         each = F.array(F.first("y").over(turn), F.lag("y", 1).over(turn), F.lag("y", 2).over(turn))
-        return rows.select("y", each.alias("x")).where("x[1] IS NOT NULL").select("y", F.explode("x").alias("x"))
-
-    first = stage(spark, pairs_of([near(k) for k in range(PARTS)], "line-near"), "line-pairs")
+        rows = rows.select("y", each.alias("x")).where("x[1] IS NOT NULL")
+        # filtered before they are rows: most of them go
+        may = F.filter("x", lambda x: _may_match(lambda f: x[f], lambda f: F.col(f"y.{f}"), threshold))
+        return rows.select("y", F.explode(may).alias("x")).select(*numbers)
+
+    found = staged([shared(k) for k in range(PARTS)], "line-shared").union(staged([near(k) for k in range(PARTS)], "line-near"))
+    # one pair settles most sets, so the texts of their other pairs are not compared
+    first = stage(spark, found.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "line-pairs")
     settled = stage(spark, _verified(first, sets, docs, threshold).select(F.col("y").alias("sid")).distinct(), "line-settled")
 
     some, others = _split(sets, settled)
     marked = some.join(settled.withColumn("done", F.lit(1)), "sid", "left").unionByName(others.withColumn("done", F.lit(None).cast("int")))
 
     def later(part: int) -> DataFrame:
-        rows = by_word(marked, F.col("done").isNull(), part)
+        both = joined(by_word(marked.where(F.size("hot") > 0), "hot", F.col("done").isNull(), part))
         # y's open bit is part of what both sides need, so they read one exchange
-        both = rows.alias("x").join(rows.alias("y"), F.col("x.word") == F.col("y.word"))
-        return both.where((F.col("x.sid") < F.col("y.sid")) == (F.col("y.at").bitwiseAND(F.lit(1)) == 1))
+        return both.where((F.col("x.sid") < F.col("y.sid")) == (F.col("y.at").bitwiseAND(F.lit(1)) == 1)).select(*numbers)
 
-    rest = pairs_of([later(k) for k in range(PARTS)], "line-later").join(first, ["x", "y"], "left_anti")
-    rest = stage(spark, rest, "line-rest")
+    rest = staged([later(k) for k in range(PARTS)], "line-later").union(found.join(settled.toDF("y"), "y", "left_anti").select("x", "y"))
+    rest = stage(spark, rest.distinct().join(first, ["x", "y"], "left_anti"), "line-rest")
     settled = stage(spark, settled.union(_verified(rest, sets, docs, threshold).select("y")).distinct(), "line-settled")
 
     some, others = _split(sets, settled)

@@ -169,6 +169,36 @@ def test_line_dedup_of_lines_from_few_words_and_words_that_occur_once(spark):
     assert Counter((r.doc_id, r.text) for r in got) == brute_lines(rows)
 
 
+@pytest.mark.parametrize("hot", [0, 13, 127])
+def test_line_dedup_by_hot_words_and_by_others(spark, monkeypatch, hot):
+    """The same lines go whether all words of prefixes are hot, some or none; lines
+    on either side of the length at which the parity changes, cut at any white space."""
+    from gridfold.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "HOT", hot << 56)
+    rng = np.random.default_rng(31)
+    base = [f"w{k}" for k in range(66)]
+    lines = [" ".join(base[:n]) + f" end{n}" for n in (52, 63, 64, 65, 66)]
+    lines += ["\t".join(rng.permutation(base[:63])) + "\x0b\r tail", "  " + "\f".join(base[:30]), "\t\x0b\f\r ", "a  b\tc", "c\rb\x0ba", "A\x85b", "A\u00a0b"]
+    for _ in range(90):
+        w = [*base[:rng.integers(8, 14)]]
+        for k in rng.choice(len(w), rng.integers(0, 4), replace=False):
+            w[k] = f"v{rng.integers(0, 30)}"
+        lines.append(" ".join(w))
+    rows = [(k, "\n".join(lines[3 * k:3 * k + 3])) for k in range(len(lines) // 3)] + [(1, "\n".join(lines[3:6]))]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == brute_lines(rows)
+
+
+def test_line_sets_work_a_line_out_once(spark):
+    """No regular expression cuts the words, each line is hashed once, and the classes are in no row."""
+    from gridfold.llm import line_dedup
+
+    docs = line_dedup.keyed(spark.createDataFrame([(1, "a b c\nd e"), (2, "a b d")], "doc_id long, text string"))
+    plan = line_dedup.line_sets(docs, 0.8, line_dedup.rarity_classes(docs))._jdf.queryExecution().optimizedPlan().toString()
+    assert r"\s+" not in plan and plan.count("array_distinct") == 1 and " AS rank#" not in plan
+
+
 def test_embedding_graph(spark):
     rng = np.random.default_rng(2)
     far = rng.normal(size=(300, 16))
